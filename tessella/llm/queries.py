@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.bpe import op2_bpe
+from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
