@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.bpe import op2_bpe
 from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
+from tessella.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tessella.llm.sharding import OP9_SQL, op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
