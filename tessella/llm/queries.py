@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.bpe import op2_bpe
+from tessella.llm.language_id import op5_language_id
 from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
 from tessella.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -15,6 +16,7 @@ from tessella.llm.sharding import OP9_SQL, op9_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
