@@ -10,16 +10,20 @@ from tessella.llm.bpe import op2_bpe
 from tessella.llm.language_id import op5_language_id
 from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
+from tessella.llm.quality_model import op3_quality_classifier
 from tessella.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tessella.llm.sharding import OP9_SQL, op9_sharding
+from tessella.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
