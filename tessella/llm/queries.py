@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.bpe import op2_bpe
+from tessella.llm.decontaminate import OP1_SQL, op1_decontamination
 from tessella.llm.language_id import op5_language_id
 from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
@@ -16,6 +17,7 @@ from tessella.llm.sharding import OP9_SQL, op9_sharding
 from tessella.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
@@ -26,4 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_sharding": OP9_SQL,
+}
