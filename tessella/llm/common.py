@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.session import bounded_batches, ship_package
+from tessella.plans.session import bounded_batches, cut, ship_package
 
 #: White space that parts words and is stripped from lines: what bytes.split() takes.
 SPACE_CLASS = r"[ \t-\r]"
@@ -17,11 +17,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text`` only, whatever else the table holds and however it is named."""
+def two_columns(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
+    """``doc_id, text`` only, whatever else the table holds and however it is named.
+
+    Columns to ``carry`` come as one struct, ``carried``, so that no name clashes.
+    """
     ship_package(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *([F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []))
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -42,6 +45,21 @@ def per_batch(make) -> "callable":
     return run
 
 
+def row_key() -> Column:
+    """Tells rows of ``doc_id, text`` apart, repeated ids and nulls included."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
+#: Rows of keys up to which a list of documents is broadcast (tens of MB); more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed, and marked for broadcast if its counted size allows that."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def learnable(doc_id: Column, parts: int, held: int) -> Column:
     """True where crc32 of the id as text, modulo ``parts``, isn't ``held``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts != held

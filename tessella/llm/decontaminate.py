@@ -19,18 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE_CLASS, SPACES, two_columns
+from tessella.llm.common import SPACE_CLASS, SPACES, row_key, small, two_columns
 from tessella.plans.session import cut, table
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Fingerprints of windows at the least similarity differ in 10 of 64 bits on average.
 RADIUS = 15
+#: Blocks of the multi-index, by pigeonhole one more than the radius, and their bits.
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
-#: Rows of benchmark shingles, or of documents with hits, up to which they are broadcast (about
-#: 100 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: Column) -> Column:
@@ -71,10 +69,6 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared).cast("double")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of a document and a benchmark item that a window of it is like.
 
@@ -87,19 +81,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     once; so are repeated items. Null ids are reported as null. Empty tables give an empty
     result.
     """
-    rows = two_columns(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = two_columns(docs, id_col, text_col).withColumn("row", row_key())
     bench = items.select(items[item_col].cast("long").alias("item_id"), shingles(items[item_text_col].cast("string")).alias("item"))
     bench = cut(bench.where(F.size("item") > 0).withColumn("m", F.size("item")).distinct())
-    marks = cut(bench.select("m", F.explode(F.array_distinct("item")).alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes")))
+    marks = bench.select("m", F.explode(F.array_distinct("item")).alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes"))
 
     grams = rows.select("row", F.posexplode(shingles(F.col("text"))).alias("p", "h"))
-    found = grams.join(_small(marks), "h").select("row", "p", F.explode("sizes").alias("m"))
+    found = grams.join(small(marks), "h").select("row", "p", F.explode("sizes").alias("m"))
     hits = cut(found.groupBy("row", "m").agg(F.array_sort(F.collect_set("p")).alias("at")))
 
     # Starts (from 0) of windows of m shingles that hold enough of the positions.
     least = F.ceil(F.col("m") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
     enough = hits.where(F.size("at") >= least).withColumn("least", least)
-    full = rows.join(_small(cut(enough)), "row").withColumn("all", shingles(F.col("text")))
+    full = rows.join(small(enough), "row").withColumn("all", shingles(F.col("text")))
     last = F.greatest(F.size("all") - F.col("m"), F.lit(0))
     near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - F.col("m") + 1, F.lit(0)), F.greatest(F.least(p, last), F.greatest(p - F.col("m") + 1, F.lit(0)))))))
     starts = F.filter(near, lambda s: (s <= last) & (F.size(F.filter("at", lambda p: (p >= s) & (p < s + F.col("m")))) >= F.col("least")))
@@ -109,7 +103,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     keyed_items = bench.withColumn("item_fp", simhash(F.col("item"))).withColumn("block", F.explode(_blocks(F.col("item_fp"))))
     keyed = windows.withColumn("block", F.explode(_blocks(F.col("fp"))))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    close = keyed.join(_small(keyed_items), ["m", "block"]).where(F.bit_count(apart) <= RADIUS)
+    close = keyed.join(small(keyed_items), ["m", "block"]).where(F.bit_count(apart) <= RADIUS)
     # A pair meets in every block that agrees: it is taken in the first.
     close = close.where(_first_block(apart) == F.shiftrightunsigned("block", BLOCK_BITS))
     verified = close.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity)

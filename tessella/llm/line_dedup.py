@@ -132,13 +132,14 @@ def _suspects(filter_of, min_chars: int):
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row without the lines that many documents share.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z in lower case. Keys of
     at least ``min_chars`` code points that ``min_docs`` documents hold lose all their lines
     except in the largest ``doc_id`` that holds them. Returns ``doc_id, text, kept, n_lines,
-    n_dropped``: the whole text, and what stays of it.
+    n_dropped``: the whole text, and what stays of it; with ``carry``, also ``carried``, a struct
+    of those columns.
 
     A null or empty text is one empty line, and ``kept`` is then empty. Rows that repeat an id
     are one document when documents are counted, and all keep or lose a line alike. A null id
@@ -156,8 +157,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains("drop", F.btrim(F.translate(x, UPPER, LOWER), F.lit(SPACES))))
+    rows = two_columns(docs, id_col, text_col, *carry)
     joined = rows.join(drops, rows["doc_id"].eqNullSafe(drops["at"]), "left")
-    cleaned = joined.select("doc_id", "text", F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
+    cleaned = joined.select("doc_id", "text", F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"), *(["carried"] if carry else []))
     return cleaned
 
 

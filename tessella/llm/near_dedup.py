@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import per_batch, raw_texts, two_columns
+from tessella.llm.common import per_batch, raw_texts, row_key, two_columns
 from tessella.plans.components import connected_components
 from tessella.plans.session import cut, table
 
@@ -44,12 +44,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def _fingerprints(batch: pa.RecordBatch) -> dict:
-    return {"doc_id": batch.column("doc_id"), "fp": pa.array([fingerprint(t) for t in raw_texts(batch.column("text"))], pa.int64())}
+    return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fp": pa.array([fingerprint(t) for t in raw_texts(batch.column("text"))], pa.int64())}
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row; a null text counts as empty."""
-    return two_columns(docs, id_col, text_col).mapInArrow(per_batch(_fingerprints), "doc_id long, fp long")
+    """``doc_id, row, fp`` of every row: its id, its key, and the 64 bits as a signed long. A
+    null text counts as empty."""
+    rows = two_columns(docs, id_col, text_col).withColumn("row", row_key())
+    return rows.mapInArrow(per_batch(_fingerprints), "doc_id long, row long, fp long")
 
 
 def _variants(values: Column, width: int, slot: Column) -> Column:
@@ -96,6 +98,20 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return pairs.select("src", "dst").unionByName(finer.select("src", "dst"))
 
 
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """``doc_id, row, fp, component, component_id`` of every row: see :func:`near_duplicates`.
+
+    ``component`` is the class's own fingerprint, which is never null.
+    """
+    marked = cut(fingerprints(docs, id_col, text_col))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = connected_components(links(classes.select("fp"), hot_bucket))
+    members = classes.join(joined.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    roots = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = members.join(roots, "component").select("fp", "component", "component_id")
+    return marked.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Every document with its fingerprint and the class of near-duplicates that it is in.
 
@@ -107,14 +123,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id stay separate rows. Ids that are null are skipped in the minimum; a class of nothing
     but nulls has a null id. An empty table gives an empty result.
     """
-    marked = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(links(classes.select("fp"), hot_bucket))
-    members = classes.join(joined.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    roots = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = members.join(roots, "component").select("fp", "component_id")
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    classed = near_duplicate_classes(docs, id_col, text_col, hot_bucket)
+    return classed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

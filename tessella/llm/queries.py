@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.bpe import op2_bpe
 from tessella.llm.decontaminate import OP1_SQL, op1_decontamination
+from tessella.llm.html_text import op7_html_extraction
 from tessella.llm.language_id import op5_language_id
 from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
