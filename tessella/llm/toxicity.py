@@ -21,15 +21,15 @@ from tessella.plans.session import table
 DIMENSIONS = 1 << 22
 #: Labelled rows that the classifier is fitted on: the first this many by hashed id.
 MOST_LABELLED = 8_000
-EPOCHS = 6
+EPOCHS = 10
 FLAG_AT = 0.7
 #: Swapped copies of each labelled text that names a group, and the weight of their change.
 SWAPS, PENALTY = 3, 1.0
 WORDS = re.compile(r"\w+")
 #: Lengths of the stems of longer words.
-STEMS = (4, 5)
-#: The L1 weight grows with the sample, as gradients do: a part of its rows, within bounds.
-L1_PART, L1_LEAST, L1_MOST = 1 / 2000, 0.5, 4.0
+STEMS = (3, 4, 5)
+#: A high L1 weight leaves the few hundred words that tell; a high rate lets those grow.
+L1, RATE = 4.0, 3.0
 #: Names of groups that may stand for one another, by kind (fixed values).
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -84,8 +84,7 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, epochs: int = EPO
     words = [vocabulary(t) for t, _ in rows]
     examples = [(row_of(w), y) for w, (_, y) in zip(words, rows)]
     twins = [[row_of(c) for c in swapped(w)] for w in words]
-    l1 = min(max(len(rows) * L1_PART, L1_LEAST), L1_MOST)
-    return train(examples, twins, DIMENSIONS, epochs, penalty=penalty, alpha=1.0, l1=l1, l2=0.0)
+    return train(examples, twins, DIMENSIONS, epochs, penalty=penalty, alpha=RATE, l1=L1, l2=0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
