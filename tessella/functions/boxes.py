@@ -65,3 +65,32 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     six = 6 * F.nullif(signed_area(ring), F.lit(0.0))
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
     return _edges(ring, lambda p, q: (p["x"] + q["x"]) * cross(p, q)) / six, _edges(ring, lambda p, q: (p["y"] + q["y"]) * cross(p, q)) / six
+
+
+def ring_moments(ring: Column) -> dict[str, Column]:
+    """Area moments up to order two, about the origin, by Green's theorem over the edges."""
+    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    sign = F.signum(signed_area(ring))
+    terms = {
+        "m00": (2, lambda p, q: F.lit(1.0)),
+        "m10": (6, lambda p, q: p["x"] + q["x"]),
+        "m01": (6, lambda p, q: p["y"] + q["y"]),
+        "m20": (12, lambda p, q: p["x"] * p["x"] + p["x"] * q["x"] + q["x"] * q["x"]),
+        "m02": (12, lambda p, q: p["y"] * p["y"] + p["y"] * q["y"] + q["y"] * q["y"]),
+        "m11": (24, lambda p, q: p["x"] * (2 * p["y"] + q["y"]) + q["x"] * (p["y"] + 2 * q["y"])),
+    }
+
+    def moment(over: int, of) -> Column:
+        return sign * _edges(ring, lambda p, q: cross(p, q) * of(p, q)) / over
+
+    return {name: moment(over, of) for name, (over, of) in terms.items()}
+
+
+def inside(inner: Box, outer: Box) -> Column:
+    """True if the first box lies in the second, edges allowed."""
+    return (inner[0] >= outer[0]) & (inner[1] >= outer[1]) & (inner[2] <= outer[2]) & (inner[3] <= outer[3])
+
+
+def shrunk(b: Box, by: int) -> Box:
+    """A box that is smaller by ``by`` on each side."""
+    return b[0] + by, b[1] + by, b[2] - by, b[3] - by

@@ -8,9 +8,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.boxes import box, ring_area, ring_centroid, ring_length
+from tessella.functions.boxes import box, ring_area, ring_centroid, ring_length, ring_moments
+from tessella.functions.rings import clipped_area, hull_area
 from tessella.operators.cells import tile_neighbours
 from tessella.plans.components import connected_components
+from tessella.plans.spatial_join import spatial_join
 
 
 def tissue_props(df: DataFrame, ring: str = "ring") -> DataFrame:
@@ -51,3 +53,41 @@ def bounds_of(df: DataFrame, *by: str) -> DataFrame:
 
 def box_columns(df: DataFrame) -> DataFrame:
     return df.select(*box())
+
+
+def ellipse_props(df: DataFrame, ring: str = "ring") -> DataFrame:
+    """Axes, eccentricity and orientation of the ellipse of the same second moments, and the
+    hull's area with solidity and convexity."""
+    m = ring_moments(F.col(ring))
+    rows = df.withColumns(m)
+    a = F.nullif(F.col("m00"), F.lit(0.0))
+    u20 = F.col("m20") / a - F.pow(F.col("m10") / a, 2)
+    u02 = F.col("m02") / a - F.pow(F.col("m01") / a, 2)
+    u11 = F.col("m11") / a - F.col("m10") * F.col("m01") / (a * a)
+    rows = rows.withColumns({"u20": u20, "u02": u02, "u11": u11})
+    root = F.sqrt(4 * F.col("u11") * F.col("u11") + (F.col("u20") - F.col("u02")) * (F.col("u20") - F.col("u02")))
+    total = F.col("u20") + F.col("u02")
+    rows = rows.withColumns({"major_axis": 4 * F.sqrt((total + root) / 2), "minor_axis": 4 * F.sqrt(F.greatest((total - root) / 2, F.lit(0.0))), "orientation": 0.5 * F.atan2(2 * F.col("u11"), F.col("u20") - F.col("u02"))})
+    rows = rows.withColumn("eccentricity", F.sqrt(F.greatest(1 - F.pow(F.col("minor_axis") / F.nullif(F.col("major_axis"), F.lit(0.0)), 2), F.lit(0.0))))
+    rows = rows.withColumn("convex_area", hull_area(F.col(ring)))
+    return rows.withColumns({"solidity": F.col("m00") / F.nullif(F.col("convex_area"), F.lit(0.0)), "convexity": F.col("convex_area") / a}).drop("u20", "u02", "u11")
+
+
+def polygon_coverage(tiles: DataFrame, polygons: DataFrame, cell: int = 512) -> DataFrame:
+    """``slide_id, tile_id, tissue_id, coverage`` of tiles that meet a polygon's bounds.
+
+    ``polygons`` has a ``ring`` and its bounds. Only tiles that meet the bounds are clipped.
+    """
+    pairs = spatial_join(tiles.select("slide_id", "tile_id", "x0", "y0", "x1", "y1"), polygons.select("slide_id", "tissue_id", "x0", "y0", "x1", "y1", "ring"), cell, touch=False)
+    share = clipped_area("r_ring", "x0", "y0", "x1", "y1") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double")
+    return pairs.select("slide_id", "tile_id", F.col("r_tissue_id").alias("tissue_id"), share.alias("coverage")).where("coverage > 0")
+
+
+def dissolve_near(boxes: DataFrame, by: str, tolerance: int, cell: int = 128, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
+    """Boxes of one class that are at most twice ``tolerance`` apart as one region: ``by, region,
+    n, prob`` (the highest) and bounds."""
+    wide = boxes.select("slide_id", by, F.col(id_col).alias("id"), *[(F.col(c) - tolerance).alias(c) for c in ("x0", "y0")], *[(F.col(c) + tolerance).alias(c) for c in ("x1", "y1")])
+    pairs = spatial_join(wide, wide, cell).where((F.col("id") < F.col("r_id")) & (F.col(by) == F.col(f"r_{by}")))
+    parts = connected_components(pairs, "id", "r_id").withColumnRenamed("vertex", id_col)
+    rows = boxes.join(parts, id_col, "left").withColumn("region", F.coalesce("component", F.col(id_col)))
+    return rows.groupBy(by, "region").agg(F.count("*").alias("n"), F.max(prob_col).alias("prob"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

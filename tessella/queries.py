@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import area, box, ring_of
-from tessella.operators import aggregate, annotations, cells, graph, models, omics, raster, shapes, tiling, viewport
+from tessella.functions.rings import clipped_area
+from tessella.operators import aggregate, annotations, cells, graph, masks, models, omics, raster, shapes, tiling, viewport
 from tessella.operators.similarity import text_image_similarity
 from tessella.plans.spatial_join import spatial_join
 from tessella.sources import adapters
@@ -601,3 +602,120 @@ def level_select(spark: SparkSession, sf: str) -> DataFrame:
 @query("spatial_join_touch", with_relations("tiles tissues", f"SELECT a.slide_id, a.tile_id, b.tissue_id FROM tiles a JOIN tissues b ON {_MEET}"))
 def spatial_join_touch(spark: SparkSession, sf: str) -> DataFrame:
     return spatial_join(adapters.tiles(spark, sf), adapters.tissues(spark, sf), 512).select("slide_id", "tile_id", F.col("r_tissue_id").alias("tissue_id"))
+
+
+# --- masks, polygons, levels -----------------------------------------------------------------
+
+@query("draw_boxes", with_relations("cells", "SELECT DISTINCT slide_id, y, unnest(range(x0 // 50, (x1 - 1) // 50 + 1)) AS x, c FROM (SELECT slide_id, class AS c, x0, x1, unnest(range(y0 // 50, (y1 - 1) // 50 + 1)) AS y FROM cells)"))
+def draw_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.draw(adapters.cells(spark, sf), 50, "class")
+
+
+_DRAWN = "drawn AS (SELECT DISTINCT slide_id, y, unnest(range(x0 // 50, (x1 - 1) // 50 + 1)) AS x, c FROM (SELECT slide_id, class AS c, x0, x1, unnest(range(y0 // 50, (y1 - 1) // 50 + 1)) AS y FROM cells))"
+_CLASSES = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
+
+
+@query("mask_multiclass", with_relations("cells", f", {_DRAWN} SELECT slide_id, y, x, max(CASE c " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CLASSES.items()) + " END)::BIGINT AS v FROM drawn GROUP BY ALL"))
+def mask_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.to_multiclass(masks.draw(adapters.cells(spark, sf), 50, "class"), _CLASSES)
+
+
+@query("mask_binary", with_relations("cells", f", {_DRAWN} SELECT DISTINCT slide_id, y, x, 1::BIGINT AS v FROM drawn"))
+def mask_binary(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.to_binary(masks.draw(adapters.cells(spark, sf), 50, "class"))
+
+
+@query("class_names", with_relations("pixels", "SELECT image_id, y, x, CASE v // 64 WHEN 1 THEN 'stroma' WHEN 2 THEN 'tumour' END AS class FROM pixels"))
+def class_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = adapters.pixels(spark, sf).withColumn("c", F.expr("v div 64"))
+    return masks.class_names(rows, "c", {1: "stroma", 2: "tumour"}).select("image_id", "y", "x", "class")
+
+
+@query("find_tissues")
+def find_tissues(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.find_tissues(adapters.pixels(spark, sf), scale=32)
+
+
+@query("semantic_regions", with_relations("pixels", ", m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels WHERE v / 255.0::DOUBLE > 0.5), e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)" + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)) + " SELECT image_id, (image_id * 4096 + root // 8) * 4096 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL"))
+def semantic_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.semantic_regions(adapters.pixels(spark, sf).select("image_id", "y", "x", (F.col("v") / 255).alias("p"))).withColumn("prob", r6("prob"))
+
+
+@query("tile_edge_filter", with_relations("cells tiles", f"SELECT a.slide_id, a.cell_id, b.tile_id FROM cells a JOIN tiles b ON {_MEET} WHERE (a.x0 > b.x0 + 2 AND a.y0 > b.y0 + 2 AND a.x1 < b.x1 - 2 AND a.y1 < b.y1 - 2) OR a.x0 > b.x1 - 2 OR a.x1 < b.x0 + 2 OR a.y0 > b.y1 - 2 OR a.y1 < b.y0 + 2"))
+def tile_edge_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = adapters.cells(spark, sf).select("slide_id", "cell_id", "x0", "y0", "x1", "y1")
+    return masks.off_edge(spatial_join(rows, adapters.tiles(spark, sf), 256)).select("slide_id", "cell_id", F.col("r_tile_id").alias("tile_id"))
+
+
+@query("slide_frame_filter", with_relations("tissues", "SELECT slide_id, tissue_id FROM tissues WHERE x0 <= 9000 AND x1 >= 1000 AND y0 <= 9000 AND y1 >= 1000"))
+def slide_frame_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.in_frame(adapters.tissues(spark, sf), (0, 0, 10_000, 10_000), 0.2).select("slide_id", "tissue_id")
+
+
+@query("threshold_split", with_relations("cells", "SELECT cell_id, CASE WHEN prob > 0.5 THEN 'positive' ELSE 'negative' END AS side FROM cells WHERE prob <> 0.5"))
+def threshold_split(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.threshold_split(adapters.cells(spark, sf), "prob", 0.5).select("cell_id", "side")
+
+
+@query("chunk_keys", with_relations("cells", "SELECT slide_id, y0 // 512 AS cy, x0 // 512 AS cx, count(*) AS n FROM cells GROUP BY ALL"))
+def chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.chunk_keys(adapters.cells(spark, sf)).groupBy("slide_id", "cy", "cx").agg(F.count("*").alias("n"))
+
+
+def _diamonds(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    ring = F.array(at(mx, F.col("y0")), at(F.col("x1"), my), at(mx, F.col("y1")), at(F.col("x0"), my), at(mx, F.col("y0")))
+    return adapters.tissues(spark, sf).withColumn("ring", ring)
+
+
+@query("polygon_tile_coverage")
+def polygon_tile_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles against tissues as diamonds."""
+    tiles = tiling.tiles_from_boxes(adapters.tissues(spark, sf), 128).select("slide_id", (F.col("tissue_id") * 1_000_000 + F.col("place")).alias("tile_id"), "x0", "y0", "x1", "y1")
+    return shapes.polygon_coverage(tiles, _diamonds(spark, sf)).withColumn("coverage", r6("coverage"))
+
+
+@query("polygon_area_sum", with_relations("tissues", "SELECT tissue_id, round((x1 - x0)::DOUBLE * (y1 - y0) / 2, 3) AS area FROM tissues"))
+def polygon_area_sum(spark: SparkSession, sf: str) -> DataFrame:
+    """Clipped areas of a diamond over its own grid add up to its area."""
+    tiles = tiling.tiles_from_boxes(adapters.tissues(spark, sf), 128)
+    rows = tiles.withColumnRenamed("place", "tile_id").join(_diamonds(spark, sf).select("tissue_id", "ring"), "tissue_id")
+    return rows.groupBy("tissue_id").agg(F.round(F.sum(clipped_area("ring", "x0", "y0", "x1", "y1")), 3).alias("area"))
+
+
+@query("ellipse_props", with_relations("tissues", "SELECT tissue_id, round(4 * sqrt(greatest(w * w, h * h) / 12), 6) AS major_axis, round(4 * sqrt(least(w * w, h * h) / 12), 6) AS minor_axis, 1.0::DOUBLE AS solidity, 1.0::DOUBLE AS convexity, w * h AS convex_area FROM (SELECT tissue_id, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM tissues)"))
+def ellipse_props(spark: SparkSession, sf: str) -> DataFrame:
+    moved_back = [F.lit(0).alias("x0"), F.lit(0).alias("y0"), (F.col("x1") - F.col("x0")).alias("x1"), (F.col("y1") - F.col("y0")).alias("y1")]
+    rows = adapters.tissues(spark, sf).select("tissue_id", *moved_back)
+    out = shapes.ellipse_props(rows.withColumn("ring", ring_of(box())))
+    return out.select("tissue_id", *[r6(c) for c in ("major_axis", "minor_axis", "solidity", "convexity", "convex_area")])
+
+
+@query("class_regions", with_relations("cells", ", w AS (SELECT slide_id, class, cell_id, x0 - 2 AS x0, y0 - 2 AS y0, x1 + 2 AS x1, y1 + 2 AS y1 FROM cells), e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM w a JOIN w b ON " + _MEET + " AND a.class = b.class), l0 AS (SELECT cell_id, cell_id AS root FROM cells)" + "".join(f", l{i + 1} AS MATERIALIZED (SELECT e.a AS cell_id, min(root) AS root FROM e JOIN l{i} l ON l.cell_id = e.b GROUP BY ALL)" for i in range(60)) + " SELECT class, root AS region, count(*) AS n, round(max(prob), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l60 JOIN cells USING (cell_id) GROUP BY ALL"))
+def class_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return shapes.dissolve_near(adapters.cells(spark, sf), "class", 2).withColumn("prob", r6("prob"))
+
+
+@query("nearest_level", with_relations("tissues", ", s AS (SELECT slide_id, unnest(range(6)) AS level FROM (SELECT DISTINCT slide_id FROM tissues)) SELECT slide_id, arg_min(level, struct_pack(d := abs(0.25 * pow(2, level) - 4), l := level)) AS level FROM s GROUP BY slide_id"))
+def nearest_level(spark: SparkSession, sf: str) -> DataFrame:
+    """The level whose resolution is nearest to 4 micrometres a pixel, of a scan at 0.25."""
+    off = F.abs(0.25 * F.col("downsample") - 4)
+    return _levels(spark, sf).groupBy("slide_id").agg(F.min_by("level", F.struct(off.alias("d"), "level")).alias("level"))
+
+
+@query("heatmap_codes", with_relations("cells", "SELECT cell_id, dense_rank() OVER (ORDER BY class) - 1 AS code, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM cells"))
+def heatmap_codes(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = adapters.cells(spark, sf)
+    codes = rows.select("class").distinct().withColumn("code", (F.row_number().over(Window.orderBy("class")) - 1).cast("long"))
+    return rows.join(F.broadcast(codes), "class").select("cell_id", "code", F.expr("(x0 + x1) div 2").alias("cx"), F.expr("(y0 + y1) div 2").alias("cy"))
+
+
+@query("zero_shot_scores", with_relations("features", ", m AS (SELECT tissue_id, dim, avg(v) AS v FROM features GROUP BY ALL), p AS (SELECT dim, CASE WHEN dim % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a, CASE WHEN dim < 32 THEN 1.0 ELSE -1.0 END::DOUBLE AS b FROM range(64) r(dim)), s AS (SELECT tissue_id, sum(v * a) / (sqrt(sum(v * v)) * sqrt(sum(a * a))) AS a, sum(v * b) / (sqrt(sum(v * v)) * sqrt(sum(b * b))) AS b FROM m JOIN p USING (dim) GROUP BY tissue_id) SELECT tissue_id, 'a' AS prompt, round(exp(a) / (exp(a) + exp(b)), 6) AS p FROM s UNION ALL SELECT tissue_id, 'b', round(exp(b) / (exp(a) + exp(b)), 6) FROM s"))
+def zero_shot_scores(spark: SparkSession, sf: str) -> DataFrame:
+    by = ("tissue_id",)
+    means = aggregate.as_vectors(aggregate.feature_aggregation(adapters.features(spark, sf), by), by)
+    prompts = {"a": [float(d % 2 == 0) for d in range(64)], "b": [1.0 if d < 32 else -1.0 for d in range(64)]}
+    return models.zero_shot_scores(means, prompts, by).withColumn("p", r6("p"))
