@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import area, box, iou
-from tessella.plans.components import connected_components
+from tessella.plans.components import connected_components, map_components
 from tessella.plans.spatial_join import spatial_join
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -101,7 +99,7 @@ def nms(boxes: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: st
         kept = _greedy(nodes.a.to_numpy(), nodes.prob.to_numpy(), links.a.to_numpy(), links.b.to_numpy().astype(np.int64))
         return pd.DataFrame({id_col: kept})
 
-    kept = rows.groupBy("component").applyInPandas(decide, f"{id_col} long")
+    kept = map_components(rows, decide, f"{id_col} long")
     alone = boxes.join(parts.select(F.col("vertex").alias(id_col)), id_col, "left_anti")
     return alone.unionByName(boxes.join(kept, id_col, "left_semi"))
 
@@ -161,14 +159,20 @@ def match_instances(gt: DataFrame, pred: DataFrame, cell: int = 64, iou_threshol
     parts = connected_components(edges).select((F.col("vertex") / 2).cast("long").alias("gt_id"), "component", "vertex").where("vertex % 2 = 0").drop("vertex")
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        a, ga = np.unique(part.gt_id, return_inverse=True)
-        b, pb = np.unique(part.pred_id, return_inverse=True)
-        gain = np.zeros((len(a), len(b)))
-        gain[ga, pb] = part.iou
-        best = [(a[i], b[j], gain[i, j]) for i, j in _assignment(gain) if gain[i, j] > 0]
-        return pd.DataFrame(best, columns=["gt_id", "pred_id", "iou"]).assign(slide_id=part.slide_id.iloc[0] if len(part) else 0)[["slide_id", "gt_id", "pred_id", "iou"]]
-
-    matched = pairs.join(parts, "gt_id").groupBy("component").applyInPandas(match, "slide_id long, gt_id long, pred_id long, iou double")
+        best = []
+        for _, one in part.groupby("component", sort=False):
+            if len(one) == 1:
+                best.append((one.gt_id.iloc[0], one.pred_id.iloc[0]))
+                continue
+            a, ga = np.unique(one.gt_id.to_numpy(), return_inverse=True)
+            b, pb = np.unique(one.pred_id.to_numpy(), return_inverse=True)
+            gain = np.zeros((len(a), len(b)))
+            gain[ga, pb] = one.iou.to_numpy()
+            best += [(a[i], b[j]) for i, j in _assignment(gain) if gain[i, j] > 0]
+        chosen = pd.DataFrame(best, columns=["gt_id", "pred_id"]).astype("int64")
+        return chosen.merge(part, on=["gt_id", "pred_id"])[["slide_id", "gt_id", "pred_id", "iou"]]
+
+    matched = map_components(pairs.join(parts, "gt_id"), match, "slide_id long, gt_id long, pred_id long, iou double")
     return matched.where(F.col("iou") >= iou_threshold)
 
 
@@ -252,15 +256,3 @@ def pooled_features(pixels: DataFrame, tokens: DataFrame) -> DataFrame:
     held = pixels.where("instance <> 0").select("image_id", "instance", "ty", "tx")
     long = tokens.select("image_id", "ty", "tx", F.posexplode("vec").alias("dim", "v"))
     return held.join(long, ["image_id", "ty", "tx"]).groupBy("image_id", "instance", "dim").agg(F.avg("v").alias("v"))
-
-
-def chunks(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` of the rows."""
-    part = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part

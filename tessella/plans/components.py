@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +37,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = new.select("u", "l")
         if new.where("l < was").limit(1).count() == 0:
             return labels.select(F.col("u").alias("vertex"), F.col("l").alias("component"))
+
+
+def map_components(rows: DataFrame, of_many: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "component") -> DataFrame:
+    """Applies a function to frames that hold many whole components at once.
+
+    Rows are dealt out and sorted by ``key``; batches are cut where a component ends, so that
+    small components share one call. A component is in one task, whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch[key].iloc[-1]
+            open_rows = batch[key] == last
+            if open_rows.all() and (not held or held[-1][key].iloc[-1] == last):
+                held.append(batch)
+                continue
+            if not open_rows.all():
+                held.append(batch[~open_rows])
+            yield of_many(pd.concat(held))
+            held = [batch[open_rows]]
+        if held:
+            yield of_many(pd.concat(held))
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
