@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LOWER, SPACES, UPPER, raw_texts, two_columns
-from tessella.plans.session import table, written
+from tessella.llm.common import BROADCAST_ROWS, LOWER, SPACES, UPPER, raw_texts, two_columns
+from tessella.plans.session import cut, table, written
 
 #: A filter is SEGMENTS x SEGMENT_BYTES large (16 MB), whatever the input: the bound on what
 #: is broadcast. A fuller filter lets more lines through to the exact count, never fewer.
@@ -153,14 +153,25 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = F.coalesce("doc_id", F.lit(-(1 << 63)))
     repeated = suspects.groupBy("key").agg(F.count_distinct(known).alias("n"), F.max(known).alias("keeper")).where(F.col("n") >= min_docs)
     losers = suspects.join(repeated, "key").where(known < F.col("keeper"))
-    drops = losers.groupBy("doc_id").agg(F.collect_set("key").alias("drop")).select(F.col("doc_id").alias("at"), "drop")
+    drops = cut(losers.groupBy("doc_id").agg(F.collect_set("key").alias("drop")).select(F.col("doc_id").alias("at"), "drop"))
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains("drop", F.btrim(F.translate(x, UPPER, LOWER), F.lit(SPACES))))
+    whole = [F.coalesce("text", F.lit("")).alias("kept"), F.size(lines).cast("long").alias("n_lines")]
+    carried = ["carried"] if carry else []
     rows = two_columns(docs, id_col, text_col, *carry)
-    joined = rows.join(drops, rows["doc_id"].eqNullSafe(drops["at"]), "left")
-    cleaned = joined.select("doc_id", "text", F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"), *(["carried"] if carry else []))
-    return cleaned
+    losing = drops.select("at")
+    same = lambda other: rows["doc_id"].eqNullSafe(other["at"])
+    if losing.count() > BROADCAST_ROWS:
+        touched, rest = rows.join(drops, same(drops), "left"), None
+    else:
+        # Only texts that lose a line are shuffled to meet their drops.
+        losing = F.broadcast(losing)
+        touched = rows.join(losing, same(losing), "left_semi").join(drops, F.col("doc_id").eqNullSafe(F.col("at")))
+        rest = rows.join(losing, same(losing), "left_anti").select("doc_id", "text", *whole, F.lit(0).cast("long").alias("n_dropped"), *carried)
+    dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")
+    cleaned = touched.select("doc_id", "text", F.when(F.col("drop").isNull(), whole[0]).otherwise(F.array_join(kept, "\n")).alias("kept"), whole[1], dropped, *carried)
+    return cleaned if rest is None else cleaned.unionByName(rest)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
