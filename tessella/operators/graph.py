@@ -19,17 +19,19 @@ def _candidates(points: DataFrame, wanted: DataFrame, side: int, rings: int) ->
     return near.join(placed, ["slide_id", "gx", "gy"]).where("src <> dst").select("slide_id", "src", "dst", apart.alias("dist"))
 
 
-def knn(points: DataFrame, k: int, side: int) -> DataFrame:
+def knn(points: DataFrame, k: int, side: int, wanted: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest others of every point ``slide_id, id, x, y``: ``slide_id, src, dst, dist``.
 
     A point whose k-th neighbour lies within the rings of grid cells looked at is done: no
     nearer one can lie outside. The others look at twice as many rings, until the rings hold
     the whole slide. Ties go to the smaller id; slides of up to k points give what there is.
+    With ``wanted`` (``slide_id, src``) only those points get neighbours.
     """
     points = cut(points.select("slide_id", "id", "x", "y"))
     extent = points.groupBy("slide_id").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).agg(F.max(F.greatest("w", "h"))).first()[0] or 0
     order = Window.partitionBy("slide_id", "src").orderBy("dist", "dst")
-    wanted, rings, done = points, 1, None
+    wanted = points if wanted is None else cut(points.join(wanted.select("slide_id", F.col("src").alias("id")), ["slide_id", "id"], "left_semi").select("slide_id", "id", "x", "y"))
+    rings, done = 1, None
     while True:
         best = _candidates(points, wanted, side, rings).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
         best = cut(best)
@@ -46,16 +48,30 @@ def knn(points: DataFrame, k: int, side: int) -> DataFrame:
         rings *= 2
 
 
-def tile_graph(points: DataFrame, n_neighs: int = 6, n_rings: int = 1, side: int = 512, set_diag: bool = False, transform: str | None = None) -> DataFrame:
+def tile_graph(points: DataFrame, n_neighs: int = 6, n_rings: int = 1, side: int = 512, set_diag: bool = False, transform: str | None = None, delaunay: bool = False) -> DataFrame:
     """The neighbour graph of each slide: ``slide_id, src, dst, w, dist, euclid``.
 
     Directed edges to the ``n_neighs`` nearest that are nearer than 1.3 times the slide's median
     distance. ``dist`` is 1, or with several rings the number of steps; ``euclid`` is the
     distance itself, null beyond the first ring. ``transform``: None, ``spectral`` or ``cosine``.
+    With ``delaunay`` the neighbours are those of the triangulation, at any distance.
     """
+    if delaunay:
+        from tessella.operators.delaunay import delaunay as triangulated
+
+        ends = [points.select("slide_id", F.col("id").alias(e), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}")) for e in ("src", "dst")]
+        long = F.sqrt(F.pow(F.col("xsrc") - F.col("xdst"), 2) + F.pow(F.col("ysrc") - F.col("ydst"), 2))
+        pairs = triangulated(points, side).join(ends[0], ["slide_id", "src"]).join(ends[1], ["slide_id", "dst"])
+        first = cut(pairs.select("slide_id", "src", "dst", long.alias("euclid")))
+        return _finished(first, points, n_rings, set_diag, transform)
     edges = knn(points, n_neighs, side)
     limit = edges.groupBy("slide_id").agg((1.3 * F.percentile("dist", F.lit(0.5))).alias("limit"))
     first = cut(edges.join(limit, "slide_id").where("dist < limit").select("slide_id", "src", "dst", F.col("dist").alias("euclid")))
+    return _finished(first, points, n_rings, set_diag, transform)
+
+
+def _finished(first: DataFrame, points: DataFrame, n_rings: int, set_diag: bool, transform: str | None) -> DataFrame:
+    """The graph of the first ring's edges: further rings, own edges, and a transform."""
     graph = first.select("slide_id", "src", "dst", F.lit(1.0).alias("w"), F.lit(1.0).alias("dist"), "euclid")
     if n_rings > 1:
         graph = rings(first, n_rings)

@@ -166,6 +166,18 @@ _RING3 = _RING2 + """, three AS (SELECT DISTINCT a.slide_id, a.src, b.dst FROM r
   SELECT slide_id, src, dst, CAST(hop AS DOUBLE) AS dist FROM reach UNION ALL SELECT t.slide_id, t.src, t.dst, 3.0 FROM three t ANTI JOIN reach e ON t.slide_id = e.slide_id AND t.src = e.src AND t.dst = e.dst"""
 
 
+@query("tile_graph_delaunay", with_relations("tiles", "SELECT a.slide_id, a.tile_id AS src, b.tile_id AS dst, 256.0::DOUBLE AS euclid FROM tiles a JOIN tiles b ON a.slide_id = b.slide_id AND abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 256"))
+def tile_graph_delaunay(spark: SparkSession, sf: str) -> DataFrame:
+    """On a full square grid the cells of diagonal tiles meet in a corner alone."""
+    return graph.tile_graph(_points(spark, sf), delaunay=True).select("slide_id", "src", "dst", r6("euclid"))
+
+
+@query("cell_delaunay")
+def cell_delaunay(spark: SparkSession, sf: str) -> DataFrame:
+    rows = adapters.cells(spark, sf)
+    return graph.tile_graph(graph.corner_points(rows, "cell_id"), side=64, delaunay=True).select("slide_id", "src", "dst", r6("euclid"))
+
+
 @query("tile_graph_rings2", _RING2 + " SELECT slide_id, src, dst, CAST(hop AS DOUBLE) AS dist FROM reach")
 def tile_graph_rings2(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tile_graph(_points(spark, sf), 4, n_rings=2).select("slide_id", "src", "dst", "dist")
