@@ -14,6 +14,7 @@ ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder; any path that Spark can read."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
