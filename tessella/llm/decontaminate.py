@@ -4,9 +4,9 @@ Windows of a document that are as long as a benchmark item are compared with the
 
 1. Documents and items become rows of hashed 5-word shingles. Positions of a document whose
    shingle some item has are found by a join with the items' shingles.
-2. A window of an item's length that is at least ``SIMILARITY`` like it shares at least
-   2s/(1+s) of its shingles with it, so only windows that hold so many such positions are
-   made. No window that could pass is lost.
+2. A window of n shingles that is at least s = ``SIMILARITY`` like an item of m shares at
+   least s(m+n)/(1+s) of them with it, so only windows that hold so many such positions are
+   made. n is m, or all of a document that is shorter. No window that could pass is lost.
 3. Each window gets a 64-bit SimHash of its shingles, and meets the items' fingerprints in a
    multi-index: both are cut into RADIUS + 1 blocks, and two fingerprints within RADIUS bits
    agree in at least one block, so the equality join on blocks finds all of them.
@@ -86,13 +86,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bench = cut(bench.where(F.size("item") > 0).withColumn("m", F.size("item")).distinct())
     marks = bench.select("m", F.explode(F.array_distinct("item")).alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes"))
 
-    grams = rows.select("row", F.posexplode(shingles(F.col("text"))).alias("p", "h"))
-    found = grams.join(small(marks), "h").select("row", "p", F.explode("sizes").alias("m"))
-    hits = cut(found.groupBy("row", "m").agg(F.array_sort(F.collect_set("p")).alias("at")))
+    listed = rows.select("row", shingles(F.col("text")).alias("all")).select("row", F.size("all").alias("n"), "all")
+    grams = listed.select("row", "n", F.posexplode("all").alias("p", "h"))
+    found = grams.join(small(marks), "h").select("row", "n", "p", F.explode("sizes").alias("m"))
+    hits = cut(found.groupBy("row", "n", "m").agg(F.array_sort(F.collect_set("p")).alias("at")))
 
-    # Starts (from 0) of windows of m shingles that hold enough of the positions.
-    least = F.ceil(F.col("m") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
-    enough = hits.where(F.size("at") >= least).withColumn("least", least)
+    # Starts (from 0) of windows of m shingles, or of all n, that hold enough of the positions.
+    least = F.ceil((F.col("m") + F.least("m", "n")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+    enough = hits.where(F.size("at") >= least).select("row", "m", "at", least.alias("least"))
     full = rows.join(small(enough), "row").withColumn("all", shingles(F.col("text")))
     last = F.greatest(F.size("all") - F.col("m"), F.lit(0))
     near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - F.col("m") + 1, F.lit(0)), F.greatest(F.least(p, last), F.greatest(p - F.col("m") + 1, F.lit(0)))))))

@@ -42,6 +42,16 @@ def test_equals_brute_force(spark):
     assert {k[0] for k in got if k[1] == 1} >= {600, 601, 602, 800, 801} and {k[0] for k in got if k[1] == 5} == {700, 701}
 
 
+def test_documents_shorter_than_the_item(spark):
+    """Texts that are nothing but the first or last words of an item have fewer shingles than it."""
+    words = data.PASSAGE.split()
+    rows = [(n, " ".join(words[:n])) for n in range(15, 24)] + [(100 + n, " ".join(words[-n:])) for n in range(15, 24)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in got.collect()}
+    assert found == brute_force(rows, ITEMS)
+    assert found[20, 1] == (round(16 / 19, 9), 0)
+
+
 def test_within_radius_all_meet(spark):
     import random
 
