@@ -52,6 +52,18 @@ def test_documents_shorter_than_the_item(spark):
     assert found[20, 1] == (round(16 / 19, 9), 0)
 
 
+def test_pairs_beyond_the_radius(spark):
+    """Items with one word changed in the middle are 0.80 alike; some fingerprints are too far apart for the index."""
+    items = [(i, data.text(5000 + i, 50)) for i in range(400)]
+    rows = [(i, " ".join(w if k != 25 else "changed" for k, w in enumerate(t.split()))) for i, t in items]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    apart = F.bit_count(decontaminate.simhash(decontaminate.shingles(F.col("d.text"))).bitwiseXOR(decontaminate.simhash(decontaminate.shingles(F.col("i.text")))))
+    far = docs.alias("d").join(bench.alias("i"), F.expr("doc_id = item_id")).where(apart > decontaminate.RADIUS).count()
+    assert far > 0
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start) for r in got) == [(i, i, round(41 / 51, 9), 0) for i in range(400)]
+
+
 def test_within_radius_all_meet(spark):
     import random
 
