@@ -24,7 +24,7 @@ UNDETERMINED = "und"
 DIMENSIONS, LENGTHS = 1 << 14, (1, 2, 3)
 #: Documents learned from: this many of each language at most, and this many languages.
 PER_LANGUAGE, LANGUAGES = 400, 200
-#: Landmarks of each language, and of all.
+#: Landmarks of each language, and of all (one of each language at least).
 LANDMARKS_EACH, LANDMARKS = 24, 400
 RIDGE = 1e-3
 ROWS_AT_ONCE = 64
@@ -82,7 +82,9 @@ def fit(rows: np.ndarray, labels: list[str], per_language: int = LANDMARKS_EACH,
     if not languages:
         return None
     names = np.array(labels)
-    chosen = np.concatenate([np.flatnonzero(names == x)[:per_language] for x in languages])[:most]
+    # Dealt in turns, so that every language has its share, and one at least.
+    turns = sorted((turn, k, i) for k, x in enumerate(languages) for turn, i in enumerate(np.flatnonzero(names == x)[:per_language]))
+    chosen = np.array([i for _, i in sorted((k, i) for _, k, i in turns[: max(most, len(languages))])])
     landmarks = rows[chosen]
     among = kernel(landmarks, landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(among)

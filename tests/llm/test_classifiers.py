@@ -79,6 +79,18 @@ def test_kernel_counts_shared_presences():
     assert (language_id.presences(long) == language_id.presences("the quick brown fox " * 3)).all()
 
 
+@pytest.mark.parametrize("n, each", [(4, {24}), (30, {13, 14}), (450, {1})])
+def test_every_language_has_landmarks(n, each):
+    rng = np.random.default_rng(3)
+    count = 30 if n < 100 else 2
+    rows = np.zeros((n * count, language_id.DIMENSIONS), bool)
+    rows[:, 1000:1200] = rng.random((n * count, 200)) < 0.3
+    rows[np.arange(n * count), np.arange(n * count) % n] = True  # a presence of each language's own
+    model = language_id.fit(rows, [f"l{i % n:03}" for i in range(n * count)]).prepared()
+    assert set(model.landmarks[:, :n].sum(axis=0).astype(int)) == each
+    assert (model.landmarks[:, :n].argmax(axis=1) == np.sort(model.landmarks[:, :n].argmax(axis=1))).all()
+
+
 def test_lstm_gradients_are_right():
     rng = np.random.default_rng(1)
     model = html_text.Labeller()
