@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.plans.session import bounded_batches, cut, ship_package
 
@@ -50,14 +51,26 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
-#: Rows of keys up to which a list of documents is broadcast (tens of MB); more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of keys up to which a list is broadcast; more are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def _bytes_of(df: DataFrame) -> Column:
+    """About how large a row is: eight bytes a column and item, and its texts."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(df[f.name]), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 8 * F.coalesce(F.size(df[f.name]), F.lit(0))
+    return size
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, checkpointed, and marked for broadcast if its counted size allows that."""
+    """``df``, checkpointed, and marked for broadcast if its counted rows and bytes allow that."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows, size = df.agg(F.count("*"), F.sum(_bytes_of(df))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def learnable(doc_id: Column, parts: int, held: int) -> Column:

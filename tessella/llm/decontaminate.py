@@ -19,6 +19,9 @@ Windows of a document that are as long as a benchmark item are compared with the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +51,21 @@ def shingles(text: Column) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """Bits that over half of the hashes have, as a signed long."""
-    def bit(b: int) -> Column:
-        held = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, F.lit(b)).cast("int"))
-        return F.when(2 * held > F.size(hashes), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    """Bits that over half of the hashes have, as a signed long.
+
+    Four bits are counted at once, in lanes of 16 bits of one sum; lists of over 65,535 hashes,
+    which a lane can't count, are read bit by bit.
+    """
+    lane = lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(0x0001000100010001)))
+    lanes = [lane(i) for i in range(16)]
+    counted = F.transform(F.array(F.array(*lanes)), lambda n: _majority(lambda b: F.shiftrightunsigned(n[b % 16], b - b % 16).bitwiseAND(F.lit(0xFFFF)), F.size(hashes)))[0]
+    one_by_one = _majority(lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, F.lit(b)).cast("int")), F.size(hashes))
+    return F.when(F.size(hashes) < 1 << 16, counted).otherwise(one_by_one)
 
-    parts = [bit(b) for b in range(64)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.bitwiseOR(part)
-    return out
+
+def _majority(held: Callable[[int], Column], of: Column) -> Column:
+    bits = [F.when(2 * held(b) > of, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def _blocks(fp: Column) -> Column:
@@ -67,12 +75,29 @@ def _blocks(fp: Column) -> Column:
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard: shared shingles, as often as both have them, over all."""
+    """Weighted Jaccard: shared shingles, as often as both have them, over all.
+
+    Where either list holds no shingle twice, each shared one counts once; only where both
+    repeat some are occurrences counted, one pass for each shared shingle.
+    """
     times = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, h: n + F.least(times(a, h), times(b, h)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    common = F.array_intersect(a, b)
+    shared = F.when(once, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda n, h: n + F.least(times(a, h), times(b, h))))
     return shared / (F.size(a) + F.size(b) - shared).cast("double")
 
 
+def window_starts(at: Column, m: Column, least: Column, last: Column) -> Column:
+    """Starts, up to ``last``, of windows of ``m`` that hold ``least`` of the sorted positions ``at``.
+
+    A window holds that many if it holds some position and the one ``least`` - 1 places on, so
+    each such two give a stretch of starts.
+    """
+    firsts = F.sequence(F.lit(1), F.size(at) - least + 1)
+    ends = F.transform(firsts, lambda j: F.struct(F.greatest(F.get(at, j + least - 2) - m + 1, F.lit(0)).alias("a"), F.least(F.get(at, j - 1), last).alias("b")))
+    return F.array_distinct(F.flatten(F.transform(F.filter(ends, lambda e: e["a"] <= e["b"]), lambda e: F.sequence(e["a"], e["b"]))))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of a document and a benchmark item that a window of it is like.
 
@@ -85,25 +110,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     once; so are repeated items. Null ids are reported as null. Empty tables give an empty
     result.
     """
-    rows = two_columns(docs, id_col, text_col).withColumn("row", row_key())
+    rows = two_columns(docs, id_col, text_col).withColumn("row", row_key()).withColumn("known", F.coalesce("doc_id", F.lit(-(1 << 63))))
     bench = items.select(items[item_col].cast("long").alias("item_id"), shingles(items[item_text_col].cast("string")).alias("item"))
     bench = bench.where(F.size("item") > 0).withColumn("m", F.size("item")).distinct()
     bench = cut(bench.withColumn("item_fp", simhash(F.col("item"))))
     marks = bench.select("m", F.explode(F.array_distinct("item")).alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes"))
 
-    listed = rows.select("row", shingles(F.col("text")).alias("all")).select("row", F.size("all").alias("n"), "all")
-    grams = listed.select("row", "n", F.posexplode("all").alias("p", "h"))
-    found = grams.join(small(marks), "h").select("row", "n", "p", F.explode("sizes").alias("m"))
-    hits = cut(found.groupBy("row", "n", "m").agg(F.array_sort(F.collect_set("p")).alias("at")))
+    listed = rows.select("known", "row", shingles(F.col("text")).alias("all")).select("known", "row", F.size("all").alias("n"), "all")
+    grams = listed.select("known", "row", "n", F.posexplode("all").alias("p", "h"))
+    found = grams.join(small(marks), "h").select("known", "row", "n", "p", F.explode("sizes").alias("m"))
+    hits = cut(found.groupBy("known", "row", "n", "m").agg(F.array_sort(F.collect_set("p")).alias("at")))
 
     # Starts (from 0) of windows of m shingles, or of all n, that hold enough of the positions.
     least = F.ceil((F.col("m") + F.least("m", "n")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
-    enough = hits.where(F.size("at") >= least).select("row", "m", "at", least.alias("least"))
-    full = rows.join(small(enough), "row").withColumn("all", shingles(F.col("text")))
-    last = F.greatest(F.size("all") - F.col("m"), F.lit(0))
-    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - F.col("m") + 1, F.lit(0)), F.greatest(F.least(p, last), F.greatest(p - F.col("m") + 1, F.lit(0)))))))
-    starts = F.filter(near, lambda s: (s <= last) & (F.size(F.filter("at", lambda p: (p >= s) & (p < s + F.col("m")))) >= F.col("least")))
-    windows = full.select("row", "doc_id", "m", "all", F.explode(starts).alias("start")).select("row", "doc_id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window"))
+    starts = window_starts(F.col("at"), F.col("m"), least, F.greatest(F.col("n") - F.col("m"), F.lit(0)))
+    enough = hits.where(F.size("at") >= least).select("known", "row", "m", starts.alias("starts")).where(F.size("starts") > 0)
+    full = rows.join(small(enough), ["known", "row"]).withColumn("all", shingles(F.col("text")))
+    windows = full.select("row", "doc_id", "m", "all", F.explode("starts").alias("start")).select("row", "doc_id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window"))
     windows = cut(windows.withColumn("fp", simhash(F.col("window"))))
 
     keyed_items = bench.withColumn("block", F.explode(_blocks(F.col("item_fp"))))

@@ -33,8 +33,7 @@ def brute_force(rows, items):
 
 
 def test_equals_brute_force(spark):
-    rows = [r for r in data.rows() if r[0] not in (400,)]
-    rows += [(800, data.PASSAGE, "en", "s"), (801, data.PASSAGE.upper() + " " + data.PASSAGE, "en", "s"), (802, "start " + data.PASSAGE.replace("item here", "thing there") + " end of it", "en", "s")]
+    rows = data.rows() + [(800, data.PASSAGE, "en", "s"), (801, data.PASSAGE.upper() + " " + data.PASSAGE, "en", "s"), (802, "start " + data.PASSAGE.replace("item here", "thing there") + " end of it", "en", "s")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t, *_ in rows], "doc_id long, text string, similarity string, start string")
     got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in decontaminate.contaminated(docs, items).collect()}
@@ -75,6 +74,36 @@ def test_within_radius_all_meet(spark):
     assert df.select(shared.alias("n")).where("n = 0").count() == 0
 
 
+def test_short_and_random_texts_equal_brute_force(spark):
+    """Items and texts of few words from a small vocabulary: repeats, and texts shorter than items."""
+    import random
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(i, text(rng.randrange(4, 30))) for i in range(25)]
+    rows = [(i, text(rng.randrange(1, 60))) for i in range(60)]
+    rows += [(100 + i, " ".join(t.split()[: max(1, len(t.split()) - i % 5)])) for i, (_, t) in enumerate(items * 2)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in got.collect()} == brute_force(rows, items)
+
+
+@pytest.mark.parametrize("at, m, least, last", [([0, 1, 2, 7, 8, 9, 30], 5, 3, 40), ([3], 4, 1, 3), ([1, 2, 3], 2, 2, 0), ([0, 5], 3, 2, 9), (list(range(0, 4000, 2)), 50, 24, 3900)])
+def test_window_starts(spark, at, m, least, last):
+    held = {s for s in range(last + 1) if sum(s <= p < s + m for p in at) >= least}
+    got = spark.createDataFrame([(at, m, least, last)], "at array<int>, m int, least int, last int").select(decontaminate.window_starts(*map(F.col, ("at", "m", "least", "last")))).first()[0]
+    assert set(got) == held and len(got) == len(held)
+
+
+def test_simhash_counts_every_bit(spark):
+    import random
+
+    rng = random.Random(5)
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 51, 300)] + [[7] * 40_000 + [-2] * 30_000]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lists], "x array<long>").select(decontaminate.simhash(F.col("x"))).collect()]
+    for x, fp in zip(lists, got):
+        assert fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x))
+
+
 def test_empty(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(data.empty(spark), items).count() == 0
