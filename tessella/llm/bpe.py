@@ -3,10 +3,14 @@
 The symbols of many words lie in one flat array. Each round looks all neighbouring pairs up
 by binary search over the sorted pair keys, takes the lowest rank of every word, merges all
 places where it stands, and closes the gaps. Words whose pairs have no rank leave the rounds.
+
+A very long word has as many rounds as it has ranks, so its rounds read only what changed: its
+symbols are linked, places are listed by rank, and a merge looks up the two pairs beside it.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -23,6 +27,8 @@ from tessella.plans.session import table
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Words whose tokens a worker remembers, and characters of text it takes at once.
 MEMORY_WORDS, CHUNK_CHARS = 300_000, 1 << 20
+#: Bytes of a word beyond which it is merged by itself, and isn't remembered.
+LONG_WORD = 2_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -88,6 +94,54 @@ def merge_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray,
     return all_ids[order], ends
 
 
+def merge_long_word(vocabulary: Vocabulary, word: bytes) -> np.ndarray:
+    """Token ids of one word, in time that grows with its length and not with its square."""
+    n = len(word)
+    ids = vocabulary.of_byte[np.frombuffer(word, np.uint8)]
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    rank = np.full(n, NO_RANK)
+    made, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    places: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def look_up(at: np.ndarray) -> None:
+        at = at[at >= 0]
+        rank[at] = NO_RANK
+        at = at[after[at] < n]
+        key = ids[at] << 20 | ids[after[at]]
+        found = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
+        known = vocabulary.keys[found] == key
+        at, found = at[known], found[known]
+        rank[at], made[at] = vocabulary.ranks[found], vocabulary.made[found]
+        order = np.argsort(rank[at], kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.diff(rank[at], prepend=-1))
+        for a, b in zip(first, np.append(first, len(at))[1:]):
+            r = int(rank[at[a]])
+            if r not in places:
+                places[r] = []
+                heapq.heappush(waiting, r)
+            places[r].append(at[a:b])
+
+    look_up(np.arange(n))
+    while waiting:
+        r = heapq.heappop(waiting)
+        here = np.unique(np.concatenate(places.pop(r)))
+        here = here[rank[here] == r]
+        if not len(here):
+            continue
+        run_first = np.concatenate([[True], after[here[:-1]] != here[1:]])  # of aaa, the first two merge
+        run_start = np.flatnonzero(run_first)[np.cumsum(run_first) - 1]
+        here = here[(np.arange(len(here)) - run_start) % 2 == 0]
+        gone = after[here]
+        ids[here] = made[here]
+        rank[gone], alive[gone] = NO_RANK, False
+        after[here] = after[gone]
+        before[after[here]] = here
+        look_up(np.unique(np.concatenate([here, before[here]])))
+    return ids[alive]
+
+
 def spans(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the chosen spans, one after the other, and the length of each."""
     length = ends[which + 1] - ends[which]
@@ -119,17 +173,23 @@ class Encoder:
         cut = [self.words(t) for t in texts]
         if len(self.places) > MEMORY_WORDS:
             self.forget()
-        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.places]
+        long = {w for words in cut for w in words if len(w) > LONG_WORD}
+        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.places and w not in long]
         if new:
             ids, ends = merge_words(self.vocabulary, [w.encode("utf-8") for w in new])
             self.ends = np.concatenate([self.ends, ends[1:] + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-        places = self.places
+        places, known, known_ends = self.places, self.ids, self.ends
+        if long:  # for these texts only
+            merged = [merge_long_word(self.vocabulary, w.encode("utf-8")) for w in long]
+            places = places | dict(zip(long, range(len(places), len(places) + len(long))))
+            known_ends = np.concatenate([known_ends, len(known) + np.cumsum([len(m) for m in merged])])
+            known = np.concatenate([known, *merged])
         which = np.fromiter((places[w] for words in cut for w in words), np.int64)
-        at, length = spans(self.ends, which)
+        at, length = spans(known_ends, which)
         word_ends = np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)
-        return self.ids[at], np.concatenate([[0], np.cumsum(length)])[word_ends]
+        return known[at], np.concatenate([[0], np.cumsum(length)])[word_ends]
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:

@@ -56,3 +56,15 @@ def test_documents(spark):
         expected.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), t or ""))
     assert sorted(((r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest(), r.decoded) for r in got), key=str) == sorted(expected, key=str)
     assert bpe.encode_and_decode(data.empty(spark), PATH).count() == 0
+
+
+def test_long_words_equal_the_library_in_linear_time():
+    import random
+    import time
+
+    rng = random.Random(8)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    same([some("abcdefghijklmnopqrstuvwxyz", 20_000), "a" * 9_001, some("ab", 8_000) + " tail " + some("the in", 3_000).replace(" ", ""), some("éaßñ漢z", 6_000), some("-=+", 5_000)])
+    start = time.time()
+    bpe.Encoder(VOCABULARY).encode([some("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1_000_000)])
+    assert time.time() - start < 15
