@@ -1,8 +1,14 @@
 """Quality rules whose thresholds come from quantile sketches by language and source.
 
-A sketch is a histogram with fixed bins: exact below 1000, a tenth of a thousand wide above,
-closed at 20,000. Sketches of that kind merge by adding counts, so those of a language are the
-sum of those of its sources, and they don't depend on the order of rows or on lost tasks.
+A sketch counts the values of a metric by their three leading digits, so a quantile read from
+it is at most one hundredth below the exact one, of whatever size values are, and its rank is
+exact up to that digit. Such sketches merge by adding counts: that of a language is the sum of
+those of its sources, and none depends on the order of rows or on lost tasks.
+
+No cutoff is fixed. A group's fence stands SPREAD quartile distances beyond its quartiles, and
+a document fails if its count is beyond what the fence allows for so many words or lines by
+more than chance explains: by SPREAD standard deviations of a Poisson count. Where quartiles
+coincide, chance alone is what is allowed.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Documents that a sketch needs; with fewer, that of the language holds, then that of all.
 MIN_SKETCH = 30
-#: A fence stands SPREAD quartile distances beyond the quartiles; each quartile distance counts
-#: as this much at least, so that a metric that hardly varies rejects no small change.
+#: Quartile distances beyond the quartiles where a fence stands, and standard deviations that
+#: a document may be beyond it.
 SPREAD = 3
-LEAST_SPREAD = {"symbols": 50, "repeats": 60, "dup_lines": 150, "word_length": 60}
-LAST_BIN = 20_000
+#: Of each metric: what is counted, in what, and how many come at a time (a sentence of ten
+#: words that stands twice is twenty repeated words).
+METRICS = {"symbols": ("n_symbols", "n_words", 1), "repeats": ("n_repeat_words", "n_words", 20), "dup_lines": ("n_dup_lines", "n_lines", 1), "word_length": ("word_chars", "n_words", 1)}
+#: Metrics that can be too low as well.
+BOTH_WAYS = {"word_length"}
 #: Bytes that aren't the first of a code point, and white space between words.
 NOT_CHARS = bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"
 
@@ -68,18 +77,14 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _bin(value: Column) -> Column:
-    capped = F.least(value, F.lit(LAST_BIN))
-    return F.when(capped < 1000, capped).otherwise(capped - capped % 100).cast("long")
+    """A whole number with all but its three leading digits zero."""
+    step = F.pow(F.lit(10), F.greatest(F.length(value.cast("string")) - 3, F.lit(0))).cast("long")
+    return value - value % step
 
 
 def _rates() -> dict[str, Column]:
-    """What is sketched, in thousandths (word length: hundredths)."""
-    return {
-        "symbols": F.expr("1000 * n_symbols div n_words"),
-        "repeats": F.expr("1000 * n_repeat_words div n_words"),
-        "dup_lines": F.expr("1000 * n_dup_lines div n_lines"),
-        "word_length": F.expr("100 * word_chars div n_words"),
-    }
+    """What is sketched: counts in a thousand."""
+    return {metric: F.expr(f"1000 * {count} div {of}") for metric, (count, of, _) in METRICS.items()}
 
 
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -106,18 +111,27 @@ def adaptive_fences(measured: DataFrame, spread: int = SPREAD, min_sketch: int =
     metrics = F.explode(F.array(*[F.lit(m) for m in rates])).alias("metric")
     joined = groups.select("lang", "source", metrics).join(named[0], ["lang", "source", "metric"], "left").join(named[1], ["lang", "metric"], "left").join(named[2], ["metric"], "left")
     pick = lambda c: F.when(F.col("n0") >= min_sketch, F.col(f"{c}0")).when(F.col("n1") >= min_sketch, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv]), F.col("metric"))
-    wide = spread * F.greatest(pick("high") - pick("low"), least)
+    wide = spread * (pick("high") - pick("low"))
     fences = joined.select("lang", "source", "metric", (pick("low") - wide).alias("floor"), (pick("high") + wide).alias("ceiling"))
     return fences.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in rates for c in ("floor", "ceiling")])
 
 
+def _within(metric: str, spread: int) -> Column:
+    """Whether a document's count of a metric is one that the fences and chance allow."""
+    count, of, grain = METRICS[metric]
+    chance = lambda fence: float(spread) * F.sqrt(F.lit(1000.0 * grain) * (F.greatest(F.col(fence), F.lit(0)) * F.col(of) + 1000 * grain))
+    inside = F.coalesce(1000 * F.col(count) - F.col(f"{metric}_ceiling") * F.col(of) <= chance(f"{metric}_ceiling"), F.lit(True))
+    if metric in BOTH_WAYS:
+        inside = inside & F.coalesce(F.col(f"{metric}_floor") * F.col(of) - 1000 * F.col(count) <= chance(f"{metric}_floor"), F.lit(True))
+    return inside
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: int = SPREAD, min_sketch: int = MIN_SKETCH) -> DataFrame:
     """Counts of every document, whether it fails the base rule, and whether it is kept.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated 3-word windows.
-    Of the others, those stay that lie within the fences of their language and source for
-    symbols per word, repeated words, repeated lines and word length (both ways).
+    Of the others, those stay that lie within what the fences of their language and source
+    allow for symbols per word, repeated words, repeated lines and word length (both ways).
 
     Null languages and sources are groups of their own. Null and empty texts fail the base
     rule. Repeated ids stay separate rows. An empty table gives an empty result.
@@ -127,10 +141,8 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fences = cut(adaptive_fences(measured, spread, min_sketch))
     joined = measured.join(F.broadcast(fences) if fences.count() <= 50_000 else fences, ["lang", "source"], "left")
     inside = F.lit(True)
-    for metric, rate in _rates().items():
-        inside = inside & F.coalesce(_bin(rate) <= F.col(f"{metric}_ceiling"), F.lit(True))
-        if metric == "word_length":
-            inside = inside & F.coalesce(_bin(rate) >= F.col(f"{metric}_floor"), F.lit(True))
+    for metric in METRICS:
+        inside = inside & _within(metric, spread)
     kept = F.when(F.col("base_failed"), False).otherwise(inside)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
@@ -165,10 +177,13 @@ WITH cut AS (
 ), flagged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
 ), rates AS (
-  SELECT *, v.metric AS metric, CASE WHEN v.value < 1000 THEN v.value ELSE least(v.value, 20000) - least(v.value, 20000) % 100 END AS bin
+  SELECT *, v.metric AS metric, v.count AS c, v.of AS e, v.grain AS g,
+         v.rate - v.rate % CAST(power(10, greatest(length(CAST(v.rate AS VARCHAR)) - 3, 0)) AS BIGINT) AS bin
   FROM (SELECT *, row_number() OVER () AS id FROM flagged) f, LATERAL (SELECT unnest(
-    [{metric: 'symbols', value: 1000 * n_symbols // nullif(n_words, 0)}, {metric: 'repeats', value: 1000 * n_repeat_words // nullif(n_words, 0)},
-     {metric: 'dup_lines', value: 1000 * n_dup_lines // nullif(n_lines, 0)}, {metric: 'word_length', value: 100 * word_chars // nullif(n_words, 0)}]) AS v) x
+    [{metric: 'symbols', count: n_symbols, of: n_words, grain: 1, rate: 1000 * n_symbols // nullif(n_words, 0)},
+     {metric: 'repeats', count: n_repeat_words, of: n_words, grain: 20, rate: 1000 * n_repeat_words // nullif(n_words, 0)},
+     {metric: 'dup_lines', count: n_dup_lines, of: n_lines, grain: 1, rate: 1000 * n_dup_lines // nullif(n_lines, 0)},
+     {metric: 'word_length', count: word_chars, of: n_words, grain: 1, rate: 1000 * word_chars // nullif(n_words, 0)}]) AS v) x
 ), sketch AS (
   SELECT lang, source, metric, bin, count(*) AS n FROM rates WHERE n_words > 0 AND NOT base_failed GROUP BY ALL
 ), levels AS (
@@ -182,14 +197,15 @@ WITH cut AS (
   SELECT level, lang, source, metric, max(total) AS n, min(bin) FILTER (WHERE 4 * upto >= total) AS low,
          min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS high FROM summed GROUP BY level, lang, source, metric
 ), judged AS (
-  SELECT r.id, bool_and(coalesce(r.bin <= q.high + 3 * greatest(q.high - q.low, s.least), true)
-                    AND (r.metric <> 'word_length' OR coalesce(r.bin >= q.low - 3 * greatest(q.high - q.low, s.least), true))) AS inside
-  FROM rates r JOIN (VALUES ('symbols', 50), ('repeats', 60), ('dup_lines', 150), ('word_length', 60)) s(metric, least) USING (metric)
+  SELECT r.id, bool_and(coalesce(1000 * c - q.high * e <= 3.0 * sqrt(1000.0 * g * (greatest(q.high, 0) * e + 1000 * g)), true)
+                    AND (r.metric <> 'word_length' OR coalesce(q.low * e - 1000 * c <= 3.0 * sqrt(1000.0 * g * (greatest(q.low, 0) * e + 1000 * g)), true))) AS inside
+  FROM rates r
   LEFT JOIN quartiles a ON a.level = 0 AND a.lang = r.lang AND a.source = r.source AND a.metric = r.metric
   LEFT JOIN quartiles b ON b.level = 1 AND b.lang = r.lang AND b.metric = r.metric
   LEFT JOIN quartiles c ON c.level = 2 AND c.metric = r.metric,
-  LATERAL (SELECT CASE WHEN a.n >= 30 THEN a.low WHEN b.n >= 30 THEN b.low ELSE c.low END AS low,
-                  CASE WHEN a.n >= 30 THEN a.high WHEN b.n >= 30 THEN b.high ELSE c.high END AS high) q
+  LATERAL (SELECT CASE WHEN a.n >= 30 THEN a.low WHEN b.n >= 30 THEN b.low ELSE c.low END AS l,
+                  CASE WHEN a.n >= 30 THEN a.high WHEN b.n >= 30 THEN b.high ELSE c.high END AS h) p,
+  LATERAL (SELECT p.l - 3 * (p.h - p.l) AS low, p.h + 3 * (p.h - p.l) AS high) q
   GROUP BY r.id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
