@@ -9,21 +9,22 @@ solved. Scoring a batch is two matrix products.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import learnable, two_columns
-from tessella.plans.session import table
+from tessella.llm.common import learnable, small, two_columns
+from tessella.plans.session import cut, table
 
 UNDETERMINED = "und"
 #: Dimensions into which n-grams are hashed, and the n-grams' lengths.
 DIMENSIONS, LENGTHS = 1 << 14, (1, 2, 3)
-#: Documents learned from: this many of each language at most, and this many languages.
-PER_LANGUAGE, LANGUAGES = 400, 200
+#: Documents learned from: this many of each language at most, and this many in all, dealt in
+#: turns so that every language has its share.
+PER_LANGUAGE, MOST_LEARNED = 400, 20_000
 #: Landmarks of each language, and of all (one of each language at least).
 LANDMARKS_EACH, LANDMARKS = 24, 400
 RIDGE = 1e-3
@@ -60,69 +61,107 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (a @ b.T) / sizes
 
 
+def kernel_of(rows: Sequence[np.ndarray], landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values of any number of packed rows, a bounded number of them unpacked at once."""
+    parts = [np.unpackbits(np.stack(rows[i : i + 256]), axis=1, count=DIMENSIONS) for i in range(0, len(rows), 256)]
+    return np.concatenate([kernel(p, landmarks) for p in parts])
+
+
 class Model:
-    """Landmarks and the weights that turn kernel values into one margin per language."""
+    """Packed landmarks and the weights that turn kernel values into one margin per language."""
 
-    def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray, offset: np.ndarray) -> None:
-        self.languages, self.packed, self.weights, self.offset = languages, np.packbits(landmarks, axis=1), weights, offset
+    def __init__(self, languages: list[str], packed: np.ndarray, weights: np.ndarray, offset: np.ndarray) -> None:
+        self.languages, self.packed, self.weights, self.offset = languages, packed, weights, offset
 
     def prepared(self) -> "Model":
         self.landmarks = np.unpackbits(self.packed, axis=1, count=DIMENSIONS).astype(np.float32)
         return self
 
     def score(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each row, and half of its margin plus one, within 0 and 1: over
+        one half where that language's regression says yes."""
         margins = kernel(rows, self.landmarks) @ self.weights + self.offset
         best = margins.argmax(axis=1)
         return best, np.clip((margins[np.arange(len(best)), best] + 1) / 2, 0, 1)
 
 
-def fit(rows: np.ndarray, labels: list[str], per_language: int = LANDMARKS_EACH, most: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Kernel ridge regression, one language against the rest, in the landmarks' space."""
+def fit(packed: list[np.ndarray], labels: list[str], per_language: int = LANDMARKS_EACH, most: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Kernel ridge regression, one language against the rest, in the landmarks' space.
+
+    ``packed`` has the presences of each document, packed in bytes; every language weighs alike.
+    """
     languages = sorted(set(labels))
     if not languages:
         return None
     names = np.array(labels)
     # Dealt in turns, so that every language has its share, and one at least.
     turns = sorted((turn, k, i) for k, x in enumerate(languages) for turn, i in enumerate(np.flatnonzero(names == x)[:per_language]))
-    chosen = np.array([i for _, i in sorted((k, i) for _, k, i in turns[: max(most, len(languages))])])
-    landmarks = rows[chosen]
+    chosen = [i for _, i in sorted((k, i) for _, k, i in turns[: max(most, len(languages))])]
+    marks = np.stack([packed[i] for i in chosen])
+    landmarks = np.unpackbits(marks, axis=1, count=DIMENSIONS)
     among = kernel(landmarks, landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(among)
     root = vectors / np.sqrt(np.maximum(values, 1e-4))
-    features = np.concatenate([kernel(rows[i : i + 256], landmarks) for i in range(0, len(rows), 256)]) @ root
+    features = kernel_of(packed, landmarks) @ root
     targets = np.where(names[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    balance = 1.0 / np.array([(names == x).sum() for x in names])
+    held = {x: (names == x).sum() for x in languages}
+    balance = 1.0 / np.array([held[x] for x in labels])
     balance *= len(names) / balance.sum()
     mean_x, mean_y = np.average(features, axis=0, weights=balance), np.average(targets, axis=0, weights=balance)
     x, y = features - mean_x, targets - mean_y
-    weights = np.linalg.solve((x * balance[:, None]).T @ x + ridge * len(rows) * np.eye(x.shape[1]), (x * balance[:, None]).T @ y)
-    return Model(languages, landmarks, (root @ weights).astype(np.float32), (mean_y - mean_x @ weights).astype(np.float32))
+    weights = np.linalg.solve((x * balance[:, None]).T @ x + ridge * len(packed) * np.eye(x.shape[1]), (x * balance[:, None]).T @ y)
+    return Model(languages, marks, (root @ weights).astype(np.float32), (mean_y - mean_x @ weights).astype(np.float32))
 
 
 def _packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = [np.packbits(presences(t or "")).tobytes() for t in batch.column("text").to_pylist()]
         if bits:
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "place": batch.column("place"), "bits": pa.array(bits, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "bits": pa.array(bits, pa.binary())})
+
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("place", "lang", "bits"))))
+    model = fit([np.frombuffer(bits, np.uint8) for _, _, bits in rows], [lang for _, lang, _ in rows])
+    if model:
+        arrays = [model.packed.tobytes(), model.weights.tobytes(), model.offset.tobytes()]
+        yield pa.RecordBatch.from_pydict({"languages": pa.array([model.languages], pa.list_(pa.string()))} | {c: pa.array([x], pa.binary()) for c, x in zip(("packed", "weights", "offset"), arrays)})
 
-def learn(docs: DataFrame, learn_from: DataFrame) -> Model | None:
-    """Fits on a bounded sample: by language, the documents whose hashed ids come first.
 
-    ``learn_from`` has ``doc_id, lang`` of the rows that may be learned from; ``docs`` has
-    ``doc_id, text``. The driver gets 2 KB of presences for each sampled document.
+def _hashed(doc_id: Column) -> Column:
+    return F.md5(doc_id.cast("string").cast("binary"))
+
+
+def sample_of(rows: DataFrame) -> DataFrame:
+    """``place, lang, bits``: of each language, the documents whose hashed ids come first.
+
+    ``rows`` has ``doc_id, lang, text`` of what may be learned from. Languages are counted
+    first, and only ids whose hash is below a bound that four times as many documents as needed
+    keep to are read any further, so that no language is sorted whole. Of rows that repeat an
+    id, in a language, one is taken.
     """
-    hashed = learn_from.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    ranked = hashed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= PER_LANGUAGE)
-    sample = ranked.orderBy("place", "lang", "h").limit(PER_LANGUAGE * LANGUAGES)
-    rows = docs.join(F.broadcast(sample.select("doc_id", "lang", "place")), "doc_id").select("lang", "place", "text")
-    found = rows.mapInArrow(_packed_features, "lang string, place int, bits binary").collect()
-    found.sort(key=lambda r: (r.place, r.lang, bytes(r.bits)))
-    bits = np.array([np.frombuffer(r.bits, np.uint8) for r in found], np.uint8).reshape(-1, DIMENSIONS // 8)
-    return fit(np.unpackbits(bits, axis=1).astype(bool), [r.lang for r in found])
+    rows = rows.where("lang is not null and doc_id is not null")
+    counts = small(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.conv(F.substring(_hashed(F.col("doc_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    near = rows.join(counts, "lang").where(share * F.col("n") < 4 * PER_LANGUAGE).select("doc_id", "lang", "text")
+    packed = near.mapInArrow(_packed_features, "doc_id long, lang string, bits binary").groupBy("lang", "doc_id").agg(F.min("bits").alias("bits"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(_hashed(F.col("doc_id")), "doc_id"))
+    return packed.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).orderBy("place", "lang").limit(MOST_LEARNED).select("place", "lang", "bits")
+
+
+def learn(rows: DataFrame) -> Model | None:
+    """Fits in one task on a bounded sample; the driver gets the model alone."""
+    sample = cut(sample_of(rows))
+    found = sample.repartition(1).mapInArrow(_fitted, "languages array<string>, packed binary, weights binary, offset binary").collect()
+    if not found:
+        return None
+    r = found[0]
+    languages = list(r.languages)
+    arrays = [np.frombuffer(bytes(x), kind).reshape(shape) for x, kind, shape in ((r.packed, np.uint8, (-1, DIMENSIONS // 8)), (r.weights, np.float32, (-1, len(languages))), (r.offset, np.float32, (-1,)))]
+    return Model(languages, *arrays)
 
 
-def _predicted(model_of):
+def _predicted(model_of, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value and model_of.value.prepared()
         for batch in batches:
@@ -134,24 +173,29 @@ def _predicted(model_of):
                 best, score = model.score(np.stack([presences(texts[i]) for i in part]))
                 for i, b, s in zip(part, best, score):
                     langs[i], scores[i] = model.languages[b], float(s)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            kept = {c: batch.column(c) for c in (("doc_id", "text", "carried") if carried else ("doc_id",))}
+            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return run
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row.
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every row; with ``carry``, also ``text`` and
+    ``carried``, a struct of those columns.
 
     Learns from text and language of the rows whose crc32 of the id isn't 2 modulo 4; ids and
-    languages are no inputs of a prediction. A null text, or one without any letter, is
+    languages are no inputs of a prediction. At most ``PER_LANGUAGE`` documents of a language
+    and ``MOST_LEARNED`` in all are learned from. A null text, or one without any letter, is
     ``und`` with score 0; so is everything if there is nothing to learn from. Rows that repeat
     an id are predicted one by one. An empty table gives an empty result.
     """
-    rows = two_columns(docs, id_col, text_col)
-    may = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang")).where(learnable(F.col("doc_id"), 4, 2))
-    model_of = docs.sparkSession.sparkContext.broadcast(learn(rows, may))
-    predicted = rows.mapInArrow(_predicted(model_of), "doc_id long, lang_pred string, score double")
-    return predicted.select("doc_id", (~learnable(F.col("doc_id"), 4, 2)).alias("held_out"), "lang_pred", "score")
+    rows = two_columns(docs, id_col, text_col, *carry)
+    may = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
+    model_of = docs.sparkSession.sparkContext.broadcast(learn(may.where(learnable(F.col("doc_id"), 4, 2))))
+    kept = [f for f in rows.schema.fields if carry or f.name == "doc_id"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
+    predicted = rows.mapInArrow(_predicted(model_of, bool(carry)), schema)
+    return predicted.select("doc_id", (~learnable(F.col("doc_id"), 4, 2)).alias("held_out"), "lang_pred", "score", *(["text", "carried"] if carry else []))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
