@@ -1,13 +1,16 @@
 """Sharding by proportional stratified interleaving, in DataFrame functions only.
 
 Rows are shuffled by a seeded hash within their source and ranked; a row's fractional rank is
-its rank over the size of its source. Sorted by fractional rank, every stretch of rows holds
-each source in its share, so cutting the order into equal stretches gives shards that match
-the mixture, with row counts at most one apart.
+its rank plus its source's own offset, between 0 and 1, over the size of the source. Sorted by
+fractional rank, every stretch of rows holds each source in its share, so cutting the order
+into equal stretches gives shards that match the mixture, with row counts at most one apart.
+The offsets spread sources of a few rows evenly instead of putting all of them in the middle.
 
 Ranks are never taken over a whole source: each source is cut into buckets by leading digits
 of the hash, buckets are counted, and a row's rank is its place in its bucket plus what stands
-before the bucket. The same is done for the order of all rows by their fractional rank.
+before the bucket. The same is done for the order of all rows by their fractional rank. Rows
+that are equal in id, size and crc are counted first and told apart by a running number, which
+enters the hash, so that many copies of a row spread over buckets too.
 """
 
 from __future__ import annotations
@@ -19,21 +22,45 @@ from tessella.plans.session import cut, table
 
 SHARDS, SEED = 40, "shard-seed-1"
 #: Rows that a bucket is made for: the most that one window sorts, about.
-BUCKET_ROWS = 20_000
-#: Hex digits of the shuffle key that choose a bucket.
-DIGITS = 7
+BUCKET_ROWS = 4_000
+#: Buckets whose counts are summed together before sums of those are taken.
+GROUPED_BUCKETS = 4_096
+#: Copies of one row that one task numbers.
+COPIES_AT_ONCE = 10_000
+#: Hex digits of the shuffle key that choose a bucket, and of a source's that are its offset.
+DIGITS, OFFSET_DIGITS = 7, 5
+#: Fractional ranks are whole parts of 2^60, so that the order is exact arithmetic.
+WHOLE = 1 << 60
+
+
+def fractional_rank(rank: str, of: str, offset: str) -> Column:
+    """``(rank + offset / 2^20) / of`` in parts of 2^60, rounded down; exact for any 63-bit count."""
+    return F.expr(f"((cast({rank} as decimal(19, 0)) * 1048576 + {offset}) * cast({WHOLE >> 20} as decimal(13, 0))) div cast({of} as decimal(19, 0))")
 
 
 def _placed(rows: DataFrame, by: list[str], order: list[Column], into: str) -> DataFrame:
     """``into``: the place (from 0) of each row by (``bucket``, ``order``) within ``by``."""
     keys = [*by, "bucket"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("here"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, F.coalesce(F.sum("here").over(before), F.lit(0)).alias("start"))
+    sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("here")).withColumn("many", F.expr(f"bucket div {GROUPED_BUCKETS}")))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy(*by, "many").agg(F.sum("here").alias("n"))
+    groups = groups.select(*by, "many", F.coalesce(F.sum("n").over(before(by, "many")), F.lit(0)).alias("first"))
+    within = sizes.select(*keys, "many", F.coalesce(F.sum("here").over(before([*by, "many"], "bucket")), F.lit(0)).alias("next"))
+    starts = within.join(groups, [*by, "many"]).select(*keys, (F.col("first") + F.col("next")).alias("start"))
     ranked = rows.withColumn("in_bucket", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     return ranked.join(starts, keys).withColumn(into, F.col("start") + F.col("in_bucket")).drop("start", "in_bucket", "bucket")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows again, those that are equal in all columns told apart by ``copy``, from 0."""
+    counted = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    few = counted.where(F.col("copies") <= COPIES_AT_ONCE).select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    last = F.expr(f"(copies - 1) div {COPIES_AT_ONCE}")
+    many = counted.where(F.col("copies") > COPIES_AT_ONCE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part")).repartition("doc_id", "part")
+    end = F.least((F.col("part") + 1) * COPIES_AT_ONCE, F.col("copies")) - 1
+    return few.unionByName(many.select(*rows.columns, F.explode(F.sequence(F.col("part") * COPIES_AT_ONCE, end)).alias("copy")))
+
+
 def interleaved_shards(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -59,21 +86,21 @@ def interleaved_shards(
         F.crc32(text).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")).alias("stratum"),
     )
-    mixed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = cut(rows.withColumn("mixed", mixed))
+    told = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size", "copy"]
+    rows = cut(_numbered(rows).withColumn("mixed", F.md5(F.concat_ws(":", F.lit(seed), *told).cast("binary"))))
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("of"))
     total = rows.count()
     spread = -(-max(total, 1) // bucket_rows)
-    leading = F.conv(F.substring("mixed", 1, DIGITS), 16, 10).cast("long")
-    by_hash = rows.withColumn("bucket", F.expr(f"cast({spread} as bigint)") * leading)
-    by_hash = by_hash.withColumn("bucket", F.shiftrightunsigned("bucket", 4 * DIGITS))
-    ranked = _placed(by_hash, ["stratum"], [F.col("mixed"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "rank").join(F.broadcast(sizes) if sizes.count() <= 50_000 else sizes, "stratum")
+    leading = F.conv(F.substring("mixed", 1, DIGITS), 16, 10).cast("decimal(10, 0)")
+    by_hash = rows.withColumn("leading", leading).withColumn("bucket", F.expr(f"(leading * cast({spread} as decimal(19, 0))) div cast({16**DIGITS} as decimal(10, 0))")).drop("leading")
+    ties = [F.col("mixed"), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("copy")]
+    ranked = _placed(by_hash, ["stratum"], ties, "rank").join(F.broadcast(sizes) if sizes.count() <= 50_000 else sizes, "stratum")
 
-    # (2 * rank + 1) / (2 * of), to whole parts of 2^31 so that the order is exact arithmetic.
-    share = F.expr("((2 * rank + 1) * 2147483648) div (2 * of)")
     tied = F.md5(F.concat_ws(":", F.lit(seed), F.col("stratum")).cast("binary"))
-    ordered = ranked.select("doc_id", "size", "text_crc32", "stratum", share.alias("share"), "rank", tied.alias("tied"))
-    ordered = ordered.withColumn("bucket", F.expr(f"(share * {spread}) div 2147483648")).withColumn("whole", F.lit(1))
+    offset = F.conv(F.substring("tied", 1, OFFSET_DIGITS), 16, 10).cast("decimal(10, 0)")
+    ordered = ranked.withColumn("tied", tied).withColumn("offset", offset)
+    ordered = ordered.select("doc_id", "size", "text_crc32", "stratum", fractional_rank("rank", "of", "offset").alias("share"), "rank", "tied")
+    ordered = ordered.withColumn("bucket", F.expr(f"(cast(share as decimal(19, 0)) * cast({spread} as decimal(19, 0))) div cast({WHOLE} as decimal(19, 0))")).withColumn("whole", F.lit(1))
     placed = _placed(ordered, ["whole"], [F.col("share"), F.col("tied"), F.col("rank")], "place")
     shard = F.expr(f"(place * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards} - 1) div {shards}")
@@ -97,19 +124,24 @@ WITH nibbles AS (
   FROM documents
 ), rows AS (
   SELECT doc_id, size, coalesce('=' || source, '') AS stratum,
-         md5('shard-seed-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mixed,
          CASE WHEN size = 16 THEN 0 ELSE xor(list_reduce(
            list_prepend(CAST(4294967295 AS BIGINT), [CAST(n[(i - 1) // 2 * 2 + 2 - (i - 1) % 2] AS BIGINT) FOR i IN range(1, len(n) + 1)]),
            lambda c, x: xor([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
                        3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108
                       ][CAST((xor(c, x) & 15) + 1 AS BIGINT)], c >> 4)), 4294967295) END AS text_crc32
   FROM nibbles
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32, stratum) - 1 AS copy FROM rows
+), mixed AS (
+  SELECT *, md5('shard-seed-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32 || ':' || size || ':' || copy) AS mixed,
+         md5('shard-seed-1:' || stratum) AS tied FROM numbered
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY mixed, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank,
-         count(*) OVER (PARTITION BY stratum) AS of FROM rows
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY mixed, doc_id NULLS FIRST, text_crc32, size, copy) - 1 AS rank,
+         count(*) OVER (PARTITION BY stratum) AS of FROM mixed
+), shares AS (
+  SELECT *, ((CAST(rank AS HUGEINT) * 1048576 + CAST('0x' || substr(tied, 1, 5) AS BIGINT)) * 1099511627776) // of AS share FROM ranked
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY ((2 * rank + 1) * 2147483648) // (2 * of), md5('shard-seed-1:' || stratum), rank) - 1 AS place,
-         count(*) OVER () AS total FROM ranked
+  SELECT *, row_number() OVER (ORDER BY share, tied, rank) - 1 AS place, count(*) OVER () AS total FROM shares
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
        CAST(place * 40 // total AS INTEGER) AS shard,

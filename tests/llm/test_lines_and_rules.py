@@ -1,5 +1,8 @@
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from tessella.llm import line_dedup, quality_rules, sharding
 from tests.llm import data
 from tests.oracle import rows as plain
@@ -11,39 +14,45 @@ def key_of(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACE))
 
 
-def test_line_dedup_equals_brute_force(spark):
+def plain_lines(rows):
     holders = defaultdict(set)
-    for i, t, *_ in data.rows():
+    for i, t, *_ in rows:
         for line in (t or "").split("\n"):
             holders[key_of(line)].add(-(1 << 63) if i is None else i)
-    expected = []
-    for i, t, *_ in data.rows():
+    for i, t, *_ in rows:
         lines = (t or "").split("\n")
         me = -(1 << 63) if i is None else i
         kept = [x for x in lines if not (len(key_of(x)) >= 20 and len(holders[key_of(x)]) >= 3 and me != max(holders[key_of(x)]))]
-        expected.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
-    got = line_dedup.drop_repeated_lines(data.frame(spark), carry=("lang", "source"))
+        yield i, "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+@pytest.mark.parametrize("most", [{}, {"most_hashes": 0}, {"most_keys": 0}, {"most_hashes": 0, "most_keys": 0}])
+def test_line_dedup_equals_brute_force(spark, most):
+    """Whether suspects and repeated keys are broadcast or joined."""
+    expected = list(plain_lines(data.rows()))
+    got = line_dedup.drop_repeated_lines(data.frame(spark), carry=("lang", "source"), **most)
     assert sorted(((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == sorted(expected, key=str)
     assert sum(e[3] for e in expected) > 20
-    assert line_dedup.drop_repeated_lines(data.empty(spark)).count() == 0
-
+    assert line_dedup.drop_repeated_lines(data.empty(spark), **most).count() == 0
 
-def test_filters_merge_without_loss():
-    import numpy as np
 
+def test_filters_report_what_is_seen_twice():
     rng = np.random.default_rng(0)
-    values = [int(v) for v in rng.integers(1, 1 << 63, 400)]
-    parts, total = [values[:200], values[150:300], values[290:] + values[:10]], line_dedup.Filters()
-    for p in parts:
-        one = line_dedup.Filters()
-        one.add(p)
-        for s, once in one.once.items():
-            total.merge(s, once, one.twice.get(s, np.zeros_like(once)))
-    counts = Counter(v for p in parts for v in p)
-    seg, bits = line_dedup._probes(np.array(values, np.uint64))
-    held = [bool((total.twice[s][b >> 3] >> (b & 7) & 1).all()) if s in total.twice else False for s, b in zip(seg, bits)]
-    assert all(h for v, h in zip(values, held) if counts[v] > 1)
-    assert sum(h for v, h in zip(values, held) if counts[v] == 1) < 5
+    values = rng.integers(1, 1 << 63, 40_000).astype(np.uint64)
+    parts = [values[:20_000], values[15_000:30_000], values[29_000:], values[:1000]]
+    cell = line_dedup.Filters(sum(map(len, parts)))
+    found = np.concatenate([cell.add(p) for p in parts])
+    seen, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert len(set(found.tolist())) == len(found)
+    assert set(seen[counts > 1].tolist()) <= set(found.tolist())
+    assert len(found) - (counts > 1).sum() < 0.01 * len(seen)
+
+
+def test_filters_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CELL_LINES", 40)
+    expected = list(plain_lines(data.rows()))
+    got = line_dedup.drop_repeated_lines(data.frame(spark))
+    assert sorted(((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == sorted(expected, key=str)
 
 
 def test_measures_equal_brute_force():
@@ -93,3 +102,46 @@ def test_sharding_laws(spark):
     again = sharding.interleaved_shards(data.frame(spark).repartition(2), shards=7, bucket_rows=1000)
     assert plain(again.toPandas(), ["doc_id", "shard", "slot"]) == plain(sharding.interleaved_shards(data.frame(spark), shards=7, bucket_rows=9).toPandas(), ["doc_id", "shard", "slot"])
     assert sharding.interleaved_shards(data.empty(spark)).count() == 0
+
+
+def test_fractional_ranks_of_huge_sources(spark):
+    rows = [(0, 1, 7), (10**11 - 1, 10**11, (1 << 20) - 1), (9 * 10**17, 10**18, 3)]
+    got = spark.createDataFrame(rows, "rank long, of long, offset int").select(sharding.fractional_rank("rank", "of", "offset")).collect()
+    assert [r[0] for r in got] == [(((rank << 20) + offset) << 40) // of for rank, of, offset in rows]
+
+
+def test_many_copies_of_a_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 70)
+    rows = [(1, "the same", "s")] * 500 + [(i, "other", f"t{i}") for i in range(500)]
+    got = sharding.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=10, bucket_rows=50).collect()
+    assert len(got) == 1000 and Counter(r.shard for r in got) == {s: 100 for s in range(10)}
+    assert all(38 <= n <= 62 for n in Counter(r.shard for r in got if r.source == "s").values())
+    assert all(30 <= n <= 70 for n in Counter(r.shard for r in got if r.source != "s").values())
+
+
+def test_fences_follow_each_group(spark):
+    """Other distributions give other fences, for every metric, by quantiles of the exact rates."""
+    rows = []
+    for i in range(80):
+        plain_text = data.text(i, 100 + i)
+        rows.append((i, plain_text, "en", "prose"))
+        words = plain_text.split()
+        doubled = " ".join(w + "longer" for w in words + words[: i // 3]) + " |" * (i % 9)
+        rows.append((1000 + i, doubled + "\nrow\nrow" * (1 + i % 5), "en", "tables"))
+    measured = quality_rules.text_measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).selectExpr("*", "false as base_failed")
+    fences = {r.source: r.asDict() for r in quality_rules.adaptive_fences(measured).collect()}
+    got = measured.collect()
+    for metric, (count, of, _) in quality_rules.METRICS.items():
+        assert fences["=prose"][f"{metric}_ceiling"] != fences["=tables"][f"{metric}_ceiling"], metric
+        for source in fences:
+            exact = sorted(1000 * r[count] // r[of] for r in got if r.source == source)
+            low, high = exact[-(-len(exact) // 4) - 1], exact[-(-3 * len(exact) // 4) - 1]
+            ceiling = high + 3 * (high - low)
+            assert abs(fences[source][f"{metric}_ceiling"] - ceiling) <= 0.01 * (4 * high + 3 * low), (metric, source)
+
+
+def test_sketch_bins_have_three_digits(spark):
+    df = spark.createDataFrame([(v,) for v in (0, 7, 999, 1000, 1009, 123_456, 98_765_432_101)], "v long")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in df.select(quality_rules._bin(F.col("v"))).collect()] == [0, 7, 999, 1000, 1000, 123_000, 98_700_000_000]
