@@ -1,8 +1,10 @@
 """Toxicity classifier that is regularised by counterfactuals.
 
-Logistic regression on which words, and which beginnings of words, a text holds. Every labelled text that names a group is
-paired with copies in which the name is swapped for that of another group; the squared change
-of the margin is part of the loss, so that no group's name counts for or against a text.
+Logistic regression on which words, and which beginnings of words, a text holds. Labelled
+texts are paired with copies in which the name of a group is swapped for that of another one;
+the squared change of the margin is part of the loss, so that no group's name counts for or
+against a text. Texts that name no group are used as well: every few of them get a name put
+in, which keeps the label, and are paired with the text that has another name, and none.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ EPOCHS = 10
 FLAG_AT = 0.7
 #: Swapped copies of each labelled text that names a group, and the weight of their change.
 SWAPS, PENALTY = 3, 1.0
+#: One in so many labelled texts that name no group is learned with a name put in as well.
+PUT_IN_EVERY = 4
 WORDS = re.compile(r"\w+")
 #: Lengths of the stems of longer words.
-STEMS = (3, 4, 5)
+STEMS = (4, 6, 8)
 #: A high L1 weight leaves the few hundred words that tell; a high rate lets those grow.
 L1, RATE = 4.0, 3.0
 #: Names of groups that may stand for one another, by kind (fixed values).
@@ -40,7 +44,24 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "old", "young"),
-    ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "gehörlose", "alte", "junge"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("handicapés", "aveugles", "sourds", "vieux", "jeunes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "autóctonos"),
+    ("discapacitados", "ciegos", "sordos", "viejos", "jóvenes"),
 )
 
 
@@ -80,10 +101,29 @@ def swapped(words: set[str], swaps: int = SWAPS) -> list[set[str]]:
     return out
 
 
+def counterfactuals(words: list[set[str]], every: int = PUT_IN_EVERY) -> list[tuple[int, set[str], list[set[str]]]]:
+    """Texts to learn from, by the row that they come from, each with its copies."""
+    out = []
+    plain = 0
+    for row, own in enumerate(words):
+        copies = swapped(own)
+        out.append((row, own, copies))
+        if copies:
+            continue
+        plain += 1
+        if plain % every == 0:
+            turn, kind = divmod(plain // every, len(IDENTITY_TERMS))
+            named = own | {IDENTITY_TERMS[kind][turn % len(IDENTITY_TERMS[kind])]}
+            out.append((row, named, [*swapped(named, 1), own]))
+    return out
+
+
 def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, epochs: int = EPOCHS) -> Sparse:
+    """Weights learned with ``penalty``, or without counterfactuals if it is zero."""
     words = [vocabulary(t) for t, _ in rows]
-    examples = [(row_of(w), y) for w, (_, y) in zip(words, rows)]
-    twins = [[row_of(c) for c in swapped(w)] for w in words]
+    learned = counterfactuals(words) if penalty else [(i, w, []) for i, w in enumerate(words)]
+    examples = [(row_of(w), rows[i][1]) for i, w, _ in learned]
+    twins = [[row_of(c) for c in copies] for _, _, copies in learned]
     return train(examples, twins, DIMENSIONS, epochs, penalty=penalty, alpha=RATE, l1=L1, l2=0.0)
 
 
