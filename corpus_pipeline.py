@@ -19,54 +19,83 @@ from tessella.llm.near_dedup import near_duplicate_classes
 from tessella.plans.session import cut, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose best language's score is below this, with as many characters as this, are in
+#: no language that was learned. The least possible score is one over the number of languages;
+#: texts of other scripts and random letters score 0.27 to 0.31 where four are learned.
+REJECT_BELOW, LEAST_CHARS = 0.31, 200
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``at`` and ``row``: the id, null as the least number, and a hash of id and text."""
+    return docs.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("row", row_key())
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` whose key isn't among the ``row`` of ``keys``."""
-    return docs.withColumn("row", row_key()).join(small(keys.select("row").distinct()), "row", "left_anti").select(*COLUMNS)
+    """``docs`` whose id and row key aren't among the ``at, row`` of ``keys``."""
+    return _keyed(docs).join(small(keys.select("at", "row").distinct()), ["at", "row"], "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that no language can be told of: without a text or any letter in it."""
-    docs = docs.select(*COLUMNS)
-    told = identify_languages(docs)
-    rejected = told.where(F.col("lang_pred") == UNDETERMINED).select("doc_id").distinct()
-    # An id may repeat: only its rows without letters go.
-    empty = docs.select("doc_id", "text", row_key().alias("row")).where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    gone = small(rejected.select(F.col("doc_id").alias("id")))
-    return _without(docs, empty.join(gone, empty["doc_id"].eqNullSafe(gone["id"]), "left_semi"))
+    """Documents go that no language can be told of; the others get the language that was told.
+
+    Those without a text or any letter go, and those of ``LEAST_CHARS`` characters or more of
+    which every language's regression says no, by a score below ``REJECT_BELOW``. Rows that
+    repeat an id, and null ids and sources, are judged by their text alone. An empty table, or
+    one without any language to learn from, gives an empty result.
+    """
+    told = identify_languages(docs, carry=("source", "n_chars"))
+    foreign = (F.col("score") < REJECT_BELOW) & (F.length("text") >= LEAST_CHARS)
+    kept = told.where((F.col("lang_pred") != UNDETERMINED) & ~foreign)
+    return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "carried.source", "carried.n_chars")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that three documents share, except in the document of the largest id."""
+    """Lines go that three documents share, except in the document of the largest id.
+
+    Every document stays, if with an empty text; ``n_chars`` is counted again. Rows that repeat
+    an id count as one document, a null id as the least. An empty table gives an empty result.
+    """
     done = drop_repeated_lines(docs, carry=("lang", "source"))
     return done.select("doc_id", F.col("kept").alias("text"), "carried.lang", "carried.source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest id stays."""
-    classed = cut(near_duplicate_classes(docs))
-    first = classed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
-    winners = first.select("component", F.col("first.row").alias("winner"))
-    marked = cut(classed.join(winners, "component").groupBy("row", "winner").agg(F.count("*").alias("n")))
-    kept = _without(docs, marked.where("row <> winner"))
-    twice = marked.where("row = winner and n > 1").select("row")
-    if twice.limit(1).count() == 0:
+    """Of each class of near-duplicates the document of the smallest id stays.
+
+    Null ids come last, ties are settled by a hash of the text, and of equal rows one stays.
+    Texts without a word are one class. An empty table gives an empty result.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "at", "row").alias("rank")
+    classed = near_duplicate_classes(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).groupBy("component", "doc_id", "at", "row").agg(F.count("*").alias("n"))
+    classed = cut(classed.select("component", "at", "row", "n", rank))
+    winners = classed.groupBy("component").agg(F.min("rank").alias("first"))
+    marked = cut(classed.join(winners, "component").select("at", "row", "n", (F.col("rank") == F.col("first")).alias("stays")))
+    kept = _without(docs, marked.where("not stays"))
+    twice = cut(marked.where("stays and n > 1").select("at", "row"))
+    if twice.isEmpty():
         return kept
     once = _without(kept, twice)
-    copies = kept.withColumn("row", row_key()).join(small(twice), "row", "left_semi").dropDuplicates(["row"])
+    copies = _keyed(kept).join(small(twice), ["at", "row"], "left_semi").dropDuplicates(["at", "row"])
     return once.unionByName(copies.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold a benchmark item."""
+    """Documents go that hold a benchmark item.
+
+    An id goes with all its rows if one of them holds an item; so do null ids, together. Texts
+    without words stay. Empty documents give an empty result, an empty benchmark keeps all.
+    """
     docs = docs.select(*COLUMNS)
     leaks = small(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct())
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document, and the digest of the text that they decode to."""
+    """Tokens of every document, and the digest of the text that they decode to.
+
+    A null or empty text has no tokens. Repeated and null ids pass through. An empty table
+    gives an empty result.
+    """
     coded = encode_and_decode(docs, vocabulary_file())
     return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -7,7 +7,7 @@ from tests.llm.test_decontaminate import brute_force as leaks
 from tests.llm.test_near_dedup import plain_fingerprint
 from tests.oracle import same
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -52,7 +52,7 @@ def plain_pipeline(rows, items):
 def test_pipeline_equals_brute_force(spark, tmp_path):
     items = [(1, data.PASSAGE)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    rows = [r for r in data.rows() if r[0] != 400]
+    rows = data.rows()
     spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -65,6 +65,28 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in last) == sorted(str(r[0]) for r in expected)
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_decides_by_score(spark):
+    """Foreign scripts and noise go, short texts stay, and the language told is carried on."""
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    noise = ["".join(chr(0x4E00 + rng.randrange(500)) for _ in range(300)), " ".join("".join(rng.choice("qxzwkjvbp0123456789") for _ in range(7)) for _ in range(60))]
+    more = spark.createDataFrame([(90_000 + i, t, None, None, len(t or "")) for i, t in enumerate([*noise, "ok", None])], docs.schema)
+    kept = {r.doc_id: r for r in corpus_pipeline.language_id(spark, docs.unionByName(more), LARGER).collect()}
+    assert not {90_000, 90_001, 90_003} & set(kept) and 90_002 in kept
+    before = docs.where(r"text rlike '\\p{L}'").collect()
+    assert all(r.doc_id in kept for r in before)
+    told = [kept[r.doc_id].lang == r.lang for r in before if r.lang]
+    assert sum(told) / len(told) > 0.98 and all(r.lang for r in kept.values())
+
+
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
