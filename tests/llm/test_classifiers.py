@@ -240,6 +240,57 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_pages_outside_the_sample():
+    """Pages that weren't learned from: as they are, with plain containers, without any telling
+    element or name, and with readers' comments that nothing names."""
+    import re
+
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{LARGER}/pages.parquet").sort_values("page_id").html.tolist()
+    model = html_text.Labeller(html_text.fit(pages[: html_text.SAMPLE_PAGES]))
+    unseen = pages[-300:]
+    expected = [article_text(p) for p in unseen]
+    plain = lambda p: re.sub(r"<(/?)article\b[^>]*>", r"<\1div>", p)
+    bare = lambda p: re.sub(r"<(/?)(?:nav|aside|footer|header|article|main|section)\b", r"<\1div", re.sub(r'\s(?:class|id)="[^"]*"', "", p))
+    said = lambda p: p.replace("</article>", '</article><div class="zz-q"><div><p>I think that this is right, thank you.</p></div><div><p>No, it is not what I saw.</p></div></div>')
+    for change in (lambda p: p, plain, bare, said, lambda p: plain(said(p)), lambda p: bare(said(p))):
+        got = html_text.main_texts(model, [change(p) for p in unseen])
+        assert np.mean([g == e for g, e in zip(got, expected)]) >= 0.95
+
+
+@pytest.mark.parametrize("part", ["<div><p>x", "<a '", "<a ='>' ", '<a ="', "</q>", "<!", "<b><p>x", "<td title='"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    model = html_text.Labeller()
+    took = []
+    for size in (20_000, 160_000):
+        start = time.process_time()
+        html_text.main_texts(model, [part * (size // len(part))])
+        took.append(time.process_time() - start)
+    assert took[1] < 16 * max(took[0], 0.05)
+
+
+def test_long_pages_are_read_in_stretches(monkeypatch):
+    page = "".join(f"<div><p>words {i} and more</p></div>" for i in range(300))
+    assert len(html_text.blocks(page)) == 300
+    monkeypatch.setattr(html_text, "STRETCH", 40)
+    monkeypatch.setattr(html_text, "OVERLAP", 10)
+    model = html_text.Labeller()
+    model.w[2][-1] = 9.0  # everything is main text
+    assert html_text.main_texts(model, [page]) == ["\n".join(f"words {i} and more" for i in range(300))]
+
+
+def test_broken_markup():
+    text = lambda p: [b.text for b in html_text.blocks(p)]
+    assert text("a<p>b<p>c</i></p>d") == ["a", "b", "c", "d"]
+    assert text("<p title=\"x > y\">b</p><p title='open>c<p>d") == ["b", "c", "d"]
+    assert text("x < y and <b") == ["x < y and <b"]
+    assert text("<script>a<p>b</script >c<style>d") == ["c"]
+    assert text("<ul><li>a<li>b</ul><b>c<p>d</b>e") == ["a", "b", "c", "de"]
+
+
 def test_awkward_pages(spark):
     good = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>One &amp; <b>two</b>\n three<!-- no --></p></article><aside><p>Other news</p></aside><footer>&copy; us</footer></body></html>"
     rows = [(1, "u", good, "x"), (2, None, None, "x"), (3, "u", "", "x"), (None, "u", "<p", "x"), (4, "u", "<<<>>>&#0;</div></div>", "x"), (1, "u", good, "x")]
