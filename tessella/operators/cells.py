@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import area, box, iou
-from tessella.plans.components import connected_components, map_components
+from tessella.plans.components import map_components, slide_components
+from tessella.plans.session import cut
 from tessella.plans.spatial_join import spatial_join
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -52,65 +55,69 @@ def tile_neighbours(tiles: DataFrame, cell: int = 256) -> DataFrame:
 
 
 def _greedy(ids: np.ndarray, probs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Ids that a walk in id order keeps: from a box to the likeliest of those that overlap
-    it, suppressing the rest, until it stands alone; what was kept once stays kept."""
+    """Ids that a walk in id order keeps.
+
+    From each box that isn't suppressed the walk goes to the likeliest of those that overlap it,
+    itself included, keeps that, suppresses the others, and goes on until a box is alone. What
+    was kept once stays kept, though a later step may suppress it.
+    """
     place = {i: k for k, i in enumerate(ids)}
-    near: list[set[int]] = [set() for _ in ids]
+    near: list[list[int]] = [[] for _ in ids]
     for x, y in zip(a, b):
-        near[place[x]].add(place[y])
-        near[place[y]].add(place[x])
+        near[place[x]].append(place[y])
+        near[place[y]].append(place[x])
     gone, kept = np.zeros(len(ids), bool), set()
-    for k in range(len(ids)):
-        if gone[k]:
-            continue
-        at = k
-        while True:
-            rivals = sorted(j for j in near[at] if not gone[j])
-            if not rivals:
-                kept.add(at)
-                gone[at] = True
-                break
-            best = max([at, *rivals], key=lambda j: (probs[j], -j))
-            for j in {at, *rivals} - {best}:
-                gone[j] = True
+    for at in range(len(ids)):
+        while not gone[at]:
+            group = [j for j in (at, *near[at]) if not gone[j]]
+            best = max(group, key=lambda j: (probs[j], -j))
+            kept.add(best)
+            gone[[j for j in group if j != best]] = True
             if best == at:
-                kept.add(at)
-                gone[at] = True
                 break
             at = best
     return ids[sorted(kept)]
 
 
 def nms(boxes: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
-    """Non-maximum suppression, greedy in id order. Returns the rows that stay.
+    """Non-maximum suppression within each slide, greedy in id order. Returns the rows that stay.
 
     Boxes act on one another only along overlaps above the threshold, so each connected
     component of those is decided by itself; boxes without any stay at once.
     """
-    pairs = iou_pairs(boxes, cell, iou_threshold, id_col)
-    parts = connected_components(pairs, "a", "b")
-    members = parts.withColumnRenamed("vertex", id_col).join(boxes.select(id_col, F.col(prob_col).alias("prob")), id_col)
-    edges = pairs.join(parts.withColumnRenamed("vertex", "a"), "a").select("component", "a", "b")
-    rows = members.select("component", F.col(id_col).alias("a"), F.lit(None).cast("long").alias("b"), "prob").unionByName(edges.withColumn("prob", F.lit(None).cast("double")))
+    return _suppressed(boxes, iou_pairs(boxes, cell, iou_threshold, id_col).select("slide_id", "a", "b"), id_col, prob_col)
+
+
+def _suppressed(boxes: DataFrame, pairs: DataFrame, id_col: str, prob_col: str) -> DataFrame:
+    """The boxes that suppression along ``pairs`` keeps."""
+    pairs = cut(pairs)
+    parts = cut(slide_components(pairs, "a", "b", id_col))
+    members = parts.join(boxes.select("slide_id", id_col, F.col(prob_col).cast("double").alias("prob")), ["slide_id", id_col])
+    edges = pairs.join(parts.withColumnRenamed(id_col, "a"), ["slide_id", "a"]).select("slide_id", "component", "a", "b")
+    nodes = members.select("slide_id", "component", F.col(id_col).alias("a"), F.lit(None).cast("long").alias("b"), "prob")
+    rows = nodes.unionByName(edges.withColumn("prob", F.lit(None).cast("double")))
 
     def decide(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = part[part.b.isna()].sort_values("a")
-        links = part[part.b.notna()]
-        kept = _greedy(nodes.a.to_numpy(), nodes.prob.to_numpy(), links.a.to_numpy(), links.b.to_numpy().astype(np.int64))
-        return pd.DataFrame({id_col: kept})
+        out = []
+        for slide, one in part.groupby("slide_id", sort=False):
+            nodes = one[one.b.isna()].sort_values("a")
+            links = one[one.b.notna()]
+            kept = _greedy(nodes.a.to_numpy(), nodes.prob.to_numpy(), links.a.to_numpy(), links.b.to_numpy().astype(np.int64))
+            out.append(pd.DataFrame({"slide_id": slide, id_col: kept}))
+        return pd.concat(out)
 
-    kept = map_components(rows, decide, f"{id_col} long")
-    alone = boxes.join(parts.select(F.col("vertex").alias(id_col)), id_col, "left_anti")
-    return alone.unionByName(boxes.join(kept, id_col, "left_semi"))
+    kept = map_components(rows, decide, f"slide_id long, {id_col} long")
+    alone = boxes.join(parts.select("slide_id", id_col), ["slide_id", id_col], "left_anti")
+    return alone.unionByName(boxes.join(kept, ["slide_id", id_col], "left_semi"))
 
 
 def best_of_clusters(boxes: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
     """Components of overlapping boxes with their size, area-weighted probability, bounds and
-    best member: ``component, n, prob, x0, y0, x1, y1, best``."""
-    parts = connected_components(iou_pairs(boxes, cell, iou_threshold, id_col), "a", "b")
-    rows = boxes.join(parts.withColumnRenamed("vertex", id_col), id_col, "left").withColumn("component", F.coalesce("component", F.col(id_col)))
+    best member: ``slide_id, component, n, prob, x0, y0, x1, y1, best``."""
+    parts = slide_components(iou_pairs(boxes, cell, iou_threshold, id_col), "a", "b", id_col)
+    rows = boxes.join(parts, ["slide_id", id_col], "left").withColumn("component", F.coalesce("component", F.col(id_col)))
     size = area(box()).cast("double")
-    return rows.groupBy("component").agg(
+    return rows.groupBy("slide_id", "component").agg(
         F.count("*").alias("n"),
         (F.sum(F.col(prob_col) * size) / F.sum(size)).alias("prob"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -118,61 +125,80 @@ def best_of_clusters(boxes: DataFrame, iou_threshold: float = 0.2, cell: int = 6
     )
 
 
-def _assignment(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of the assignment of greatest total gain, by shortest augmenting paths."""
-    flip = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if flip else gain)
-    n, m = cost.shape
-    u, v, owner, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+def nms_by_tissue(boxes: DataFrame, tissues: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
+    """Suppression among the boxes of one tissue alone; boxes in no tissue go. With ``tissue_id``."""
+    owned = boxes.join(first_tissue(boxes.withColumnRenamed(id_col, "cell_id"), tissues).withColumnRenamed("cell_id", id_col), ["slide_id", id_col])
+    pairs = iou_pairs(owned, cell, iou_threshold, id_col)
+    home = owned.select("slide_id", id_col, "tissue_id")
+    here = pairs.join(home.withColumnsRenamed({id_col: "a", "tissue_id": "ta"}), ["slide_id", "a"]).join(home.withColumnsRenamed({id_col: "b", "tissue_id": "tb"}), ["slide_id", "b"])
+    return _suppressed(owned, here.where("ta = tb").select("slide_id", "a", "b"), id_col, prob_col)
+
+
+def _assignment(links: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Pairs of the one-to-one matching of greatest total gain, by shortest augmenting paths.
+
+    ``links`` are left, right and gain over zero. Only they are held, so memory grows with their
+    number. Every left vertex also has a partner of its own, worth nothing: to stay alone.
+    """
+    top = max(gain for _, _, gain in links)
+    costs: dict[int, dict] = {}
+    for a, b, gain in links:
+        costs.setdefault(a, {(None, a): top})[b] = top - gain
+    price_a, price_b = {a: 0.0 for a in costs}, {}
+    owner: dict = {}
+    partner: dict = {}
+    for start in costs:
+        dist, via, final, queue, pushed = {}, {}, {}, [], 0
+        a, base = start, 0.0
         while True:
-            used[j] = True
-            row = owner[j]
-            free = np.flatnonzero(~used[1:]) + 1
-            reduced = cost[row - 1, free - 1] - u[row] - v[free]
-            better = reduced < least[free]
-            least[free[better]] = reduced[better]
-            way[free[better]] = j
-            j = free[np.argmin(least[free])]
-            step = least[j]
-            u[owner[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            if owner[j] == 0:
+            for b, cost in costs[a].items():
+                d = base + cost - price_a[a] - price_b.get(b, 0.0)
+                if b not in final and d < dist.get(b, np.inf):
+                    dist[b], via[b] = d, a
+                    pushed += 1
+                    heapq.heappush(queue, (d, pushed, b))
+            base, _, b = heapq.heappop(queue)
+            while b in final:
+                base, _, b = heapq.heappop(queue)
+            final[b] = base
+            if b not in owner:
                 break
-        while j:
-            owner[j], j = owner[way[j]], way[j]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return [(b, a) for a, b in pairs] if flip else pairs
+            a = owner[b]
+        for c, d in final.items():
+            if c in owner:
+                price_a[owner[c]] += base - d
+            price_b[c] = price_b.get(c, 0.0) - (base - d)
+        price_a[start] += base
+        while True:
+            a = via[b]
+            before = partner.get(a)
+            owner[b], partner[a] = a, b
+            if a == start:
+                break
+            b = before
+    return [(a, b) for a, b in partner.items() if not isinstance(b, tuple)]
 
 
 def match_instances(gt: DataFrame, pred: DataFrame, cell: int = 64, iou_threshold: float = 0.5) -> DataFrame:
     """``slide_id, gt_id, pred_id, iou`` of the best one-to-one matching with IoU at or above
     the threshold. Pairs without overlap add nothing, so each connected component of overlaps
-    is matched by itself. Both inputs have ``slide_id, id`` and a box."""
+    is matched by itself, in memory that grows with its overlaps. Both inputs have ``slide_id,
+    id`` and a box; ids count within their slide."""
     rows = spatial_join(gt.select("slide_id", "id", *BOX), pred.select("slide_id", "id", *BOX), cell)
-    pairs = rows.select("slide_id", F.col("id").alias("gt_id"), F.col("r_id").alias("pred_id"), iou(box(), box("r_")).alias("iou")).where("iou > 0")
+    pairs = cut(rows.select("slide_id", F.col("id").alias("gt_id"), F.col("r_id").alias("pred_id"), iou(box(), box("r_")).alias("iou")).where("iou > 0"))
     # Even numbers are truths, odd ones predictions.
-    edges = pairs.select((2 * F.col("gt_id")).alias("src"), (2 * F.col("pred_id") + 1).alias("dst"))
-    parts = connected_components(edges).select((F.col("vertex") / 2).cast("long").alias("gt_id"), "component", "vertex").where("vertex % 2 = 0").drop("vertex")
+    edges = pairs.select("slide_id", (2 * F.col("gt_id")).alias("src"), (2 * F.col("pred_id") + 1).alias("dst"))
+    parts = slide_components(edges, "src", "dst", "vertex").where("vertex % 2 = 0").select("slide_id", F.expr("vertex div 2").alias("gt_id"), "component")
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         best = []
-        for _, one in part.groupby("component", sort=False):
-            if len(one) == 1:
-                best.append((one.gt_id.iloc[0], one.pred_id.iloc[0]))
-                continue
-            a, ga = np.unique(one.gt_id.to_numpy(), return_inverse=True)
-            b, pb = np.unique(one.pred_id.to_numpy(), return_inverse=True)
-            gain = np.zeros((len(a), len(b)))
-            gain[ga, pb] = one.iou.to_numpy()
-            best += [(a[i], b[j]) for i, j in _assignment(gain) if gain[i, j] > 0]
-        chosen = pd.DataFrame(best, columns=["gt_id", "pred_id"]).astype("int64")
-        return chosen.merge(part, on=["gt_id", "pred_id"])[["slide_id", "gt_id", "pred_id", "iou"]]
-
-    matched = map_components(pairs.join(parts, "gt_id"), match, "slide_id long, gt_id long, pred_id long, iou double")
+        for (slide, _), one in part.groupby(["slide_id", "component"], sort=False):
+            links = list(zip(one.gt_id, one.pred_id, one.iou))
+            gains = {(a, b): g for a, b, g in links}
+            best += [(slide, a, b, gains[a, b]) for a, b in (_assignment(links) if len(links) > 1 else [links[0][:2]])]
+        return pd.DataFrame(best, columns=["slide_id", "gt_id", "pred_id", "iou"])
+
+    matched = map_components(pairs.join(parts, ["slide_id", "gt_id"]), match, "slide_id long, gt_id long, pred_id long, iou double")
     return matched.where(F.col("iou") >= iou_threshold)
 
 
@@ -184,32 +210,29 @@ def instance_stats(gt: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFr
     return rows.select("slide_id", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), F.lit(0).cast("long").alias("tn"), "iou_sum")
 
 
-def semantic_stats(gt: DataFrame, pred: DataFrame) -> DataFrame:
+def semantic_stats(gt: DataFrame, pred: DataFrame, strip: int = 64) -> DataFrame:
     """Areas of the unions: ``slide_id, tp, fp, fn, tn``, cut to whole pixels.
 
-    The rows' boxes are cut at the distinct edges of their slide into strips; in every strip the
-    covered length is the union of intervals, summed by a running maximum.
+    Boxes are cut at the borders of squares of side ``strip``. Within a square, cut again at the
+    distinct edges of its pieces into bands, the covered length is the union of intervals,
+    summed by a running maximum; nothing is compared beyond its square.
     """
-
-    def strips(df: DataFrame, kind: str) -> DataFrame:
-        return df.select("slide_id", F.lit(kind).alias("kind"), *BOX)
-
-    rows = strips(gt, "t").unionByName(strips(pred, "p"))
-    ys = rows.select("slide_id", F.explode(F.array("y0", "y1")).alias("y")).distinct()
-    bands = ys.withColumn("to", F.lead("y").over(Window.partitionBy("slide_id").orderBy("y"))).where("to is not null")
-    band_of = bands.select("slide_id", F.col("y").alias("lo"), F.col("to").alias("hi"))
-    cut = rows.alias("r").join(band_of.alias("b"), "slide_id").where("lo >= y0 and hi <= y1").select("slide_id", "kind", "lo", "hi", "x0", "x1")
-
-    def covered(df: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-        reach = F.coalesce(F.max("x1").over(order), F.col("x0"))
-        fresh = F.greatest(F.lit(0), F.col("x1") - F.greatest("x0", reach))
-        return df.withColumn("fresh", fresh * (F.col("hi") - F.col("lo"))).groupBy("slide_id").agg(F.sum("fresh").alias("covered"))
-
-    by = ["slide_id", "lo", "hi"]
-    t = covered(cut.where("kind = 't'"), by).withColumnRenamed("covered", "t")
-    p = covered(cut.where("kind = 'p'"), by).withColumnRenamed("covered", "p")
-    both = covered(cut, by).withColumnRenamed("covered", "both")
+    rows = gt.select("slide_id", F.lit("t").alias("kind"), *BOX).unionByName(pred.select("slide_id", F.lit("p").alias("kind"), *BOX)).where("x1 > x0 and y1 > y0")
+    part = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / strip), F.floor((F.col(hi) - 1) / strip)))
+    cells = rows.withColumn("gy", part("y0", "y1")).withColumn("gx", part("x0", "x1"))
+    held = lambda c, g: F.least(F.greatest(F.col(c), F.col(g) * strip), (F.col(g) + 1) * strip).alias(c)
+    pieces = cells.select("slide_id", "gx", "gy", "kind", held("x0", "gx"), held("x1", "gx"), held("y0", "gy"), held("y1", "gy")).distinct()
+    square = ["slide_id", "gx", "gy"]
+    ys = pieces.groupBy(*square).agg(F.array_sort(F.array_union(F.collect_set("y0"), F.collect_set("y1"))).alias("ys"))
+    bands = ys.select(*square, F.explode(F.transform(F.slice("ys", F.lit(1), F.size("ys") - 1), lambda y, i: F.struct(y.alias("lo"), F.get("ys", i + 1).alias("hi")))).alias("b")).select(*square, "b.lo", "b.hi")
+    inside = pieces.join(bands, square).where("lo >= y0 and hi <= y1").select(*square, "kind", "lo", "hi", "x0", "x1")
+
+    def covered(df: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy(*square, "lo", "hi").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = F.greatest(F.lit(0), F.col("x1") - F.greatest("x0", F.coalesce(F.max("x1").over(order), F.col("x0"))))
+        return df.withColumn("fresh", fresh * (F.col("hi") - F.col("lo"))).groupBy("slide_id").agg(F.sum("fresh").alias(name))
+
+    t, p, both = covered(inside.where("kind = 't'"), "t"), covered(inside.where("kind = 'p'"), "p"), covered(inside, "both")
     joined = both.join(t, "slide_id", "left").join(p, "slide_id", "left").na.fill(0)
     tp = F.col("t") + F.col("p") - F.col("both")
     return joined.select("slide_id", tp.cast("long").alias("tp"), (F.col("p") - tp).cast("long").alias("fp"), (F.col("t") - tp).cast("long").alias("fn"), F.lit(0).cast("long").alias("tn"))

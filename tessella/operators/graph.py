@@ -121,6 +121,7 @@ def spatial_features(features: DataFrame, graph: DataFrame, points: DataFrame, n
 
     With B the weights plus the identity, ``row`` gives ``sum_i B_ij / |B_i| X_i``: rows are
     normalised and then the transpose is taken. ``average`` gives ``sum_j B_ij X_j / |B_i|``.
+    ``features`` without a ``slide_id`` must have tile ids that are unique over all slides.
     """
     if normalize not in ("row", "average"):
         raise ValueError("normalize must be 'row' or 'average'")
@@ -129,8 +130,9 @@ def spatial_features(features: DataFrame, graph: DataFrame, points: DataFrame, n
     sums = b.groupBy("slide_id", "src").agg(F.sum(F.abs("w")).alias("of"))
     share = b.join(sums, ["slide_id", "src"]).withColumn("share", F.col("w") / F.col("of"))
     pull, give = ("src", "dst") if normalize == "row" else ("dst", "src")
-    rows = long_form(features, F.col("tile_id").alias(pull))
-    return share.join(rows, pull).groupBy("slide_id", F.col(give).alias("id"), "dim").agg(F.sum(F.col("share") * F.col("v")).alias("v"))
+    keys = [F.col("tile_id").alias(pull), *(["slide_id"] if "slide_id" in features.columns else [])]
+    rows = long_form(features, *keys)
+    return share.join(rows, [pull, *keys[1:]]).groupBy("slide_id", F.col(give).alias("id"), "dim").agg(F.sum(F.col("share") * F.col("v")).alias("v"))
 
 
 def corner_points(tiles: DataFrame, id_col: str = "tile_id") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.components import connected_components
+from tessella.plans.components import slide_components
+from tessella.plans.session import cut
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
@@ -84,18 +85,41 @@ def blend(weighted: DataFrame, normalize: str = "count") -> DataFrame:
     return weighted.groupBy("image_id", "y", "x").agg((F.sum(F.col("w") * F.col("p")) / over[normalize]).alias("p"))
 
 
-def mask_components(mask: DataFrame, edge: int = 1 << 12) -> DataFrame:
-    """8-connected components of the pixels that aren't 0: ``image_id, y, x, component``.
+#: A pixel's number in its image: its row, then its column.
+ROW = 1 << 32
 
-    ``component`` is a number of its first pixel, in rows; images are up to ``edge`` a side.
+
+def runs(mask: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``image_id, *by, y, x0, x1, run`` of every stretch of neighbours in a row of the pixels
+    that aren't 0; ``run`` is the number of its first pixel."""
+    keys = ["image_id", *by, "y"]
+    row = Window.partitionBy(*keys).orderBy("x")
+    on = mask.where("v <> 0").select(*keys, "x").distinct()
+    fresh = on.withColumn("first", F.when(F.col("x") - F.lag("x").over(row) == 1, None).otherwise(F.col("x")))
+    held = fresh.withColumn("x0", F.max("first").over(row))
+    whole = held.groupBy(*keys, "x0").agg(F.max("x").alias("x1"))
+    return whole.withColumn("run", F.col("y") * ROW + F.col("x0"))
+
+
+def run_components(stretches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The runs with the number of their 8-connected component, its first pixel's."""
+    within = ("image_id", *by)
+    ends = ["x0", "x1", "run"]
+    below = stretches.select(*within, (F.col("y") - 1).alias("y"), *[F.col(c).alias(f"b_{c}") for c in ends])
+    touching = (F.col("b_x0") <= F.col("x1") + 1) & (F.col("b_x1") >= F.col("x0") - 1)
+    edges = stretches.join(below, [*within, "y"]).where(touching)
+    parts = slide_components(edges, "run", "b_run", "run", within)
+    return stretches.join(parts, [*within, "run"], "left").withColumn("component", F.coalesce("component", "run"))
+
+
+def mask_components(mask: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """8-connected components of the pixels that aren't 0: ``image_id, *by, y, x, component``.
+
+    Runs of pixels in a row are linked, not pixels. ``component`` is the number of its first
+    pixel within the image, ``y * 2^32 + x``. With ``by``, pixels are linked within a class.
     """
-    number = lambda y, x: (F.col("image_id") * edge + y) * edge + x
-    on = mask.where("v <> 0").select("image_id", "y", "x", number(F.col("y"), F.col("x")).alias("p"))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    near = on.select("image_id", "p", "y", "x", F.explode(steps).alias("s")).where("x + s.dx >= 0").select("p", number(F.col("y") + F.col("s.dy"), F.col("x") + F.col("s.dx")).alias("q"))
-    edges = near.join(on.select(F.col("p").alias("q")), "q")
-    parts = connected_components(edges, "p", "q").withColumnRenamed("vertex", "p")
-    return on.join(parts, "p", "left").select("image_id", "y", "x", F.coalesce("component", "p").alias("component"))
+    parts = run_components(cut(runs(mask, by)), by)
+    return parts.select("image_id", *by, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
 
 
 def component_shapes(parts: DataFrame) -> DataFrame:

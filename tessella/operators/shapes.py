@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.boxes import box, ring_area, ring_centroid, ring_length, ring_moments
+from tessella.functions.boxes import ring_area, ring_centroid, ring_length, ring_moments
 from tessella.functions.rings import clipped_area, hull_area
 from tessella.operators.cells import tile_neighbours
-from tessella.plans.components import connected_components
+from tessella.plans.components import slide_components
 from tessella.plans.spatial_join import spatial_join
 
 
@@ -26,16 +26,21 @@ def tissue_props(df: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def dissolve(tiles: DataFrame, by: str, cell: int = 256) -> DataFrame:
-    """Touching tiles of one ``by`` as one region: ``by, region, n_tiles, area`` and bounds.
+    """Touching tiles of one ``by`` as one region: ``slide_id, by, region, n_tiles, area`` and bounds.
 
-    ``region`` is the smallest tile of it. Tiles of a grid don't overlap, so areas add up.
+    ``region`` is the smallest tile of it, in its slide. Tiles of a grid don't overlap, so areas add up.
     """
-    label = tiles.select("tile_id", by)
-    pairs = tile_neighbours(tiles, cell).join(label, "tile_id").join(label.select(F.col("tile_id").alias("neighbour"), F.col(by).alias("other")), "neighbour").where(F.col(by) == F.col("other"))
-    parts = connected_components(pairs, "tile_id", "neighbour").withColumnRenamed("vertex", "tile_id")
-    rows = tiles.join(parts, "tile_id", "left").withColumn("region", F.coalesce("component", "tile_id"))
+    label = tiles.select("slide_id", "tile_id", by)
+    other = label.withColumnsRenamed({"tile_id": "neighbour", by: "other"})
+    pairs = tile_neighbours(tiles, cell).join(label, ["slide_id", "tile_id"]).join(other, ["slide_id", "neighbour"]).where(F.col(by) == F.col("other"))
+    parts = slide_components(pairs, "tile_id", "neighbour", "tile_id")
+    rows = tiles.join(parts, ["slide_id", "tile_id"], "left").withColumn("region", F.coalesce("component", "tile_id"))
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return rows.groupBy(by, "region").agg(F.count("*").alias("n_tiles"), F.sum(size).alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return rows.groupBy("slide_id", by, "region").agg(F.count("*").alias("n_tiles"), F.sum(size).alias("area"), *_bounds())
+
+
+def _bounds() -> list[Column]:
+    return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
 def spatial_domain(features: DataFrame, k: int = 8, components: int = 16, seed: int = 7) -> DataFrame:
@@ -48,11 +53,7 @@ def spatial_domain(features: DataFrame, k: int = 8, components: int = 16, seed:
 
 def bounds_of(df: DataFrame, *by: str) -> DataFrame:
     """Bounds of all boxes of a group."""
-    return df.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-
-
-def box_columns(df: DataFrame) -> DataFrame:
-    return df.select(*box())
+    return df.groupBy(*by).agg(*_bounds())
 
 
 def ellipse_props(df: DataFrame, ring: str = "ring") -> DataFrame:
@@ -84,10 +85,10 @@ def polygon_coverage(tiles: DataFrame, polygons: DataFrame, cell: int = 512) ->
 
 
 def dissolve_near(boxes: DataFrame, by: str, tolerance: int, cell: int = 128, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
-    """Boxes of one class that are at most twice ``tolerance`` apart as one region: ``by, region,
-    n, prob`` (the highest) and bounds."""
+    """Boxes of one class that are at most twice ``tolerance`` apart as one region: ``slide_id, by,
+    region, n, prob`` (the highest) and bounds."""
     wide = boxes.select("slide_id", by, F.col(id_col).alias("id"), *[(F.col(c) - tolerance).alias(c) for c in ("x0", "y0")], *[(F.col(c) + tolerance).alias(c) for c in ("x1", "y1")])
     pairs = spatial_join(wide, wide, cell).where((F.col("id") < F.col("r_id")) & (F.col(by) == F.col(f"r_{by}")))
-    parts = connected_components(pairs, "id", "r_id").withColumnRenamed("vertex", id_col)
-    rows = boxes.join(parts, id_col, "left").withColumn("region", F.coalesce("component", F.col(id_col)))
-    return rows.groupBy(by, "region").agg(F.count("*").alias("n"), F.max(prob_col).alias("prob"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    parts = slide_components(pairs, "id", "r_id", id_col)
+    rows = boxes.join(parts, ["slide_id", id_col], "left").withColumn("region", F.coalesce("component", F.col(id_col)))
+    return rows.groupBy("slide_id", by, "region").agg(F.count("*").alias("n"), F.max(prob_col).alias("prob"), *_bounds())

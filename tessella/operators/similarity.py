@@ -29,7 +29,7 @@ SCORES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"dot": lamb
 
 
 def text_image_similarity(features: DataFrame, texts: DataFrame, scoring: str | Callable = "dot", normalize: bool = True, softmax: bool = False) -> DataFrame:
-    """``tile_id, text_id, score`` of every tile and text.
+    """``tile_id, text_id, score`` of every tile and text, with ``slide_id`` if the tiles have one.
 
     ``features`` has ``tile_id, vec``, ``texts`` has ``text_id, vec``. ``normalize`` divides the
     tiles' vectors by their length, not the texts'. ``softmax`` is taken over all texts of a
@@ -43,6 +43,8 @@ def text_image_similarity(features: DataFrame, texts: DataFrame, scoring: str |
     bounded_batches(spark)
     n = texts.count()
     blocks = max(1, -(-n // TEXTS_AT_ONCE))
+    keys = [c for c in ("slide_id", "tile_id") if c in features.columns]
+    schema = "".join(f"{c} long, " for c in keys) + "text_id long, score double"
     out = None
     for b in range(blocks):
         part = texts if blocks == 1 else texts.where(F.pmod(F.hash("text_id"), F.lit(blocks)) == b)
@@ -62,14 +64,15 @@ def text_image_similarity(features: DataFrame, texts: DataFrame, scoring: str |
                 s = score(a, matrix)
                 if s.shape != (len(a), len(ids)):
                     raise ValueError(f"scoring gave {s.shape}, not {(len(a), len(ids))}")
-                yield pa.RecordBatch.from_pydict({"tile_id": pa.array(np.repeat(batch.column("tile_id").to_numpy(zero_copy_only=False), len(ids))), "text_id": pa.array(ids * len(a), pa.int64()), "score": pa.array(s.ravel())})
+                own = {c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(ids)), pa.int64()) for c in keys}
+                yield pa.RecordBatch.from_pydict(own | {"text_id": pa.array(ids * len(a), pa.int64()), "score": pa.array(s.ravel())})
 
-        scored = features.select("tile_id", "vec").mapInArrow(run, "tile_id long, text_id long, score double")
+        scored = features.select(*keys, "vec").mapInArrow(run, schema)
         out = scored if out is None else out.unionByName(scored)
     if out is None:
-        return features.sparkSession.createDataFrame([], "tile_id long, text_id long, score double")
+        return features.sparkSession.createDataFrame([], schema)
     if softmax:
         from tessella.operators.graph import softmax as over
 
-        out = out.withColumn("score", over("score", ("tile_id",)))
+        out = out.withColumn("score", over("score", tuple(keys)))
     return out

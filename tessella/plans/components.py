@@ -39,12 +39,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return labels.select(F.col("u").alias("vertex"), F.col("l").alias("component"))
 
 
-def map_components(rows: DataFrame, of_many: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "component") -> DataFrame:
+def slide_components(edges: DataFrame, src: str, dst: str, id_col: str, within: tuple[str, ...] = ("slide_id",)) -> DataFrame:
+    """``within``, ``id_col`` and ``component`` of every vertex of edges within slides.
+
+    Ids count within their slide; ``component`` is the smallest id of the vertex's component.
+    """
+    node = lambda c: F.struct(*within, F.col(c).alias("id"))
+    parts = connected_components(edges.select(node(src).alias("src"), node(dst).alias("dst")))
+    place = [F.col(f"vertex.{c}").alias(c) for c in within]
+    return parts.select(*place, F.col("vertex.id").alias(id_col), F.col("component.id").alias("component"))
+
+
+def map_components(rows: DataFrame, of_many: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: tuple[str, ...] = ("slide_id", "component")) -> DataFrame:
     """Applies a function to frames that hold many whole components at once.
 
     Rows are dealt out and sorted by ``key``; batches are cut where a component ends, so that
     small components share one call. A component is in one task, whole.
     """
+    key = list(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -52,8 +64,8 @@ def map_components(rows: DataFrame, of_many: Callable[[pd.DataFrame], pd.DataFra
             if not len(batch):
                 continue
             last = batch[key].iloc[-1]
-            open_rows = batch[key] == last
-            if open_rows.all() and (not held or held[-1][key].iloc[-1] == last):
+            open_rows = (batch[key] == last).all(axis=1)
+            if open_rows.all() and (not held or (held[-1][key].iloc[-1] == last).all()):
                 held.append(batch)
                 continue
             if not open_rows.all():
@@ -63,4 +75,4 @@ def map_components(rows: DataFrame, of_many: Callable[[pd.DataFrame], pd.DataFra
         if held:
             yield of_many(pd.concat(held))
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)

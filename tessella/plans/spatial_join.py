@@ -19,8 +19,8 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: int, touch: bool = Tru
 
     Both sides are dealt out by ``key`` and the grid cells that they reach; a pair counts in
     the one cell that holds the corner ``(greatest x0, greatest y0)``, so no pair comes twice.
-    ``how``: ``inner``, ``left`` (unmatched left rows with nulls) or ``left_semi``; for
-    the latter two rows of ``left`` must differ. ``cell`` should be about a typical box.
+    ``how``: ``inner``, ``left`` (unmatched left rows with nulls) or ``left_semi``; rows of
+    ``left`` that are equal, nulls included, fare alike. ``cell`` should be about a typical box.
     """
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     a = on_grid(left, cell)
@@ -30,8 +30,9 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: int, touch: bool = Tru
     pairs = a.join(b, same & meets(box(), box("r_"), touch) & owner).select(*left.columns, *named.columns)
     if how == "inner":
         return pairs
+    matched = pairs.select(*left.columns).distinct().alias("m")
+    alike = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in left.columns]
     if how == "left_semi":
-        return left.join(pairs.select(*left.columns).distinct(), left.columns, "left_semi")
-    matched = pairs.select(*left.columns).distinct()
-    alone = left.join(matched, left.columns, "left_anti")
+        return left.alias("l").join(matched, alike, "left_semi").select(*[f"l.`{c}`" for c in left.columns])
+    alone = left.alias("l").join(matched, alike, "left_anti").select(*[f"l.`{c}`" for c in left.columns])
     return pairs.unionByName(alone, allowMissingColumns=True)

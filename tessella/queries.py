@@ -368,7 +368,7 @@ _COMPONENTS = f""", e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM cells a JOI
 
 @query("merge_overlapping_cells", with_relations("cells", _COMPONENTS + """, walk AS (SELECT cell_id, cell_id AS root FROM cells),
   l1 AS (SELECT w.cell_id, least(w.root, coalesce(min(o.root), w.root)) AS root FROM walk w LEFT JOIN e ON e.a = w.cell_id LEFT JOIN walk o ON o.cell_id = e.b GROUP BY w.cell_id, w.root)""" + "".join(f""", l{i + 1} AS (SELECT w.cell_id, least(w.root, coalesce(min(o.root), w.root)) AS root FROM l{i} w LEFT JOIN e ON e.a = w.cell_id LEFT JOIN l{i} o ON o.cell_id = e.b GROUP BY w.cell_id, w.root)""" for i in range(1, 12)) + """
-  SELECT root AS component, count(*) AS n, round(sum(prob * (x1 - x0) * (y1 - y0)) / sum((x1 - x0) * (y1 - y0)), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_max(cell_id, prob) AS best FROM l12 JOIN cells USING (cell_id) GROUP BY root"""))
+  SELECT slide_id, root AS component, count(*) AS n, round(sum(prob * (x1 - x0) * (y1 - y0)) / sum((x1 - x0) * (y1 - y0)), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_max(cell_id, prob) AS best FROM l12 JOIN cells USING (cell_id) GROUP BY slide_id, root"""))
 def merge_overlapping_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cells.best_of_clusters(adapters.cells(spark, sf)).withColumn("prob", r6("prob"))
 
@@ -538,12 +538,12 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 _CC = with_relations("pixels", f", {_HIST}, m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels JOIN t USING (image_id) WHERE v > threshold), e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)" + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)))
 
 
-@query("mask_components", _CC + " SELECT image_id, (image_id * 4096 + root // 8) * 4096 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l32 JOIN m USING (image_id, p) GROUP BY ALL")
+@query("mask_components", _CC + " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l32 JOIN m USING (image_id, p) GROUP BY ALL")
 def mask_components(spark: SparkSession, sf: str) -> DataFrame:
     return raster.component_shapes(_parts(spark, sf))
 
 
-@query("polygon_probability", _CC + " SELECT image_id, (image_id * 4096 + root // 8) * 4096 + root % 8 AS component, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL")
+@query("polygon_probability", _CC + " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL")
 def polygon_probability(spark: SparkSession, sf: str) -> DataFrame:
     p = adapters.pixels(spark, sf).withColumn("p", F.col("v") / 255)
     return raster.region_probability(_parts(spark, sf), p).withColumn("prob", r6("prob"))
@@ -568,7 +568,7 @@ def tissue_props(spark: SparkSession, sf: str) -> DataFrame:
 _DISSOLVE = ", e AS (SELECT a.tile_id AS a, b.tile_id AS b FROM tiles a JOIN tiles b ON a.slide_id = b.slide_id AND a.tissue_id = b.tissue_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), l0 AS (SELECT tile_id, tile_id AS root FROM tiles)" + "".join(f", l{i + 1} AS (SELECT e.a AS tile_id, min(root) AS root FROM e JOIN l{i} l ON l.tile_id = e.b GROUP BY ALL)" for i in range(40))
 
 
-@query("dissolve_tiles", with_relations("tiles", _DISSOLVE + " SELECT tissue_id, root AS region, count(*) AS n_tiles, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l40 JOIN tiles USING (tile_id) GROUP BY ALL"))
+@query("dissolve_tiles", with_relations("tiles", _DISSOLVE + " SELECT slide_id, tissue_id, root AS region, count(*) AS n_tiles, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l40 JOIN tiles USING (tile_id) GROUP BY ALL"))
 def dissolve_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.dissolve(adapters.tiles(spark, sf), "tissue_id")
 
@@ -648,7 +648,7 @@ def find_tissues(spark: SparkSession, sf: str) -> DataFrame:
     return masks.find_tissues(adapters.pixels(spark, sf), scale=32)
 
 
-@query("semantic_regions", with_relations("pixels", ", m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels WHERE v / 255.0::DOUBLE > 0.5), e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)" + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)) + " SELECT image_id, (image_id * 4096 + root // 8) * 4096 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL"))
+@query("semantic_regions", with_relations("pixels", ", m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels WHERE v / 255.0::DOUBLE > 0.5), e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)" + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)) + " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL"))
 def semantic_regions(spark: SparkSession, sf: str) -> DataFrame:
     return masks.semantic_regions(adapters.pixels(spark, sf).select("image_id", "y", "x", (F.col("v") / 255).alias("p"))).withColumn("prob", r6("prob"))
 
@@ -704,7 +704,7 @@ def ellipse_props(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tissue_id", *[r6(c) for c in ("major_axis", "minor_axis", "solidity", "convexity", "convex_area")])
 
 
-@query("class_regions", with_relations("cells", ", w AS (SELECT slide_id, class, cell_id, x0 - 2 AS x0, y0 - 2 AS y0, x1 + 2 AS x1, y1 + 2 AS y1 FROM cells), e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM w a JOIN w b ON " + _MEET + " AND a.class = b.class), l0 AS (SELECT cell_id, cell_id AS root FROM cells)" + "".join(f", l{i + 1} AS MATERIALIZED (SELECT e.a AS cell_id, min(root) AS root FROM e JOIN l{i} l ON l.cell_id = e.b GROUP BY ALL)" for i in range(60)) + " SELECT class, root AS region, count(*) AS n, round(max(prob), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l60 JOIN cells USING (cell_id) GROUP BY ALL"))
+@query("class_regions", with_relations("cells", ", w AS (SELECT slide_id, class, cell_id, x0 - 2 AS x0, y0 - 2 AS y0, x1 + 2 AS x1, y1 + 2 AS y1 FROM cells), e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM w a JOIN w b ON " + _MEET + " AND a.class = b.class), l0 AS (SELECT cell_id, cell_id AS root FROM cells)" + "".join(f", l{i + 1} AS MATERIALIZED (SELECT e.a AS cell_id, min(root) AS root FROM e JOIN l{i} l ON l.cell_id = e.b GROUP BY ALL)" for i in range(60)) + " SELECT slide_id, class, root AS region, count(*) AS n, round(max(prob), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l60 JOIN cells USING (cell_id) GROUP BY ALL"))
 def class_regions(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.dissolve_near(adapters.cells(spark, sf), "class", 2).withColumn("prob", r6("prob"))
 

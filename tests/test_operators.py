@@ -130,9 +130,14 @@ def test_assignment_is_optimal():
     from itertools import permutations
 
     rng = np.random.default_rng(3)
-    for n, m in ((3, 5), (5, 3), (4, 4), (1, 3)):
-        gain = rng.random((n, m))
-        got = sum(gain[i, j] for i, j in cells._assignment(gain))
+    for n, m, held in ((3, 5, 1.0), (5, 3, 1.0), (4, 4, 0.5), (1, 3, 1.0), (6, 6, 0.35)) * 6:
+        gain = rng.random((n, m)) * (rng.random((n, m)) < held)
+        links = [(i, 100 + j, float(gain[i, j])) for i in range(n) for j in range(m) if gain[i, j] > 0]
+        if not links:
+            continue
+        pairs = cells._assignment(links)
+        assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+        got = sum(gain[i, j - 100] for i, j in pairs)
         big, small = max(n, m), min(n, m)
         g = gain if n <= m else gain.T
         assert got == pytest.approx(max(sum(g[i, p[i]] for i in range(small)) for p in permutations(range(big), small)))
@@ -150,30 +155,104 @@ def test_matching_and_metrics(spark):
     assert cells.metrics(hand).first().pq == pytest.approx(2.4 / 4.5)
 
 
-def test_semantic_stats(spark):
+@pytest.mark.parametrize("strip", [7, 64])
+def test_semantic_stats(spark, strip):
     gt = spark.createDataFrame([(0, 1, 0, 0, 10, 10), (0, 2, 5, 5, 15, 15)], BOX)
     pred = spark.createDataFrame([(0, 3, 0, 0, 10, 10)], BOX)
-    s = cells.semantic_stats(gt, pred).first()
+    s = cells.semantic_stats(gt, pred, strip).first()
     assert (s.tp, s.fp, s.fn) == (100, 0, 75)
+    a, ra = boxes(spark, 60, 3, extent=150)
+    b, rb = boxes(spark, 60, 4, extent=150)
+    for r in cells.semantic_stats(a, b, strip).collect():
+        cover = [np.zeros((250, 250), bool) for _ in range(2)]
+        for drawn, rows in zip(cover, (ra, rb)):
+            for s, _, x0, y0, x1, y1 in rows:
+                if s == r.slide_id:
+                    drawn[y0:y1, x0:x1] = True
+        t, p = cover
+        assert (r.tp, r.fp, r.fn) == ((t & p).sum(), (p & ~t).sum(), (t & ~p).sum())
 
 
-def _nms_reference(rows, threshold):
+def plain_nms(rows, threshold=0.2):
+    """Suppression as a walk over all boxes of a slide: (slide, id) of those that stay."""
+
     def iou(a, b):
         w = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
-        area = lambda r: (r[4] - r[2]) * (r[5] - r[3])
-        return w / (area(a) + area(b) - w) if a[0] == b[0] else 0
-
-    pairs = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and iou(a, b) > threshold]
-    ids = np.array([r[1] for r in rows])
-    return set(cells._greedy(ids, np.array([r[6] for r in rows]), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)))
-
-
-def test_nms_by_component_equals_global(spark):
-    _, rows = boxes(spark, 150, 9, size=80)
-    rng = np.random.default_rng(0)
-    rows = [(*r, float(p)) for r, p in zip(rows, rng.random(len(rows)))]
-    df = spark.createDataFrame(rows, BOX.replace("id long, x0", "cell_id long, x0") + ", prob double")
-    assert {r.cell_id for r in cells.nms(df).collect()} == _nms_reference(rows, 0.2)
+        return w / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - w)
+
+    kept = set()
+    for slide in {r[0] for r in rows}:
+        own = sorted(r for r in rows if r[0] == slide)
+        suppressed = set()
+        for first in own:
+            current = first
+            while first[1] not in suppressed or current is not first:
+                near = [r for r in own if r[1] not in suppressed and iou(current, r) > threshold]
+                if not near:
+                    break
+                best = max(near, key=lambda r: (r[6], -r[1]))
+                kept.add((slide, best[1]))
+                if len(near) == 1:
+                    break
+                suppressed |= {r[1] for r in near if r[1] != best[1]}
+                current = best
+    return kept
+
+
+CELL = BOX.replace("id long, x0", "cell_id long, x0") + ", prob double"
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_nms_equals_a_walk_over_all_boxes(spark, seed):
+    """Ids restart in each slide, and many boxes overlap in chains."""
+    _, rows = boxes(spark, 160, seed, size=80)
+    rng = np.random.default_rng(seed)
+    rows = [(r[0], r[1] // 2, *r[2:], float(p)) for r, p in zip(rows, rng.random(len(rows)))]
+    got = cells.nms(spark.createDataFrame(rows, CELL)).collect()
+    assert {(r.slide_id, r.cell_id) for r in got} == plain_nms(rows) and len(got) == len(plain_nms(rows))
+
+
+def test_nms_keeps_what_the_walk_left(spark):
+    chain = [(s, i, 6 * i, 0, 6 * i + 10, 10, p) for s in (0, 1) for i, p in enumerate((0.1, 0.5, 0.9))]
+    got = cells.nms(spark.createDataFrame(chain, CELL)).collect()
+    assert {(r.slide_id, r.cell_id) for r in got} == {(s, i) for s in (0, 1) for i in (1, 2)}
+
+
+def test_nms_by_tissue(spark):
+    cell_rows = [(0, 1, 0, 0, 10, 10, 0.5), (0, 2, 1, 0, 11, 10, 0.9), (0, 3, 2, 0, 12, 10, 0.7), (0, 4, 500, 500, 510, 510, 0.1)]
+    tissue_rows = [(0, 7, 0, 0, 0, 10), (0, 8, 11, 0, 12, 10)]
+    tissues = spark.createDataFrame(tissue_rows, "slide_id long, tissue_id long, x0 long, y0 long, x1 long, y1 long")
+    got = cells.nms_by_tissue(spark.createDataFrame(cell_rows, CELL), tissues).collect()
+    assert {(r.cell_id, r.tissue_id) for r in got} == {(1, 7), (2, 8)}
+
+
+def test_equal_ids_in_two_slides_stay_apart(spark):
+    tiles = [(s, i, x, 0, x + 10, 10, 1) for s in (0, 1) for i, x in enumerate((0, 10 if s else 30))]
+    df = spark.createDataFrame(tiles, "slide_id long, tile_id long, x0 long, y0 long, x1 long, y1 long, domain long")
+    regions = {(r.slide_id, r.region): r.n_tiles for r in shapes.dissolve(df, "domain").collect()}
+    assert regions == {(0, 0): 1, (0, 1): 1, (1, 0): 2}
+    near = {(r.slide_id, r.region): r.n for r in shapes.dissolve_near(df.withColumnRenamed("tile_id", "cell_id").withColumn("prob", F.lit(0.5)), "domain", 1).collect()}
+    assert near == regions
+    merged = cells.best_of_clusters(df.withColumnRenamed("tile_id", "cell_id").withColumn("prob", F.lit(0.5))).collect()
+    assert sorted((r.slide_id, r.component, r.n) for r in merged) == [(0, 0, 1), (0, 1, 1), (1, 0, 1), (1, 1, 1)]
+    gt = spark.createDataFrame([(s, i, 20 * i, 0, 20 * i + 10, 10) for s in (0, 1) for i in (0, 1)], BOX)
+    pred = gt.where("slide_id = 0 or id = 1")
+    assert sorted((r.slide_id, r.gt_id, r.pred_id) for r in cells.match_instances(gt, pred).collect()) == [(0, 0, 0), (0, 1, 1), (1, 1, 1)]
+    points = spark.createDataFrame([(s, i, 256 * i, 0) for s in (0, 1) for i in range(3)], "slide_id long, id long, x long, y long")
+    feats = spark.createDataFrame([(s, i, [float(10 * s + i)]) for s in (0, 1) for i in range(3)], "slide_id long, tile_id long, vec array<double>")
+    smooth = graph.spatial_features(feats, graph.tile_graph(points, 2), points, "average").collect()
+    assert len(smooth) == 6 and all((r.v >= 10) == (r.slide_id == 1) for r in smooth)
+    texts = spark.createDataFrame([(0, [2.0])], "text_id long, vec array<double>")
+    scores = {(r.slide_id, r.tile_id): r.score for r in text_image_similarity(feats, texts, normalize=False).collect()}
+    assert scores == {(s, i): 2.0 * (10 * s + i) for s in (0, 1) for i in range(3)}
+
+
+def test_left_join_with_nulls_in_the_left_row(spark):
+    left = spark.createDataFrame([(0, 1, 0, 0, 5, 5, None), (0, 2, 90, 90, 95, 95, None), (0, 3, 1, 1, 2, 2, "x")], BOX + ", details string")
+    right = spark.createDataFrame([(0, 9, 4, 4, 8, 8)], BOX)
+    got = sorted(((r.id, r.r_id) for r in spatial_join(left, right, 16, how="left").collect()), key=str)
+    assert got == [(1, 9), (2, None), (3, None)]
+    assert [r.id for r in spatial_join(left, right, 16, how="left_semi").collect()] == [1]
 
 
 def test_nms_single_and_cluster(spark):
@@ -188,6 +267,8 @@ def test_raster_components_and_otsu(spark):
     assert t.first().threshold == 10
     parts = raster.component_shapes(raster.mask_components(raster.binary(px, t)))
     assert sorted(r.area for r in parts.collect()) == [1, 1, 3]
+    wide = spark.createDataFrame([(0, 0, 4095, 1), (0, 1, 0, 1), (0, 2, 1, 1), (1, 3, 0, 1)], "image_id long, y long, x long, v long")
+    assert sorted(r.area for r in raster.component_shapes(raster.mask_components(wide)).collect()) == [1, 1, 2]
     with pytest.raises(ValueError):
         raster.box_blur(px, 2)
     with pytest.raises(ValueError):
