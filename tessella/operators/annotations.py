@@ -1,29 +1,106 @@
-"""Annotations: reading, filtering, joining with shapes, flattening JSON, exporting."""
+"""Annotations: reading, filtering, joining with shapes, flattening JSON, exporting.
+
+A shape has a ``kind`` (Point, LineString, Polygon, or Multi of these) and ``parts``, each a
+``ring`` of points and its ``holes``; lines and points are rings that aren't closed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import os
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import area, box, ring_area
+from tessella.operators.palette import class_colors
+from tessella.operators.polygons import exploded
 from tessella.plans.spatial_join import spatial_join
 
-#: Default colours of classes, by first appearance, as red, green, blue (fixed values).
-COLORS = ((31, 119, 180), (255, 127, 14), (44, 160, 44), (214, 39, 40), (148, 103, 189), (140, 86, 75), (227, 119, 194), (127, 127, 127), (188, 189, 34))
+Colors = None | str | Mapping[str, str] | Sequence[str]
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``properties`` (JSON), ``ring`` and bounds of the polygons of a GeoJSON collection."""
-    rows = spark.read.schema("features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:string>>").json(path, multiLine=True)
-    parts = rows.select(F.explode("features").alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return with_bounds(parts.select(F.col("f.properties").alias("properties"), ring.alias("ring")))
+    """``properties`` (JSON), ``kind`` and ``parts`` of the features of a GeoJSON collection."""
+    rows = spark.read.schema("features array<struct<geometry:struct<type:string,coordinates:string>,properties:string>>").json(path, multiLine=True)
+    shapes = rows.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    deep = lambda n: F.from_json("c", "array<" * n + "double" + ">" * n)
+    points = lambda line: F.transform(line, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    part = lambda ring, holes=none: F.struct(ring.alias("ring"), holes.alias("holes"))
+    polygon = lambda rings: part(points(rings[0]), F.transform(F.slice(rings, F.lit(2), F.size(rings)), points))
+    made = {
+        "Point": F.array(part(points(F.array(deep(1))))),
+        "MultiPoint": F.transform(deep(2), lambda p: part(points(F.array(p)))),
+        "LineString": F.array(part(points(deep(2)))),
+        "MultiLineString": F.transform(deep(3), lambda line: part(points(line))),
+        "Polygon": F.array(polygon(deep(3))),
+        "MultiPolygon": F.transform(deep(4), polygon),
+    }
+    parts = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in made.items()])
+    return shapes.withColumn("parts", parts).where("parts is not null").drop("c")
 
 
 def with_bounds(df: DataFrame) -> DataFrame:
     """Bounds ``x0, y0, x1, y1`` and ``is_area`` of the column ``ring``."""
     side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    return df.withColumns({"x0": side(F.array_min, "x"), "y0": side(F.array_min, "y"), "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")}).withColumn("is_area", (F.size("ring") >= 4) & (ring_area(F.col("ring")) > 0))
+    sides = {"x0": side(F.array_min, "x"), "y0": side(F.array_min, "y"), "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")}
+    return df.withColumns(sides).withColumn("is_area", (F.size("ring") >= 4) & (ring_area(F.col("ring")) > 0))
+
+
+def load_annotations(
+    spark: SparkSession,
+    annotations: str | DataFrame,
+    explode: bool = True,
+    in_bounds: tuple[float, float] | None = None,
+    join_with: Sequence[DataFrame] = (),
+    json_flatten: Mapping[str, Mapping[str, str]] | None = None,
+    min_area: float = 100,
+    slide_id: int = 0,
+    **ndpa: float,
+) -> DataFrame:
+    """Annotations of one slide as rows with ``slide_id, kind, ring, holes`` and bounds.
+
+    ``annotations``: a GeoJSON file, an NDPA file (with what :func:`read_ndpa` needs), or a frame
+    with ``parts`` or a ``ring``. With ``explode``, shapes of several parts become rows, and
+    areas must exceed ``min_area``; without, the first part stands for the shape. JSON columns
+    become the fields named for them. ``in_bounds`` is the origin that is added to places.
+    Joined with each frame of ``join_with``: a row for each shape that an annotation meets.
+    """
+    if isinstance(annotations, str):
+        if annotations.lower().endswith(".ndpa"):
+            rows = read_ndpa(spark, annotations, **ndpa)  # type: ignore[arg-type]
+        else:
+            rows = read_geojson(spark, annotations)
+    elif isinstance(annotations, DataFrame):
+        rows = annotations
+    else:
+        raise ValueError(f"annotations are a path or a frame, not {type(annotations).__name__}")
+    if "parts" in rows.columns:
+        if explode:
+            rows = exploded(rows).withColumn("kind", F.regexp_replace("kind", "^Multi", ""))
+        else:
+            rows = rows.withColumns({"ring": F.col("parts")[0]["ring"], "holes": F.col("parts")[0]["holes"]}).drop("parts")
+    elif "holes" not in rows.columns:
+        rows = rows.withColumn("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))
+    if explode:
+        net = ring_area(F.col("ring")) - F.aggregate("holes", F.lit(0.0), lambda n, h: n + ring_area(h))
+        rows = rows.where((F.col("kind") != "Polygon") | (net > min_area))
+    for column, fields in (json_flatten or {}).items():
+        if column in rows.columns:
+            rows = flatten_json(rows, column, dict(fields))
+    if in_bounds:
+        rows = moved_rings(rows, *in_bounds)
+    out = with_bounds(rows.withColumn("slide_id", F.lit(slide_id).cast("long")))
+    for shapes in join_with:
+        out = annotations_with_shapes(out, shapes)
+    return out
+
+
+def moved_rings(df: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Rings and holes shifted."""
+    shift = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+    return df.withColumns({"ring": shift(F.col("ring")), "holes": F.transform("holes", shift)})
 
 
 NDPA_SCHEMA = "_id string, title string, details string, annotation struct<_type: string, _displayname: string, _color: string, closed: string, x: double, y: double, pointlist: struct<point: array<struct<x: double, y: double>>>>"
@@ -85,22 +162,36 @@ def flatten_json(df: DataFrame, column: str, fields: dict[str, str]) -> DataFram
     return rows.select("*", *[F.col(f"_parsed.{k}").alias(f"{column}_{k}") for k in fields]).drop("_parsed", column)
 
 
-def class_colors(df: DataFrame, classes: str, order: str) -> DataFrame:
-    """``class, color``: QuPath JSON with the default colours by first appearance."""
-    seen = df.groupBy(F.col(classes).alias("class")).agg(F.min(order).alias("first"))
-    place = F.row_number().over(Window.orderBy("first")) - 1
-    palette = F.array(*[F.array(*map(F.lit, c)) for c in COLORS])
-    rgb = F.element_at(palette, (F.pmod(place, F.lit(len(COLORS))) + 1).cast("int"))
-    return seen.select("class", F.to_json(F.struct(F.col("class").alias("name"), rgb.alias("color"))).alias("color"))
+def export_annotations(df: DataFrame, path: str | None = None, classes: str | None = None, order: str | None = None, colors: Colors = None, in_bounds: tuple[float, float] | None = None, format: str = "qupath") -> DataFrame:
+    """``value``: a GeoJSON feature of each row, written as text to ``path`` if given.
 
-
-def export_geojson(df: DataFrame, path: str, classes: str | None = None, order: str | None = None) -> None:
-    """Boxes as GeoJSON features, one a line; with ``classes`` their QuPath classification."""
-    ring = [["x0", "y0"], ["x1", "y0"], ["x1", "y1"], ["x0", "y1"], ["x0", "y0"]]
-    coordinates = F.array(F.array(*[F.array(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in ring]))
+    Rows have a ``ring`` (and ``holes``) or a box. With ``classes`` they get a QuPath
+    classification, coloured as :func:`class_colors` does. ``in_bounds`` is the origin that was
+    added when loading, and is subtracted.
+    """
+    if format != "qupath":
+        raise ValueError(f"unknown format {format!r}; known: qupath")
+    if "ring" not in df.columns and not {"x0", "y0", "x1", "y1"} <= set(df.columns):
+        raise ValueError("there is neither a ring nor a box to export")
+    if path and "://" not in path and not os.path.isdir(os.path.dirname(os.path.abspath(path))):
+        raise ValueError(f"there is no folder {os.path.dirname(os.path.abspath(path))!r}")
+    if "ring" in df.columns:
+        rows = df if "holes" in df.columns else df.withColumn("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))
+        rows = moved_rings(rows, -in_bounds[0], -in_bounds[1]) if in_bounds else rows
+        line = lambda ring: F.transform(ring, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+        coordinates = F.concat(F.array(line(F.col("ring"))), F.transform("holes", line))
+    else:
+        rows = moved(df, -in_bounds[0], -in_bounds[1]) if in_bounds else df
+        corners = [["x0", "y0"], ["x1", "y0"], ["x1", "y1"], ["x0", "y1"], ["x0", "y0"]]
+        coordinates = F.array(F.array(*[F.array(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in corners]))
     props = F.struct()
     if classes:
-        df = df.join(F.broadcast(class_colors(df, classes, order or classes)).withColumnRenamed("class", classes), classes)
-        props = F.struct(F.parse_json("color").alias("classification"))
+        # One row for each class: a bound that the palette of classes has anyhow.
+        named = class_colors(df, classes, order or classes, colors).withColumnRenamed("class", "_class")
+        rows = rows.join(named.withColumnRenamed("color", "_color"), F.col(classes).eqNullSafe(F.col("_class")), "left")
+        props = F.struct(F.parse_json("_color").alias("classification"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"), props.alias("properties"))
-    df.select(F.to_json(feature).alias("value")).write.mode("errorifexists").text(path)
+    out = rows.select(F.to_json(feature).alias("value"))
+    if path:
+        out.write.mode("errorifexists").text(path)
+    return out

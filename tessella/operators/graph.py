@@ -48,6 +48,20 @@ def knn(points: DataFrame, k: int, side: int, wanted: DataFrame | None = None) -
         rings *= 2
 
 
+def radius_pairs(points: DataFrame, radius: float, include_self: bool = False) -> DataFrame:
+    """``slide_id, src, dst, dist`` of every two points at most ``radius`` apart."""
+    if radius <= 0:
+        raise ValueError("a radius must be positive")
+    side = lambda c: F.floor(F.col(c) / radius)
+    a = points.select("slide_id", F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    a = a.withColumn("gx", F.explode(F.transform(around, lambda i: side("ax") + i))).withColumn("gy", F.explode(F.transform(around, lambda i: side("ay") + i)))
+    b = points.select("slide_id", F.col("id").alias("dst"), "x", "y", side("x").alias("gx"), side("y").alias("gy"))
+    apart = F.sqrt(F.pow(F.col("ax") - F.col("x"), 2) + F.pow(F.col("ay") - F.col("y"), 2))
+    near = a.join(b, ["slide_id", "gx", "gy"]).withColumn("dist", apart).where(F.col("dist") <= radius)
+    return near.where(F.lit(include_self) | (F.col("src") != F.col("dst"))).select("slide_id", "src", "dst", "dist")
+
+
 def tile_graph(points: DataFrame, n_neighs: int = 6, n_rings: int = 1, side: int = 512, set_diag: bool = False, transform: str | None = None, delaunay: bool = False) -> DataFrame:
     """The neighbour graph of each slide: ``slide_id, src, dst, w, dist, euclid``.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions.boxes import area, box, ring_of
 from tessella.functions.rings import clipped_area
 from tessella.operators import aggregate, annotations, cells, graph, masks, models, omics, raster, shapes, tiling, viewport
+from tessella.operators.palette import EXPORT_COLORS, class_colors, rgb
 from tessella.operators.similarity import text_image_similarity
 from tessella.plans.spatial_join import spatial_join
 from tessella.sources import adapters
@@ -463,9 +464,13 @@ def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.flatten_json(adapters.cells(spark, sf).select("cell_id", "props"), "props", {"k": "bigint"})
 
 
-@query("export_colors", with_relations("cells", "SELECT class, '{\"name\":\"' || class || '\",\"color\":' || [" + ",".join(f"'[{r},{g},{b}]'" for r, g, b in annotations.COLORS) + "][(row_number() OVER (ORDER BY first) - 1) % 9 + 1] || '}' AS color FROM (SELECT class, min(cell_id) AS first FROM cells GROUP BY class)"))
+_RGB = ", ".join("'[%d,%d,%d]'" % rgb(c) for c in EXPORT_COLORS)
+
+
+@query("export_colors", with_relations("cells", f"""SELECT class, '{{"name":"' || class || '","color":' || [{_RGB}][(row_number() OVER (ORDER BY first) - 1) % 9 + 1] || '}}' AS color
+  FROM (SELECT class, min(cell_id) AS first FROM cells GROUP BY class)"""))
 def export_colors(spark: SparkSession, sf: str) -> DataFrame:
-    return annotations.class_colors(adapters.cells(spark, sf), "class", "cell_id")
+    return class_colors(adapters.cells(spark, sf), "class", "cell_id")
 
 
 # --- raster ----------------------------------------------------------------------------------

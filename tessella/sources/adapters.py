@@ -25,15 +25,17 @@ _FEATURES = """SELECT vec_id AS tile_id, CAST(label AS BIGINT) AS tissue_id, CAS
 _PIXELS = """SELECT tile_id AS image_id, CAST(dim // 8 AS BIGINT) AS y, CAST(dim % 8 AS BIGINT) AS x,
   CAST(greatest(0, least(255, floor((v + 1) * 127.5))) AS BIGINT) AS v FROM features"""
 
+_MOSAIC = """SELECT image_id // 500 AS image_id, image_id % 500 // 25 * 8 + y AS y, image_id % 25 * 8 + x AS x, v FROM pixels"""
+_COLOURS = """SELECT image_id, y, x, v AS r, v * 7 % 256 AS g, v * 3 % 256 AS b FROM pixels"""
+
 #: The relations in DuckDB SQL, each after those that it reads.
-SQL = {"tiles": _TILES, "cells": _CELLS, "tissues": _TISSUES, "features": _FEATURES, "pixels": _PIXELS}
+SQL = {"tiles": _TILES, "cells": _CELLS, "tissues": _TISSUES, "features": _FEATURES, "pixels": _PIXELS, "mosaic": _MOSAIC, "colours": _COLOURS}
+_READS = {"pixels": ["features"], "mosaic": ["features", "pixels"], "colours": ["features", "pixels"]}
 
 
 def with_relations(names: str, body: str) -> str:
     """``body`` with the named relations before it."""
-    needed = names.split()
-    if "pixels" in needed and "features" not in needed:
-        needed = ["features", *needed]
+    needed = list(dict.fromkeys(n for name in names.split() for n in (*_READS.get(name, []), name)))
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in needed) + "\n" + body
 
 
@@ -69,3 +71,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, y, x, v``: every vector as a picture of 8 x 8 grey values."""
     long = features(spark, sf_dir).select(F.col("tile_id").alias("image_id"), F.posexplode("vec").alias("dim", "f"))
     return long.selectExpr("image_id", "cast(dim div 8 as bigint) as y", "cast(dim % 8 as bigint) as x", "cast(greatest(0, least(255, floor((f + 1) * 127.5D))) as bigint) as v")
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, y, x, v``: all pictures of a slide side by side, as its tiles stand."""
+    return pixels(spark, sf_dir).selectExpr("image_id div 500 as image_id", "image_id % 500 div 25 * 8 + y as y", "image_id % 25 * 8 + x as x", "v")
+
+
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, y, x, r, g, b``: pictures with three values a pixel."""
+    return pixels(spark, sf_dir).selectExpr("image_id", "y", "x", "v as r", "v * 7 % 256 as g", "v * 3 % 256 as b")

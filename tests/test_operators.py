@@ -312,12 +312,12 @@ def test_magnification(spark):
 
 def test_annotations_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 0, 0, 4, 2, "a"), (0, 2, 5, 5, 9, 9, "b")], BOX + ", class string")
-    annotations.export_geojson(df, str(tmp_path / "out"), "class", "id")
+    annotations.export_annotations(df, str(tmp_path / "out"), "class", "id")
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(lines) == 2 and all('"classification":{"color":[' in x for x in lines)
     whole = tmp_path / "in.geojson"
     whole.write_text('{"type":"FeatureCollection","features":[' + ",".join(lines) + "]}")
-    back = annotations.read_geojson(spark, str(whole))
+    back = annotations.load_annotations(spark, str(whole), min_area=0)
     assert sorted((r.x0, r.y0, r.x1, r.y1) for r in back.collect()) == [(0, 0, 4, 2), (5, 5, 9, 9)]
     flat = annotations.flatten_json(spark.createDataFrame([(1, '{"k": 3}'), (2, "bad"), (3, None)], "id long, p string"), "p", {"k": "bigint"})
     assert {r.id: r.p_k for r in flat.collect()} == {1: 3, 2: None, 3: None}
