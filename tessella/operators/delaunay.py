@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,25 +14,30 @@ from tessella.plans.session import cut
 
 #: Nearest points that a cell is cut by at first; cells that reach too far get twice as many.
 FIRST = 16
+#: How many times a slide's size the bounds are in which cells of points on its outside end.
+FAR = 10_000.0
 EPS = 1e-9
 
+Bounds = tuple[float, float, float, float]
+
 
-def voronoi_neighbours(dx: np.ndarray, dy: np.ndarray, bounds: tuple[float, float, float, float]) -> tuple[np.ndarray, float]:
-    """Of a point at the origin and others around it: which of them share an edge of its Voronoi
-    cell within ``bounds``, and how far the cell reaches. Cells that meet in a corner alone are
-    no neighbours."""
-    same = (dx == 0) & (dy == 0)
-    if same.any():
-        return np.flatnonzero(same), 0.0
+def voronoi_cell(dx: np.ndarray, dy: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """The cell, within ``bounds``, of a point at the origin among others around it: its corners,
+    and whose edge leads from each to the next (-1 for the bounds)."""
     x0, y0, x1, y1 = bounds
     corners = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], np.float64)
-    owner = np.full(4, -1)  # of the edge from each corner to the next
-    for i in np.argsort(dx * dx + dy * dy, kind="stable"):
-        half = (dx[i] * dx[i] + dy[i] * dy[i]) / 2
-        d = half - corners @ np.array([dx[i], dy[i]])  # positive on this point's side
-        keep = d > -EPS * half
-        if keep.all():
-            continue
+    owner = np.full(4, -1)
+    others = np.stack([dx, dy])
+    half = (dx * dx + dy * dy) / 2
+    order = np.argsort(half, kind="stable")
+    while True:
+        side = half[None, :] - corners @ others  # positive on this point's side
+        cuts = order[(side < -EPS * half[None, :]).any(axis=0)[order]]
+        if not len(cuts):
+            return corners, owner
+        i = cuts[0]
+        d = side[:, i]
+        keep = d > -EPS * half[i]
         new, own = [], []
         for k in range(len(corners)):
             n = (k + 1) % len(corners)
@@ -41,47 +48,85 @@ def voronoi_neighbours(dx: np.ndarray, dy: np.ndarray, bounds: tuple[float, floa
                 new.append(corners[k] + d[k] / (d[k] - d[n]) * (corners[n] - corners[k]))
                 own.append(i if keep[k] else owner[k])
         corners, owner = np.array(new), np.array(own)
-    size = np.hypot(*(np.roll(corners, -1, axis=0) - corners).T)
-    reach = float(np.hypot(*corners.T).max())
-    return np.unique(owner[(owner >= 0) & (size > 1e-6 * max(reach, 1))]), reach
+
+
+def _neighbours(corners: np.ndarray, owner: np.ndarray, beyond: Bounds | None = None) -> np.ndarray:
+    """Owners of the cell's edges; with ``beyond``, of those that leave these bounds. Cells that
+    meet in a corner alone are no neighbours."""
+    ends = np.roll(corners, -1, axis=0)
+    size = np.hypot(*(ends - corners).T)
+    least = 1e-6 * max(float(np.hypot(*corners.T).max()) if beyond is None else 1.0, 1.0)
+    real = (owner >= 0) & (size > least)
+    if beyond is not None:
+        x0, y0, x1, y1 = beyond
+        out = lambda p: (p[:, 0] < x0 - least) | (p[:, 0] > x1 + least) | (p[:, 1] < y0 - least) | (p[:, 1] > y1 + least)
+        real &= out(corners) | out(ends)
+    return np.unique(owner[real])
+
+
+def _cells(rows: Iterator[pd.DataFrame], outside: bool) -> Iterator[pd.DataFrame]:
+    """``certain, dst, open`` of points with others near them. Inside their slide's bounds, or of
+    points on the outside among each other and beyond those bounds."""
+    for part in rows:
+        out = []
+        for r in part.itertuples(index=False):
+            near = [p for p in r.near if p["dst"] != r.id]
+            u, v = np.array([p["u"] for p in near]) - r.x, np.array([p["v"] for p in near]) - r.y
+            bounds = (r.bx0 - r.x - 1, r.by0 - r.y - 1, r.bx1 - r.x + 1, r.by1 - r.y + 1)
+            if outside:
+                far = FAR * max(r.bx1 - r.bx0, r.by1 - r.by0, 1.0)
+                chosen = _neighbours(*voronoi_cell(u, v, (-far, -far, far, far)), bounds)
+                out.append((r.slide_id, r.id, True, False, [near[i]["dst"] for i in chosen]))
+                continue
+            corners, owner = voronoi_cell(u, v, bounds)
+            certain = r.n <= len(near) + 1 or (len(near) > 0 and 2 * np.hypot(*corners.T).max() <= np.hypot(u, v).max())
+            out.append((r.slide_id, r.id, bool(certain), bool((owner < 0).any()), [near[i]["dst"] for i in _neighbours(corners, owner)]))
+        yield pd.DataFrame(out, columns=["slide_id", "id", "certain", "open", "dst"])
+
+
+_SCHEMA = "slide_id long, id long, certain boolean, open boolean, dst array<long>"
 
 
 def delaunay(points: DataFrame, side: int, first: int = FIRST) -> DataFrame:
-    """``slide_id, src, dst``: pairs of ``slide_id, id, x, y`` whose Voronoi cells share an edge
-    within the bounds of their slide, both ways.
+    """``slide_id, src, dst``: pairs of ``slide_id, id, x, y`` whose Voronoi cells share an edge, both ways.
 
-    A cell is certain once it reaches no further than half-way to the furthest point that it was
-    cut by; others are cut again by twice as many, so no slide is ever in one task. Points at
-    one place are neighbours of each other alone.
+    Within the bounds of the slide, a cell is certain once it reaches no further than half-way
+    to the furthest point that it was cut by; others are cut again by twice as many, so no slide
+    is ever in one task. Beyond the bounds only cells that reach them meet, so edges there are
+    found among the points of those cells alone, which are few: the outside of a slide. Of
+    points at one place the smallest id has the place's neighbours; the others are neighbours
+    of that one alone.
     """
     points = cut(points.select("slide_id", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    bounds = points.groupBy("slide_id").agg(F.min("x").alias("bx0"), F.min("y").alias("by0"), F.max("x").alias("bx1"), F.max("y").alias("by1"), F.count("*").alias("n"))
-    most = points.groupBy("slide_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    at = points.join(F.broadcast(bounds) if bounds.count() <= 100_000 else bounds, "slide_id")
-    other = points.select(F.col("slide_id"), F.col("id").alias("dst"), F.col("x").alias("u"), F.col("y").alias("v"))
+    places = cut(points.groupBy("slide_id", "x", "y").agg(F.min("id").alias("id")).select("slide_id", "id", "x", "y"))
+    bounds = places.groupBy("slide_id").agg(F.min("x").alias("bx0"), F.min("y").alias("by0"), F.max("x").alias("bx1"), F.max("y").alias("by1"), F.count("*").alias("n"))
+    bounds = cut(bounds)
+    slides, most = bounds.agg(F.count("*"), F.max("n")).first()
+    at = places.join(F.broadcast(bounds) if slides <= 100_000 else bounds, "slide_id")
+    other = places.select("slide_id", F.col("id").alias("dst"), F.col("x").alias("u"), F.col("y").alias("v"))
+    place = F.struct("dst", "u", "v")
 
-    def neighbours(x, y, bx0, by0, bx1, by1, near, whole):
-        out = []
-        for px, py, a, b, c, d, found, every in zip(x, y, bx0, by0, bx1, by1, near, whole):
-            u, v = np.array([p["u"] for p in found]) - px, np.array([p["v"] for p in found]) - py
-            chosen, reach = voronoi_neighbours(u, v, (a - px - 1, b - py - 1, c - px + 1, d - py + 1)) if len(found) else (np.zeros(0, int), 0.0)
-            certain = bool(every or (len(found) and 2 * reach <= np.hypot(u, v).max()))
-            out.append({"certain": certain, "dst": [found[i]["dst"] for i in chosen]})
-        return pd.DataFrame(out, columns=["certain", "dst"])
-
-    def wrapped(x: pd.Series, y: pd.Series, bx0: pd.Series, by0: pd.Series, bx1: pd.Series, by1: pd.Series, near: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        return neighbours(x, y, bx0, by0, bx1, by1, near, whole)
-
-    cell = F.pandas_udf(wrapped, "certain boolean, dst array<long>")
-    k, done, open_ids = first, None, None
+    k, found, open_ids = first, [], None
+    reaching = []
     while True:
-        near = knn(points, k, side, open_ids)
-        lists = near.join(other, ["slide_id", "dst"]).groupBy("slide_id", F.col("src").alias("id")).agg(F.collect_list(F.struct("dst", "u", "v")).alias("near"))
-        cells = lists.join(at, ["slide_id", "id"]).select("slide_id", "id", cell("x", "y", "bx0", "by0", "bx1", "by1", "near", F.col("n") <= k + 1).alias("c"))
-        cells = cut(cells.select("slide_id", "id", "c.certain", "c.dst"))
-        ready = cells.where("certain").select("slide_id", F.col("id").alias("src"), F.explode("dst").alias("dst"))
-        done = ready if done is None else done.unionByName(ready)
+        near = knn(places, k, side, open_ids)
+        lists = near.join(other, ["slide_id", "dst"]).groupBy("slide_id", F.col("src").alias("id")).agg(F.collect_list(place).alias("near"))
+        cells = cut(lists.join(at, ["slide_id", "id"]).mapInPandas(lambda rows: _cells(rows, False), _SCHEMA))
+        found.append(cells.where("certain"))
         open_ids = cells.where("not certain").select("slide_id", F.col("id").alias("src"))
-        if k >= most or open_ids.limit(1).count() == 0:
-            return done.unionByName(done.select("slide_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        if k >= (most or 0) or open_ids.isEmpty():
+            break
         k *= 2
+    for part in found:
+        reaching.append(part.where("open").select("slide_id", "id"))
+    edge = reaching[0]
+    for part in reaching[1:]:
+        edge = edge.unionByName(part)
+    edge = cut(edge)
+    around = other.join(edge.withColumnRenamed("id", "dst"), ["slide_id", "dst"], "left_semi").groupBy("slide_id").agg(F.collect_list(place).alias("near"))
+    found.append(edge.join(at, ["slide_id", "id"]).join(around, "slide_id").mapInPandas(lambda rows: _cells(rows, True), _SCHEMA))
+    pairs = points.join(places.withColumnRenamed("id", "dst"), ["slide_id", "x", "y"]).where("id <> dst").select("slide_id", F.col("id").alias("src"), "dst")
+    for part in found:
+        pairs = pairs.unionByName(part.select("slide_id", F.col("id").alias("src"), F.explode("dst").alias("dst")))
+    pairs = cut(pairs)
+    return pairs.unionByName(pairs.select("slide_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

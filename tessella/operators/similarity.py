@@ -1,4 +1,4 @@
-"""Scores of every tile's vector against text vectors, in blocks of texts."""
+"""Scores of every tile's vector against text vectors: blocks of tiles meet blocks of texts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.plans.session import bounded_batches, ship_package
 
-#: Texts that are broadcast at once; more are scored block by block.
+#: Texts of a block; one block is broadcast, several meet the tiles' blocks in a join.
 TEXTS_AT_ONCE = 2_000
 
 
@@ -28,6 +28,19 @@ def _cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 SCORES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"dot": lambda a, b: a @ b.T, "euclidean": _euclidean, "cosine": _cosine_distance, "cityblock": lambda a, b: np.stack([np.abs(a - t).sum(1) for t in b], axis=1)}
 
 
+def _packed(keys: list[str]) -> Callable:
+    """A row for each batch of tiles: their keys and the matrix of their vectors, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                matrix = np.array(batch.column("vec").to_pylist(), np.float64)
+                own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in keys]
+                yield pa.RecordBatch.from_pydict({"own": pa.array([own], pa.list_(pa.binary())), "matrix": pa.array([matrix.tobytes()], pa.binary()), "width": pa.array([matrix.shape[1]], pa.int32())})
+
+    return run
+
+
 def text_image_similarity(features: DataFrame, texts: DataFrame, scoring: str | Callable = "dot", normalize: bool = True, softmax: bool = False) -> DataFrame:
     """``tile_id, text_id, score`` of every tile and text, with ``slide_id`` if the tiles have one.
 
@@ -41,36 +54,28 @@ def text_image_similarity(features: DataFrame, texts: DataFrame, scoring: str |
     spark = features.sparkSession
     ship_package(spark)
     bounded_batches(spark)
-    n = texts.count()
-    blocks = max(1, -(-n // TEXTS_AT_ONCE))
     keys = [c for c in ("slide_id", "tile_id") if c in features.columns]
-    schema = "".join(f"{c} long, " for c in keys) + "text_id long, score double"
-    out = None
-    for b in range(blocks):
-        part = texts if blocks == 1 else texts.where(F.pmod(F.hash("text_id"), F.lit(blocks)) == b)
-        rows = part.orderBy("text_id").collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(([r["text_id"] for r in rows], np.array([r["vec"] for r in rows], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                a = np.array(batch.column("vec").to_pylist(), np.float64)
+    blocks = max(1, -(-texts.count() // TEXTS_AT_ONCE))
+    block = F.pmod(F.hash("text_id"), F.lit(blocks))
+    listed = texts.select(block.alias("block"), F.struct(F.col("text_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).alias("t"))
+    packed = listed.groupBy("block").agg(F.array_sort(F.collect_list("t")).alias("texts"))
+    rows = features.select(*[F.col(c).cast("long") for c in keys], "vec").mapInArrow(_packed(keys), "own array<binary>, matrix binary, width int")
+    pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(packed) if blocks == 1 else packed, "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a = np.frombuffer(r["matrix"], np.float64).reshape(-1, r["width"])
                 if normalize:
                     a = a / np.maximum(np.sqrt((a * a).sum(1)), 1e-12)[:, None]
-                s = score(a, matrix)
+                ids = [t["id"] for t in r["texts"]]
+                s = score(a, np.array([t["vec"] for t in r["texts"]], np.float64))
                 if s.shape != (len(a), len(ids)):
                     raise ValueError(f"scoring gave {s.shape}, not {(len(a), len(ids))}")
-                own = {c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), len(ids)), pa.int64()) for c in keys}
+                own = {c: pa.array(np.repeat(np.frombuffer(x, np.int64), len(ids))) for c, x in zip(keys, r["own"])}
                 yield pa.RecordBatch.from_pydict(own | {"text_id": pa.array(ids * len(a), pa.int64()), "score": pa.array(s.ravel())})
 
-        scored = features.select(*keys, "vec").mapInArrow(run, schema)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        return features.sparkSession.createDataFrame([], schema)
+    out = pairs.select("own", "matrix", "width", "texts").mapInArrow(run, "".join(f"{c} long, " for c in keys) + "text_id long, score double")
     if softmax:
         from tessella.operators.graph import softmax as over
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import box, ring_of
-from tessella.operators import aggregate, annotations, cells, graph, models, omics, raster, shapes, tiling
+from tessella.operators import aggregate, annotations, cells, graph, models, omics, raster, shapes, similarity, tiling
 from tessella.operators.similarity import text_image_similarity
 from tessella.plans.components import connected_components
 from tessella.plans.spatial_join import spatial_join
@@ -116,12 +116,15 @@ def test_encoders_and_topk(spark):
         aggregate.feature_aggregation(feats, (), "mode")
 
 
-def test_softmax_rows_sum_to_one(spark):
+def test_softmax_rows_sum_to_one(spark, monkeypatch):
     feats = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(4)], "tile_id long, vec array<double>")
     texts = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(3)], "text_id long, vec array<double>")
     sums = text_image_similarity(feats, texts, softmax=True).groupBy("tile_id").agg(F.sum("score").alias("s")).collect()
     assert len(sums) == 4 and all(r.s == pytest.approx(1) for r in sums)
     assert text_image_similarity(feats, texts.limit(0)).count() == 0
+    whole = {tuple(r) for r in text_image_similarity(feats, texts).collect()}
+    monkeypatch.setattr(similarity, "TEXTS_AT_ONCE", 1)
+    assert {tuple(r) for r in text_image_similarity(feats, texts).collect()} == whole and len(whole) == 12
     with pytest.raises(ValueError):
         text_image_similarity(feats, texts, "nothing")
 
