@@ -68,7 +68,7 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def ring_moments(ring: Column) -> dict[str, Column]:
-    """Area moments up to order two, about the origin, by Green's theorem over the edges."""
+    """Area moments up to order three, about the origin, by Green's theorem over the edges."""
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
     sign = F.signum(signed_area(ring))
     terms = {
@@ -78,6 +78,10 @@ def ring_moments(ring: Column) -> dict[str, Column]:
         "m20": (12, lambda p, q: p["x"] * p["x"] + p["x"] * q["x"] + q["x"] * q["x"]),
         "m02": (12, lambda p, q: p["y"] * p["y"] + p["y"] * q["y"] + q["y"] * q["y"]),
         "m11": (24, lambda p, q: p["x"] * (2 * p["y"] + q["y"]) + q["x"] * (p["y"] + 2 * q["y"])),
+        "m30": (20, lambda p, q: (p["x"] + q["x"]) * (p["x"] * p["x"] + q["x"] * q["x"])),
+        "m03": (20, lambda p, q: (p["y"] + q["y"]) * (p["y"] * p["y"] + q["y"] * q["y"])),
+        "m21": (60, lambda p, q: p["x"] * p["x"] * (3 * p["y"] + q["y"]) + 2 * p["x"] * q["x"] * (p["y"] + q["y"]) + q["x"] * q["x"] * (p["y"] + 3 * q["y"])),
+        "m12": (60, lambda p, q: p["y"] * p["y"] * (3 * p["x"] + q["x"]) + 2 * p["y"] * q["y"] * (p["x"] + q["x"]) + q["y"] * q["y"] * (p["x"] + 3 * q["x"])),
     }
 
     def moment(over: int, of) -> Column:

@@ -14,7 +14,8 @@ ENCODERS: dict[str, Callable[[str], Column]] = {
     "std": F.stddev_pop, "var": F.var_pop,
     "ptp": lambda c: F.max(c) - F.min(c),
 }
-ENCODERS |= {f"nan{k}": lambda c, f=f: f(F.nanvl(F.col(c), F.lit(None))) for k, f in list(ENCODERS.items()) if k not in ("ptp", "prod")}
+#: The same without what isn't a number; a group of nothing else gives null.
+ENCODERS |= {f"nan{k}": lambda c, f=f: f(F.nanvl(F.col(c), F.lit(None))) for k, f in list(ENCODERS.items())}
 
 
 def long_form(features: DataFrame, *keys: str, vec: str = "vec") -> DataFrame:
@@ -49,6 +50,7 @@ def topk_score(features: DataFrame, k: int = 5, agg_method: str = "max", key: st
 def minmax_scaled(features: DataFrame, key: str = "tile_id") -> DataFrame:
     """Every dimension scaled to [-1, 1]; a constant one becomes -1."""
     rows = long_form(features, key)
+    # One row a dimension: as many as a vector is long.
     bounds = rows.groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     scaled = F.coalesce(2 * (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) - 1, F.lit(-1.0))
     return rows.join(F.broadcast(bounds), "dim").select(key, "dim", scaled.alias("v"))
@@ -57,6 +59,7 @@ def minmax_scaled(features: DataFrame, key: str = "tile_id") -> DataFrame:
 def percentile_clip(features: DataFrame, low: float = 0.01, high: float = 0.999, key: str = "tile_id") -> DataFrame:
     """Every dimension clipped at two percentiles and stretched to 0..255."""
     rows = long_form(features, key)
+    # One row a dimension: as many as a vector is long.
     bounds = rows.groupBy("dim").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
     joined = rows.join(F.broadcast(bounds), "dim")
     lo, hi = F.col("p")[0], F.col("p")[1]

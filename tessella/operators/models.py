@@ -16,18 +16,16 @@ from tessella.plans.session import bounded_batches, ship_package
 Matrix = np.ndarray
 
 
-def random_projection(width: int, seed: int = 3) -> Callable[[Matrix], Matrix]:
-    """A fixed linear map to ``width`` numbers: a stand-in where no trained model is at hand."""
+#: Models by name: they turn a matrix of images (a row each) into one of vectors. ``register``
+#: adds one.
+MODELS: dict[str, Callable[[Matrix], Matrix]] = {"moments": lambda x: np.stack([x.mean(1), x.std(1), x.min(1), x.max(1)], axis=1)}
 
-    def encode(x: Matrix) -> Matrix:
-        rng = np.random.default_rng(seed)
-        return x @ (rng.standard_normal((x.shape[1], width)) / np.sqrt(x.shape[1]))
 
-    return encode
-
-
-#: Models by name: they turn a matrix of images (a row each) into one of vectors.
-MODELS: dict[str, Callable[[Matrix], Matrix]] = {"projection16": random_projection(16), "moments": lambda x: np.stack([x.mean(1), x.std(1), x.min(1), x.max(1)], axis=1)}
+def register(name: str, model: Callable[[Matrix], Matrix]) -> None:
+    """Makes a model known by a name."""
+    if name in MODELS:
+        raise ValueError(f"there is a model {name!r} already")
+    MODELS[name] = resolve(model)
 
 
 def resolve(model: str | Callable) -> Callable[[Matrix], Matrix]:
@@ -86,6 +84,7 @@ def zero_shot_scores(aggregated: DataFrame, prompts: Mapping[str, list[float]],
     from tessella.operators.graph import softmax
 
     spark = aggregated.sparkSession
+    # The prompts are the caller's own list; every group meets each of them.
     rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in prompts.items()], "prompt string, pv array<double>")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = aggregated.join(F.broadcast(rows)).withColumn("s", dot("vec", "pv") / F.sqrt(dot("vec", "vec") * dot("pv", "pv")))

@@ -15,9 +15,12 @@ from tessella.plans.components import slide_components
 from tessella.plans.spatial_join import spatial_join
 
 
-def tissue_props(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """Descriptors of every ring: area, perimeter, bounds, centroid, extent, circularity."""
+def tissue_props(df: DataFrame, ring: str = "ring", holes: str | None = None) -> DataFrame:
+    """Descriptors of every ring: area, perimeter, bounds, centroid, extent, circularity. The area
+    is without ``holes``, if that column is named; what else there is is of the ring alone."""
     a, p = ring_area(F.col(ring)), ring_length(F.col(ring))
+    if holes:
+        a = a - F.aggregate(holes, F.lit(0.0), lambda n, h: n + ring_area(h))
     cx, cy = ring_centroid(F.col(ring))
     side = lambda f, c: f(F.transform(ring, lambda q: q[c]))
     rows = df.withColumns({"area": a, "perimeter": p, "centroid_x": cx, "centroid_y": cy, "bx0": side(F.array_min, "x"), "by0": side(F.array_min, "y"), "bx1": side(F.array_max, "x"), "by1": side(F.array_max, "y")})
@@ -60,7 +63,7 @@ def ellipse_props(df: DataFrame, ring: str = "ring") -> DataFrame:
     """Axes, eccentricity and orientation of the ellipse of the same second moments, and the
     hull's area with solidity and convexity."""
     m = ring_moments(F.col(ring))
-    rows = df.withColumns(m)
+    rows = df.withColumns({k: m[k] for k in ("m00", "m10", "m01", "m20", "m02", "m11")})
     a = F.nullif(F.col("m00"), F.lit(0.0))
     u20 = F.col("m20") / a - F.pow(F.col("m10") / a, 2)
     u02 = F.col("m02") / a - F.pow(F.col("m01") / a, 2)
@@ -74,6 +77,33 @@ def ellipse_props(df: DataFrame, ring: str = "ring") -> DataFrame:
     return rows.withColumns({"solidity": F.col("m00") / F.nullif(F.col("convex_area"), F.lit(0.0)), "convexity": F.col("convex_area") / a}).drop("u20", "u02", "u11")
 
 
+def hu_moments(df: DataFrame, ring: str = "ring") -> DataFrame:
+    """``hu1`` to ``hu7``: invariants of a ring's shape under moves, turns and scaling."""
+    rows = df.withColumns({f"_{k}": v for k, v in ring_moments(F.col(ring)).items()})
+    m = lambda k: F.col(f"_m{k}")
+    a = F.nullif(m("00"), F.lit(0.0))
+    cx, cy = m("10") / a, m("01") / a
+    central = {
+        "20": m("20") - cx * m("10"), "02": m("02") - cy * m("01"), "11": m("11") - cx * m("01"),
+        "30": m("30") - 3 * cx * m("20") + 2 * cx * cx * m("10"), "03": m("03") - 3 * cy * m("02") + 2 * cy * cy * m("01"),
+        "21": m("21") - 2 * cx * m("11") - cy * m("20") + 2 * cx * cx * m("01"), "12": m("12") - 2 * cy * m("11") - cx * m("02") + 2 * cy * cy * m("10"),
+    }
+    rows = rows.withColumns({f"_n{k}": v / F.pow(a, 1 + (int(k[0]) + int(k[1])) / 2) for k, v in central.items()})
+    n20, n02, n11, n30, n03, n21, n12 = (F.col(f"_n{k}") for k in central)
+    p, q = n30 + n12, n21 + n03
+    s, t = n30 - 3 * n12, 3 * n21 - n03
+    hu = [
+        n20 + n02,
+        (n20 - n02) * (n20 - n02) + 4 * n11 * n11,
+        s * s + t * t,
+        p * p + q * q,
+        s * p * (p * p - 3 * q * q) + t * q * (3 * p * p - q * q),
+        (n20 - n02) * (p * p - q * q) + 4 * n11 * p * q,
+        t * p * (p * p - 3 * q * q) - s * q * (3 * p * p - q * q),
+    ]
+    return rows.select(*df.columns, *[h.alias(f"hu{i + 1}") for i, h in enumerate(hu)])
+
+
 def polygon_coverage(tiles: DataFrame, polygons: DataFrame, cell: int = 512) -> DataFrame:
     """``slide_id, tile_id, tissue_id, coverage`` of tiles that meet a polygon's bounds.
 

@@ -55,7 +55,8 @@ def text_image_similarity(features: DataFrame, texts: DataFrame, scoring: str |
     ship_package(spark)
     bounded_batches(spark)
     keys = [c for c in ("slide_id", "tile_id") if c in features.columns]
-    blocks = max(1, -(-texts.count() // TEXTS_AT_ONCE))
+    at_once = int(spark.conf.get("spark.tessella.texts_at_once", None) or TEXTS_AT_ONCE)
+    blocks = max(1, -(-texts.count() // at_once))
     block = F.pmod(F.hash("text_id"), F.lit(blocks))
     listed = texts.select(block.alias("block"), F.struct(F.col("text_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).alias("t"))
     packed = listed.groupBy("block").agg(F.array_sort(F.collect_list("t")).alias("texts"))

@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only a session without that
-    setting (a test, a laptop) gets a folder of its own.
+    It is what the cluster names in ``spark.checkpoint.dir``; only a session of one machine
+    without that setting (a test, a laptop) gets a folder of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -50,7 +52,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for rows with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    rows = spark.conf.get("spark.tessella.batch_rows", None) or str(ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 

@@ -648,7 +648,15 @@ def class_names(spark: SparkSession, sf: str) -> DataFrame:
     return masks.class_names(rows, "c", {1: "stroma", 2: "tumour"}).select("image_id", "y", "x", "class")
 
 
-@query("find_tissues")
+_SMOOTH = f", smooth AS (SELECT p.image_id, p.y, p.x, CAST(floor(quantile_cont(q.v, 0.5)) AS BIGINT) AS v FROM {_AROUND} GROUP BY ALL)"
+_CLOSED = """, on1 AS (SELECT image_id, y, x, CAST(v > threshold AS BIGINT) AS v FROM smooth JOIN t USING (image_id)),
+  wide AS (SELECT p.image_id, p.y, p.x, max(q.v) AS v FROM on1 p JOIN on1 q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL),
+  closed AS (SELECT p.image_id, p.y, p.x, min(q.v) AS v FROM wide p JOIN wide q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL),
+  m AS (SELECT image_id, y, x, y * 8 + x AS p FROM closed WHERE v = 1)"""
+_TISSUES_SQL = " SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY root) - 1 AS tissue_id, area * 1024 AS area, x0 * 32 AS x0, y0 * 32 AS y0, x1 * 32 AS x1, y1 * 32 AS y1 FROM (SELECT image_id, root, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l32 JOIN m USING (image_id, p) GROUP BY ALL HAVING count(*) > 4)"
+
+
+@query("find_tissues", with_relations("pixels", _SMOOTH + ", " + _HIST.replace("FROM pixels", "FROM smooth") + _CLOSED + _CC[_CC.index(", e AS (") :] + _TISSUES_SQL))
 def find_tissues(spark: SparkSession, sf: str) -> DataFrame:
     return masks.find_tissues(adapters.pixels(spark, sf), scale=32)
 

@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.boxes import area, box, ring_area, ring_of
-from tessella.operators import aggregate, annotations, cells, graph, models, palette, polygons, raster, segmentation, transforms, viewport
+from tessella.functions.boxes import box, ring_area, ring_of
+from tessella.operators import aggregate, annotations, cells, graph, models, palette, polygons, segmentation, shapes, transforms, viewport
 from tessella.operators.similarity import text_image_similarity
 from tessella.queries import Query, r6
 from tessella.sources import adapters, images
@@ -358,6 +358,30 @@ def instance_scores(spark: SparkSession, sf: str) -> DataFrame:
     return cells.metrics(stats).select("slide_id", *map(r6, names))
 
 
+# --- values that aren't numbers, and shapes --------------------------------------------------
+
+_HOLED = ", holed AS (SELECT * FROM features WHERE NOT (dim % 7 = 0 AND tile_id % 5 = 0))"
+
+
+def _holed(encoder: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        value = lambda v, i: F.when((i % 7 == 0) & (F.col("tile_id") % 5 == 0), F.lit(float("nan"))).otherwise(v)
+        rows = adapters.features(spark, sf).withColumn("vec", F.transform("vec", value))
+        return aggregate.feature_aggregation(rows, ("tissue_id",), encoder).withColumn("value", r6("value"))
+
+    return run
+
+
+for _name, _sql in {"nanmean": "avg(v)", "nanmedian": "quantile_cont(v, 0.5)", "nanptp": "max(v) - min(v)", "nanstd": "stddev_pop(v)", "nansum": "sum(v)", "nanmax": "max(v)"}.items():
+    query(f"feature_agg_{_name}", with_relations("features", f"{_HOLED} SELECT tissue_id, dim, round({_sql}, 6) AS value FROM holed GROUP BY ALL"))(_holed(_name))
+
+
+@query("hu_moments", with_relations("tissues", """SELECT tissue_id, round((w / h + h / w) / 12, 6) AS hu1, round((w / h - h / w) * (w / h - h / w) / 144, 6) AS hu2
+  FROM (SELECT tissue_id, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM tissues)"""))
+def hu_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return shapes.hu_moments(adapters.tissues(spark, sf).withColumn("ring", ring_of(box()))).select("tissue_id", r6("hu1"), r6("hu2"))
+
+
 # --- projections -----------------------------------------------------------------------------
 
 

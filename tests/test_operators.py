@@ -299,7 +299,10 @@ def test_models_contracts(spark):
         models.feature_prediction(feats, lambda x: {}, ())
     with pytest.raises(Exception):
         models.feature_prediction(feats, lambda x: {"t": x.sum(1)}, ("s",)).collect()
-    assert models.feature_extraction(feats, "projection16").first().vec.__len__() == 16
+    models.register("halves", lambda x: x / 2)
+    assert {r.tile_id: r.vec for r in models.feature_extraction(feats, "halves").collect()}[3] == [1.5, 1.0]
+    with pytest.raises(ValueError):
+        models.register("moments", lambda x: x)
     with pytest.raises(ValueError):
         models.resolve("nothing")
     probs = models.zero_shot_scores(aggregate.as_vectors(aggregate.feature_aggregation(feats, ("tile_id",)), ("tile_id",)), {"a": [1, 0], "b": [0, 1]}, ("tile_id",))

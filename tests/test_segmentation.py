@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import annotations, models, palette, segmentation, viewport
+from tessella.operators import annotations, models, palette, segmentation, shapes, viewport
 from tessella.plans.session import shared_dir
 
 BOX = "slide_id long, {} long, x0 long, y0 long, x1 long, y1 long"
@@ -212,5 +212,22 @@ def test_export_is_checked(spark, tmp_path):
         annotations.export_annotations(df.select("id"))
 
 
+def test_hu_moments_and_holes(spark):
+    """Against pixel sums of a fine drawing of a triangle; invariant to a turn and a scaling."""
+    rings = [[(0, 0), (90, 0), (0, 30), (0, 0)], [(0, 0), (0, 180), (-60, 0), (0, 0)]]
+    rows = [(i, [{"x": float(x), "y": float(y)} for x, y in r], [[{"x": float(x), "y": float(y)} for x, y in ((1, 1), (3, 1), (3, 3), (1, 3), (1, 1))]]) for i, r in enumerate(rings)]
+    df = spark.createDataFrame(rows, "id long, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>")
+    a, b = (np.array(r[3:]) for r in shapes.hu_moments(df).orderBy("id").collect())
+    assert a == pytest.approx(b, rel=1e-6, abs=1e-12)
+    y, x = np.mgrid[0:3000, 0:9000] / 100 + 0.005
+    on = y / 30 + x / 90 < 1
+    x, y, area = x[on], y[on], on.sum() / 1e4
+    n = lambda p, q: ((x - x.mean()) ** p * (y - y.mean()) ** q).sum() / 1e4 / area ** (1 + (p + q) / 2)
+    assert a[0] == pytest.approx(n(2, 0) + n(0, 2), rel=1e-3)
+    assert a[1] == pytest.approx((n(2, 0) - n(0, 2)) ** 2 + 4 * n(1, 1) ** 2, rel=1e-3)
+    assert a[2] == pytest.approx((n(3, 0) - 3 * n(1, 2)) ** 2 + (3 * n(2, 1) - n(0, 3)) ** 2, rel=1e-3)
+    assert shapes.tissue_props(df, holes="holes").where("id = 0").first().area == 1350 - 4
+
+
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark).startswith("file://")
