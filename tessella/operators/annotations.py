@@ -106,13 +106,15 @@ def moved_rings(df: DataFrame, dx: float, dy: float) -> DataFrame:
 NDPA_SCHEMA = "_id string, title string, details string, annotation struct<_type: string, _displayname: string, _color: string, closed: string, x: double, y: double, pointlist: struct<point: array<struct<x: double, y: double>>>>"
 
 
-def read_ndpa(spark: SparkSession, path: str, mpp_x: float | None, mpp_y: float | None, x_offset: float | None, y_offset: float | None, width: int, height: int) -> DataFrame:
+def read_ndpa(spark: SparkSession, path: str, mpp_x: float | None, mpp_y: float | None, x_offset: float | None, y_offset: float | None, width: int, height: int, mpp: float | None = None) -> DataFrame:
     """Annotations of an NDPA file in level-0 pixels: ``ndpa_id, title, details,
     annotation_type, display_name, color, closed, kind, ring``.
 
     Pins are points; lists of three or more points that are closed are polygons, others lines;
-    annotations without a point are skipped.
+    annotations without a point are skipped. ``mpp`` stands in for a resolution that isn't given
+    by direction.
     """
+    mpp_x, mpp_y = (mpp if m is None else m for m in (mpp_x, mpp_y))
     if None in (mpp_x, mpp_y) or None in (x_offset, y_offset):
         raise ValueError("the slide gives no resolution or no offset, so coordinates can't be placed")
     rows = spark.read.format("xml").option("rowTag", "ndpviewstate").schema(NDPA_SCHEMA).load(path)

@@ -89,7 +89,8 @@ def nms(boxes: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: st
 
 
 def _suppressed(boxes: DataFrame, pairs: DataFrame, id_col: str, prob_col: str) -> DataFrame:
-    """The boxes that suppression along ``pairs`` keeps."""
+    """The boxes that suppression along ``pairs`` keeps; those without an area go."""
+    boxes = boxes.where("x1 > x0 and y1 > y0")
     pairs = cut(pairs)
     parts = cut(slide_components(pairs, "a", "b", id_col))
     members = parts.join(boxes.select("slide_id", id_col, F.col(prob_col).cast("double").alias("prob")), ["slide_id", id_col])

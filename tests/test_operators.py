@@ -215,6 +215,11 @@ def test_nms_equals_a_walk_over_all_boxes(spark, seed):
     assert {(r.slide_id, r.cell_id) for r in got} == plain_nms(rows) and len(got) == len(plain_nms(rows))
 
 
+def test_nms_drops_degenerate_boxes(spark):
+    rows = [(0, 0, 0, 0, 10, 10, 0.5), (0, 1, 5, 5, 5, 9, 0.9), (0, 2, 100, 100, 110, 110, 0.1)]
+    assert {r.cell_id for r in cells.nms(spark.createDataFrame(rows, CELL)).collect()} == {0, 2}
+
+
 def test_nms_keeps_what_the_walk_left(spark):
     chain = [(s, i, 6 * i, 0, 6 * i + 10, 10, p) for s in (0, 1) for i, p in enumerate((0.1, 0.5, 0.9))]
     got = cells.nms(spark.createDataFrame(chain, CELL)).collect()
@@ -341,6 +346,8 @@ def test_ndpa(spark, tmp_path):
     assert got["1"].kind == "Polygon" and len(got["1"].ring) == 5
     assert (got["1"].ring[0].x, got["1"].ring[0].y) == (300.0, 300.0)
     assert got["2"].kind == "Point" and (got["2"].ring[0].x, got["2"].ring[0].y) == (500.0, 400.0)
+    half = {r.ndpa_id: r for r in annotations.read_ndpa(spark, str(tmp_path / "a.ndpa"), None, 1.0, 0, 0, 1000, 800, mpp=0.5).collect()}
+    assert (half["1"].ring[0].x, half["1"].ring[0].y) == (300.0, 350.0)
     with pytest.raises(ValueError):
         annotations.read_ndpa(spark, "x", None, None, 0, 0, 1, 1)
 
