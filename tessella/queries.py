@@ -64,15 +64,24 @@ def _topk(method: str) -> Query:
 
 
 for _name in ("max", "mean", "median", "sum"):
-    query(f"topk_score_{_name}", with_relations("features", f"SELECT dim, round({'avg(v)' if _name == 'mean' else 'quantile_cont(v, 0.5)' if _name == 'median' else _name + '(v)'}, 6) AS score FROM (SELECT dim, v FROM features QUALIFY row_number() OVER (PARTITION BY dim ORDER BY v DESC, tile_id) <= 5) GROUP BY dim"))(_topk(_name))
+    query(f"topk_score_{_name}", with_relations("features", (
+        f"SELECT dim, round({'avg(v)' if _name == 'mean' else 'quantile_cont(v, 0.5)' if _name == 'median' else _name + '(v)'}, 6) AS score"
+        " FROM (SELECT dim, v FROM features QUALIFY row_number() OVER (PARTITION BY dim ORDER BY v DESC, tile_id) <= 5) GROUP BY dim"
+    )))(_topk(_name))
 
 
-@query("minmax_scale", with_relations("features", "SELECT tile_id, dim, round(2 * (v - min(v) OVER d) / (max(v) OVER d - min(v) OVER d) - 1, 6) AS v FROM features WINDOW d AS (PARTITION BY dim)"))
+@query("minmax_scale", with_relations("features", (
+    "SELECT tile_id, dim, round(2 * (v - min(v) OVER d) / (max(v) OVER d - min(v) OVER d) - 1, 6) AS v FROM features"
+    " WINDOW d AS (PARTITION BY dim)"
+)))
 def minmax_scale(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.minmax_scaled(adapters.features(spark, sf)).select("tile_id", "dim", r6("v"))
 
 
-@query("percentile_clip", with_relations("features", "SELECT tile_id, dim, round(255 * (least(greatest(v, lo), hi) - lo) / (hi - lo), 6) AS v FROM features JOIN (SELECT dim, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.999) AS hi FROM features GROUP BY dim) USING (dim)"))
+@query("percentile_clip", with_relations("features", (
+    "SELECT tile_id, dim, round(255 * (least(greatest(v, lo), hi) - lo) / (hi - lo), 6) AS v FROM features"
+    " JOIN (SELECT dim, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.999) AS hi FROM features GROUP BY dim) USING (dim)"
+)))
 def percentile_clip(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.percentile_clip(adapters.features(spark, sf)).select("tile_id", "dim", r6("v"))
 
@@ -117,7 +126,10 @@ _PATCHES = "patches AS (SELECT slide_id, cell_id AS tile_id, x0, y0, x0 + 128 AS
 
 
 def _coverage_sql(where: str) -> str:
-    return with_relations("cells tissues", f", {_PATCHES} SELECT p.slide_id, p.tile_id, t.tissue_id, round({_OVERLAP.format(a='p.', b='t.')} / 16384.0::DOUBLE, 6) AS coverage FROM patches p JOIN tissues t ON p.slide_id = t.slide_id AND p.x0 <= t.x1 AND t.x0 <= p.x1 AND p.y0 <= t.y1 AND t.y0 <= p.y1 {where}")
+    return with_relations("cells tissues", (
+        f", {_PATCHES} SELECT p.slide_id, p.tile_id, t.tissue_id, round({_OVERLAP.format(a='p.', b='t.')} / 16384.0::DOUBLE, 6) AS coverage"
+        f" FROM patches p JOIN tissues t ON p.slide_id = t.slide_id AND p.x0 <= t.x1 AND t.x0 <= p.x1 AND p.y0 <= t.y1 AND t.y0 <= p.y1 {where}"
+    ))
 
 
 @query("tile_tissue_coverage", _coverage_sql(f"WHERE {_OVERLAP.format(a='p.', b='t.')} / 16384.0::DOUBLE >= 0.7"))
@@ -130,13 +142,20 @@ def tile_tissue_touch(spark: SparkSession, sf: str) -> DataFrame:
     return tiling.tiles_over_tissues(_patches(spark, sf), adapters.tissues(spark, sf), background_fraction=None).withColumn("coverage", r6("coverage"))
 
 
-@query("tile_slide_fallback", "WITH tissues AS (" + adapters.SQL["tissues"] + "), slides AS (SELECT slide_id, CAST(NULL AS BIGINT) AS tissue_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM tissues GROUP BY slide_id), " + _grid_sql(512, 512, False).replace("FROM tissues", "FROM slides") + " SELECT slide_id, place AS tile_id, tissue_id, x0, y0, x1, y1 FROM grid")
+@query("tile_slide_fallback", "WITH tissues AS (" + adapters.SQL["tissues"] + (
+    "), slides AS (SELECT slide_id, CAST(NULL AS BIGINT) AS tissue_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM tissues"
+    " GROUP BY slide_id), "
+) + _grid_sql(512, 512, False).replace("FROM tissues", "FROM slides") + " SELECT slide_id, place AS tile_id, tissue_id, x0, y0, x1, y1 FROM grid")
 def tile_slide_fallback(spark: SparkSession, sf: str) -> DataFrame:
     slides = shapes.bounds_of(adapters.tissues(spark, sf), "slide_id").withColumn("tissue_id", F.lit(None).cast("long"))
     return tiling.tiles_from_boxes(slides, 512, 512, False).withColumnRenamed("place", "tile_id")
 
 
-@query("subdivide_tiles", with_relations("tiles", "SELECT tile_id * 8 + i AS tile_id, tile_id AS original_tile_id, slide_id, tissue_id, x0 + i % 4 * 64 AS x0, y0 + i // 4 * 128 AS y0, x0 + i % 4 * 64 + 64 AS x1, y0 + i // 4 * 128 + 128 AS y1 FROM tiles, range(8) r(i)"))
+@query("subdivide_tiles", with_relations("tiles", (
+    "SELECT tile_id * 8 + i AS tile_id,"
+    " tile_id AS original_tile_id, slide_id, tissue_id, x0 + i % 4 * 64 AS x0, y0 + i // 4 * 128 AS y0, x0 + i % 4 * 64 + 64 AS x1, y0 + i // 4 * 128 + 128 AS y1"
+    " FROM tiles, range(8) r(i)"
+)))
 def subdivide_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return tiling.subdivide_tiles(adapters.tiles(spark, sf), 4, 2)
 
@@ -167,7 +186,10 @@ _RING3 = _RING2 + """, three AS (SELECT DISTINCT a.slide_id, a.src, b.dst FROM r
   SELECT slide_id, src, dst, CAST(hop AS DOUBLE) AS dist FROM reach UNION ALL SELECT t.slide_id, t.src, t.dst, 3.0 FROM three t ANTI JOIN reach e ON t.slide_id = e.slide_id AND t.src = e.src AND t.dst = e.dst"""
 
 
-@query("tile_graph_delaunay", with_relations("tiles", "SELECT a.slide_id, a.tile_id AS src, b.tile_id AS dst, 256.0::DOUBLE AS euclid FROM tiles a JOIN tiles b ON a.slide_id = b.slide_id AND abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 256"))
+@query("tile_graph_delaunay", with_relations("tiles", (
+    "SELECT a.slide_id, a.tile_id AS src, b.tile_id AS dst, 256.0::DOUBLE AS euclid FROM tiles a"
+    " JOIN tiles b ON a.slide_id = b.slide_id AND abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 256"
+)))
 def tile_graph_delaunay(spark: SparkSession, sf: str) -> DataFrame:
     """On a full square grid the cells of diagonal tiles meet in a corner alone."""
     return graph.tile_graph(_points(spark, sf), delaunay=True).select("slide_id", "src", "dst", r6("euclid"))
@@ -194,12 +216,20 @@ def tile_graph_diag(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tile_graph(_points(spark, sf), 4, set_diag=True).select("slide_id", "src", "dst", "w")
 
 
-@query("tile_graph_spectral", _knn_sql(4) + ", deg AS (SELECT slide_id, dst AS v, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS d FROM edges GROUP BY ALL) SELECT e.slide_id, src, dst, round(coalesce(a.d, 0) * b.d, 6) AS w FROM edges e LEFT JOIN deg a ON a.slide_id = e.slide_id AND a.v = e.src JOIN deg b ON b.slide_id = e.slide_id AND b.v = e.dst")
+@query("tile_graph_spectral", _knn_sql(4) + (
+    ", deg AS (SELECT slide_id, dst AS v, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS d FROM edges GROUP BY ALL) SELECT e.slide_id, src, dst,"
+    " round(coalesce(a.d, 0) * b.d, 6) AS w FROM edges e LEFT JOIN deg a ON a.slide_id = e.slide_id AND a.v = e.src"
+    " JOIN deg b ON b.slide_id = e.slide_id AND b.v = e.dst"
+))
 def tile_graph_spectral(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tile_graph(_points(spark, sf), 4, transform="spectral").select("slide_id", "src", "dst", r6("w"))
 
 
-@query("tile_graph_cosine", _knn_sql(4) + ", n AS (SELECT slide_id, src, sqrt(CAST(count(*) AS DOUBLE)) AS n FROM edges GROUP BY ALL) SELECT a.slide_id, a.src AS src, b.src AS dst, round(sum(1 / (x.n * y.n)), 6) AS w FROM edges a JOIN edges b ON a.slide_id = b.slide_id AND a.dst = b.dst JOIN n x ON x.src = a.src JOIN n y ON y.src = b.src GROUP BY ALL")
+@query("tile_graph_cosine", _knn_sql(4) + (
+    ", n AS (SELECT slide_id, src, sqrt(CAST(count(*) AS DOUBLE)) AS n FROM edges GROUP BY ALL) SELECT a.slide_id, a.src AS src, b.src AS dst,"
+    " round(sum(1 / (x.n * y.n)), 6) AS w FROM edges a JOIN edges b ON a.slide_id = b.slide_id AND a.dst = b.dst JOIN n x ON x.src = a.src"
+    " JOIN n y ON y.src = b.src GROUP BY ALL"
+))
 def tile_graph_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return graph.tile_graph(_points(spark, sf), 4, transform="cosine").select("slide_id", "src", "dst", r6("w"))
 
@@ -233,7 +263,10 @@ ORACLE_SQL["flagship"] = _smooth_sql(False).replace("WITH ", f"WITH tissues AS (
 
 # --- similarity, prediction, omics -----------------------------------------------------------
 
-_TEXTS = "texts AS (SELECT tile_id AS text_id, dim, v AS t FROM features WHERE tile_id % 100 = 0), unit AS (SELECT tile_id, dim, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY tile_id)), 1e-12) AS v FROM features)"
+_TEXTS = (
+    "texts AS (SELECT tile_id AS text_id, dim, v AS t FROM features WHERE tile_id % 100 = 0),"
+    " unit AS (SELECT tile_id, dim, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY tile_id)), 1e-12) AS v FROM features)"
+)
 
 
 def _similarity(scoring: str, normalize: bool = True, softmax: bool = False) -> Query:
@@ -250,7 +283,10 @@ query("text_similarity_dot", _DOT + " SELECT tile_id, text_id, round(score, 6) A
 query("text_similarity_softmax", _DOT + " SELECT tile_id, text_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY tile_id), 6) AS score FROM s")(_similarity("dot", softmax=True))
 query("text_similarity_euclidean", with_relations("features", f", {_TEXTS} SELECT tile_id, text_id, round(sqrt(sum((v - t) * (v - t))), 6) AS score FROM unit JOIN texts USING (dim) GROUP BY ALL"))(_similarity("euclidean"))
 query("text_similarity_cityblock", with_relations("features", f", {_TEXTS} SELECT tile_id, text_id, round(sum(abs(v - t)), 6) AS score FROM unit JOIN texts USING (dim) GROUP BY ALL"))(_similarity("cityblock"))
-query("text_similarity_cosine", with_relations("features", f", {_TEXTS} SELECT f.tile_id, text_id, round(1 - sum(v * t) / (sqrt(sum(v * v)) * sqrt(sum(t * t))), 6) AS score FROM features f JOIN texts USING (dim) GROUP BY ALL"))(_similarity("cosine", False))
+query("text_similarity_cosine", with_relations("features", (
+    f", {_TEXTS} SELECT f.tile_id, text_id, round(1 - sum(v * t) / (sqrt(sum(v * v)) * sqrt(sum(t * t))), 6) AS score FROM features f"
+    " JOIN texts USING (dim) GROUP BY ALL"
+)))(_similarity("cosine", False))
 
 
 @query("feature_prediction", with_relations("features", "SELECT tile_id, round(sum(v), 6) AS total, round(avg(v), 6) AS mean FROM features GROUP BY ALL"))
@@ -259,14 +295,20 @@ def feature_prediction(spark: SparkSession, sf: str) -> DataFrame:
     return models.feature_prediction(adapters.features(spark, sf), predict, ("total", "mean")).select("tile_id", r6("total"), r6("mean"))
 
 
-@query("feature_extraction", with_relations("pixels", "SELECT image_id AS tile_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v)::DOUBLE AS least, max(v)::DOUBLE AS most FROM pixels GROUP BY ALL"))
+@query("feature_extraction", with_relations("pixels", (
+    "SELECT image_id AS tile_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v)::DOUBLE AS least, max(v)::DOUBLE AS most"
+    " FROM pixels GROUP BY ALL"
+)))
 def feature_extraction(spark: SparkSession, sf: str) -> DataFrame:
     images = adapters.pixels(spark, sf).groupBy(F.col("image_id").alias("tile_id")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("tile_id", F.transform("p", lambda p: p["v"].cast("double")).alias("vec"))
     out = models.feature_extraction(images, "moments")
     return out.select("tile_id", *[F.round(F.col("vec")[i], 6).alias(n) for i, n in enumerate(("mean", "std", "least", "most"))])
 
 
-_WELCH = "w AS (SELECT dim, (avg(v) FILTER (WHERE g = 1) - avg(v) FILTER (WHERE g = 0)) / sqrt(var_samp(v) FILTER (WHERE g = 1) / count(*) FILTER (WHERE g = 1) + var_samp(v) FILTER (WHERE g = 0) / count(*) FILTER (WHERE g = 0)) AS t FROM (SELECT *, CAST(tissue_id < 5 AS INT) AS g FROM features) GROUP BY dim)"
+_WELCH = (
+    "w AS (SELECT dim, (avg(v) FILTER (WHERE g = 1) - avg(v) FILTER (WHERE g = 0)) / sqrt(var_samp(v) FILTER (WHERE g = 1) / count(*) FILTER (WHERE g = 1) + var_samp(v) FILTER (WHERE g = 0) / count(*) FILTER (WHERE g = 0)) AS t"
+    " FROM (SELECT *, CAST(tissue_id < 5 AS INT) AS g FROM features) GROUP BY dim)"
+)
 
 
 def _welch(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +342,12 @@ def rna_pearson(spark: SparkSession, sf: str) -> DataFrame:
     return omics.association(_genes(spark, sf), _scores(spark, sf)).select("dim", r6("r"))
 
 
-@query("rna_spearman", with_relations("features", f", {_SCORE.replace('sum(v * t) AS score', 'round(sum(v * t), 9) AS score')}, j AS (SELECT dim, v, score, count(*) OVER (PARTITION BY dim, v) AS cv, rank() OVER (PARTITION BY dim ORDER BY v) AS rv, count(*) OVER (PARTITION BY dim, score) AS cs, rank() OVER (PARTITION BY dim ORDER BY score) AS rs FROM features JOIN scores USING (tile_id)) SELECT dim, round(corr(rv + (cv - 1) / 2.0, rs + (cs - 1) / 2.0), 6) AS r FROM j GROUP BY dim"))
+@query("rna_spearman", with_relations("features", (
+    f", {_SCORE.replace('sum(v * t) AS score', 'round(sum(v * t), 9) AS score')}, j AS (SELECT dim, v, score,"
+    " count(*) OVER (PARTITION BY dim, v) AS cv, rank() OVER (PARTITION BY dim ORDER BY v) AS rv,"
+    " count(*) OVER (PARTITION BY dim, score) AS cs, rank() OVER (PARTITION BY dim ORDER BY score) AS rs FROM features"
+    " JOIN scores USING (tile_id)) SELECT dim, round(corr(rv + (cv - 1) / 2.0, rs + (cs - 1) / 2.0), 6) AS r FROM j GROUP BY dim"
+)))
 def rna_spearman(spark: SparkSession, sf: str) -> DataFrame:
     scores = _scores(spark, sf).withColumn("score", F.round("score", 9))
     return omics.association(_genes(spark, sf), scores, "spearman").select("dim", r6("r"))
@@ -327,7 +374,10 @@ _IOU = "{o}::DOUBLE / (({a}x1 - {a}x0) * ({a}y1 - {a}y0) + ({b}x1 - {b}x0) * ({b
 _MEET = "a.slide_id = b.slide_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
 
 
-@query("iou_pairs", with_relations("cells", f"SELECT a.slide_id, a.cell_id AS a, b.cell_id AS b, round({_IOU}, 6) AS iou FROM cells a JOIN cells b ON {_MEET} AND a.cell_id < b.cell_id WHERE {_IOU} > 0.2"))
+@query("iou_pairs", with_relations("cells", (
+    f"SELECT a.slide_id, a.cell_id AS a, b.cell_id AS b, round({_IOU}, 6) AS iou FROM cells a JOIN cells b ON {_MEET} AND a.cell_id < b.cell_id"
+    f" WHERE {_IOU} > 0.2"
+)))
 def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cells.iou_pairs(adapters.cells(spark, sf), threshold=0.2).withColumn("iou", r6("iou"))
 
@@ -349,7 +399,11 @@ def _wide_tiles(spark: SparkSession, sf: str) -> DataFrame:
 _WIDE = "wide AS (SELECT slide_id, tile_id, x0, y0, x0 + 320 AS x1, y0 + 320 AS y1 FROM tiles)"
 
 
-@query("instance_owner_tile", with_relations("cells tiles", f", {_WIDE}, m AS (SELECT slide_id, cell_id, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM cells) SELECT m.slide_id, m.cell_id, arg_min(tile_id, struct_pack(d := (x - x0 - 160) * (x - x0 - 160) + (y - y0 - 160) * (y - y0 - 160), t := tile_id)) AS tile_id FROM m JOIN wide w ON m.slide_id = w.slide_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL"))
+@query("instance_owner_tile", with_relations("cells tiles", (
+    f", {_WIDE}, m AS (SELECT slide_id, cell_id, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM cells)"
+    " SELECT m.slide_id, m.cell_id, arg_min(tile_id, struct_pack(d := (x - x0 - 160) * (x - x0 - 160) + (y - y0 - 160) * (y - y0 - 160), t := tile_id)) AS tile_id"
+    " FROM m JOIN wide w ON m.slide_id = w.slide_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL"
+)))
 def instance_owner_tile(spark: SparkSession, sf: str) -> DataFrame:
     return cells.owner_tile(adapters.cells(spark, sf), _wide_tiles(spark, sf))
 
@@ -402,7 +456,14 @@ _UNION = """(SELECT slide_id, sum(len) AS area FROM (SELECT slide_id, y, sum(gre
   SELECT slide_id, y, x0, x1, max(x1) OVER (PARTITION BY slide_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT slide_id, x0, x1, unnest(range(y0, y1)) AS y FROM {t})) GROUP BY slide_id, y) GROUP BY slide_id)"""
 
 
-@query("semantic_metrics", with_relations("cells", f", {_PRED}, either AS (SELECT slide_id, x0, y0, x1, y1 FROM cells UNION ALL SELECT slide_id, x0, y0, x1, y1 FROM pred), a AS (SELECT t.slide_id, t.area AS t, p.area AS p, b.area AS b FROM {_UNION.format(t='cells')} t JOIN {_UNION.format(t='pred')} p USING (slide_id) JOIN {_UNION.format(t='either')} b USING (slide_id)), s AS (SELECT slide_id, CAST(t + p - b AS BIGINT) AS tp, CAST(b - t AS BIGINT) AS fp, CAST(b - p AS BIGINT) AS fn FROM a) SELECT slide_id, tp, fp, fn, round(tp / (tp + fp + 1e-8), 6) AS precision, round(tp / (tp + fn + 1e-8), 6) AS recall, round(2 * tp / (2 * tp + fp + fn + 1e-8), 6) AS dice, round(tp / (tp + fp + fn + 1e-8), 6) AS mean_iou FROM s"))
+@query("semantic_metrics", with_relations("cells", (
+    f", {_PRED}, either AS (SELECT slide_id, x0, y0, x1, y1 FROM cells UNION ALL SELECT slide_id, x0, y0, x1, y1 FROM pred),"
+    f" a AS (SELECT t.slide_id, t.area AS t, p.area AS p, b.area AS b FROM {_UNION.format(t='cells')} t"
+    f" JOIN {_UNION.format(t='pred')} p USING (slide_id) JOIN {_UNION.format(t='either')} b USING (slide_id)), s AS (SELECT slide_id,"
+    " CAST(t + p - b AS BIGINT) AS tp, CAST(b - t AS BIGINT) AS fp, CAST(b - p AS BIGINT) AS fn FROM a) SELECT slide_id, tp, fp, fn,"
+    " round(tp / (tp + fp + 1e-8), 6) AS precision, round(tp / (tp + fn + 1e-8), 6) AS recall,"
+    " round(2 * tp / (2 * tp + fp + fn + 1e-8), 6) AS dice, round(tp / (tp + fp + fn + 1e-8), 6) AS mean_iou FROM s"
+)))
 def semantic_metrics(spark: SparkSession, sf: str) -> DataFrame:
     out = cells.metrics(cells.semantic_stats(_truth(spark, sf), _prediction(spark, sf)))
     return out.select("slide_id", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("dice"), r6("mean_iou"))
@@ -429,7 +490,10 @@ def distinct_classes(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.cells(spark, sf).groupBy("class").agg(F.min("cell_id").alias("first"), F.count("*").alias("n"))
 
 
-@query("union_frames", with_relations("cells tissues", "SELECT slide_id, 'cell' AS kind, cell_id AS id, x0, y0, x1, y1 FROM cells UNION ALL SELECT slide_id, 'tissue', tissue_id, x0, y0, x1, y1 FROM tissues"))
+@query("union_frames", with_relations("cells tissues", (
+    "SELECT slide_id, 'cell' AS kind, cell_id AS id, x0, y0, x1, y1 FROM cells UNION ALL SELECT slide_id, 'tissue', tissue_id, x0, y0, x1, y1"
+    " FROM tissues"
+)))
 def union_frames(spark: SparkSession, sf: str) -> DataFrame:
     a = adapters.cells(spark, sf).select("slide_id", F.lit("cell").alias("kind"), F.col("cell_id").alias("id"), "x0", "y0", "x1", "y1")
     return a.unionByName(adapters.tissues(spark, sf).select("slide_id", F.lit("tissue").alias("kind"), F.col("tissue_id").alias("id"), "x0", "y0", "x1", "y1"))
@@ -448,7 +512,10 @@ def annotation_join_right(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.annotations_with_shapes(rows, adapters.tissues(spark, sf)).select("slide_id", "cell_id", "r_tissue_id")
 
 
-@query("annotation_join_left", with_relations("cells tissues", f"SELECT b.slide_id, b.tissue_id, count(a.cell_id) AS n, coalesce(min(a.cell_id), -1) AS first FROM tissues b LEFT JOIN cells a ON {_MEET} GROUP BY ALL"))
+@query("annotation_join_left", with_relations("cells tissues", (
+    f"SELECT b.slide_id, b.tissue_id, count(a.cell_id) AS n, coalesce(min(a.cell_id), -1) AS first FROM tissues b LEFT JOIN cells a ON {_MEET}"
+    " GROUP BY ALL"
+)))
 def annotation_join_left(spark: SparkSession, sf: str) -> DataFrame:
     out = annotations.shapes_with_annotations(adapters.tissues(spark, sf), adapters.cells(spark, sf), "tissue_id", "cell_id")
     return out.select("slide_id", "tissue_id", F.size("annotations").cast("long").alias("n"), F.coalesce(F.try_element_at("annotations", F.lit(1)), F.lit(-1)).alias("first"))
@@ -506,7 +573,10 @@ query("median_blur", _window_sql("quantile_cont(q.v, 0.5)"))(_window(raster.medi
 
 
 def _morph_sql(a: str, b: str) -> str:
-    return with_relations("pixels", f", one AS (SELECT p.image_id, p.y, p.x, {a}(q.v) AS v FROM {_AROUND} GROUP BY ALL) SELECT p.image_id, p.y, p.x, round({b}(q.v)::DOUBLE, 6) AS v FROM {_AROUND.replace('pixels', 'one')} GROUP BY ALL")
+    return with_relations("pixels", (
+        f", one AS (SELECT p.image_id, p.y, p.x, {a}(q.v) AS v FROM {_AROUND} GROUP BY ALL) SELECT p.image_id, p.y, p.x,"
+        f" round({b}(q.v)::DOUBLE, 6) AS v FROM {_AROUND.replace('pixels', 'one')} GROUP BY ALL"
+    ))
 
 
 query("morph_open", _morph_sql("min", "max"))(_window(raster.morph_open))
@@ -525,12 +595,22 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.expr("image_id div 3").alias("image_id"), (F.col("y") + F.col("shift")).alias("y"), (F.col("x") + F.col("shift")).alias("x"), raster.importance(F.col("y"), F.col("x"), 8).alias("w"), (F.col("v") / 255).alias("p"))
 
 
-_WEIGHTED = "laid AS (SELECT image_id // 3 AS image_id, y + image_id % 3 * 2 AS y, x + image_id % 3 * 2 AS x, exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5))::DOUBLE / 2) AS w, v / 255.0::DOUBLE AS p FROM pixels)"
+_WEIGHTED = (
+    "laid AS (SELECT image_id // 3 AS image_id, y + image_id % 3 * 2 AS y, x + image_id % 3 * 2 AS x, exp(-((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5))::DOUBLE / 2) AS w, v / 255.0::DOUBLE AS p"
+    " FROM pixels)"
+)
 for _name, _over in {"count": "count(*)", "weights": "sum(w)"}.items():
     query(f"blend_probability_{_name}", with_relations("pixels", f", {_WEIGHTED} SELECT image_id, y, x, round(sum(w * p) / {_over}, 6) AS p FROM laid GROUP BY ALL"))(lambda spark, sf, n=_name: raster.blend(_weighted(spark, sf), n).withColumn("p", r6("p")))
 
 
-@query("image_measures", with_relations("pixels", ", s AS (SELECT p.image_id, p.y, p.x, sum(q.v * (p.x - q.x) * (2 - abs(p.y - q.y))) AS gx, sum(q.v * (p.y - q.y) * (2 - abs(p.x - q.x))) AS gy, count(*) AS n FROM " + _AROUND + " GROUP BY ALL), e AS (SELECT image_id, avg(sqrt((gx * gx + gy * gy)::DOUBLE)) AS sobel FROM s WHERE n = 9 GROUP BY image_id) SELECT image_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast, round(any_value(sobel), 6) AS sobel FROM pixels JOIN e USING (image_id) GROUP BY image_id"))
+@query("image_measures", with_relations("pixels", (
+    ", s AS (SELECT p.image_id, p.y, p.x, sum(q.v * (p.x - q.x) * (2 - abs(p.y - q.y))) AS gx,"
+    " sum(q.v * (p.y - q.y) * (2 - abs(p.x - q.x))) AS gy, count(*) AS n FROM "
+) + _AROUND + (
+    " GROUP BY ALL), e AS (SELECT image_id, avg(sqrt((gx * gx + gy * gy)::DOUBLE)) AS sobel FROM s WHERE n = 9 GROUP BY image_id)"
+    " SELECT image_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast, round(any_value(sobel), 6) AS sobel FROM pixels"
+    " JOIN e USING (image_id) GROUP BY image_id"
+)))
 def image_measures(spark: SparkSession, sf: str) -> DataFrame:
     return raster.image_measures(adapters.pixels(spark, sf)).select("image_id", r6("brightness"), r6("contrast"), r6("sobel"))
 
@@ -540,21 +620,34 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return raster.mask_components(raster.binary(rows, raster.otsu(rows)))
 
 
-_CC = with_relations("pixels", f", {_HIST}, m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels JOIN t USING (image_id) WHERE v > threshold), e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)" + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)))
+_CC = with_relations("pixels", (
+    f", {_HIST}, m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels JOIN t USING (image_id) WHERE v > threshold),"
+    " e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),"
+    " l0 AS (SELECT image_id, p, p AS root FROM m)"
+) + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)))
 
 
-@query("mask_components", _CC + " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l32 JOIN m USING (image_id, p) GROUP BY ALL")
+@query("mask_components", _CC + (
+    " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1,"
+    " max(y) + 1 AS y1 FROM l32 JOIN m USING (image_id, p) GROUP BY ALL"
+))
 def mask_components(spark: SparkSession, sf: str) -> DataFrame:
     return raster.component_shapes(_parts(spark, sf))
 
 
-@query("polygon_probability", _CC + " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL")
+@query("polygon_probability", _CC + (
+    " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32"
+    " JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL"
+))
 def polygon_probability(spark: SparkSession, sf: str) -> DataFrame:
     p = adapters.pixels(spark, sf).withColumn("p", F.col("v") / 255)
     return raster.region_probability(_parts(spark, sf), p).withColumn("prob", r6("prob"))
 
 
-@query("cell_feature_pool", with_relations("pixels", "SELECT p.image_id, p.v // 64 AS instance, d AS dim, round(avg((t.v * (d + 1) % 97)::DOUBLE), 6) AS v FROM pixels p JOIN pixels t ON p.image_id = t.image_id AND t.y = p.y // 4 AND t.x = p.x // 4, range(3) r(d) WHERE p.v // 64 <> 0 GROUP BY ALL"))
+@query("cell_feature_pool", with_relations("pixels", (
+    "SELECT p.image_id, p.v // 64 AS instance, d AS dim, round(avg((t.v * (d + 1) % 97)::DOUBLE), 6) AS v FROM pixels p"
+    " JOIN pixels t ON p.image_id = t.image_id AND t.y = p.y // 4 AND t.x = p.x // 4, range(3) r(d) WHERE p.v // 64 <> 0 GROUP BY ALL"
+)))
 def cell_feature_pool(spark: SparkSession, sf: str) -> DataFrame:
     rows = adapters.pixels(spark, sf)
     held = rows.selectExpr("image_id", "y", "x", "v div 64 as instance", "y div 4 as ty", "x div 4 as tx")
@@ -564,16 +657,27 @@ def cell_feature_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- shapes, domains, views ------------------------------------------------------------------
 
-@query("tissue_props", with_relations("tissues", "SELECT tissue_id, round(w * h, 6) AS area, round(2 * (w + h), 6) AS perimeter, round(x0 + w / 2, 6) AS centroid_x, round(y0 + h / 2, 6) AS centroid_y, 1.0::DOUBLE AS extent, round(4 * pi() * w * h / (4 * (w + h) * (w + h)), 6) AS circularity FROM (SELECT tissue_id, x0, y0, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM tissues)"))
+@query("tissue_props", with_relations("tissues", (
+    "SELECT tissue_id, round(w * h, 6) AS area, round(2 * (w + h), 6) AS perimeter, round(x0 + w / 2, 6) AS centroid_x,"
+    " round(y0 + h / 2, 6) AS centroid_y, 1.0::DOUBLE AS extent, round(4 * pi() * w * h / (4 * (w + h) * (w + h)), 6) AS circularity"
+    " FROM (SELECT tissue_id, x0, y0, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM tissues)"
+)))
 def tissue_props(spark: SparkSession, sf: str) -> DataFrame:
     out = shapes.tissue_props(adapters.tissues(spark, sf).withColumn("ring", ring_of(box())))
     return out.select("tissue_id", *[r6(c) for c in ("area", "perimeter", "centroid_x", "centroid_y", "extent", "circularity")])
 
 
-_DISSOLVE = ", e AS (SELECT a.tile_id AS a, b.tile_id AS b FROM tiles a JOIN tiles b ON a.slide_id = b.slide_id AND a.tissue_id = b.tissue_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), l0 AS (SELECT tile_id, tile_id AS root FROM tiles)" + "".join(f", l{i + 1} AS (SELECT e.a AS tile_id, min(root) AS root FROM e JOIN l{i} l ON l.tile_id = e.b GROUP BY ALL)" for i in range(40))
+_DISSOLVE = (
+    ", e AS (SELECT a.tile_id AS a, b.tile_id AS b FROM tiles a"
+    " JOIN tiles b ON a.slide_id = b.slide_id AND a.tissue_id = b.tissue_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),"
+    " l0 AS (SELECT tile_id, tile_id AS root FROM tiles)"
+) + "".join(f", l{i + 1} AS (SELECT e.a AS tile_id, min(root) AS root FROM e JOIN l{i} l ON l.tile_id = e.b GROUP BY ALL)" for i in range(40))
 
 
-@query("dissolve_tiles", with_relations("tiles", _DISSOLVE + " SELECT slide_id, tissue_id, root AS region, count(*) AS n_tiles, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l40 JOIN tiles USING (tile_id) GROUP BY ALL"))
+@query("dissolve_tiles", with_relations("tiles", _DISSOLVE + (
+    " SELECT slide_id, tissue_id, root AS region, count(*) AS n_tiles, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area, min(x0) AS x0,"
+    " min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l40 JOIN tiles USING (tile_id) GROUP BY ALL"
+)))
 def dissolve_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.dissolve(adapters.tiles(spark, sf), "tissue_id")
 
@@ -596,7 +700,10 @@ def viewport_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return viewport.in_view(adapters.tissues(spark, sf), VIEW, touch=True).select("slide_id", "tissue_id")
 
 
-@query("viewport_grid_cells", with_relations("tiles", "SELECT slide_id, tile_id, CAST(least(greatest(floor((x0 - 1000) / 256.0), 0), 10) AS BIGINT) AS gx, CAST(least(greatest(floor((y0 - 800) / 256.0), 0), 7) AS BIGINT) AS gy FROM tiles WHERE x0 < 4000 AND x1 > 1000 AND y0 < 3000 AND y1 > 800"))
+@query("viewport_grid_cells", with_relations("tiles", (
+    "SELECT slide_id, tile_id, CAST(least(greatest(floor((x0 - 1000) / 256.0), 0), 10) AS BIGINT) AS gx,"
+    " CAST(least(greatest(floor((y0 - 800) / 256.0), 0), 7) AS BIGINT) AS gy FROM tiles WHERE x0 < 4000 AND x1 > 1000 AND y0 < 3000 AND y1 > 800"
+)))
 def viewport_grid_cells(spark: SparkSession, sf: str) -> DataFrame:
     return viewport.grid_cells(viewport.in_view(adapters.tiles(spark, sf), VIEW), VIEW, 256).select("slide_id", "tile_id", "gx", "gy")
 
@@ -611,7 +718,11 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
     return slides.select("slide_id", "x1", "y1", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("level")).selectExpr("slide_id", "cast(level as bigint) as level", "cast(pow(2, level) as double) as downsample", "cast(floor(y1 / pow(2, level)) as bigint) as height", "cast(floor(x1 / pow(2, level)) as bigint) as width")
 
 
-@query("level_select", with_relations("tissues", ", s AS (SELECT slide_id, max(x1) AS w, max(y1) AS h FROM tissues GROUP BY slide_id), l AS (SELECT slide_id, level, pow(2, level) AS d, floor(h / pow(2, level)) AS h, floor(w / pow(2, level)) AS w FROM s, range(6) r(level)) SELECT slide_id, coalesce(min(level) FILTER (WHERE h * w * 4 <= 20000000), 5) AS level FROM l WHERE level >= 2 GROUP BY slide_id"))
+@query("level_select", with_relations("tissues", (
+    ", s AS (SELECT slide_id, max(x1) AS w, max(y1) AS h FROM tissues GROUP BY slide_id),"
+    " l AS (SELECT slide_id, level, pow(2, level) AS d, floor(h / pow(2, level)) AS h, floor(w / pow(2, level)) AS w FROM s, range(6) r(level))"
+    " SELECT slide_id, coalesce(min(level) FILTER (WHERE h * w * 4 <= 20000000), 5) AS level FROM l WHERE level >= 2 GROUP BY slide_id"
+)))
 def level_select(spark: SparkSession, sf: str) -> DataFrame:
     return viewport.level_for(_levels(spark, sf), 6.0, 20_000_000)
 
@@ -623,12 +734,18 @@ def spatial_join_touch(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- masks, polygons, levels -----------------------------------------------------------------
 
-@query("draw_boxes", with_relations("cells", "SELECT DISTINCT slide_id, y, unnest(range(x0 // 50, (x1 - 1) // 50 + 1)) AS x, c FROM (SELECT slide_id, class AS c, x0, x1, unnest(range(y0 // 50, (y1 - 1) // 50 + 1)) AS y FROM cells)"))
+@query("draw_boxes", with_relations("cells", (
+    "SELECT DISTINCT slide_id, y, unnest(range(x0 // 50, (x1 - 1) // 50 + 1)) AS x, c FROM (SELECT slide_id,"
+    " class AS c, x0, x1, unnest(range(y0 // 50, (y1 - 1) // 50 + 1)) AS y FROM cells)"
+)))
 def draw_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return masks.draw(adapters.cells(spark, sf), 50, "class")
 
 
-_DRAWN = "drawn AS (SELECT DISTINCT slide_id, y, unnest(range(x0 // 50, (x1 - 1) // 50 + 1)) AS x, c FROM (SELECT slide_id, class AS c, x0, x1, unnest(range(y0 // 50, (y1 - 1) // 50 + 1)) AS y FROM cells))"
+_DRAWN = (
+    "drawn AS (SELECT DISTINCT slide_id, y, unnest(range(x0 // 50, (x1 - 1) // 50 + 1)) AS x, c FROM (SELECT slide_id,"
+    " class AS c, x0, x1, unnest(range(y0 // 50, (y1 - 1) // 50 + 1)) AS y FROM cells))"
+)
 _CLASSES = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 
 
@@ -653,7 +770,12 @@ _CLOSED = """, on1 AS (SELECT image_id, y, x, CAST(v > threshold AS BIGINT) AS v
   wide AS (SELECT p.image_id, p.y, p.x, max(q.v) AS v FROM on1 p JOIN on1 q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL),
   closed AS (SELECT p.image_id, p.y, p.x, min(q.v) AS v FROM wide p JOIN wide q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL),
   m AS (SELECT image_id, y, x, y * 8 + x AS p FROM closed WHERE v = 1)"""
-_TISSUES_SQL = " SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY root) - 1 AS tissue_id, area * 1024 AS area, x0 * 32 AS x0, y0 * 32 AS y0, x1 * 32 AS x1, y1 * 32 AS y1 FROM (SELECT image_id, root, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l32 JOIN m USING (image_id, p) GROUP BY ALL HAVING count(*) > 4)"
+_TISSUES_SQL = (
+    " SELECT image_id, row_number() OVER (PARTITION BY image_id"
+    " ORDER BY root) - 1 AS tissue_id, area * 1024 AS area, x0 * 32 AS x0, y0 * 32 AS y0, x1 * 32 AS x1, y1 * 32 AS y1"
+    " FROM (SELECT image_id, root, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l32"
+    " JOIN m USING (image_id, p) GROUP BY ALL HAVING count(*) > 4)"
+)
 
 
 @query("find_tissues", with_relations("pixels", _SMOOTH + ", " + _HIST.replace("FROM pixels", "FROM smooth") + _CLOSED + _CC[_CC.index(", e AS (") :] + _TISSUES_SQL))
@@ -661,12 +783,22 @@ def find_tissues(spark: SparkSession, sf: str) -> DataFrame:
     return masks.find_tissues(adapters.pixels(spark, sf), scale=32)
 
 
-@query("semantic_regions", with_relations("pixels", ", m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels WHERE v / 255.0::DOUBLE > 0.5), e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)" + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)) + " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x) GROUP BY ALL"))
+@query("semantic_regions", with_relations("pixels", (
+    ", m AS (SELECT image_id, y, x, y * 8 + x AS p FROM pixels WHERE v / 255.0::DOUBLE > 0.5), e AS (SELECT a.image_id, a.p AS a, b.p AS b"
+    " FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), l0 AS (SELECT image_id, p, p AS root FROM m)"
+) + "".join(f", l{i + 1} AS (SELECT e.image_id, e.a AS p, min(l.root) AS root FROM e JOIN l{i} l ON l.image_id = e.image_id AND l.p = e.b GROUP BY ALL)" for i in range(32)) + (
+    " SELECT image_id, root // 8 * 4294967296 + root % 8 AS component, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1,"
+    " max(y) + 1 AS y1, round(avg(v / 255.0::DOUBLE), 6) AS prob FROM l32 JOIN m USING (image_id, p) JOIN pixels USING (image_id, y, x)"
+    " GROUP BY ALL"
+)))
 def semantic_regions(spark: SparkSession, sf: str) -> DataFrame:
     return masks.semantic_regions(adapters.pixels(spark, sf).select("image_id", "y", "x", (F.col("v") / 255).alias("p"))).withColumn("prob", r6("prob"))
 
 
-@query("tile_edge_filter", with_relations("cells tiles", f"SELECT a.slide_id, a.cell_id, b.tile_id FROM cells a JOIN tiles b ON {_MEET} WHERE (a.x0 > b.x0 + 2 AND a.y0 > b.y0 + 2 AND a.x1 < b.x1 - 2 AND a.y1 < b.y1 - 2) OR a.x0 > b.x1 - 2 OR a.x1 < b.x0 + 2 OR a.y0 > b.y1 - 2 OR a.y1 < b.y0 + 2"))
+@query("tile_edge_filter", with_relations("cells tiles", (
+    f"SELECT a.slide_id, a.cell_id, b.tile_id FROM cells a JOIN tiles b ON {_MEET}"
+    " WHERE (a.x0 > b.x0 + 2 AND a.y0 > b.y0 + 2 AND a.x1 < b.x1 - 2 AND a.y1 < b.y1 - 2) OR a.x0 > b.x1 - 2 OR a.x1 < b.x0 + 2 OR a.y0 > b.y1 - 2 OR a.y1 < b.y0 + 2"
+)))
 def tile_edge_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = adapters.cells(spark, sf).select("slide_id", "cell_id", "x0", "y0", "x1", "y1")
     return masks.off_edge(spatial_join(rows, adapters.tiles(spark, sf), 256)).select("slide_id", "cell_id", F.col("r_tile_id").alias("tile_id"))
@@ -709,7 +841,11 @@ def polygon_area_sum(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("tissue_id").agg(F.round(F.sum(clipped_area("ring", "x0", "y0", "x1", "y1")), 3).alias("area"))
 
 
-@query("ellipse_props", with_relations("tissues", "SELECT tissue_id, round(4 * sqrt(greatest(w * w, h * h) / 12), 6) AS major_axis, round(4 * sqrt(least(w * w, h * h) / 12), 6) AS minor_axis, 1.0::DOUBLE AS solidity, 1.0::DOUBLE AS convexity, w * h AS convex_area FROM (SELECT tissue_id, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM tissues)"))
+@query("ellipse_props", with_relations("tissues", (
+    "SELECT tissue_id, round(4 * sqrt(greatest(w * w, h * h) / 12), 6) AS major_axis,"
+    " round(4 * sqrt(least(w * w, h * h) / 12), 6) AS minor_axis, 1.0::DOUBLE AS solidity, 1.0::DOUBLE AS convexity, w * h AS convex_area"
+    " FROM (SELECT tissue_id, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM tissues)"
+)))
 def ellipse_props(spark: SparkSession, sf: str) -> DataFrame:
     moved_back = [F.lit(0).alias("x0"), F.lit(0).alias("y0"), (F.col("x1") - F.col("x0")).alias("x1"), (F.col("y1") - F.col("y0")).alias("y1")]
     rows = adapters.tissues(spark, sf).select("tissue_id", *moved_back)
@@ -717,12 +853,21 @@ def ellipse_props(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tissue_id", *[r6(c) for c in ("major_axis", "minor_axis", "solidity", "convexity", "convex_area")])
 
 
-@query("class_regions", with_relations("cells", ", w AS (SELECT slide_id, class, cell_id, x0 - 2 AS x0, y0 - 2 AS y0, x1 + 2 AS x1, y1 + 2 AS y1 FROM cells), e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM w a JOIN w b ON " + _MEET + " AND a.class = b.class), l0 AS (SELECT cell_id, cell_id AS root FROM cells)" + "".join(f", l{i + 1} AS MATERIALIZED (SELECT e.a AS cell_id, min(root) AS root FROM e JOIN l{i} l ON l.cell_id = e.b GROUP BY ALL)" for i in range(60)) + " SELECT slide_id, class, root AS region, count(*) AS n, round(max(prob), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l60 JOIN cells USING (cell_id) GROUP BY ALL"))
+@query("class_regions", with_relations("cells", (
+    ", w AS (SELECT slide_id, class, cell_id, x0 - 2 AS x0, y0 - 2 AS y0, x1 + 2 AS x1, y1 + 2 AS y1 FROM cells),"
+    " e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM w a JOIN w b ON "
+) + _MEET + " AND a.class = b.class), l0 AS (SELECT cell_id, cell_id AS root FROM cells)" + "".join(f", l{i + 1} AS MATERIALIZED (SELECT e.a AS cell_id, min(root) AS root FROM e JOIN l{i} l ON l.cell_id = e.b GROUP BY ALL)" for i in range(60)) + (
+    " SELECT slide_id, class, root AS region, count(*) AS n, round(max(prob), 6) AS prob, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1,"
+    " max(y1) AS y1 FROM l60 JOIN cells USING (cell_id) GROUP BY ALL"
+)))
 def class_regions(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.dissolve_near(adapters.cells(spark, sf), "class", 2).withColumn("prob", r6("prob"))
 
 
-@query("nearest_level", with_relations("tissues", ", s AS (SELECT slide_id, unnest(range(6)) AS level FROM (SELECT DISTINCT slide_id FROM tissues)) SELECT slide_id, arg_min(level, struct_pack(d := abs(0.25 * pow(2, level) - 4), l := level)) AS level FROM s GROUP BY slide_id"))
+@query("nearest_level", with_relations("tissues", (
+    ", s AS (SELECT slide_id, unnest(range(6)) AS level FROM (SELECT DISTINCT slide_id FROM tissues))"
+    " SELECT slide_id, arg_min(level, struct_pack(d := abs(0.25 * pow(2, level) - 4), l := level)) AS level FROM s GROUP BY slide_id"
+)))
 def nearest_level(spark: SparkSession, sf: str) -> DataFrame:
     """The level whose resolution is nearest to 4 micrometres a pixel, of a scan at 0.25."""
     off = F.abs(0.25 * F.col("downsample") - 4)
@@ -738,7 +883,13 @@ def heatmap_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(codes), "class").select("cell_id", "code", F.expr("(x0 + x1) div 2").alias("cx"), F.expr("(y0 + y1) div 2").alias("cy"))
 
 
-@query("zero_shot_scores", with_relations("features", ", m AS (SELECT tissue_id, dim, avg(v) AS v FROM features GROUP BY ALL), p AS (SELECT dim, CASE WHEN dim % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a, CASE WHEN dim < 32 THEN 1.0 ELSE -1.0 END::DOUBLE AS b FROM range(64) r(dim)), s AS (SELECT tissue_id, sum(v * a) / (sqrt(sum(v * v)) * sqrt(sum(a * a))) AS a, sum(v * b) / (sqrt(sum(v * v)) * sqrt(sum(b * b))) AS b FROM m JOIN p USING (dim) GROUP BY tissue_id) SELECT tissue_id, 'a' AS prompt, round(exp(a) / (exp(a) + exp(b)), 6) AS p FROM s UNION ALL SELECT tissue_id, 'b', round(exp(b) / (exp(a) + exp(b)), 6) FROM s"))
+@query("zero_shot_scores", with_relations("features", (
+    ", m AS (SELECT tissue_id, dim, avg(v) AS v FROM features GROUP BY ALL), p AS (SELECT dim, CASE"
+    " WHEN dim % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS a, CASE WHEN dim < 32 THEN 1.0 ELSE -1.0 END::DOUBLE AS b FROM range(64) r(dim)),"
+    " s AS (SELECT tissue_id, sum(v * a) / (sqrt(sum(v * v)) * sqrt(sum(a * a))) AS a, sum(v * b) / (sqrt(sum(v * v)) * sqrt(sum(b * b))) AS b"
+    " FROM m JOIN p USING (dim) GROUP BY tissue_id) SELECT tissue_id, 'a' AS prompt, round(exp(a) / (exp(a) + exp(b)), 6) AS p FROM s UNION ALL"
+    " SELECT tissue_id, 'b', round(exp(b) / (exp(a) + exp(b)), 6) FROM s"
+)))
 def zero_shot_scores(spark: SparkSession, sf: str) -> DataFrame:
     by = ("tissue_id",)
     means = aggregate.as_vectors(aggregate.feature_aggregation(adapters.features(spark, sf), by), by)

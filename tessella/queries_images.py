@@ -201,7 +201,10 @@ def local_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return transforms.local_entropy(adapters.pixels(spark, sf).withColumn("v", F.expr("v div 64")), 2).withColumn("v", F.round("v", 6))
 
 
-@query("fixed_threshold", with_relations("colours", "SELECT image_id, sum(CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) > 128 AS BIGINT))::BIGINT AS n FROM colours GROUP BY image_id"))
+@query("fixed_threshold", with_relations("colours", (
+    "SELECT image_id, sum(CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) > 128 AS BIGINT))::BIGINT AS n FROM colours"
+    " GROUP BY image_id"
+)))
 def fixed_threshold(spark: SparkSession, sf: str) -> DataFrame:
     chain = transforms.Compose((transforms.Channel("grey"), transforms.BinaryThreshold(128)))
     return chain(adapters.colours(spark, sf)).groupBy("image_id").agg(F.sum("v").alias("n"))
@@ -329,7 +332,10 @@ def radius_join(spark: SparkSession, sf: str) -> DataFrame:
     return graph.radius_pairs(graph.corner_points(adapters.tiles(spark, sf)), 400).withColumn("dist", r6("dist"))
 
 
-@query("tissue_filter", with_relations("cells tissues", "SELECT c.cell_id FROM cells c JOIN tissues t ON c.slide_id = t.slide_id AND c.x0 <= t.x1 AND t.x0 <= c.x1 AND c.y0 <= t.y1 AND t.y0 <= c.y1 WHERE t.tissue_id = 1"))
+@query("tissue_filter", with_relations("cells tissues", (
+    "SELECT c.cell_id FROM cells c JOIN tissues t ON c.slide_id = t.slide_id AND c.x0 <= t.x1 AND t.x0 <= c.x1 AND c.y0 <= t.y1 AND t.y0 <= c.y1"
+    " WHERE t.tissue_id = 1"
+)))
 def tissue_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = adapters.cells(spark, sf).select("slide_id", "cell_id", "x0", "y0", "x1", "y1")
     return segmentation.within_tissue(rows, adapters.tissues(spark, sf), 1).select("cell_id")
@@ -414,7 +420,10 @@ def id_set_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.features(spark, sf).select("tile_id").join(kept, "tile_id", "left_semi")
 
 
-@query("stack_vectors", with_relations("features", "SELECT tile_id, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT tile_id, v FROM features UNION ALL SELECT tile_id, 2 * v FROM features) GROUP BY tile_id"))
+@query("stack_vectors", with_relations("features", (
+    "SELECT tile_id, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT tile_id, v FROM features UNION ALL SELECT tile_id, 2 * v"
+    " FROM features) GROUP BY tile_id"
+)))
 def stack_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors beside their doubles, as one vector."""
     rows = adapters.features(spark, sf)
@@ -499,7 +508,10 @@ def dense_pooled(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.long_form(pooled, "tile_id").withColumn("v", r6("v"))
 
 
-@query("tile_prediction", with_relations("features tiles", "SELECT t.slide_id, t.tile_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast FROM tiles t JOIN features f USING (tile_id) GROUP BY ALL"))
+@query("tile_prediction", with_relations("features tiles", (
+    "SELECT t.slide_id, t.tile_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast FROM tiles t"
+    " JOIN features f USING (tile_id) GROUP BY ALL"
+)))
 def tile_prediction(spark: SparkSession, sf: str) -> DataFrame:
     predict = lambda x: {"brightness": x.mean(1), "contrast": x.std(1)}
     found = models.tile_prediction(adapters.features(spark, sf), predict, ("brightness", "contrast"), adapters.tiles(spark, sf))
