@@ -223,6 +223,31 @@ def test_lstm_gradients_are_right():
             assert g[at] == pytest.approx((up - down) / 2e-4, abs=2e-4)
 
 
+def test_labeller_equals_plain_cells():
+    """Scores of two pages in one batch against LSTM cells written out step by step."""
+    rng = np.random.default_rng(6)
+    model = html_text.Labeller()
+    pages = [rng.standard_normal((n, html_text.WIDTH)).astype(np.float32) for n in (7, 3)]
+    got = model.scores(*html_text.padded(pages))
+    h = html_text.HIDDEN
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(rows, w):
+        hidden, cell, out = [0.0] * h, [0.0] * h, []
+        for x in rows:
+            z = [*x, *hidden] @ w.astype(np.float64)
+            for k in range(h):
+                cell[k] = sigmoid(z[h + k]) * cell[k] + sigmoid(z[k]) * math.tanh(z[3 * h + k])
+            hidden = [sigmoid(z[2 * h + k]) * math.tanh(cell[k]) for k in range(h)]
+            out.append(hidden)
+        return out
+
+    for row, page in zip(got, pages):
+        both = zip(states(page, model.w[0]), states(page[::-1], model.w[1])[::-1])
+        expected = [sigmoid(float(np.dot([*a, *b], model.w[2][:-1]) + model.w[2][-1])) for a, b in both]
+        assert row[: len(page)] == pytest.approx(expected, abs=1e-4)
+
+
 def article_text(page):
     import html
     import re
