@@ -27,11 +27,21 @@ def signature_scores(scaled: DataFrame, ranked: DataFrame, n_features: int, key:
     return scaled.join(F.broadcast(chosen.select("dim", "t")), "dim").groupBy(key).agg(F.sum(F.col("v") * F.col("t")).alias("score"))
 
 
-def _average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1 with the mean rank for ties."""
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    order = Window.partitionBy(*by).orderBy(value)
-    ranks = counted.withColumn("upto", F.sum("ties").over(order)).select(*by, value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(name))
+def _average_ranks(df: DataFrame, by: list[str], value: str, name: str, buckets: int = 256) -> DataFrame:
+    """Ranks from 1 with the mean rank for ties.
+
+    Distinct values are dealt into equal ranges of their group and ranked there, from what stands
+    in the ranges before; no group is sorted whole.
+    """
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    bucket = F.least(F.coalesce(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).alias("_bucket")
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("_ties")).join(ends, by).select(*by, value, "_ties", bucket)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.groupBy(*by, "_bucket").agg(F.sum("_ties").alias("_n")).select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    upto = F.sum("_ties").over(Window.partitionBy(*by, "_bucket").orderBy(value))
+    rank = F.col("_first") + F.col("_upto") - (F.col("_ties") - 1) / 2
+    ranks = counted.withColumn("_upto", upto).join(starts, [*by, "_bucket"]).select(*by, value, rank.alias(name))
     return df.join(ranks, [*by, value])
 
 

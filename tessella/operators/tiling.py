@@ -87,8 +87,13 @@ def tile_tissues(tissues: DataFrame, tile: int, stride: int | None = None, edge:
     covered = overlap(box(), box("t_")).cast("double") / area(box())
     if background_fraction is not None:
         grid = grid.where(covered >= 1 - background_fraction)
-    order = Window.partitionBy("slide_id").orderBy("tissue_id", "place")
-    return grid.select("slide_id", (F.row_number().over(order) - 1).cast("long").alias("tile_id"), "tissue_id", "x0", "y0", "x1", "y1", covered.alias("coverage"))
+    # Tiles are counted by tissue, and numbered within theirs from what stands before it.
+    before = Window.partitionBy("slide_id").orderBy("tissue_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = grid.groupBy("slide_id", "tissue_id").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sizes = sizes.select(F.col("slide_id").alias("of_slide"), F.col("tissue_id").alias("of_tissue"), "first")
+    place = F.row_number().over(Window.partitionBy("slide_id", "tissue_id").orderBy("place")) - 1
+    numbered = grid.withColumns({"coverage": covered, "here": place}).join(sizes, F.col("slide_id").eqNullSafe(F.col("of_slide")) & F.col("tissue_id").eqNullSafe(F.col("of_tissue")))
+    return numbered.select("slide_id", (F.col("first") + F.col("here")).alias("tile_id"), "tissue_id", "x0", "y0", "x1", "y1", "coverage")
 
 
 def tiles_over_tissues(tiles: DataFrame, tissues: DataFrame, cell: int = 1024, background_fraction: float | None = 0.3) -> DataFrame:

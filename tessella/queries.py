@@ -876,11 +876,13 @@ def nearest_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("heatmap_codes", with_relations("cells", "SELECT cell_id, dense_rank() OVER (ORDER BY class) - 1 AS code, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM cells"))
 def heatmap_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories as codes in their order; only the distinct ones are numbered in one place."""
     from pyspark.sql import Window
 
     rows = adapters.cells(spark, sf)
-    codes = rows.select("class").distinct().withColumn("code", (F.row_number().over(Window.orderBy("class")) - 1).cast("long"))
-    return rows.join(F.broadcast(codes), "class").select("cell_id", "code", F.expr("(x0 + x1) div 2").alias("cx"), F.expr("(y0 + y1) div 2").alias("cy"))
+    codes = rows.select("class").distinct().withColumn("code", F.row_number().over(Window.orderBy("class")) - 1)
+    centre = lambda a, b: F.expr(f"({a} + {b}) div 2")
+    return rows.join(codes, "class").select("cell_id", "code", centre("x0", "x1").alias("cx"), centre("y0", "y1").alias("cy"))
 
 
 @query("zero_shot_scores", with_relations("features", (
