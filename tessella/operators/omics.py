@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.session import cut
+
 
 def welch(long: DataFrame, group: str = "grp") -> DataFrame:
     """``dim, t`` of Welch's test of each dimension, group 1 against group 0.
@@ -54,7 +56,8 @@ def association(genes: DataFrame, scores: DataFrame, method: str = "pearson", ke
     if method == "pearson":
         return rows.groupBy("dim").agg(F.corr("v", "score").alias("r"))
     if method == "spearman":
-        ranked = _average_ranks(_average_ranks(rows, ["dim"], "v", "rv"), ["dim"], "score", "rs")
+        rows = cut(rows.select("dim", "v", "score"))
+        ranked = _average_ranks(cut(_average_ranks(rows, ["dim"], "v", "rv")), ["dim"], "score", "rs")
         return ranked.groupBy("dim").agg(F.corr("rv", "rs").alias("r"))
     raise ValueError(f"unknown method {method!r}: pearson or spearman")
 

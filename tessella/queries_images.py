@@ -341,6 +341,32 @@ def tissue_filter(spark: SparkSession, sf: str) -> DataFrame:
     return segmentation.within_tissue(rows, adapters.tissues(spark, sf), 1).select("cell_id")
 
 
+# --- suppression and matching where SQL can tell the answer -----------------------------------
+
+
+@query("nms_cliques", with_relations("cells", "SELECT slide_id, arg_max(cell_id, prob) AS cell_id FROM cells GROUP BY slide_id, cell_id // 4"))
+def nms_cliques(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells moved so that each four overlap one another and nothing else: the likeliest stays."""
+    at = "cell_id div 4 % 100 * 200 + cell_id % 4 * 3", "cell_id div 400 * 200 + cell_id % 4 * 2"
+    rows = adapters.cells(spark, sf).selectExpr("slide_id", "cell_id", "prob", f"{at[0]} as x0", f"{at[1]} as y0", f"{at[0]} + 60 as x1", f"{at[1]} + 60 as y1")
+    return cells.nms(rows).select("slide_id", "cell_id")
+
+
+_IOU = "(256 - tile_id % 4 * 20) / (256.0::DOUBLE + tile_id % 4 * 20)"
+
+
+@query("tile_matching_scores", with_relations("tiles", f"""SELECT slide_id, count(*) FILTER (WHERE tile_id % 7 > 0) AS tp, 0::BIGINT AS fp, count(*) FILTER (WHERE tile_id % 7 = 0) AS fn,
+  round(sum({_IOU}) FILTER (WHERE tile_id % 7 > 0) / count(*) FILTER (WHERE tile_id % 7 > 0), 6) AS mean_iou,
+  round(sum({_IOU}) FILTER (WHERE tile_id % 7 > 0) / (count(*) FILTER (WHERE tile_id % 7 > 0) + count(*) FILTER (WHERE tile_id % 7 = 0) / 2.0::DOUBLE), 6) AS pq FROM tiles GROUP BY slide_id"""))
+def tile_matching_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles against tiles that are shifted by up to a quarter, every seventh left out."""
+    gt = adapters.tiles(spark, sf).withColumnRenamed("tile_id", "id")
+    moved = {c: F.col(c) + F.col("id") % 4 * 20 for c in ("x0", "x1")}
+    pred = gt.where("id % 7 > 0").withColumns(moved)
+    scored = cells.metrics(cells.instance_stats(gt, pred, cells.match_instances(gt, pred, 256)))
+    return scored.select("slide_id", "tp", "fp", "fn", r6("mean_iou"), r6("pq"))
+
+
 # --- scores over many instances --------------------------------------------------------------
 
 _STATS = """SELECT l_suppkey AS slide_id, count(*) FILTER (WHERE l_quantity >= 25) AS tp, count(*) FILTER (WHERE l_quantity < 25) AS fp, count(*) FILTER (WHERE l_discount < 0.03) AS fn,

@@ -1,18 +1,26 @@
 import pytest
 
 import __spark_entry__
-from tessella import queries
+from tessella import queries, queries_images
 from tests.oracle import same
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+QUERIES = {**queries.QUERIES, **queries_images.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL, **queries_images.ORACLE_SQL}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(name, spark, sf_dir):
-    same(queries.QUERIES[name], queries.ORACLE_SQL[name], spark, sf_dir)
+    same(QUERIES[name], ORACLE_SQL[name], spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(name, spark, sf_dir):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_names_are_registered_once():
+    assert not set(queries.QUERIES) & set(queries_images.QUERIES)
 
 
 def test_entry(spark):
