@@ -12,10 +12,13 @@ from tessella.llm.html_text import op7_html_extraction
 from tessella.llm.language_id import op5_language_id
 from tessella.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tessella.llm.near_dedup import op6_simhash_near_dedup
+from tessella.llm.pieces import op12_sentencepiece
 from tessella.llm.quality_model import op3_quality_classifier
 from tessella.llm.quality_rules import OP4_SQL, op4_quality_rules
+from tessella.llm.runs import OP13_SQL, op13_periodic_runs
 from tessella.llm.sharding import OP9_SQL, op9_sharding
 from tessella.llm.toxicity import op10_toxicity
+from tessella.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_sharding": OP9_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
