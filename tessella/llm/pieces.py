@@ -11,7 +11,8 @@ stretch of spaces, and a worker remembers the ids of such words. The agendas of
 lie in one flat array and are popped in step, one pair of each word a round; a long word has a
 heap of its own.
 
-The sentencepiece library encodes and decodes each Arrow batch too, and is compared with.
+In each Arrow batch the sentencepiece library encodes and decodes the words that are new to the
+worker too, and is compared with. As no merge leaves a word, a text agrees if all its words do.
 """
 
 from __future__ import annotations
@@ -205,17 +206,32 @@ class PieceEncoder:
 
     WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
-    def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, library=None) -> None:
+        self.pieces, self.library = pieces, library
         self.forget()
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.ids = np.zeros(0, np.int64)
         self.ends = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin; the end last."""
+        self.agreed = np.zeros(0, bool)
+
+    def agreeing(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the library makes the same of each word, which begins with the prefix."""
+        if self.library is None:
+            return np.ones(len(words), bool)
+        prefix = self.pieces.prefix
+        plain = [w.removeprefix(prefix).replace(SPACE, " ") for w in words]
+        theirs = self.library.encode(plain, num_threads=1)
+        texts = self.library.decode(theirs, num_threads=1)
+        ours = [ids[a:b].tolist() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        told = decode(self.pieces, ids, ends)
+        # The library puts no mark before an empty text: the mark alone is looked up.
+        return np.array([o == t and a == b if p else o == [self.library.piece_to_id(prefix)] for o, t, a, b, p in zip(ours, theirs, told, texts, plain)], bool)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, where each text's begin, the end last, and
+        whether the library, if there is one, agrees on all words of each text."""
         marked = [self.pieces.prefix + t.replace(" ", SPACE) if t else "" for t in texts]
         cut = [self.WORDS.findall(t) if self.pieces.cuts else [t] if t else [] for t in marked]
         flat = list(chain.from_iterable(cut))
@@ -227,21 +243,24 @@ class PieceEncoder:
         if kept < len(new):  # long ones last, for these texts only
             unknown += [w for w in new if len(w) > MEMORY_CHARS]
         places = self.places
-        start, known, ends = len(places), self.ids, self.ends
+        start, known, ends, agreed = len(places), self.ids, self.ends, self.agreed
         if unknown:
             new, new_ends = merge_many(self.pieces, unknown[:kept])
             long = [merge(self.pieces, w) for w in unknown[kept:]]
             new_ends = np.concatenate([new_ends, new_ends[-1] + np.cumsum([len(m) for m in long], dtype=np.int64)])
+            new = np.concatenate([new, np.array([i for m in long for i in m], np.int64)])
+            agreed = np.concatenate([agreed, self.agreeing(unknown, new, new_ends)])
             ends = np.concatenate([ends, len(known) + new_ends[1:]])
-            known = np.concatenate([known, new, np.array([i for m in long for i in m], np.int64)])
+            known = np.concatenate([known, new])
             self.places.update(zip(unknown[:kept], range(start, start + kept)))
-            self.ids, self.ends = known[: ends[start + kept]], ends[: start + kept + 1]
+            self.ids, self.ends, self.agreed = known[: ends[start + kept]], ends[: start + kept + 1], agreed[: start + kept]
             if kept < len(unknown):
                 places = places | dict(zip(unknown[kept:], range(start + kept, start + len(unknown))))
         which = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
         at, length = spans(ends, which)
         word_ends = np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)
-        return known[at], np.concatenate([[0], np.cumsum(length)])[word_ends]
+        doubts = np.concatenate([[0], np.cumsum(~agreed[which])])[word_ends]
+        return known[at], np.concatenate([[0], np.cumsum(length)])[word_ends], np.diff(doubts) == 0
 
 
 def decode(pieces: Pieces, ids: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -280,26 +299,20 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 def _coded(pieces_of, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(pieces_of.value)
         library = None
         if check:
             import sentencepiece
 
-            library = sentencepiece.SentencePieceProcessor(model_proto=encoder.pieces.model)
+            library = sentencepiece.SentencePieceProcessor(model_proto=pieces_of.value.model)
+        encoder = PieceEncoder(pieces_of.value, library)
         for batch in batches:
             ids_of, texts_of, agrees = [], [], []
             for part in _chunks([t or "" for t in batch.column("text").to_pylist()]):
-                ids, ends = encoder.encode(part)
+                ids, ends, same = encoder.encode(part)
                 packed = ids.astype("<u4").tobytes()
                 ids_of += [packed[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
-                told = decode(encoder.pieces, ids, ends)
-                texts_of += told
-                if library is None:
-                    agrees += [None] * len(part)
-                else:
-                    theirs = library.encode(part, num_threads=1)
-                    same = [np.array_equal(ids[a:b], t) for a, b, t in zip(ends[:-1], ends[1:], theirs)]
-                    agrees += [bool(s and a == b) for s, a, b in zip(same, told, library.decode(theirs, num_threads=1))]
+                texts_of += decode(encoder.pieces, ids, ends)
+                agrees += same.tolist() if check else [None] * len(part)
             if ids_of:
                 columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids_of], pa.int64()), "ids": pa.array(ids_of, pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns | {"decoded": pa.array(texts_of, pa.string()), "agrees": pa.array(agrees, pa.bool_())})
@@ -311,7 +324,7 @@ def encode_and_decode_pieces(docs: DataFrame, model_path: str, id_col: str = "do
     """Ids of every whole text, without begin and end, and the text that they decode to.
 
     Returns ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers), ``decoded`` and
-    ``agrees``: with ``check``, whether the library gives the same ids and text, else null. The
+    ``agrees``: with ``check``, whether the library makes the same of all its words, else null. The
     driver reads the model once and broadcasts its tables, whose size is that of the model.
 
     A null or empty text has no ids and decodes to the empty text. Rows that repeat an id, and
@@ -338,7 +351,7 @@ def _listed(ids):
 def op12_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Digests of the ids, and of the text decoded from them, of every document.
 
-    ``agrees`` says whether the sentencepiece library gives the same of that document.
+    ``agrees`` says whether the sentencepiece library makes the same of all words of a document.
     """
     coded = encode_and_decode_pieces(table(spark, sf_dir, "documents"), model_path or vocabulary_file("piece_bpe_32k.model"), check=True)
     listed = coded.mapInArrow(_listed("ids"), "doc_id long, n_tokens long, decoded string, agrees boolean, listed string")
