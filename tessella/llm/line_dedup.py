@@ -1,12 +1,15 @@
 """Line dedup with two Bloom filters: hashes seen once, and hashes seen twice.
 
 Lines are hashed where they are read, and only the hashes travel: in packed blocks, dealt by
-their leading bits into cells. The task that has a cell sets each hash in the cell's filter of
-once-seen hashes; one that was there already is set in the filter of twice-seen hashes and
-reported the first time. The filters never leave their task, and their size follows from a
-count of all lines, so they are no fuller on a large input than on a small one. A line in two
-documents is reported for certain, so only lines whose hash is among the reported suspects are
-shuffled as texts, to be counted exactly and to find the document that keeps each.
+their leading bits into cells, and sorted by cell. The task that has a cell sets each hash in
+the cell's filter of once-seen hashes; one that was there already is set in the filter of
+twice-seen hashes and reported. The filter of twice-seen hashes tells which can't have been
+reported yet; one that it may hold is looked up among the reported ones, so that none is missed
+because others have set its bits. The filters never leave their task and go when their cell
+ends; their size follows from a count of all lines, so they are no fuller on a large input than
+on a small one. A line in two documents is reported for certain, so only lines whose hash is
+among the reported suspects are shuffled as texts, to be counted exactly and to find the
+document that keeps each.
 """
 
 from __future__ import annotations
@@ -45,11 +48,12 @@ def hashed(key: bytes) -> int:
 
 
 class Filters:
-    """The filters of one cell."""
+    """The filters of one cell, and the hashes that were reported."""
 
     def __init__(self, lines: int) -> None:
         bits = 1 << max(10, int(lines * LINE_BITS - 1).bit_length())
         self.once, self.twice, self.mask = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8), np.uint64(bits - 1)
+        self.said, self.lately = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # both sorted
 
     def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step = (hashes >> np.uint64(20)) | np.uint64(1)
@@ -57,16 +61,29 @@ class Filters:
         return bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8)
 
     def add(self, hashes: np.ndarray) -> np.ndarray:
-        """Sets hashes; returns those that are now seen twice and weren't before."""
+        """Sets hashes; returns those that are now seen twice and weren't reported before."""
         values, counts = np.unique(hashes, return_counts=True)
         at, bit = self._at(values)
-        again = (self.once[at] & bit).astype(bool).all(axis=1) | (counts > 1)
-        new = again & ~(self.twice[at] & bit).astype(bool).all(axis=1)
+        again = np.flatnonzero((self.once[at] & bit).astype(bool).all(axis=1) | (counts > 1))
+        maybe = (self.twice[at[again]] & bit[again]).astype(bool).all(axis=1)
+        known = np.zeros(len(again), bool)
+        known[maybe] = among(self.said, values[again[maybe]]) | among(self.lately, values[again[maybe]])
+        new = again[~known]
         np.bitwise_or.at(self.once, at, bit)
         np.bitwise_or.at(self.twice, at[new], bit[new])
+        self.lately = np.union1d(self.lately, values[new])
+        if len(self.lately) > max(1024, len(self.said) >> 2):
+            self.said, self.lately = np.union1d(self.said, self.lately), self.lately[:0]
         return values[new]
 
 
+def among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
 def _dealt(cells: int, min_chars: int):
     """Packed hashes by cell. A hash that stands twice in a batch is sent twice, not more."""
 
@@ -87,13 +104,13 @@ def _dealt(cells: int, min_chars: int):
 
 def _twice_seen(lines_of_cell: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, Filters] = {}
+        at, filters = None, None
         for batch in batches:
             found = []
             for cell, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if cell not in filters:
-                    filters[cell] = Filters(lines_of_cell)
-                found.append(filters[cell].add(np.frombuffer(block, "<u8")))
+                if cell != at:
+                    at, filters = cell, Filters(lines_of_cell)
+                found.append(filters.add(np.frombuffer(block, "<u8")))
             if found:
                 yield pa.RecordBatch.from_pydict({"hash": pa.array(np.concatenate(found).astype(np.int64), pa.int64())})
 
@@ -106,7 +123,7 @@ def suspect_hashes(rows: DataFrame, min_chars: int) -> DataFrame:
     lines = rows.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     cells = min(MOST_CELLS, max(1, -(-lines // CELL_LINES)))
     dealt = rows.mapInArrow(_dealt(cells, min_chars), "cell int, hashes binary")
-    return cut(dealt.repartition("cell").mapInArrow(_twice_seen(-(-lines // cells)), "hash long"))
+    return cut(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_twice_seen(-(-lines // cells)), "hash long"))
 
 
 def _suspects(listed: Callable[[], np.ndarray] | None, min_chars: int):
@@ -128,8 +145,7 @@ def _suspects(listed: Callable[[], np.ndarray] | None, min_chars: int):
                 hashes += these
             if listed and keys:
                 values = np.array(hashes, np.uint64)
-                at = np.minimum(np.searchsorted(everywhere, values), max(len(everywhere) - 1, 0))
-                held = everywhere[at] == values if len(everywhere) else np.zeros(len(keys), bool)
+                held = among(everywhere, values)
             chosen = np.flatnonzero(held)
             if len(chosen):
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[j] for j in chosen], pa.int64()), "key": pa.array([keys[j] for j in chosen], pa.binary()).cast(pa.string())})

@@ -48,6 +48,24 @@ def test_filters_report_what_is_seen_twice():
     assert len(found) - (counts > 1).sum() < 0.01 * len(seen)
 
 
+def test_filters_miss_no_repeat_when_half_the_lines_repeat():
+    """Filters made for 2^20 lines, of which 500,000 repeat: others have set their bits."""
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 63, 500_000).astype(np.uint64) * np.uint64(2)
+    cell = line_dedup.Filters(1 << 20)
+    parts = [*np.array_split(values, 40), *np.array_split(rng.permutation(values), 40), *np.array_split(rng.permutation(values), 7)]
+    found = np.concatenate([cell.add(p) for p in parts])
+    assert len(set(found.tolist())) == len(found) and set(values.tolist()) == set(found.tolist())
+
+
+def test_every_repeated_line_goes(spark):
+    """Each of many lines stands in three documents: all but the last copies go."""
+    lines = [f"this is the line with number {i} of many" for i in range(60_000)]
+    docs = spark.createDataFrame([(c * 60 + k, "\n".join(lines[k * 1000 : (k + 1) * 1000])) for c in range(3) for k in range(60)], "doc_id long, text string").repartition(6)
+    got = line_dedup.drop_repeated_lines(docs).agg({"n_lines": "sum", "n_dropped": "sum"}).first()
+    assert tuple(sorted(got)) == (120_000, 180_000)
+
+
 def test_filters_grow_with_the_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "CELL_LINES", 40)
     expected = list(plain_lines(data.rows()))
