@@ -29,6 +29,9 @@ PER_LANGUAGE, MOST_LEARNED = 400, 20_000
 LANDMARKS_EACH, LANDMARKS = 24, 400
 RIDGE = 1e-3
 ROWS_AT_ONCE = 64
+#: Lengths are told apart by powers of two. A length has a least score where this many learned
+#: documents of the language are of that length or one beside it.
+BANDS, BAND_DOCUMENTS = 32, 20
 STEP = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,8 +73,9 @@ def kernel_of(rows: Sequence[np.ndarray], landmarks: np.ndarray) -> np.ndarray:
 class Model:
     """Packed landmarks and the weights that turn kernel values into one margin per language."""
 
-    def __init__(self, languages: list[str], packed: np.ndarray, weights: np.ndarray, offset: np.ndarray) -> None:
+    def __init__(self, languages: list[str], packed: np.ndarray, weights: np.ndarray, offset: np.ndarray, least: np.ndarray | None = None) -> None:
         self.languages, self.packed, self.weights, self.offset = languages, packed, weights, offset
+        self.least = np.zeros((len(languages), BANDS), np.float32) if least is None else least
 
     def prepared(self) -> "Model":
         self.landmarks = np.unpackbits(self.packed, axis=1, count=DIMENSIONS).astype(np.float32)
@@ -85,6 +89,28 @@ class Model:
         return best, np.clip((margins[np.arange(len(best)), best] + 1) / 2, 0, 1)
 
 
+def band(n_chars: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n_chars, 1)).astype(np.int64), BANDS - 1)
+
+
+def least_scores(model: Model, best: np.ndarray, score: np.ndarray, labels: list[str], n_chars: np.ndarray) -> np.ndarray:
+    """Per language and length, the score below which a text is in none of the languages.
+
+    It lies halfway between what a text gets that shares nothing with what was learned, and the
+    lowest score of a learned document that was told right. Lengths of which too little was
+    learned have none (0).
+    """
+    out = np.zeros((len(model.languages), BANDS), np.float32)
+    at, right = band(n_chars), np.array(model.languages)[best] == np.array(labels)
+    nothing = np.clip((model.offset + 1) / 2, 0, 1)
+    for k in range(len(model.languages)):
+        for b in range(BANDS):
+            near = score[right & (best == k) & (np.abs(at - b) <= 1)]
+            if len(near) >= BAND_DOCUMENTS:
+                out[k, b] = max(0.0, (nothing[k] + near.min()) / 2)
+    return out
+
+
 def fit(packed: list[np.ndarray], labels: list[str], per_language: int = LANDMARKS_EACH, most: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Kernel ridge regression, one language against the rest, in the landmarks' space.
 
@@ -115,17 +141,22 @@ def fit(packed: list[np.ndarray], labels: list[str], per_language: int = LANDMAR
 
 def _packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = [np.packbits(presences(t or "")).tobytes() for t in batch.column("text").to_pylist()]
-        if bits:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "bits": pa.array(bits, pa.binary())})
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        if texts:
+            bits, lengths = [np.packbits(presences(t)).tobytes() for t in texts], [len(t) for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "bits": pa.array(bits, pa.binary()), "chars": pa.array(lengths, pa.int64())})
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("place", "lang", "bits"))))
-    model = fit([np.frombuffer(bits, np.uint8) for _, _, bits in rows], [lang for _, lang, _ in rows])
+    rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("place", "lang", "bits", "chars"))))
+    packed, labels = [np.frombuffer(bits, np.uint8) for _, _, bits, _ in rows], [lang for _, lang, _, _ in rows]
+    model = fit(packed, labels)
     if model:
-        arrays = [model.packed.tobytes(), model.weights.tobytes(), model.offset.tobytes()]
-        yield pa.RecordBatch.from_pydict({"languages": pa.array([model.languages], pa.list_(pa.string()))} | {c: pa.array([x], pa.binary()) for c, x in zip(("packed", "weights", "offset"), arrays)})
+        model.prepared()
+        told = [model.score(np.unpackbits(np.stack(packed[i : i + 256]), axis=1, count=DIMENSIONS)) for i in range(0, len(packed), 256)]
+        least = least_scores(model, np.concatenate([b for b, _ in told]), np.concatenate([s for _, s in told]), labels, np.array([n for *_, n in rows]))
+        arrays = [model.packed, model.weights, model.offset, least]
+        yield pa.RecordBatch.from_pydict({"languages": pa.array([model.languages], pa.list_(pa.string()))} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("packed", "weights", "offset", "least"), arrays)})
 
 
 def _hashed(doc_id: Column) -> Column:
@@ -133,7 +164,7 @@ def _hashed(doc_id: Column) -> Column:
 
 
 def sample_of(rows: DataFrame) -> DataFrame:
-    """``place, lang, bits``: of each language, the documents whose hashed ids come first.
+    """``place, lang, bits, chars``: of each language, the documents whose hashed ids come first.
 
     ``rows`` has ``doc_id, lang, text`` of what may be learned from. Languages are counted
     first, and only ids whose hash is below a bound that four times as many documents as needed
@@ -144,20 +175,21 @@ def sample_of(rows: DataFrame) -> DataFrame:
     counts = small(rows.groupBy("lang").agg(F.count("*").alias("n")))
     share = F.conv(F.substring(_hashed(F.col("doc_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     near = rows.join(counts, "lang").where(share * F.col("n") < 4 * PER_LANGUAGE).select("doc_id", "lang", "text")
-    packed = near.mapInArrow(_packed_features, "doc_id long, lang string, bits binary").groupBy("lang", "doc_id").agg(F.min("bits").alias("bits"))
+    packed = near.mapInArrow(_packed_features, "doc_id long, lang string, bits binary, chars long")
+    packed = packed.groupBy("lang", "doc_id").agg(F.min(F.struct("bits", "chars")).alias("first")).select("lang", "doc_id", "first.*")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(_hashed(F.col("doc_id")), "doc_id"))
-    return packed.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).orderBy("place", "lang").limit(MOST_LEARNED).select("place", "lang", "bits")
+    return packed.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).orderBy("place", "lang").limit(MOST_LEARNED).select("place", "lang", "bits", "chars")
 
 
 def learn(rows: DataFrame) -> Model | None:
     """Fits in one task on a bounded sample; the driver gets the model alone."""
     sample = cut(sample_of(rows))
-    found = sample.repartition(1).mapInArrow(_fitted, "languages array<string>, packed binary, weights binary, offset binary").collect()
+    found = sample.repartition(1).mapInArrow(_fitted, "languages array<string>, packed binary, weights binary, offset binary, least binary").collect()
     if not found:
         return None
     r = found[0]
     languages = list(r.languages)
-    arrays = [np.frombuffer(bytes(x), kind).reshape(shape) for x, kind, shape in ((r.packed, np.uint8, (-1, DIMENSIONS // 8)), (r.weights, np.float32, (-1, len(languages))), (r.offset, np.float32, (-1,)))]
+    arrays = [np.frombuffer(bytes(x), kind).reshape(shape) for x, kind, shape in ((r.packed, np.uint8, (-1, DIMENSIONS // 8)), (r.weights, np.float32, (-1, len(languages))), (r.offset, np.float32, (-1,)), (r.least, np.float32, (-1, BANDS)))]
     return Model(languages, *arrays)
 
 
@@ -166,22 +198,24 @@ def _predicted(model_of, carried: bool):
         model = model_of.value and model_of.value.prepared()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            langs, scores, foreign = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             known = [i for i, t in enumerate(texts) if model and has_letter(t)]
             for at in range(0, len(known), ROWS_AT_ONCE):
                 part = known[at : at + ROWS_AT_ONCE]
                 best, score = model.score(np.stack([presences(texts[i]) for i in part]))
-                for i, b, s in zip(part, best, score):
-                    langs[i], scores[i] = model.languages[b], float(s)
+                least = model.least[best, band(np.array([len(texts[i]) for i in part]))]
+                for i, b, s, low in zip(part, best, score, least):
+                    langs[i], scores[i], foreign[i] = model.languages[b], float(s), bool(s < low)
             kept = {c: batch.column(c) for c in (("doc_id", "text", "carried") if carried else ("doc_id",))}
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()), "foreign": pa.array(foreign, pa.bool_())})
 
     return run
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row; with ``carry``, also ``text`` and
-    ``carried``, a struct of those columns.
+    """``doc_id, held_out, lang_pred, score, foreign`` of every row; with ``carry``, also ``text``
+    and ``carried``, a struct of those columns. ``foreign`` says that the score is below what
+    :func:`least_scores` asks for that language and length, or that there is no letter.
 
     Learns from text and language of the rows whose crc32 of the id isn't 2 modulo 4; ids and
     languages are no inputs of a prediction. At most ``PER_LANGUAGE`` documents of a language
@@ -193,11 +227,11 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     may = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
     model_of = docs.sparkSession.sparkContext.broadcast(learn(may.where(learnable(F.col("doc_id"), 4, 2))))
     kept = [f for f in rows.schema.fields if carry or f.name == "doc_id"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, foreign boolean"
     predicted = rows.mapInArrow(_predicted(model_of, bool(carry)), schema)
-    return predicted.select("doc_id", (~learnable(F.col("doc_id"), 4, 2)).alias("held_out"), "lang_pred", "score", *(["text", "carried"] if carry else []))
+    return predicted.select("doc_id", (~learnable(F.col("doc_id"), 4, 2)).alias("held_out"), "lang_pred", "score", "foreign", *(["text", "carried"] if carry else []))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
-    return identify_languages(table(spark, sf_dir, "documents"))
+    return identify_languages(table(spark, sf_dir, "documents")).drop("foreign")
