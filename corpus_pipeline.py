@@ -19,10 +19,6 @@ from tessella.llm.near_dedup import near_duplicate_classes
 from tessella.plans.session import cut, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose best language's score is below this, with as many characters as this, are in
-#: no language that was learned. The least possible score is one over the number of languages;
-#: texts of other scripts and random letters score 0.27 to 0.31 where four are learned.
-REJECT_BELOW, LEAST_CHARS = 0.31, 200
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,14 +34,13 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that no language can be told of; the others get the language that was told.
 
-    Those without a text or any letter go, and those of ``LEAST_CHARS`` characters or more of
-    which every language's regression says no, by a score below ``REJECT_BELOW``. Rows that
-    repeat an id, and null ids and sources, are judged by their text alone. An empty table, or
-    one without any language to learn from, gives an empty result.
+    Those without a text or any letter go, and those that score less than half of what sets the
+    least of the learned documents of their language and length apart from a text that shares
+    nothing with any. Rows that repeat an id, and null ids and sources, are judged by their text
+    alone. An empty table, or one without any language to learn from, gives an empty result.
     """
     told = identify_languages(docs, carry=("source", "n_chars"))
-    foreign = (F.col("score") < REJECT_BELOW) & (F.length("text") >= LEAST_CHARS)
-    kept = told.where((F.col("lang_pred") != UNDETERMINED) & ~foreign)
+    kept = told.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("foreign"))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "carried.source", "carried.n_chars")
 
 
