@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.boxes import area, box, ring_area
+from tessella.functions.boxes import area, box, ring_area, ring_of
 from tessella.operators.palette import class_colors
 from tessella.operators.polygons import exploded
 from tessella.plans.spatial_join import spatial_join
@@ -146,13 +146,18 @@ def moved(shapes: DataFrame, dx: int, dy: int) -> DataFrame:
 
 
 def annotations_with_shapes(annotations: DataFrame, shapes: DataFrame, cell: int = 1024) -> DataFrame:
-    """Every annotation once for each shape that it intersects, or once with nulls."""
-    return spatial_join(annotations, shapes, cell, how="left")
+    """Every annotation once for each shape that it intersects, or once with nulls.
+
+    Rings and holes decide, on either side, where there are any; boxes else.
+    """
+    return spatial_join(annotations, shapes, cell, how="left", exact=True)
 
 
 def shapes_with_annotations(shapes: DataFrame, annotations: DataFrame, id_col: str, annotation_id: str, cell: int = 1024) -> DataFrame:
-    """Every shape once, with the sorted ids of the annotations that it intersects."""
-    pairs = spatial_join(shapes, annotations.select("slide_id", annotation_id, "x0", "y0", "x1", "y1"), cell)
+    """Every shape once, with the sorted ids of the annotations that it intersects, by their
+    outlines where there are any."""
+    outlined = [c for c in ("ring", "holes") if c in annotations.columns]
+    pairs = spatial_join(shapes, annotations.select("slide_id", annotation_id, "x0", "y0", "x1", "y1", *outlined), cell, exact=True)
     lists = pairs.groupBy("slide_id", id_col).agg(F.array_sort(F.collect_set(f"r_{annotation_id}")).alias("annotations"))
     return shapes.join(lists, ["slide_id", id_col], "left").withColumn("annotations", F.coalesce("annotations", F.array().cast("array<long>")))
 
@@ -164,36 +169,74 @@ def flatten_json(df: DataFrame, column: str, fields: dict[str, str]) -> DataFram
     return rows.select("*", *[F.col(f"_parsed.{k}").alias(f"{column}_{k}") for k in fields]).drop("_parsed", column)
 
 
+def _coordinates(df: DataFrame) -> dict[str, Column]:
+    """GeoJSON coordinates, as JSON text, of each kind of geometry, from ``parts``."""
+    point = lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))
+    line = lambda ring: F.transform(ring, point)
+    polygon = lambda p: F.concat(F.array(line(p["ring"])), F.transform(p["holes"], line))
+    parts = F.col("parts")
+    first = parts[0]
+    made = {
+        "Point": point(first["ring"][0]),
+        "MultiPoint": F.transform(parts, lambda p: point(p["ring"][0])),
+        "LineString": line(first["ring"]),
+        "MultiLineString": F.transform(parts, lambda p: line(p["ring"])),
+        "Polygon": polygon(first),
+        "MultiPolygon": F.transform(parts, polygon),
+    }
+    return {kind: F.to_json(c) for kind, c in made.items()}
+
+
+def _with_parts(df: DataFrame) -> DataFrame:
+    """``kind`` and ``parts`` of rows that have parts, a ring, or a box."""
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    if "parts" not in df.columns:
+        ring = F.col("ring") if "ring" in df.columns else ring_of(box())
+        holes = F.coalesce("holes", none) if "holes" in df.columns else none
+        df = df.withColumn("parts", F.array(F.struct(ring.alias("ring"), holes.alias("holes"))))
+    if "kind" not in df.columns:
+        ring = F.col("parts")[0]["ring"]
+        closed = (F.size(ring) >= 4) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1))
+        one = F.when(closed, "Polygon").when(F.size(ring) == 1, "Point").otherwise("LineString")
+        df = df.withColumn("kind", F.concat(F.when(F.size("parts") > 1, "Multi").otherwise(""), one))
+    return df
+
+
 def export_annotations(df: DataFrame, path: str | None = None, classes: str | None = None, order: str | None = None, colors: Colors = None, in_bounds: tuple[float, float] | None = None, format: str = "qupath") -> DataFrame:
     """``value``: a GeoJSON feature of each row, written as text to ``path`` if given.
 
-    Rows have a ``ring`` (and ``holes``) or a box. With ``classes`` they get a QuPath
-    classification, coloured as :func:`class_colors` does. ``in_bounds`` is the origin that was
-    added when loading, and is subtracted.
+    Rows have a ``kind`` and ``parts``, a ``ring`` (and ``holes``), or a box; without a kind, the
+    points tell it. All other columns, but bounds beside a ring, become properties. With
+    ``classes`` there is a QuPath ``classification``, of a name and the colour that
+    :func:`class_colors` gives. ``in_bounds`` is the origin that was added when loading, and is
+    subtracted. A path in a folder that doesn't exist raises ``NotADirectoryError``.
     """
     if format != "qupath":
         raise ValueError(f"unknown format {format!r}; known: qupath")
-    if "ring" not in df.columns and not {"x0", "y0", "x1", "y1"} <= set(df.columns):
+    if not {"ring", "parts"} & set(df.columns) and not {"x0", "y0", "x1", "y1"} <= set(df.columns):
         raise ValueError("there is neither a ring nor a box to export")
+    if classes and classes not in df.columns:
+        raise ValueError(f"there is no column {classes!r}; known: {', '.join(df.columns)}")
     if path and "://" not in path and not os.path.isdir(os.path.dirname(os.path.abspath(path))):
-        raise ValueError(f"there is no folder {os.path.dirname(os.path.abspath(path))!r}")
-    if "ring" in df.columns:
-        rows = df if "holes" in df.columns else df.withColumn("holes", F.array().cast("array<array<struct<x:double,y:double>>>"))
-        rows = moved_rings(rows, -in_bounds[0], -in_bounds[1]) if in_bounds else rows
-        line = lambda ring: F.transform(ring, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
-        coordinates = F.concat(F.array(line(F.col("ring"))), F.transform("holes", line))
-    else:
-        rows = moved(df, -in_bounds[0], -in_bounds[1]) if in_bounds else df
-        corners = [["x0", "y0"], ["x1", "y0"], ["x1", "y1"], ["x0", "y1"], ["x0", "y0"]]
-        coordinates = F.array(F.array(*[F.array(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in corners]))
-    props = F.struct()
+        raise NotADirectoryError(f"there is no folder {os.path.dirname(os.path.abspath(path))!r}")
+    rows = _with_parts(df)
+    if in_bounds:
+        shift = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - in_bounds[0]).alias("x"), (p["y"] - in_bounds[1]).alias("y")))
+        rows = rows.withColumn("parts", F.transform("parts", lambda p: F.struct(shift(p["ring"]).alias("ring"), F.transform(p["holes"], shift).alias("holes"))))
+    made = _coordinates(rows)
+    coordinates = F.coalesce(*[F.when(F.col("kind") == kind, c) for kind, c in made.items()])
+    shapes = {"kind", "parts", "ring", "holes", "is_area", "x0", "y0", "x1", "y1"}
+    carried = [c for c in df.columns if c not in shapes]
     if classes:
         # One row for each class: a bound that the palette of classes has anyhow.
         named = class_colors(df, classes, order or classes, colors).withColumnRenamed("class", "_class")
         rows = rows.join(named.withColumnRenamed("color", "_color"), F.col(classes).eqNullSafe(F.col("_class")), "left")
-        props = F.struct(F.parse_json("_color").alias("classification"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"), props.alias("properties"))
-    out = rows.select(F.to_json(feature).alias("value"))
+    rows = rows.withColumn("_coordinates", coordinates)
+    props = [F.col(c) for c in carried] + ([F.parse_json("_color").alias("classification")] if classes else [])
+    # Properties keep their types; nulls are written, as readers tell columns by them.
+    properties = F.to_json(F.struct(*props), {"ignoreNullFields": "false"}) if props else F.lit("{}")
+    geometry = F.concat(F.lit('{"type":"'), F.col("kind"), F.lit('","coordinates":'), F.col("_coordinates"), F.lit("}"))
+    out = rows.select(F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), properties, F.lit("}")).alias("value"))
     if path:
         out.write.mode("errorifexists").text(path)
     return out

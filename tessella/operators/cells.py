@@ -10,24 +10,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import area, box, iou
+from tessella.functions.overlay import buffered, outline_area, overlap_areas, repaired, with_bounds
 from tessella.plans.components import map_components, slide_components
-from tessella.plans.session import cut
-from tessella.plans.spatial_join import spatial_join
+from tessella.plans.session import cut, written
+from tessella.plans.spatial_join import has_rings, outline, spatial_join
 
 BOX = ("x0", "y0", "x1", "y1")
 EPS = 1e-8
 
 
+def _shape(df: DataFrame) -> list[str]:
+    """Box columns, and those of an outline where there are any."""
+    return [*BOX, *[c for c in ("ring", "holes") if c in df.columns]]
+
+
+def _overlap(pairs: DataFrame) -> Column:
+    """IoU of a pair: of its polygons, where it has any, else of its boxes."""
+    if not {"ring", "r_ring"} & set(pairs.columns):
+        return iou(box(), box("r_"))
+    s = overlap_areas(*outline(pairs), *outline(pairs, "r_"))
+    return F.transform(F.array(s), lambda a: F.coalesce(a["both"] / F.nullif(a["a"] + a["b"] - a["both"], F.lit(0.0)), F.lit(0.0)))[0]
+
+
 def iou_pairs(boxes: DataFrame, cell: int = 64, threshold: float = 0.0, id_col: str = "cell_id") -> DataFrame:
-    """``slide_id, a, b, iou`` of each two boxes (``a < b``) whose IoU is over ``threshold``."""
-    rows = boxes.select("slide_id", F.col(id_col).alias("id"), *BOX)
+    """``slide_id, a, b, iou`` of each two boxes (``a < b``) whose IoU is over ``threshold``; of
+    polygons, where there is a ``ring`` (and ``holes``)."""
+    rows = boxes.select("slide_id", F.col(id_col).alias("id"), *_shape(boxes))
     pairs = spatial_join(rows, rows, cell).where("id < r_id")
-    return pairs.select("slide_id", F.col("id").alias("a"), F.col("r_id").alias("b"), iou(box(), box("r_")).alias("iou")).where(F.col("iou") > threshold)
+    return pairs.select("slide_id", F.col("id").alias("a"), F.col("r_id").alias("b"), _overlap(pairs).alias("iou")).where(F.col("iou") > threshold)
 
 
 def first_tissue(cells: DataFrame, tissues: DataFrame, cell: int = 1024) -> DataFrame:
-    """``cell_id, tissue_id``: of the tissues that a cell intersects, the first; others are left out."""
-    pairs = spatial_join(cells.select("slide_id", "cell_id", *BOX), tissues.select("slide_id", "tissue_id", *BOX), cell)
+    """``cell_id, tissue_id``: of the tissues that a cell intersects, the first; others are left out.
+
+    Outlines count where there are any, else boxes."""
+    pairs = spatial_join(cells.select("slide_id", "cell_id", *_shape(cells)), tissues.select("slide_id", "tissue_id", *_shape(tissues)), cell, exact=True)
     return pairs.groupBy("slide_id", "cell_id").agg(F.min("r_tissue_id").alias("tissue_id"))
 
 
@@ -88,9 +105,27 @@ def nms(boxes: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: st
     return _suppressed(boxes, iou_pairs(boxes, cell, iou_threshold, id_col).select("slide_id", "a", "b"), id_col, prob_col)
 
 
+def nms_polygons(polygons: DataFrame, iou_threshold: float = 0.2, buffer_px: float = 0, cell: int = 64, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
+    """:func:`nms` of polygons (``ring, holes``), made valid, or widened by ``buffer_px``, to be compared.
+
+    Polygons that have no area then go; those that stay come as they were. Of one that falls
+    into several parts, overlaps of all parts count.
+    """
+    seen = buffered("ring", "holes", buffer_px) if buffer_px else repaired("ring", "holes")
+    parts = polygons.select("slide_id", F.col(id_col).alias("whole"), F.posexplode(seen).alias("part", "p")).select("slide_id", "whole", "part", "p.ring", "p.holes")
+    parts = written(with_bounds(parts))
+    size = parts.groupBy("slide_id", "whole").agg(F.sum(outline_area(F.col("ring"), F.col("holes"))).alias("area"))
+    pairs = spatial_join(parts, parts, cell).where("whole < r_whole")
+    both = pairs.groupBy("slide_id", F.col("whole").alias("a"), F.col("r_whole").alias("b")).agg(F.sum(overlap_areas(*outline(pairs), *outline(pairs, "r_"))["both"]).alias("both"))
+    sized = both.join(size.withColumnsRenamed({"whole": "a", "area": "sa"}), ["slide_id", "a"]).join(size.withColumnsRenamed({"whole": "b", "area": "sb"}), ["slide_id", "b"])
+    near = sized.where(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")) > iou_threshold).select("slide_id", "a", "b")
+    valid = polygons.join(size.select("slide_id", F.col("whole").alias(id_col)), ["slide_id", id_col], "left_semi")
+    return _suppressed(valid, near, id_col, prob_col)
+
+
 def _suppressed(boxes: DataFrame, pairs: DataFrame, id_col: str, prob_col: str) -> DataFrame:
     """The boxes that suppression along ``pairs`` keeps; those without an area go."""
-    boxes = boxes.where("x1 > x0 and y1 > y0")
+    boxes = boxes.where("x1 > x0 and y1 > y0") if "x0" in boxes.columns else boxes
     pairs = cut(pairs)
     parts = cut(slide_components(pairs, "a", "b", id_col))
     members = parts.join(boxes.select("slide_id", id_col, F.col(prob_col).cast("double").alias("prob")), ["slide_id", id_col])
@@ -184,9 +219,9 @@ def match_instances(gt: DataFrame, pred: DataFrame, cell: int = 64, iou_threshol
     """``slide_id, gt_id, pred_id, iou`` of the best one-to-one matching with IoU at or above
     the threshold. Pairs without overlap add nothing, so each connected component of overlaps
     is matched by itself, in memory that grows with its overlaps. Both inputs have ``slide_id,
-    id`` and a box; ids count within their slide."""
-    rows = spatial_join(gt.select("slide_id", "id", *BOX), pred.select("slide_id", "id", *BOX), cell)
-    pairs = cut(rows.select("slide_id", F.col("id").alias("gt_id"), F.col("r_id").alias("pred_id"), iou(box(), box("r_")).alias("iou")).where("iou > 0"))
+    id`` and a box, and may have a ``ring`` and ``holes``; ids count within their slide."""
+    rows = spatial_join(gt.select("slide_id", "id", *_shape(gt)), pred.select("slide_id", "id", *_shape(pred)), cell)
+    pairs = cut(rows.select("slide_id", F.col("id").alias("gt_id"), F.col("r_id").alias("pred_id"), _overlap(rows).alias("iou")).where("iou > 0"))
     # Even numbers are truths, odd ones predictions.
     edges = pairs.select("slide_id", (2 * F.col("gt_id")).alias("src"), (2 * F.col("pred_id") + 1).alias("dst"))
     parts = slide_components(edges, "src", "dst", "vertex").where("vertex % 2 = 0").select("slide_id", F.expr("vertex div 2").alias("gt_id"), "component")

@@ -22,30 +22,29 @@ def _candidates(points: DataFrame, wanted: DataFrame, side: int, rings: int) ->
 def knn(points: DataFrame, k: int, side: int, wanted: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest others of every point ``slide_id, id, x, y``: ``slide_id, src, dst, dist``.
 
-    A point whose k-th neighbour lies within the rings of grid cells looked at is done: no
-    nearer one can lie outside. The others look at twice as many rings, until the rings hold
-    the whole slide. Ties go to the smaller id; slides of up to k points give what there is.
-    With ``wanted`` (``slide_id, src``) only those points get neighbours.
+    A point looks at the grid cells around its own, and is done if its k-th neighbour is no
+    further than a cell's side: no nearer one can lie outside. The others look at a grid of
+    twice the side, until a cell is as large as their slide; so each look is at nine cells.
+    Slides of up to k + 1 points are done at once. Ties go to the smaller id; slides of up to k
+    points give what there is. With ``wanted`` (``slide_id, src``) only those points get neighbours.
     """
     points = cut(points.select("slide_id", "id", "x", "y"))
-    extent = points.groupBy("slide_id").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).agg(F.max(F.greatest("w", "h"))).first()[0] or 0
+    size = points.groupBy("slide_id").agg(F.count("*").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
     order = Window.partitionBy("slide_id", "src").orderBy("dist", "dst")
-    wanted = points if wanted is None else cut(points.join(wanted.select("slide_id", F.col("src").alias("id")), ["slide_id", "id"], "left_semi").select("slide_id", "id", "x", "y"))
-    rings, done = 1, None
-    while True:
-        best = _candidates(points, wanted, side, rings).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-        best = cut(best)
-        whole = rings * side > extent
-        far = F.lit(0) if whole else F.lit(rings * side)
-        ready = best.groupBy("slide_id", "src").agg(F.max("dist").alias("last"), F.count("*").alias("n")).where(F.lit(whole) | ((F.col("n") == k) & (F.col("last") <= far)))
-        found = best.join(ready.select("slide_id", "src"), ["slide_id", "src"], "left_semi").select("slide_id", "src", "dst", "dist")
-        done = found if done is None else done.unionByName(found)
-        if whole:
-            return done
-        wanted = cut(wanted.join(ready.select("slide_id", F.col("src").alias("id")), ["slide_id", "id"], "left_anti"))
-        if wanted.limit(1).count() == 0:
-            return done
-        rings *= 2
+    asked = points if wanted is None else points.join(wanted.select("slide_id", F.col("src").alias("id")), ["slide_id", "id"], "left_semi")
+    asked = cut(asked.join(size, "slide_id"))
+    few = asked.where(F.col("n") <= k + 1).select("slide_id", F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    apart = F.sqrt(((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))).cast("double"))
+    done = few.join(points.withColumnRenamed("id", "dst"), "slide_id").where("src <> dst").select("slide_id", "src", "dst", apart.alias("dist"))
+    left = cut(asked.where(F.col("n") > k + 1).drop("n"))
+    while not left.isEmpty():
+        best = cut(_candidates(points, left, side, 1).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
+        reach = best.groupBy("slide_id", "src").agg(F.max("dist").alias("last"), F.count("*").alias("n")).join(left.select("slide_id", F.col("id").alias("src"), "extent"), ["slide_id", "src"])
+        ready = reach.where((F.col("extent") < side) | ((F.col("n") == k) & (F.col("last") <= side))).select("slide_id", "src")
+        done = done.unionByName(best.join(ready, ["slide_id", "src"], "left_semi").select("slide_id", "src", "dst", "dist"))
+        left = cut(left.join(ready.withColumnRenamed("src", "id"), ["slide_id", "id"], "left_anti"))
+        side *= 2
+    return done
 
 
 def radius_pairs(points: DataFrame, radius: float, include_self: bool = False) -> DataFrame:

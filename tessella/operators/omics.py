@@ -29,16 +29,22 @@ def signature_scores(scaled: DataFrame, ranked: DataFrame, n_features: int, key:
     return scaled.join(F.broadcast(chosen.select("dim", "t")), "dim").groupBy(key).agg(F.sum(F.col("v") * F.col("t")).alias("score"))
 
 
-def _average_ranks(df: DataFrame, by: list[str], value: str, name: str, buckets: int = 256) -> DataFrame:
+#: Ranges that the values of a group are dealt into to be ranked, and ranks in a block of pairs.
+RANGES, BLOCK = 64, 8192
+
+
+def _average_ranks(df: DataFrame, by: list[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
     """Ranks from 1 with the mean rank for ties.
 
-    Distinct values are dealt into equal ranges of their group and ranked there, from what stands
-    in the ranges before; no group is sorted whole.
+    Distinct values are dealt into ranges of about as many of them, by quantiles of a sketch, and
+    ranked there, from what stands in the ranges before; no group is sorted whole, however its
+    values are spread.
     """
-    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    bucket = F.least(F.coalesce(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).alias("_bucket")
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("_ties")).join(ends, by).select(*by, value, "_ties", bucket)
+    counted = cut(df.groupBy(*by, value).agg(F.count("*").alias("_ties")))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    borders = counted.groupBy(*by).agg(F.percentile_approx(value, shares, 20 * ranges).alias("_borders"))
+    bucket = F.size(F.filter("_borders", lambda b: b < F.col(value))).alias("_bucket")
+    counted = counted.join(borders, by).select(*by, value, "_ties", bucket)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.groupBy(*by, "_bucket").agg(F.sum("_ties").alias("_n")).select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     upto = F.sum("_ties").over(Window.partitionBy(*by, "_bucket").orderBy(value))
@@ -47,8 +53,43 @@ def _average_ranks(df: DataFrame, by: list[str], value: str, name: str, buckets:
     return df.join(ranks, [*by, value])
 
 
+def _kendall(rows: DataFrame) -> DataFrame:
+    """``dim, r``: tau-b of ``v`` and ``score`` in each dimension, in n log n.
+
+    Two samples disagree if the one of the lower ``v`` has the higher ``score``. The bits of their
+    scores' ranks agree down to some bit, where the higher rank has a one: so for each bit, among
+    samples that agree above it, each with a zero counts the ones of lower ``v``. These are counted
+    by rank of ``v`` first, then in blocks of ranks, with what stands in the blocks before.
+    """
+    ranked = _average_ranks(cut(_average_ranks(rows, ["dim"], "v", "rv")), ["dim"], "score", "rs")
+    twice = lambda c: (2 * F.col(c)).cast("long").alias(c)
+    pairs = cut(ranked.select("dim", twice("rv"), twice("rs")).groupBy("dim", "rv", "rs").agg(F.count("*").alias("n")))
+    most = pairs.agg(F.max("rs")).first()[0] or 0
+    bits = F.explode(F.array(*[F.lit(b) for b in range(max(1, most.bit_length()))])).alias("bit")
+    held = pairs.select("dim", "rv", "rs", "n", bits).select("dim", "bit", F.expr("shiftright(rs, bit + 1)").alias("above"), "rv", F.expr("shiftright(rs, bit) & 1").alias("one"), "n")
+    group = ["dim", "bit", "above"]
+    counts = held.groupBy(*group, "rv").agg(F.sum(F.col("n") * F.col("one")).alias("ones"), F.sum(F.col("n") * (1 - F.col("one"))).alias("zeros"))
+    counts = cut(counts.withColumn("block", F.expr(f"rv div {BLOCK}")))
+    earlier = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*group, "block").agg(F.sum("ones").alias("ones")).select(*group, "block", F.coalesce(F.sum("ones").over(earlier), F.lit(0)).alias("before"))
+    lower = Window.partitionBy(*group, "block").orderBy("rv").rowsBetween(Window.unboundedPreceding, -1)
+    crossed = counts.withColumn("lower", F.coalesce(F.sum("ones").over(lower), F.lit(0))).join(blocks, [*group, "block"])
+    against = crossed.groupBy("dim").agg(F.sum(F.col("zeros") * (F.col("lower") + F.col("before"))).alias("against"))
+
+    def ties(*of: str) -> DataFrame:
+        each = pairs.groupBy("dim", *of).agg(F.sum("n").alias("t"))
+        return each.groupBy("dim").agg(F.sum(F.expr("t * (t - 1) div 2")).alias("_".join(of) or "all"))
+
+    told = against
+    for of in ((), ("rv",), ("rs",), ("rv", "rs")):
+        told = told.join(ties(*of), "dim")
+    agree = F.col("all") - F.col("rv") - F.col("rs") + F.col("rv_rs") - F.col("against")
+    root = F.sqrt((F.col("all") - F.col("rv")).cast("double")) * F.sqrt((F.col("all") - F.col("rs")).cast("double"))
+    return told.select("dim", ((agree - F.col("against")) / F.nullif(root, F.lit(0.0))).alias("r"))
+
+
 def association(genes: DataFrame, scores: DataFrame, method: str = "pearson", key: str = "tile_id") -> DataFrame:
-    """``dim, r``: each gene's correlation with the score over samples.
+    """``dim, r``: each gene's correlation with the score over samples; ``kendall`` is tau-b.
 
     ``genes`` has ``key, dim, v``, ``scores`` has ``key, score``; samples are joined by key.
     """
@@ -59,7 +100,9 @@ def association(genes: DataFrame, scores: DataFrame, method: str = "pearson", ke
         rows = cut(rows.select("dim", "v", "score"))
         ranked = _average_ranks(cut(_average_ranks(rows, ["dim"], "v", "rv")), ["dim"], "score", "rs")
         return ranked.groupBy("dim").agg(F.corr("rv", "rs").alias("r"))
-    raise ValueError(f"unknown method {method!r}: pearson or spearman")
+    if method == "kendall":
+        return _kendall(cut(rows.select("dim", "v", "score").where("v is not null and score is not null")))
+    raise ValueError(f"unknown method {method!r}: pearson, spearman or kendall")
 
 
 def regression(genes: DataFrame, scores: DataFrame, kind: str = "ols", penalty: float = 0.01, key: str = "tile_id") -> DataFrame:
@@ -78,6 +121,7 @@ def regression(genes: DataFrame, scores: DataFrame, kind: str = "ols", penalty:
 
 def ranked(df: DataFrame, score: str, n: int | None = None, top: bool = True) -> DataFrame:
     """Rows by score with their ``rank`` from 0; the first or last ``n`` of them."""
-    order = Window.orderBy(F.desc(score) if top else F.asc(score), "dim")
-    out = df.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    return out if n is None else out.where(F.col("rank") < n)
+    by = (F.desc(score) if top else F.asc(score), F.col("dim"))
+    # With ``n`` only so many rows are ranked; without, all are in one task: one row a dimension.
+    rows = df if n is None else df.orderBy(*by).limit(n)
+    return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))

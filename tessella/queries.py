@@ -353,6 +353,16 @@ def rna_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return omics.association(_genes(spark, sf), scores, "spearman").select("dim", r6("r"))
 
 
+@query("rna_kendall", with_relations("features", (
+    f", {_SCORE.replace('sum(v * t) AS score', 'round(sum(v * t), 9) AS score')}, j AS (SELECT dim, v, score FROM features JOIN scores USING (tile_id)),"
+    " p AS (SELECT dim, sum(sign(a.v - b.v) * sign(a.score - b.score)) AS s, count(*) FILTER (WHERE a.v <> b.v) AS x, count(*) FILTER (WHERE a.score <> b.score) AS y"
+    " FROM j a JOIN j b USING (dim) GROUP BY dim) SELECT dim, round(s / sqrt(x) / sqrt(y), 6) AS r FROM p"
+)))
+def rna_kendall(spark: SparkSession, sf: str) -> DataFrame:
+    scores = _scores(spark, sf).withColumn("score", F.round("score", 9))
+    return omics.association(_genes(spark, sf), scores, "kendall").select("dim", r6("r"))
+
+
 @query("rna_ranked", with_relations("features", f", {_WELCH} SELECT dim, round(t, 6) AS t, row_number() OVER (ORDER BY t DESC, dim) - 1 AS rank FROM w"))
 def rna_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return omics.ranked(_welch(spark, sf), "t").select("dim", r6("t"), "rank")

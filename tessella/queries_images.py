@@ -166,7 +166,7 @@ def load_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("tissue_id", "details_grade", "r_tile_id")
 
 
-@query("export_annotations", with_relations("tissues", """SELECT '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[' || x0 || '.0,' || y0 || '.0],[' || x1 || '.0,' || y0 || '.0],[' || x1 || '.0,' || y1 || '.0],[' || x0 || '.0,' || y1 || '.0],[' || x0 || '.0,' || y0 || '.0]]]},"properties":{}}' AS value FROM tissues"""))
+@query("export_annotations", with_relations("tissues", """SELECT '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[' || x0 || '.0,' || y0 || '.0],[' || x1 || '.0,' || y0 || '.0],[' || x1 || '.0,' || y1 || '.0],[' || x0 || '.0,' || y1 || '.0],[' || x0 || '.0,' || y0 || '.0]]]},"properties":{"slide_id":' || slide_id || ',"tissue_id":' || tissue_id || '}}' AS value FROM tissues"""))
 def export_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.export_annotations(adapters.tissues(spark, sf))
 

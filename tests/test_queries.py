@@ -1,12 +1,13 @@
 import pytest
 
 import __spark_entry__
-from tessella import queries, queries_images
+from tessella import queries, queries_images, queries_shapes
 from tests.oracle import same
 
 
-QUERIES = {**queries.QUERIES, **queries_images.QUERIES}
-ORACLE_SQL = {**queries.ORACLE_SQL, **queries_images.ORACLE_SQL}
+MODULES = (queries, queries_images, queries_shapes)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -20,7 +21,7 @@ def test_other_queries_run(name, spark, sf_dir):
 
 
 def test_names_are_registered_once():
-    assert not set(queries.QUERIES) & set(queries_images.QUERIES)
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in MODULES)
 
 
 def test_entry(spark):

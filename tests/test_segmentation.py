@@ -205,7 +205,9 @@ def test_export_is_checked(spark, tmp_path):
     line = annotations.export_annotations(df, classes="class", order="id", in_bounds=(5, 6)).first().value
     assert json.loads(line)["geometry"]["coordinates"][0][0] == [0.0, 0.0]
     assert json.loads(line)["properties"]["classification"]["name"] == "a"
-    for bad in ({"classes": "other"}, {"path": str(tmp_path / "no" / "out")}, {"format": "x"}, {"classes": "class", "colors": "other"}):
+    with pytest.raises(NotADirectoryError):
+        annotations.export_annotations(df, str(tmp_path / "no" / "out"))
+    for bad in ({"classes": "other"}, {"format": "x"}, {"classes": "class", "colors": "other"}):
         with pytest.raises(ValueError):
             annotations.export_annotations(df, **bad)
     with pytest.raises(ValueError):
