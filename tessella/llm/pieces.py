@@ -217,10 +217,18 @@ class PieceEncoder:
         self.agreed = np.zeros(0, bool)
 
     def agreeing(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Whether the library makes the same of each word, which begins with the prefix."""
+        """Whether the library makes the same of each word, which begins with the prefix.
+
+        It gets the words as one text first, as merges don't leave words, and one by one if
+        anything differs then.
+        """
         if self.library is None:
             return np.ones(len(words), bool)
         prefix = self.pieces.prefix
+        if self.pieces.cuts and prefix:
+            theirs = self.library.encode("".join(words).removeprefix(prefix).replace(SPACE, " "))
+            if np.array_equal(ids, theirs) and decode(self.pieces, ids, np.array([0, len(ids)]))[0] == self.library.decode(theirs):
+                return np.ones(len(words), bool)
         plain = [w.removeprefix(prefix).replace(SPACE, " ") for w in words]
         theirs = self.library.encode(plain, num_threads=1)
         texts = self.library.decode(theirs, num_threads=1)
