@@ -38,8 +38,6 @@ SAMPLE_PAGES, TRAIN_BLOCKS, COPIES, EPOCHS, STEPS = 240, 160, 6, 10, 300
 PATH_SLOTS, WORD_SLOTS, SIZES, HIDDEN = 64, 32, 12, 16
 WIDTH = PATH_SLOTS + WORD_SLOTS + SIZES
 CELLS_AT_ONCE = 40_000
-#: Blocks of a stretch of a very long page, and how many neighbours it reads on either side.
-STRETCH, OVERLAP = 2_000, 200
 #: Elements by kind (fixed values).
 UNSEEN = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "textarea", "math", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -386,26 +384,21 @@ def fit(pages: list[str], epochs: int = EPOCHS) -> list[np.ndarray]:
     return model.w
 
 
-def _stretches(n: int) -> list[tuple[int, int, int, int]]:
-    """Where stretches of ``n`` blocks begin and end to be read, and to be taken from."""
-    if n <= STRETCH:
-        return [(0, n, 0, n)]
-    return [(max(0, a - OVERLAP), min(n, a + STRETCH + OVERLAP), a, min(n, a + STRETCH)) for a in range(0, n, STRETCH)]
-
-
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
-    """The blocks of each page that score one half or more, joined by line ends."""
+    """The blocks of each page that score one half or more, joined by line ends.
+
+    Every page is read from end to end and back, however long; pages of about one length are
+    read side by side, ``CELLS_AT_ONCE`` blocks at most, and a longer one by itself.
+    """
     found = [blocks(p) for p in pages]
-    rows = [vectors(f) if f else None for f in found]
-    parts = [(i, *stretch) for i, f in enumerate(found) if f for stretch in _stretches(len(f))]
     keep = [np.zeros(len(f), bool) for f in found]
-    parts.sort(key=lambda p: p[2] - p[1])
-    while parts:
-        n = max(1, CELLS_AT_ONCE // (parts[-1][2] - parts[-1][1]))
-        part, parts = parts[-n:], parts[:-n]
-        x, mask = padded([rows[i][a:b] for i, a, b, _, _ in part])
-        for (i, a, _, first, end), scores in zip(part, model.scores(x, mask)):
-            keep[i][first:end] = scores[first - a : end - a] >= 0.5
+    waiting = sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i]))
+    while waiting:
+        n = max(1, CELLS_AT_ONCE // len(found[waiting[-1]]))
+        part, waiting = waiting[-n:], waiting[:-n]
+        x, mask = padded([vectors(found[i]) for i in part])
+        for i, scores in zip(part, model.scores(x, mask)):
+            keep[i] = scores[: len(found[i])] >= 0.5
     return ["\n".join(b.text for b, k in zip(f, own) if k) for f, own in zip(found, keep)]
 
 
@@ -419,7 +412,8 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_labeller(pages: DataFrame) -> list[bytes]:
     """Weights of a labeller trained in one task on the pages whose hashed ids come first."""
     chosen = pages.where("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.md5(F.col("page_id").cast("string").cast("binary")), "page_id").limit(SAMPLE_PAGES)
-    sample = pages.join(F.broadcast(chosen), "page_id").select("page_id", "html")
+    # One page of an id, whatever repeats.
+    sample = pages.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
     found = sample.repartition(1).mapInArrow(_trained, "weights binary, place int").collect()
     return [bytes(r.weights) for r in sorted(found, key=lambda r: r.place)]
 
