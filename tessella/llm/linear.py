@@ -91,12 +91,13 @@ class Scorer:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int) -> DataFrame:
     """``doc_id, text, y`` of at most ``most`` labelled rows that may be learned from.
 
-    Only ids are ordered, by hash, to choose them; their texts come by a join with that list.
+    Only ids are ordered, by hash, to choose them; their texts come by a join with that list, one
+    of each id, whatever repeats.
     """
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     may = rated.where(learnable(F.col("doc_id"), parts, held)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = may.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], Sparse]) -> Sparse:

@@ -297,14 +297,31 @@ def test_hostile_pages_take_linear_time(part):
     assert took[1] < 16 * max(took[0], 0.05)
 
 
-def test_long_pages_are_read_in_stretches(monkeypatch):
-    page = "".join(f"<div><p>words {i} and more</p></div>" for i in range(300))
-    assert len(html_text.blocks(page)) == 300
-    monkeypatch.setattr(html_text, "STRETCH", 40)
-    monkeypatch.setattr(html_text, "OVERLAP", 10)
+def test_long_pages_are_read_whole(monkeypatch):
+    """However many blocks are read side by side, each page is read from end to end and back."""
+    pages = ["".join(f"<div><p>words {i * k} and {'more ' * (i % 7)}</p></div>" for i in range(n)) for k, n in enumerate((2_500, 3, 40))]
     model = html_text.Labeller()
-    model.w[2][-1] = 9.0  # everything is main text
-    assert html_text.main_texts(model, [page]) == ["\n".join(f"words {i} and more" for i in range(300))]
+    rng = np.random.default_rng(2)
+    model.w = [w + rng.normal(0, 0.4, w.shape).astype(np.float32) for w in model.w]
+    expected = []
+    for p in pages:
+        found = html_text.blocks(p)
+        scores = model.scores(*html_text.padded([html_text.vectors(found)]))[0]
+        expected.append("\n".join(b.text for b, s in zip(found, scores) if s >= 0.5))
+    assert 0 < expected[0].count("\n") < 2_400
+    for cells in (10, 100, html_text.CELLS_AT_ONCE):
+        monkeypatch.setattr(html_text, "CELLS_AT_ONCE", cells)
+        assert html_text.main_texts(model, pages) == expected
+
+
+def test_repeated_ids_dont_multiply_the_sample(spark):
+    """One row of an id is learned from, whatever repeats."""
+    from tessella.llm.linear import labelled_sample
+
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)] + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] * 3, "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 3, 99, 100).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted([(i, min(f"text {j}" for j in range(500) if j % 5 == i)) for i in range(5)] + [(7, None)], key=str)
 
 
 def test_broken_markup():
