@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import cells, masks, polygons, raster, transforms
+from tessella.operators import cells, masks, polygons, raster, regions, transforms
 from tessella.plans.session import bounded_batches, cut, ship_package
 from tessella.plans.spatial_join import spatial_join
 
@@ -113,9 +113,9 @@ class Runner(ABC):
 class SemanticRunner(Runner):
     """Class polygons from overlapping tiles.
 
-    The model gives a number of a class for each pixel or, with ``classes`` as a list, its map is
-    taken as the probability of the one class. Where tiles overlap, votes are weighted by the
-    importance map and the heaviest class wins; ``ignore`` is left out.
+    The model gives the number of a class for each pixel. Where tiles overlap, votes are weighted
+    by the importance map and the heaviest class wins; ``ignore`` is left out. For models that
+    give probabilities there is :class:`ProbabilityRunner`.
     """
 
     def __init__(self, model: Callable, edge: int, names: dict[int, str], mode: str = "gaussian", ignore: int = 0, scale: int = 1, sigma_scale: float = 0.125) -> None:
@@ -137,6 +137,71 @@ class SemanticRunner(Runner):
         return found.withColumnRenamed("image_id", "slide_id")
 
 
+#: Blended probabilities below this count as none (fixed value).
+LEAST_PROBABILITY = 1e-3
+
+
+def semantic_polygons(probability: DataFrame, names: dict[int, str], threshold: float = 0.5, ignore: tuple[int, ...] = (0,), buffer_px: float = 0, scale: float = 1, tissues: DataFrame | None = None, **limits: float) -> DataFrame:
+    """Polygons of classes whose probability is over ``threshold``: ``slide_id, class, part, ring,
+    holes, area``, bounds at level 0, and ``prob``.
+
+    ``probability`` has ``slide_id, y, x, c, p``, in pixels of a map that is ``scale`` times
+    smaller than level 0. Classes in ``ignore`` are left out; a pixel may be in several others.
+    ``limits`` are those of :func:`polygons.mask_polygons`. What lies within twice the tolerance,
+    the greater of one pixel and ``buffer_px`` pixels of the map, is dissolved; ``prob`` is then
+    the highest mean probability of any polygon of the class. With ``tissues``, only polygons
+    that meet one stay.
+    """
+    over = probability.where((F.col("p") > threshold) & (F.col("p") >= LEAST_PROBABILITY) & ~F.col("c").isin(*ignore))
+    over = cut(over.select(F.col("slide_id").alias("image_id"), "y", "x", F.col("c").cast("long").alias("class_id"), F.lit(1).alias("v"), "p"))
+    by = ["image_id", "class_id"]
+    found = polygons.mask_polygons(over.drop("p"), ("class_id",), **limits)
+    mean = raster.mask_components(over, ("class_id",)).join(over, [*by, "y", "x"]).groupBy(*by, "component").agg(F.avg("p").alias("prob"))
+    larger = lambda ring: F.transform(ring, lambda q: F.struct((q["x"] * scale).alias("x"), (q["y"] * scale).alias("y")))
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("class_id").cast("int")), F.col("class_id").cast("string"))
+    at_level_0 = found.join(mean, [*by, "component"]).select(F.col("image_id").alias("slide_id"), named.alias("class"), "prob", larger(F.col("ring")).alias("ring"), F.transform("holes", larger).alias("holes"))
+    done = regions.dissolve_polygons(at_level_0, ("slide_id", "class"), max(1.0, buffer_px * scale), "prob").drop("region")
+    return done if tissues is None else spatial_join(done, tissues, 1024, how="left_semi", exact=True)
+
+
+class ProbabilityRunner(Runner):
+    """Class polygons from the probabilities that a model gives for every class of each pixel.
+
+    The model gives ``classes`` maps for each tile. Where tiles overlap, probabilities times the
+    importance map are added up and divided by the number of tiles, then made polygons as
+    :func:`semantic_polygons` does.
+    """
+
+    def __init__(self, model: Callable, edge: int, names: dict[int, str], mode: str = "gaussian", scale: int = 1, sigma_scale: float = 0.125, **how: object) -> None:
+        self.model, self.edge, self.names, self.mode, self.scale, self.sigma_scale, self.how = model, edge, names, mode, scale, sigma_scale, how
+
+    def probability(self, images: DataFrame) -> DataFrame:
+        """``slide_id, y, x, c, p`` of each pixel of the slide's map."""
+        edge, run_model = self.edge, getattr(self.model, "segment", self.model)
+        ship_package(images.sparkSession)
+        bounded_batches(images.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                maps = np.asarray(run_model(np.array(batch.column("vec").to_pylist(), np.float64).reshape(-1, edge, edge)), np.float64)
+                if maps.ndim != 4 or maps.shape[0] != batch.num_rows or maps.shape[2:] != (edge, edge):
+                    raise ValueError(f"the model gave {maps.shape} for {batch.num_rows} tiles of {edge}")
+                tile, c, y, x = (a.ravel() for a in np.indices(maps.shape))
+                own = {n: pa.array(batch.column(n).to_numpy(zero_copy_only=False)[tile], pa.int64()) for n in ("slide_id", "x", "y")}
+                yield pa.RecordBatch.from_pydict(own | {"c": pa.array(c, pa.int64()), "py": pa.array(y, pa.int64()), "px": pa.array(x, pa.int64()), "p": pa.array(maps.ravel())})
+
+        schema = "slide_id long, x long, y long, c long, py long, px long, p double"
+        pixels = images.select(F.col("slide_id").cast("long"), F.col("x").cast("long"), F.col("y").cast("long"), "vec").mapInArrow(run, schema)
+        weight = raster.importance(F.col("py"), F.col("px"), edge, self.mode, self.sigma_scale)
+        at = [(F.expr(f"{a} div {self.scale}") + F.col(b)).alias(a) for a, b in (("y", "py"), ("x", "px"))]
+        return pixels.select("slide_id", *at, "c", (F.col("p") * weight).alias("p")).groupBy("slide_id", "y", "x", "c").agg(F.avg("p").alias("p"))
+
+    def run(self, images: DataFrame, tissues: DataFrame | None = None) -> DataFrame:
+        return semantic_polygons(self.probability(images), self.names, scale=self.scale, tissues=tissues, **self.how)
+
+
 def artifact_runner(model: Callable, tile: int, mpp: float, overlap: int, names: dict[int, str], variant: str = "7x") -> SemanticRunner:
     """A semantic run of the artifact model; checks that tiles suit its variant."""
     if variant not in ARTIFACT_MPP:
@@ -155,8 +220,9 @@ class CellRunner(Runner):
     """Cells from instance maps of tiles.
 
     Instances that cross the edge of their tile (less ``margin``) go, as the neighbouring tile
-    has them whole; then by size, by tissue, and by suppression within a tissue. ``cell_id``
-    counts through all cells of a slide, in the order of their places.
+    has them whole; then by size, by tissue, and by suppression within a tissue, where the larger
+    of two overlapping instances wins, as instance maps carry no probability: ``prob`` is the
+    area. ``cell_id`` counts through all cells of a slide, in the order of their places.
     """
 
     def __init__(self, model: Callable, edge: int, margin: int = 2, size: tuple[float, float] | None = None, keep: Callable | None = None, iou_threshold: float = 0.2) -> None:

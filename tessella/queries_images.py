@@ -273,6 +273,26 @@ def semantic_run(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("slide_id", "class").agg(F.sum("area").alias("area"))
 
 
+def _shares(batch: np.ndarray) -> np.ndarray:
+    """Two probabilities a pixel: of background, and of brightness."""
+    return np.stack([1 - batch / 255, batch / 255], axis=1)
+
+
+@query("semantic_probability", with_relations("mosaic tiles", _BOXES + """ SELECT slide_id, y, x, round(avg(v / 255.0 * exp(-((y - y0 - 5.5) ** 2 + (x - x0 - 5.5) ** 2) / 4.5)), 6) AS p
+  FROM boxes JOIN mosaic ON image_id = slide_id AND x >= x0 AND x < x0 + 12 AND y >= y0 AND y < y0 + 12 GROUP BY ALL HAVING max(v) > 0"""))
+def semantic_probability(spark: SparkSession, sf: str) -> DataFrame:
+    runner = segmentation.ProbabilityRunner(_shares, 12, {1: "bright"})
+    return runner.probability(_pictures(spark, sf)).where("c = 1 and p > 0").select("slide_id", "y", "x", r6("p"))
+
+
+@query("semantic_polygons")
+def semantic_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Bright regions, seams and gaps of two pixels closed, that meet a tissue."""
+    runner = segmentation.ProbabilityRunner(_shares, 12, {1: "bright"}, "constant", threshold=0.65)
+    found = runner.run(_pictures(spark, sf), adapters.tissues(spark, sf))
+    return found.select("slide_id", "class", "part", F.size("holes").alias("holes"), r6("area"), r6("prob"))
+
+
 @query("artifact_classes", with_relations("mosaic", "SELECT image_id AS slide_id, 'Fold' AS class, count(*)::DOUBLE AS area FROM mosaic WHERE v > 150 AND x >= 3 AND y >= 3 GROUP BY ALL"))
 def artifact_classes(spark: SparkSession, sf: str) -> DataFrame:
     found = segmentation.SemanticRunner(_two_limits, 12, {1: "Normal Tissue", 2: "Fold"}, "constant")(_pictures(spark, sf))

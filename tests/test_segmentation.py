@@ -200,6 +200,33 @@ def test_load_all_kinds(spark, tmp_path):
         annotations.load_annotations(spark, 3)
 
 
+def test_semantic_polygons_of_probabilities(spark):
+    """A seam of one pixel closes, pixels at the threshold and ignored classes go, tissues clip."""
+    p = np.zeros((3, 20, 30))
+    p[0] = 0.9
+    p[1, 2:8, 2:10], p[1, 2:8, 11:15], p[1, 12:16, 22:28] = 0.8, 0.6, 0.95
+    p[1, 18, 2:9], p[2, 2:6, 2:6] = 0.5, 0.7
+    rows = [(0, y, x, c, float(p[c, y, x])) for c in range(3) for y in range(20) for x in range(30)]
+    df = spark.createDataFrame(rows, "slide_id long, y long, x long, c long, p double")
+    got = {(r["class"], round(r.x0, 6)): r for r in segmentation.semantic_polygons(df, {1: "one", 2: "two"}, scale=2).collect()}
+    assert {k: round(r.prob, 6) for k, r in got.items()} == {("one", 4.0): 0.95, ("one", 44.0): 0.95, ("two", 4.0): 0.7}
+    # The gap is two pixels of level 0 wide, as wide as the tolerance on both sides.
+    assert got["one", 4.0].area == pytest.approx(4 * (6 * 8 + 6 * 4) + 2 * 12, abs=2.5) and got["two", 4.0].area == pytest.approx(64, abs=0.1)
+    tissue = spark.createDataFrame([(0, 1, 50, 20, 90, 60)], BOX.format("tissue_id"))
+    kept = segmentation.semantic_polygons(df, {1: "one"}, scale=2, tissues=tissue, ignore=(0, 2)).collect()
+    assert [(r["class"], round(r.x0, 6)) for r in kept] == [("one", 44.0)]
+    assert segmentation.semantic_polygons(df.limit(0), {}).count() == 0
+
+
+def test_probabilities_are_averaged_over_tiles(spark):
+    images, edge = pictures(spark, [(0, 0, np.full((4, 4), 2.0)), (2, 0, np.full((4, 4), 6.0))], 4)
+    runner = segmentation.ProbabilityRunner(lambda b: np.stack([b / 10, 1 - b / 10], axis=1), edge, {0: "a"}, "constant")
+    got = {(r.c, r.y, r.x): round(r.p, 9) for r in runner.probability(images).collect()}
+    assert got[0, 0, 0] == 0.2 and got[0, 3, 2] == 0.4 and got[0, 1, 5] == 0.6 and got[1, 3, 3] == 0.6 and len(got) == 2 * 4 * 6
+    with pytest.raises(Exception):
+        segmentation.ProbabilityRunner(lambda b: b, edge, {}).probability(images).collect()
+
+
 def test_export_is_checked(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 5, 6, 9, 9, "a")], BOX.format("id") + ", class string")
     line = annotations.export_annotations(df, classes="class", order="id", in_bounds=(5, 6)).first().value
