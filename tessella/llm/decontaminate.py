@@ -9,7 +9,8 @@ Windows of a document that are as long as a benchmark item are compared with the
    made. n is m, or all of a document that is shorter. No window that could pass is lost.
 3. Each window gets a 64-bit SimHash of its shingles, and meets the items' fingerprints in a
    multi-index: both are cut into RADIUS + 1 blocks, and two fingerprints within RADIUS bits
-   agree in at least one block, so the equality join on blocks finds all of them.
+   agree in at least one block, so the equality join on blocks finds all of them. Blocks have
+   8 bits, so 3 in 100 unrelated fingerprints share one. Only ids and fingerprints are joined.
 4. Pairs whose fingerprints are further apart than that are found by an equality join too: of
    an item's m shingles a like window lacks m - s*m at most, so it holds one of any
    m - s*m + 1 of them. Those that the fewest items hold are taken.
@@ -32,7 +33,7 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Fingerprints of windows at the least similarity differ in 10 of 64 bits on average; pairs
 #: that differ in more than this are found by shingles.
-RADIUS = 15
+RADIUS = 7
 #: Blocks of the multi-index, by pigeonhole one more than the radius, and their bits.
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
@@ -113,7 +114,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = two_columns(docs, id_col, text_col).withColumn("row", row_key()).withColumn("known", F.coalesce("doc_id", F.lit(-(1 << 63))))
     bench = items.select(items[item_col].cast("long").alias("item_id"), shingles(items[item_text_col].cast("string")).alias("item"))
     bench = bench.where(F.size("item") > 0).withColumn("m", F.size("item")).distinct()
-    bench = cut(bench.withColumn("item_fp", simhash(F.col("item"))))
+    bench = cut(bench.withColumns({"item_fp": simhash(F.col("item")), "item_row": F.monotonically_increasing_id()}))
     marks = bench.select("m", F.explode(F.array_distinct("item")).alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes"))
 
     listed = rows.select("known", "row", shingles(F.col("text")).alias("all")).select("known", "row", F.size("all").alias("n"), "all")
@@ -129,40 +130,32 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     windows = full.select("row", "doc_id", "m", "all", F.explode("starts").alias("start")).select("row", "doc_id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window"))
     windows = cut(windows.withColumn("fp", simhash(F.col("window"))))
 
-    keyed_items = bench.withColumn("block", F.explode(_blocks(F.col("item_fp"))))
-    keyed = windows.withColumn("block", F.explode(_blocks(F.col("fp"))))
-    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    close = keyed.join(small(keyed_items), ["m", "block"]).where(F.bit_count(apart) <= RADIUS)
-    # A pair meets in every block that agrees: it is taken in the first.
-    close = close.where(_first_block(apart) == F.shiftrightunsigned("block", BLOCK_BITS))
-    # The rest meet in every rare shingle of the item that the window holds: in the first, too.
-    spelled = windows.withColumn("h", F.explode(F.array_distinct("window")))
-    far = spelled.join(small(_rare_shingles(bench, similarity)), ["m", "h"]).where(F.bit_count(apart) > RADIUS)
-    far = far.where(~F.arrays_overlap("earlier", "window"))
-    pairs = ["doc_id", "item_id", "start", "window", "item"]
-    verified = close.select(*pairs).unionByName(far.select(*pairs)).withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity)
+    places, marked = windows.select("row", "m", "start", "fp"), bench.select("item_row", "m", "item_fp")
+    apart, pair = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))), ["row", "m", "start", "item_row"]
+    keyed = places.withColumn("block", F.explode(_blocks(F.col("fp"))))
+    keyed_items = marked.withColumn("block", F.explode(_blocks(F.col("item_fp"))))
+    close = keyed.join(small(keyed_items), ["m", "block"]).where(apart <= RADIUS).select(*pair)
+    spelled = windows.select("row", "m", "start", "fp", F.explode(F.array_distinct("window")).alias("h"))
+    far = spelled.join(small(_rare_shingles(bench, similarity)), ["m", "h"]).where(apart > RADIUS).select(*pair)
+    # A pair meets in every block that agrees, and in every rare shingle that the window holds.
+    pairs = close.unionByName(far).distinct()
+    met = windows.join(small(pairs), ["row", "m", "start"]).join(small(bench.select("item_row", "item_id", "item")), "item_row")
+    verified = met.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity)
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start"))
 
 
 def _rare_shingles(bench: DataFrame, similarity: float) -> DataFrame:
-    """``h``: shingles of which any window like the item holds one, and the ``earlier`` ones.
+    """``item_row, m, item_fp, h``: shingles of which any window like the item holds one.
 
     If a window holds none of an item's first k shingles, in whatever order, it shares m - k of
     them at most; a like one shares s*m at least.
     """
     held = bench.select("m", F.explode(F.array_distinct("item")).alias("h")).groupBy("m", "h").agg(F.count("*").alias("holders"))
-    each = bench.withColumn("h", F.explode("item")).join(held, ["m", "h"])
-    ordered = each.groupBy("item_id", "m", "item", "item_fp").agg(F.array_sort(F.collect_list(F.struct("holders", "h"))).alias("order"))
+    each = bench.select("item_row", "m", "item_fp", F.explode("item").alias("h")).join(held, ["m", "h"])
+    ordered = each.groupBy("item_row", "m", "item_fp").agg(F.array_sort(F.collect_list(F.struct("holders", "h"))).alias("order"))
     enough = (F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1).cast("int")
-    rare = ordered.withColumn("rare", F.array_distinct(F.slice("order.h", 1, enough)))
-    return rare.select("item_id", "m", "item", "item_fp", "rare", F.posexplode("rare").alias("k", "h")).withColumn("earlier", F.slice("rare", 1, F.col("k"))).drop("rare", "k")
-
-
-def _first_block(apart: Column) -> Column:
-    """The lowest block in which a difference of fingerprints has no bit."""
-    mask = F.lit((1 << BLOCK_BITS) - 1)
-    return F.coalesce(*[F.when(F.shiftrightunsigned(apart, i * BLOCK_BITS).bitwiseAND(mask) == 0, F.lit(i)) for i in range(BLOCKS)])
+    return ordered.select("item_row", "m", "item_fp", F.explode(F.array_distinct(F.slice("order.h", 1, enough))).alias("h"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,16 @@ def test_within_radius_all_meet(spark):
     assert df.select(shared.alias("n")).where("n = 0").count() == 0
 
 
+def test_few_unrelated_fingerprints_meet(spark):
+    """Joined rows a (window, item) of random fingerprints."""
+    import random
+
+    rng = random.Random(4)
+    many, few = ([(rng.getrandbits(64) - (1 << 63),) for _ in range(n)] for n in (4000, 100))
+    keyed = [spark.createDataFrame(rows, "fp long").select(F.explode(decontaminate._blocks(F.col("fp"))).alias("block")) for rows in (many, few)]
+    assert 0 < keyed[0].join(keyed[1], "block").count() < 0.05 * 4000 * 100
+
+
 def test_short_and_random_texts_equal_brute_force(spark):
     """Items and texts of few words from a small vocabulary: repeats, and texts shorter than items."""
     import random
