@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import halo
 from tessella.plans.components import slide_components
 from tessella.plans.session import cut
 
@@ -29,16 +30,6 @@ def binary(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
     return pixels.join(thresholds, "image_id").select("image_id", "y", "x", (F.col("v") > F.col("threshold")).cast("long").alias("v"))
 
 
-def _neighbourhood(pixels: DataFrame, k: int) -> DataFrame:
-    """Each pixel's value at every pixel that sees it in a k x k window."""
-    if k % 2 == 0:
-        raise ValueError("a kernel needs an odd size")
-    reach = F.sequence(F.lit(-(k // 2)), F.lit(k // 2))
-    spread = pixels.select("image_id", "y", "x", "v", F.explode(reach).alias("dy")).select("image_id", (F.col("y") + F.col("dy")).alias("y"), "x", "v", F.explode(reach).alias("dx"))
-    seen = spread.select("image_id", "y", (F.col("x") + F.col("dx")).alias("x"), "v")
-    return seen.join(pixels.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
-
-
 def _swept(pixels: DataFrame, k: int, of: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Columns made over the k x k window of every pixel, along rows and then along columns.
 
@@ -60,7 +51,9 @@ def box_blur(pixels: DataFrame, k: int = 3) -> DataFrame:
 
 def median_blur(pixels: DataFrame, k: int = 3) -> DataFrame:
     """Median over the window: the one filter here that doesn't go by rows and columns."""
-    return _neighbourhood(pixels, k).groupBy("image_id", "y", "x").agg(F.percentile("v", F.lit(0.5)).alias("v"))
+    if k % 2 == 0:
+        raise ValueError("a kernel needs an odd size")
+    return halo.median(pixels, k)
 
 
 def erode(pixels: DataFrame, k: int = 3) -> DataFrame:

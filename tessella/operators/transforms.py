@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import raster
+from tessella.operators import halo, raster
 from tessella.operators.polygons import mask_polygons
 
 #: Light that haematoxylin, eosin and DAB take from red, green and blue (fixed values).
@@ -42,15 +42,6 @@ def hed(r: Column, g: Column, b: Column) -> list[Column]:
     return [F.greatest(sum((x * float(inverse[i, k]) for i, x in enumerate(logs)), F.lit(0.0)), F.lit(0.0)) for k in range(3)]
 
 
-def _offsets(pixels: DataFrame, offsets: list[tuple[int, int]], *weights: float) -> DataFrame:
-    """Each value, with its weight, at every pixel of its image from which it is at an offset."""
-    w = weights or [1.0] * len(offsets)
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(k)).alias("w")) for (dy, dx), k in zip(offsets, w)])
-    seen = pixels.select("image_id", "y", "x", "v", F.explode(steps).alias("s"))
-    seen = seen.select("image_id", (F.col("y") - F.col("s.dy")).alias("y"), (F.col("x") - F.col("s.dx")).alias("x"), "v", F.col("s.w").alias("w"))
-    return seen.join(pixels.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
-
-
 def gaussian_blur(pixels: DataFrame, k: int = 3, sigma: float = 1.0) -> DataFrame:
     """Mean weighted by a Gaussian over a k x k window, of the pixels that exist.
 
@@ -60,18 +51,12 @@ def gaussian_blur(pixels: DataFrame, k: int = 3, sigma: float = 1.0) -> DataFram
         raise ValueError("a kernel needs an odd size")
     if sigma <= 0:
         raise ValueError("sigma must be positive")
-    reach = range(-(k // 2), k // 2 + 1)
-    w = [float(np.exp(-i * i / (2 * sigma * sigma))) for i in reach]
-    mean = lambda df: df.groupBy("image_id", "y", "x").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
-    return mean(_offsets(mean(_offsets(pixels, [(0, i) for i in reach], *w)), [(i, 0) for i in reach], *w))
+    return halo.weighted_mean(pixels, [float(np.exp(-i * i / (2 * sigma * sigma))) for i in range(-(k // 2), k // 2 + 1)])
 
 
 def local_entropy(pixels: DataFrame, radius: int) -> DataFrame:
     """Entropy, in bits, of the values within ``radius`` of each pixel."""
-    disk = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-    counts = _offsets(pixels, disk).groupBy("image_id", "y", "x", "v").agg(F.count("*").alias("c"))
-    c = F.col("c").cast("double")
-    return counts.groupBy("image_id", "y", "x").agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias("v"))
+    return halo.entropy(pixels, radius)
 
 
 def otsu_of_doubles(pixels: DataFrame) -> DataFrame:
