@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import ring_area, ring_centroid, ring_length, ring_moments
 from tessella.functions.rings import clipped_area, hull_area
 from tessella.operators.cells import tile_neighbours
+from tessella.operators.communities import communities, numbered_by_size
 from tessella.plans.components import slide_components
 from tessella.plans.spatial_join import spatial_join
 
@@ -46,14 +47,36 @@ def _bounds() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
+def _reduced(features: DataFrame, keys: list[str], components: int) -> DataFrame:
+    """``keys, pca``: scaled vectors' principal components."""
+    rows = features.select(*keys, array_to_vector("vec").alias("raw"))
+    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(rows).transform(rows)
+    return PCA(k=components, inputCol="scaled", outputCol="pca").fit(scaled).transform(scaled).select(*keys, "pca")
+
+
 def spatial_domain(features: DataFrame, k: int = 8, components: int = 16, seed: int = 7) -> DataFrame:
     """``tile_id, domain``: scaled vectors, principal components, seeded k-means."""
-    rows = features.select("tile_id", array_to_vector("vec").alias("raw"))
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(rows).transform(rows)
-    reduced = PCA(k=components, inputCol="scaled", outputCol="pca").fit(scaled).transform(scaled)
+    reduced = _reduced(features, ["tile_id"], components)
     return KMeans(k=k, seed=seed, featuresCol="pca", predictionCol="domain").fit(reduced).transform(reduced).select("tile_id", "domain")
 
 
+def graph_domain(features: DataFrame, graph: DataFrame, resolution: float = 0.1, components: int = 16, seed: int = 7) -> DataFrame:
+    """``slide_id, tile_id, domain``: communities of the tile graph, the largest is 0.
+
+    ``graph`` has ``slide_id, src, dst``. An edge weighs the cosine of its tiles' principal
+    components, of scaled vectors; edges between vectors that don't point the same way go. Tiles
+    without an edge that stays have no domain.
+    """
+    keys = [c for c in ("slide_id", "tile_id") if c in features.columns]
+    rows = _reduced(features, keys, components).withColumn("vec", vector_to_array("pca"))
+    end = lambda e, v: rows.select(*keys[:-1], F.col("tile_id").alias(e), F.col("vec").alias(v))
+    pairs = graph.select("slide_id", "src", "dst").join(end("src", "a"), [*keys[:-1], "src"]).join(end("dst", "b"), [*keys[:-1], "dst"])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
+    like = dot("a", "b") / F.nullif(F.sqrt(dot("a", "a") * dot("b", "b")), F.lit(0.0))
+    found = communities(pairs.select("slide_id", "src", "dst", like.alias("w")), resolution, seed)
+    return numbered_by_size(found).withColumnRenamed("id", "tile_id")
+
+
 def bounds_of(df: DataFrame, *by: str) -> DataFrame:
     """Bounds of all boxes of a group."""
     return df.groupBy(*by).agg(*_bounds())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions.boxes import area, box, ring_of
 from tessella.functions.rings import clipped_area
 from tessella.operators import aggregate, annotations, cells, graph, masks, models, omics, raster, shapes, tiling, viewport
+from tessella.operators.communities import communities
 from tessella.operators.palette import EXPORT_COLORS, class_colors, rgb
 from tessella.operators.similarity import text_image_similarity
 from tessella.plans.spatial_join import spatial_join
@@ -697,6 +698,17 @@ def spatial_domain(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.spatial_domain(adapters.features(spark, sf))
 
 
+@query("tile_communities", with_relations("tiles", "SELECT slide_id, tile_id AS id, min(tile_id) OVER (PARTITION BY slide_id, y0) AS community FROM tiles"))
+def tile_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two tiles of a row of the grid are linked, and the first tiles of neighbouring rows."""
+    tiles = adapters.tiles(spark, sf)
+    src, dst = (tiles.select("slide_id", "y0", F.col("tile_id").alias(c)) for c in ("src", "dst"))
+    rows = src.join(dst, ["slide_id", "y0"]).where("src < dst").select("slide_id", "src", "dst")
+    down = tiles.where("x0 = 0").select("slide_id", F.col("tile_id").alias("src"), (F.col("tile_id") + 25).alias("dst"))
+    edges = rows.unionByName(down.join(dst, ["slide_id", "dst"], "left_semi").select("slide_id", "src", "dst"))
+    return communities(edges.withColumn("w", F.lit(1.0)))
+
+
 VIEW = (1000, 800, 4000, 3000)
 
 
