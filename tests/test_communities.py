@@ -2,9 +2,8 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tessella.operators import communities, shapes
+from tessella.operators import communities
 
 EDGE = "slide_id long, src long, dst long, w double"
 
@@ -66,14 +65,3 @@ def test_planted_communities_of_two_slides(spark):
 
 def test_no_edges(spark):
     assert communities.communities(spark.createDataFrame([], EDGE)).count() == 0
-
-
-def test_domains_follow_vectors_and_graph(spark):
-    """A grid of two halves with other vectors: two domains, the larger first."""
-    rng = random.Random(1)
-    at = {y * 6 + x: (y, x) for y in range(4) for x in range(6)}
-    vec = lambda x: [(1.0 if (x < 4) == (i < 2) else -1.0) + rng.gauss(0, 0.05) for i in range(4)]
-    features = spark.createDataFrame([(v, vec(x)) for v, (_, x) in at.items()], "tile_id long, vec array<double>")
-    edges = [(0, u, v, 1.0) for u, v in itertools.permutations(at, 2) if abs(at[u][0] - at[v][0]) + abs(at[u][1] - at[v][1]) == 1]
-    found = shapes.graph_domain(features, spark.createDataFrame(edges, EDGE), resolution=0.1, components=2)
-    assert {r.tile_id: r.domain for r in found.select("tile_id", F.col("domain")).collect()} == {v: int(x >= 4) for v, (_, x) in at.items()}
