@@ -123,6 +123,27 @@ def nms_polygons(polygons: DataFrame, iou_threshold: float = 0.2, buffer_px: flo
     return _suppressed(valid, near, id_col, prob_col)
 
 
+def first_tissue_of_parts(shapes: DataFrame, tissues: DataFrame, key: tuple[str, ...] = ("slide_id", "cell_id"), cell: int = 1024) -> DataFrame:
+    """``key`` and ``tissue_id``: of the tissues that some part of a shape (``parts``) meets, the first."""
+    parts = with_bounds(shapes.select(*key, F.explode("parts").alias("p")).select(*key, "p.ring", "p.holes"))
+    pairs = spatial_join(parts, tissues.select("slide_id", "tissue_id", *_shape(tissues)), cell, exact=True)
+    return pairs.groupBy(*key).agg(F.min("r_tissue_id").alias("tissue_id"))
+
+
+def nms_parts(shapes: DataFrame, iou_threshold: float = 0.2, cell: int = 64, id_col: str = "cell_id", prob_col: str = "prob") -> DataFrame:
+    """:func:`nms` of shapes of several ``parts``, whose own parts don't overlap, with their ``area``;
+    where there is a ``tissue_id``, among the shapes of a tissue alone."""
+    home = [c for c in ("tissue_id",) if c in shapes.columns]
+    parts = shapes.select("slide_id", *home, F.col(id_col).alias("whole"), F.col("area").alias("size"), F.explode("parts").alias("p"))
+    parts = written(with_bounds(parts.select("slide_id", *home, "whole", "size", "p.ring", "p.holes")))
+    pairs = spatial_join(parts, parts, cell, touch=False).where("whole < r_whole")
+    pairs = pairs.where("tissue_id = r_tissue_id") if home else pairs
+    shared = overlap_areas(*outline(pairs), *outline(pairs, "r_"))["both"]
+    both = pairs.groupBy("slide_id", F.col("whole").alias("a"), F.col("r_whole").alias("b"), "size", "r_size").agg(F.sum(shared).alias("both"))
+    near = both.where(F.col("both") / (F.col("size") + F.col("r_size") - F.col("both")) > iou_threshold).select("slide_id", "a", "b")
+    return _suppressed(shapes, near, id_col, prob_col)
+
+
 def _suppressed(boxes: DataFrame, pairs: DataFrame, id_col: str, prob_col: str) -> DataFrame:
     """The boxes that suppression along ``pairs`` keeps; those without an area go."""
     boxes = boxes.where("x1 > x0 and y1 > y0") if "x0" in boxes.columns else boxes

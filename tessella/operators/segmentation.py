@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import cells, masks, polygons, raster, regions, transforms
-from tessella.plans.session import bounded_batches, cut, ship_package
+from tessella.operators import cells, instances, masks, polygons, raster, regions, transforms
+from tessella.plans.session import bounded_batches, cut, ship_package, written
 from tessella.plans.spatial_join import spatial_join
 
 #: Resolutions (micrometres a pixel) of the artifact model's variants, and its tiles (fixed values).
@@ -217,32 +217,52 @@ def artifacts(regions: DataFrame) -> DataFrame:
 
 
 class CellRunner(Runner):
-    """Cells from instance maps of tiles.
-
-    Instances that cross the edge of their tile (less ``margin``) go, as the neighbouring tile
-    has them whole; then by size, by tissue, and by suppression within a tissue, where the larger
-    of two overlapping instances wins, as instance maps carry no probability: ``prob`` is the
-    area. ``cell_id`` counts through all cells of a slide, in the order of their places.
+    """Cells from the instance maps of tiles, with outlines, classes, probabilities and vectors.
+
+    The model gives instance maps, or :class:`instances.CellMaps`. With ``tiles`` (boxes at level
+    0), an instance is kept by the tile that owns it alone. Instances that cross the edge of their
+    tile (less ``margin``) go, as the neighbouring tile has them whole; then by ``size`` (area at
+    level 0), by tissue, and by class, where ``names`` name classes and those in ``dropped`` go.
+    ``cell_id`` counts through what is left of a slide, in the order of tiles and places. Last,
+    of cells that overlap within a tissue the likeliest stays; cells of maps without probabilities
+    are all as likely, so the first in order does.
+
+    With ``features``, cells come with ``vec``, the mean of their tokens; those of tiles without
+    tokens are left out, and none has one where the model gives none at all.
     """
 
-    def __init__(self, model: Callable, edge: int, margin: int = 2, size: tuple[float, float] | None = None, keep: Callable | None = None, iou_threshold: float = 0.2) -> None:
+    def __init__(
+        self, model: Callable, edge: int, margin: int = 2, size: tuple[float, float] | None = None, keep: Callable | None = None, iou_threshold: float = 0.2,
+        scale: int | float = 1, names: dict[int, str] | None = None, dropped: tuple[str, ...] = ("Background",), holes: bool = False, features: bool = False,
+    ) -> None:
         self.model, self.edge, self.margin, self.size, self.keep, self.iou_threshold = model, edge, margin, size, keep, iou_threshold
+        self.scale, self.names, self.dropped, self.holes, self.features = scale, names, dropped, holes, features
 
-    def instances(self, images: DataFrame) -> DataFrame:
-        """``slide_id, tile_id, instance, prob, area`` and bounds at level 0 of every whole instance."""
-        pixels = segment_tiles(images, self.model, self.edge, self.keep)
-        place = [(F.col(a) + F.col(b)).alias(c) for a, b, c in (("y", "py", "gy"), ("x", "px", "gx"))]
-        bounds = [f("px" if c == "x" else "py").alias(n) for f, c, n in ((F.min, "x", "tx0"), (F.min, "y", "ty0"), (F.max, "x", "tx1"), (F.max, "y", "ty1"))]
-        held = pixels.select("*", *place).groupBy("slide_id", "tile_id", F.col("v").cast("long").alias("instance")).agg(
-            F.count("*").alias("area"), F.min("gx").alias("x0"), F.min("gy").alias("y0"), (F.max("gx") + 1).alias("x1"), (F.max("gy") + 1).alias("y1"), *bounds)
+    def instances(self, images: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
+        """``slide_id, tile_id, instance, area``, bounds at level 0, ``cx, cy, class, prob, parts``
+        and ``vec`` of every whole instance of a wanted size and class."""
+        found = instances.find_instances(images, self.model, self.edge, self.scale, self.keep, self.holes, self.features)
+        found = found if tiles is None else instances.owned(found, tiles)
         low, high = self.margin, self.edge - 1 - self.margin
-        whole = held.where((F.col("tx0") > low) & (F.col("ty0") > low) & (F.col("tx1") < high) & (F.col("ty1") < high)).drop("tx0", "ty0", "tx1", "ty1")
-        return whole.where(F.col("area").between(*self.size)) if self.size else whole
-
-    def run(self, images: DataFrame, tissues: DataFrame | None = None) -> DataFrame:
-        found = numbered(self.instances(images)).withColumn("prob", F.col("area").cast("double"))
-        kept = cells.nms(found, self.iou_threshold) if tissues is None else cells.nms_by_tissue(found, tissues, self.iou_threshold)
-        return kept
+        whole = found.where((F.col("tx0") > low) & (F.col("ty0") > low) & (F.col("tx1") < high) & (F.col("ty1") < high))
+        at = lambda c, corner, more: (F.col(corner) + (F.col(c) + more) * self.scale).alias(c[1:])
+        bounds = [at("tx0", "x", 0), at("ty0", "y", 0), at("tx1", "x", 1), at("ty1", "y", 1)]
+        number = F.col("class_id").cast("string")
+        named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in self.names.items() for v in kv]), F.col("class_id").cast("int")), number) if self.names else number
+        area = (F.col("filled") * (self.scale * self.scale)).alias("area")
+        rows = whole.select("slide_id", "tile_id", "instance", area, *bounds, "cx", "cy", named.alias("class"), "prob", "parts", "vec")
+        rows = rows.where(F.col("area").between(*self.size)) if self.size else rows
+        return rows.where(F.col("class").isNull() | ~F.col("class").isin(*self.dropped)) if self.dropped else rows
+
+    def run(self, images: DataFrame, tissues: DataFrame | None = None, tiles: DataFrame | None = None) -> DataFrame:
+        found = written(self.instances(images, tiles))
+        if tissues is not None:
+            found = found.join(cells.first_tissue_of_parts(found, tissues, ("slide_id", "tile_id", "instance")), ["slide_id", "tile_id", "instance"])
+        ordered = written(numbered(found))
+        kept = cells.nms_parts(ordered, self.iou_threshold)
+        if not self.features:
+            return kept.drop("vec")
+        return kept if ordered.where("vec is not null").isEmpty() else kept.where("vec is not null")
 
 
 def numbered(found: DataFrame, block: int = 4096) -> DataFrame:
@@ -250,7 +270,7 @@ def numbered(found: DataFrame, block: int = 4096) -> DataFrame:
 
     Rows are counted by blocks of tiles, and numbered within a block from what stands before it.
     """
-    order = ["tile_id", "y0", "x0", "y1", "x1"]
+    order = ["tile_id", "y0", "x0", "y1", "x1", *[c for c in ("instance",) if c in found.columns]]
     dealt = found.withColumn("_block", F.expr(f"tile_id div {block}"))
     sizes = dealt.groupBy("slide_id", "_block").agg(F.count("*").alias("n"))
     starts = chunk_offsets(sizes, "_block").select("slide_id", "_block", "offset")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import box, ring_area, ring_of
-from tessella.operators import aggregate, annotations, cells, graph, models, palette, polygons, segmentation, shapes, transforms, viewport
+from tessella.operators import aggregate, annotations, cells, graph, instances, models, palette, polygons, segmentation, shapes, transforms, viewport
 from tessella.operators.similarity import text_image_similarity
 from tessella.queries import Query, r6
 from tessella.sources import adapters, images
@@ -304,16 +304,91 @@ def artifact_classes(spark: SparkSession, sf: str) -> DataFrame:
   SELECT slide_id, tile_id, instance, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM p GROUP BY ALL
   HAVING min(px) > 0 AND min(py) > 0 AND max(px) < 11 AND max(py) < 11 AND count(*) BETWEEN 2 AND 40"""))
 def cell_instances(spark: SparkSession, sf: str) -> DataFrame:
-    runner = segmentation.CellRunner(lambda batch: batch // 16, 12, 0, (2, 40), keep=lambda m: np.array([10, 11]))
-    return runner.instances(_pictures(spark, sf))
+    runner = segmentation.CellRunner(lambda batch: batch // 16, 12, 0, (2, 40), keep=lambda m: np.array([10, 11]), holes=True)
+    return runner.instances(_pictures(spark, sf)).select("slide_id", "tile_id", "instance", "area", "x0", "y0", "x1", "y1")
 
 
-@query("cell_run")
-def cell_run(spark: SparkSession, sf: str) -> DataFrame:
-    return segmentation.CellRunner(lambda batch: batch // 16, 12, 0, (2, 40)).run(_pictures(spark, sf))
+#: Suppression as a walk: ``item`` has slides, tissues, cells and ``prob``, ``link`` cells that overlap.
+_WALK = """, linked AS (SELECT slide_id, a, b FROM link UNION ALL SELECT slide_id, b, a FROM link UNION ALL SELECT slide_id, cell_id, cell_id FROM item),
+  near AS (SELECT l.slide_id, l.a AS cell_id, list({'p': i.prob, 'low': -i.cell_id}) AS near FROM linked l JOIN item i ON i.slide_id = l.slide_id AND i.cell_id = l.b GROUP BY ALL),
+  walk AS (
+    SELECT slide_id, tissue_id, ids[2:] AS ids, ids[1] AS here, []::BIGINT[] AS gone, NULL::BIGINT AS kept FROM (SELECT slide_id, tissue_id, list(cell_id ORDER BY cell_id) AS ids FROM item GROUP BY ALL)
+    UNION ALL
+    SELECT slide_id, tissue_id, CASE WHEN best = here THEN rest[2:] ELSE rest END, CASE WHEN best = here THEN rest[1] ELSE best END, list_concat(gone, lost), best
+    FROM (SELECT *, list_filter(ids, lambda i: NOT list_contains(lost, i)) AS rest FROM (SELECT *, list_filter(list_transform(alive, lambda n: -n.low), lambda i: i <> best) AS lost
+      FROM (SELECT *, -(list_max(alive).low) AS best FROM (SELECT w.*, list_filter(n.near, lambda m: NOT list_contains(w.gone, -m.low)) AS alive
+        FROM walk w JOIN near n ON n.slide_id = w.slide_id AND n.cell_id = w.here))))),
+  stay AS (SELECT DISTINCT slide_id, tissue_id, kept AS cell_id FROM walk WHERE kept IS NOT NULL)"""
+
+
+def _recursive(names: str, body: str) -> str:
+    return with_relations(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _cell_model(side: int):
+    """Bright pixels of each square of a tile are a cell of one of three classes, with two tokens a
+    third of the tile. Probabilities are binary fractions, so their means are exact in any order."""
+
+    def run(batch: np.ndarray) -> instances.CellMaps:
+        n, edge, _ = batch.shape
+        square = np.arange(edge) // side
+        labels = np.where(batch > 128, square[:, None] * (edge // side) + square + 1, 0)
+        classes = np.stack([np.full(batch.shape, 11 / 16), batch / 256, batch * 7 % 256 / 256], axis=1)
+        return instances.CellMaps(labels, classes, np.stack([batch[:, 1::4, 1::4], batch[:, 2::4, 1::4]], axis=1))
+
+    return run
 
 
-@query("nms_by_tissue")
+_CELL_NAMES = {0: "Background", 1: "bright", 2: "other"}
+
+
+def _small_tissues(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.tissues(spark, sf).select("slide_id", "tissue_id", *[F.expr(f"{c} div 50").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _cells_sql(side: int) -> str:
+    """Every pixel of a cell, and cells with their classes, in the squares of ``_cell_model``."""
+    return _BOXES + f""", px AS (SELECT slide_id, tile_id, (y - y0) // {side} * {12 // side} + (x - x0) // {side} + 1 AS instance, x, y, y - y0 AS py, x - x0 AS px, v
+    FROM boxes JOIN mosaic ON image_id = slide_id AND x >= x0 AND x < x0 + 12 AND y >= y0 AND y < y0 + 12 WHERE v > 128),
+  cell AS (SELECT * FROM (SELECT slide_id, tile_id, instance, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, avg(y) AS cy, avg(x) AS cx, avg(py) AS my, avg(px) AS mx,
+    avg(v / 256) AS p1, avg(v * 7 % 256 / 256) AS p2 FROM px GROUP BY ALL) WHERE area BETWEEN 2 AND 40 AND greatest(p1, p2) > 0.6875)"""
+
+
+@query("cell_run", _recursive("mosaic tiles tissues", _cells_sql(6) + """, home AS (SELECT c.*, t.tissue_id FROM cell c JOIN
+    (SELECT p.slide_id, p.tile_id, p.instance, min(t.tissue_id) AS tissue_id FROM px p JOIN tissues t ON t.slide_id = p.slide_id
+      AND p.x <= t.x1 // 50 AND p.x + 1 >= t.x0 // 50 AND p.y <= t.y1 // 50 AND p.y + 1 >= t.y0 // 50 GROUP BY ALL) t USING (slide_id, tile_id, instance)),
+  item AS (SELECT *, greatest(p1, p2) AS prob, row_number() OVER (PARTITION BY slide_id ORDER BY tile_id, y0, x0, y1, x1, instance) - 1 AS cell_id FROM home),
+  own AS (SELECT p.slide_id, x, y, cell_id, tissue_id, area FROM px p JOIN item USING (slide_id, tile_id, instance)),
+  link AS (SELECT a.slide_id, a.cell_id AS a, b.cell_id AS b FROM own a JOIN own b USING (slide_id, tissue_id, x, y) WHERE a.cell_id < b.cell_id
+    GROUP BY ALL HAVING count(*)::DOUBLE / (min(a.area) + min(b.area) - count(*)) > 0.2)""" + _WALK + """
+  SELECT slide_id, tissue_id, cell_id, tile_id, instance, area, x0, y0, x1, y1, CASE WHEN p1 >= p2 THEN 'bright' ELSE 'other' END AS class, round(prob, 6) AS prob FROM item JOIN stay USING (slide_id, tissue_id, cell_id)"""))
+def cell_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles overlap, and all have the cells at their edges: suppression by outlines decides."""
+    runner = segmentation.CellRunner(_cell_model(6), 12, -1, (2, 40), names=_CELL_NAMES, holes=True)
+    found = runner.run(_pictures(spark, sf), _small_tissues(spark, sf))
+    return found.select("slide_id", "tissue_id", "cell_id", "tile_id", "instance", "area", "x0", "y0", "x1", "y1", "class", r6("prob"))
+
+
+@query("cell_features", with_relations("mosaic tiles", _cells_sql(4) + """, own AS (SELECT c.* FROM cell c JOIN boxes o ON o.slide_id = c.slide_id AND cx BETWEEN o.x0 AND o.x0 + 12 AND cy BETWEEN o.y0 AND o.y0 + 12
+    GROUP BY ALL HAVING arg_min(o.tile_id, {'d': (cx - o.x0 - 6) ** 2 + (cy - o.y0 - 6) ** 2, 't': o.tile_id}) = c.tile_id),
+  token AS (SELECT b.slide_id, tile_id, i, j, dim, coalesce(m.v, 0) AS v FROM boxes b, range(3) r(i), range(3) s(j), range(2) d(dim)
+    LEFT JOIN mosaic m ON m.image_id = b.slide_id AND m.y = y0 + 4 * i + 1 + dim AND m.x = x0 + 4 * j + 1),
+  hit AS (SELECT slide_id, tile_id, instance, dim, avg(t.v) AS v FROM px p JOIN token t USING (slide_id, tile_id) WHERE p.py = [0, 6, 11][t.i + 1] AND p.px = [0, 6, 11][t.j + 1] GROUP BY ALL)
+  SELECT slide_id, tile_id, instance, class, area, dim, round(coalesce(h.v, t.v), 6) AS v FROM (SELECT slide_id, tile_id, instance, area, my, mx, CASE WHEN p1 >= p2 THEN 'bright' ELSE 'other' END AS class FROM own) c
+  JOIN token t USING (slide_id, tile_id) LEFT JOIN hit h USING (slide_id, tile_id, instance, dim) WHERE t.i = least(floor(my * 3 / 12), 2) AND t.j = least(floor(mx * 3 / 12), 2)"""))
+def cell_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cell of several tiles is kept by the one that owns it, with the mean of its tokens."""
+    runner = segmentation.CellRunner(_cell_model(4), 12, -1, (2, 40), names=_CELL_NAMES, holes=True, features=True)
+    found = runner.run(_pictures(spark, sf), tiles=_boxes(spark, sf))
+    long = found.select("slide_id", "tile_id", "instance", "class", "area", F.posexplode("vec").alias("dim", "v"))
+    return long.select("slide_id", "tile_id", "instance", "class", "area", F.col("dim").cast("long").alias("dim"), r6("v"))
+
+
+@query("nms_by_tissue", _recursive("cells tissues", """, item AS (SELECT c.slide_id, cell_id, min(tissue_id) AS tissue_id, any_value(prob) AS prob, any_value(c.x0) AS x0, any_value(c.y0) AS y0, any_value(c.x1) AS x1, any_value(c.y1) AS y1
+    FROM cells c JOIN tissues t ON c.slide_id = t.slide_id AND c.x0 <= t.x1 AND t.x0 <= c.x1 AND c.y0 <= t.y1 AND t.y0 <= c.y1 GROUP BY c.slide_id, cell_id),
+  met AS (SELECT a.slide_id, a.cell_id AS a, b.cell_id AS b, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s
+    FROM item a JOIN item b ON a.slide_id = b.slide_id AND a.tissue_id = b.tissue_id AND a.cell_id < b.cell_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+  link AS (SELECT slide_id, a, b FROM met WHERE s::DOUBLE / (sa + sb - s) > 0.2)""" + _WALK + " SELECT * FROM stay"))
 def nms_by_tissue(spark: SparkSession, sf: str) -> DataFrame:
     found = cells.nms_by_tissue(adapters.cells(spark, sf), adapters.tissues(spark, sf))
     return found.select("slide_id", "cell_id", "tissue_id")
