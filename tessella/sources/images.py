@@ -1,9 +1,9 @@
 """Images as chunks of pixels in a pyramid of levels, and scans of levels, regions and tiles.
 
 A chunk table has ``image_id, level, y0, x0, h, w, values``: a block of at most ``size`` by
-``size`` pixels that begins at ``(y0, x0)`` of its level, with its values row by row. Level k
-is 2^k times smaller than level 0. A scan reads only the chunks that it needs: it filters, or
-joins, on their corners.
+``size`` pixels that begins at ``(y0, x0)`` of its level, with its values row by row, null where
+the image has no pixel. Level k is 2^k times smaller than level 0. A scan reads only the chunks
+that it needs: it filters, or joins, on their corners.
 """
 
 from __future__ import annotations
@@ -17,13 +17,23 @@ SIZE = 64
 
 
 def chunked(pixels: DataFrame, size: int = SIZE, level: int = 0) -> DataFrame:
-    """Chunks of whole images that are given as pixel rows ``image_id, y, x, v``."""
+    """Chunks of images that are given as pixel rows ``image_id, y, x, v``, one for each place.
+
+    An image may lack pixels, as the last row of tiles of a slide may end anywhere: in a chunk's
+    ``h`` by ``w`` values a missing one is null, and scans give no row for it.
+    """
     corner = lambda c: (F.col(c) - F.pmod(F.col(c), F.lit(size))).alias(f"{c}0")
     rows = pixels.select("image_id", corner("y"), corner("x"), F.struct("y", "x", "v").alias("p"))
     held = rows.groupBy("image_id", "y0", "x0").agg(F.array_sort(F.collect_list("p")).alias("p"))
     far = lambda c: (F.array_max(F.transform("p", lambda q: q[c])) - F.col(f"{c}0") + 1)
-    values = F.transform("p", lambda q: q["v"]).alias("values")
-    return held.select("image_id", F.lit(level).alias("level"), "y0", "x0", far("y").alias("h"), far("x").alias("w"), values)
+    sized = held.select("image_id", F.lit(level).alias("level"), "y0", "x0", far("y").alias("h"), far("x").alias("w"), "p")
+    place = lambda q: (q["y"] - F.col("y0")) * F.col("w") + q["x"] - F.col("x0")
+    none = lambda n: F.array_repeat(F.lit(None).cast(dict(pixels.dtypes)["v"]), n.cast("int"))
+    before = lambda i: F.when(i > 0, place(F.get("p", i - 1))).otherwise(-1)
+    filled = F.flatten(F.transform("p", lambda q, i: F.concat(none(place(q) - before(i) - 1), F.array(q["v"]))))
+    filled = F.concat(filled, none(F.col("h") * F.col("w") - 1 - place(F.element_at("p", -1))))
+    whole = F.size("p") == F.col("h") * F.col("w")
+    return sized.withColumn("values", F.when(whole, F.transform("p", lambda q: q["v"])).otherwise(filled)).drop("p")
 
 
 def halved(pixels: DataFrame) -> DataFrame:
@@ -50,7 +60,7 @@ def level_table(chunks: DataFrame) -> DataFrame:
 
 def pixels_of(chunks: DataFrame, *keys: str) -> DataFrame:
     """``image_id, level, *keys, y, x, v``: the pixels of chunks."""
-    rows = chunks.select("image_id", "level", *keys, "y0", "x0", "w", F.posexplode("values").alias("at", "v"))
+    rows = chunks.select("image_id", "level", *keys, "y0", "x0", "w", F.posexplode("values").alias("at", "v")).where("v is not null")
     return rows.select("image_id", "level", *keys, F.expr("y0 + at div w").alias("y"), F.expr("x0 + at % w").alias("x"), "v")
 
 

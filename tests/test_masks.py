@@ -113,6 +113,24 @@ def test_chunks_levels_and_regions(spark):
     assert {(r.y, r.x): r.v for r in tissue} == {(y, x): values[16 + y, 26 + x] for y in range(5) for x in range(4)}
 
 
+def test_images_that_lack_pixels(spark):
+    """A last row that ends early, a hole and a corner that is cut off move no other pixel."""
+    pixels, values = picture(spark, 13, 11)
+    gone = "(y >= 9 and x >= 4) or (y = 3 and x = 5) or (y < 2 and x < 3)"
+    there = {(r.y, r.x): r.v for r in pixels.where(f"not ({gone})").collect()}
+    chunks = images.pyramid(pixels.where(f"not ({gone})"), 2, 8).cache()
+    assert {(r.y, r.x): r.v for r in images.level_image(chunks, 0).collect()} == there
+    half = {}
+    for (y, x), v in there.items():
+        half.setdefault((y // 2, x // 2), []).append(v)
+    assert {(r.y, r.x): r.v for r in images.level_image(chunks, 1).collect()} == {k: int(np.mean(v)) for k, v in half.items()}
+    assert {(r.y + 2, r.x + 1): r.v for r in images.region(chunks, 1, 2, 10, 11).collect()} == {(y, x): v for (y, x), v in there.items() if y >= 2 and x >= 1}
+    box = spark.createDataFrame([(0, 1, 0, 0, 11, 13)], "slide_id long, tile_id long, x0 long, y0 long, x1 long, y1 long").cache()
+    (tile,) = images.tile_images(chunks, box.withColumn("x1", F.lit(13)), 13, size=8).collect()
+    assert tile.vec == [float(there.get((y, x), 0)) for y in range(13) for x in range(13)]
+    assert {(r.y, r.x): r.v for r in images.tissue_images(chunks, box.withColumnRenamed("tile_id", "tissue_id"), size=8).collect()} == there
+
+
 def test_saved_image(spark, tmp_path):
     pixels, _ = picture(spark, 5, 5)
     chunks = images.chunked(pixels, 4)
