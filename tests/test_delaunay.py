@@ -38,6 +38,17 @@ def test_edges_equal_brute_force(spark, seed):
         assert {frozenset((r.src, r.dst)) for r in got if r.slide_id == s} == brute_force(pts)
 
 
+@pytest.mark.parametrize("side", [12, 150])
+def test_edges_do_not_depend_on_blocks(spark, side):
+    """Many small blocks, and few; points in a cluster, far apart, and on both sides of zero."""
+    rng = np.random.default_rng(5)
+    close = rng.integers(-30, 30, (30, 2))
+    pts = [(i, int(x), int(y)) for i, (x, y) in enumerate(np.concatenate([close, rng.integers(-400, 500, (20, 2))]))]
+    pts = list({(x, y): (i, x, y) for i, x, y in reversed(pts)}.values())
+    got = delaunay(spark.createDataFrame([(0, *p) for p in pts], SCHEMA), side, first=4).collect()
+    assert {frozenset((r.src, r.dst)) for r in got} == brute_force(pts)
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_few_points(spark, n):
     got = delaunay(spark.createDataFrame([(0, i, 10 * i, 0) for i in range(n)], SCHEMA), 100).collect()
