@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessella.functions import planar
 
 
 def _points(ring) -> np.ndarray:
@@ -32,12 +36,41 @@ def clip(points: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.n
     return points
 
 
-def _clipped_area(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    out = []
-    for r, *b in zip(ring, x0, y0, x1, y1):
-        points = clip(_points(r), *b) if r is not None else np.zeros((0, 2))
-        out.append(_area(points) if len(points) > 2 else 0.0)
-    return pd.Series(out, dtype="float64")
+def _following(row: np.ndarray) -> np.ndarray:
+    """The point that follows each in its row's ring, rows being in order."""
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    starts = np.flatnonzero(first)
+    after = np.arange(len(row)) + 1
+    after[np.append(starts[1:], len(row))[: len(starts)] - 1] = starts
+    return after
+
+
+def clipped(points: np.ndarray, row: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`clip` of many polygons at once, each to the box of its ``row``; points and their rows."""
+    for axis, bound, keep in ((0, 0, 1), (0, 2, -1), (1, 1, 1), (1, 3, -1)):
+        ahead = points[_following(row)]
+        at = boxes[row, bound]
+        d, e = keep * (points[:, axis] - at), keep * (ahead[:, axis] - at)
+        crossing = (d < 0) != (e < 0)
+        t = np.where(crossing, d / np.where(crossing, d - e, 1), 0)[:, None]
+        both = np.stack([points, points + t * (ahead - points)], axis=1)
+        stay = np.stack([d >= 0, crossing], axis=1)
+        points, row = both[stay], np.repeat(row, stay.sum(axis=1))
+    return points, row
+
+
+@F.arrow_udf(T.DoubleType())
+def _clipped_area(ring: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    rows = len(ring)
+    o = planar.outlines(ring)
+    boxes = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)], axis=1)
+    points, row = clipped(np.stack([o.x, o.y], axis=1), np.repeat(o.owner, o.sizes), boxes)
+    near = points - boxes[row, :2]
+    ahead = near[_following(row)]
+    cross = near[:, 0] * ahead[:, 1] - near[:, 1] * ahead[:, 0]
+    real = np.bincount(row, minlength=rows) > 2
+    return pa.array(np.where(real, np.abs(np.bincount(row, cross, rows)) / 2, 0.0))
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -63,7 +96,7 @@ def _hull_area(ring: pd.Series) -> pd.Series:
 
 def clipped_area(ring, x0, y0, x1, y1) -> Column:
     """Area of a ring within a box."""
-    return F.pandas_udf(_clipped_area, "double")(ring, x0, y0, x1, y1)
+    return _clipped_area(ring, x0, y0, x1, y1)
 
 
 def hull_area(ring) -> Column:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.__main__ import main
-from tessella.functions.rings import clip, clipped_area, hull, hull_area
+from tessella.functions.rings import clip, clipped, clipped_area, hull, hull_area
 from tessella.operators import masks, shapes
 from tessella.settings import Settings
 from tessella.sources.store import SlideStore, cohort, feature_key, pyramid
@@ -115,3 +115,17 @@ def test_settings(spark):
         Settings(batch_rows=0)
     with pytest.raises(TypeError):
         Settings(progress=1)
+
+
+def test_many_clips_at_once_equal_single_ones(spark):
+    """Rings without a point, without an area and beyond the box among others, in one call."""
+    rng = np.random.default_rng(1)
+    rings = [None, [], [(1.0, 1.0)], *[[tuple(map(float, p)) for p in rng.integers(-5, 9, (n, 2))] for n in (2, 3, 5, 8, 8, 4)], [tuple(map(float, p)) for p in U]]
+    boxes = [tuple(map(int, (x, y, x + w, y + h))) for x, y, w, h in zip(*rng.integers(-3, 3, (2, 10)), *rng.integers(1, 6, (2, 10)))]
+    many, row = clipped(np.array([p for r in rings for p in r or []], float), np.repeat(np.arange(10), [len(r or []) for r in rings]), np.array(boxes, float))
+    for k, (r, b) in enumerate(zip(rings, boxes)):
+        assert many[row == k].tolist() == (clip(np.array(r, float), *b).tolist() if r else [])
+    df = spark.createDataFrame([(k, r, *b) for k, (r, b) in enumerate(zip(rings, boxes))], f"k int, ring {RING}, x0 int, y0 int, x1 int, y1 int").coalesce(1)
+    got = {r.k: r.c for r in df.select("k", clipped_area("ring", "x0", "y0", "x1", "y1").alias("c")).collect()}
+    cut = [clip(np.array(r, float), *b) if r else [] for r, b in zip(rings, boxes)]
+    assert [got[k] for k in range(10)] == pytest.approx([area(p) if len(p) > 2 else 0 for p in cut])
