@@ -173,7 +173,18 @@ def polygon_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _corners(ring: Column) -> Column:
     """A ring's points in half pixels, as text, in order."""
-    return F.array_join(F.transform(ring, lambda p: F.concat((p["x"] * 2).cast("long").cast("string"), F.lit(","), (p["y"] * 2).cast("long").cast("string"))), " ")
+    return _text(_halves(ring))
+
+
+def _text(points: Column) -> Column:
+    return F.array_join(F.transform(points, lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"))), " ")
+
+
+def _halves(ring: Column) -> Column:
+    """A ring's points as whole numbers of half pixels: the nearest, as crossings of edges are
+    right up to double precision alone."""
+    near = lambda c: F.round(c.cast("double") * 2).cast("long")
+    return F.transform(ring, lambda p: F.struct(near(p["x"]).alias("x"), near(p["y"]).alias("y")))
 
 
 @query("repaired_polygons", with_relations("cells", """
@@ -214,8 +225,8 @@ def overlaid_rings(spark: SparkSession, sf: str) -> DataFrame:
     mx, my = (x0 + x1) / 2, (y0 + y1) / 2
     diamonds = adapters.cells(spark, sf).select("slide_id", "cell_id", "x0", "y0", "x1", "y1", _ring((mx, y0), (x1, my), (mx, y1), (x0, my)).alias("ring"))
     cut = regions.overlaid(diamonds, adapters.tiles(spark, sf).select("slide_id", "tile_id", "x0", "y0", "x1", "y1"))
-    once = F.array_sort(F.slice("ring", 2, F.size("ring") - 1))
-    return cut.select("slide_id", "cell_id", F.col("r_tile_id").alias("tile_id"), "area", _corners(once).alias("corners"))
+    once = F.array_sort(_halves(F.slice("ring", 2, F.size("ring") - 1)))
+    return cut.select("slide_id", "cell_id", F.col("r_tile_id").alias("tile_id"), "area", _text(once).alias("corners"))
 
 
 @query("buffered_polygons", with_relations("cells", """

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import queries_shapes
 from tessella.functions import planar
 from tessella.functions.overlay import buffered, overlap_areas, overlay, parts_area
 from tessella.operators import annotations, cells, regions
@@ -272,3 +273,9 @@ def test_export_tells_kinds_by_points(spark):
     assert all(set(f["properties"]) == {"slide_id", "id", "class", "prob", "classification"} for f in got)
     with pytest.raises(NotADirectoryError):
         annotations.export_annotations(rows, "/nowhere/at/all/out")
+
+
+def test_corners_are_the_nearest_half_pixels(spark):
+    """Crossings are right up to double precision, so a coordinate may lie just below its place."""
+    row = spark.createDataFrame([([(7.499999999999999, 3.0), (1024.0000000000001, -2.5000000000000004), (1.0, -7.999999999999999)],)], "ring array<struct<x: double, y: double>>")
+    assert row.select(queries_shapes._corners(F.col("ring")).alias("t")).first().t == "15,6 2048,-5 2,-16"
