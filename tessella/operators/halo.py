@@ -2,12 +2,13 @@
 
 A pixel goes to its own chunk and, near a border, to the chunks that see it: 1.3 copies on
 average at a reach of 8, where a copy for every window that holds it would be 289. A filter then
-runs on arrays, one chunk at a time, so a task holds one chunk and a band of its windows.
+runs on arrays: of one large chunk, or of many small ones side by side, so that small pictures
+share a call, and a task holds an Arrow batch, a chunk and a band of windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,68 @@ def filtered(pixels: DataFrame, reach: int, of: Callable[[np.ndarray], np.ndarra
     rows = pixels.select("image_id", F.col("y").cast("long"), F.col("x").cast("long"), F.col("v").cast("double").alias("v"))
     dealt = rows.withColumn("cy", chunk("y")).withColumn("cx", chunk("x"))
 
-    def run(table: pa.Table) -> pa.Table:
+    def made(table: pa.Table, starts: np.ndarray) -> list[pa.RecordBatch]:
         y, x, v, cy, cx = (table.column(c).to_numpy() for c in ("y", "x", "v", "cy", "cx"))
-        dy, dx = y - cy[0] * side + reach, x - cx[0] * side + reach
-        held = np.full((side + 2 * reach,) * 2, np.nan)
-        held[dy, dx] = v.astype(np.float64)
-        # A picture that is smaller than a chunk isn't padded to one.
-        high, wide = (min(int(d.max()) + 1 - reach, side) for d in (dy, dx))
+        dy, dx = y - cy * side + reach, x - cx * side + reach
         own = (dy >= reach) & (dx >= reach) & (dy < side + reach) & (dx < side + reach)
-        if not own.any():
-            return table.select(["image_id", "y", "x", "v"]).slice(0, 0)
-        made = of(held[: high + 2 * reach, : wide + 2 * reach])[dy[own] - reach, dx[own] - reach]
-        kept = table.select(["image_id", "y", "x"]).filter(pa.array(own))
-        return kept.append_column("v", pa.array(made, pa.float64(), from_pandas=True))
+        group = np.searchsorted(starts, np.arange(len(y)), "right") - 1
+        # A picture that is smaller than a chunk isn't padded to one.
+        high, wide = (np.minimum(np.maximum.reduceat(d, starts) + 1 - reach, side) for d in (dy, dx))
+        value = np.full(len(y), np.nan)
+        for pack, left in _packs(np.flatnonzero(np.logical_or.reduceat(own, starts)), high, wide, reach):
+            place = np.full(len(starts), -1)
+            place[pack] = left
+            rows = np.flatnonzero(place[group] >= 0)
+            at = place[group[rows]] + dx[rows]
+            held = np.full((high[pack].max() + 2 * reach, left[-1] + wide[pack[-1]] + 2 * reach), np.nan)
+            held[dy[rows], at] = v[rows]
+            inner = own[rows]
+            value[rows[inner]] = of(held)[dy[rows][inner] - reach, at[inner] - reach]
+        kept = table.select(["image_id", "y", "x"]).append_column("v", pa.array(value, pa.float64(), from_pandas=True)).filter(pa.array(own))
+        return kept.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _begins(table)
+            if len(starts) > 1:
+                yield from made(table.slice(0, int(starts[-1])), starts[:-1])
+                held = table.slice(int(starts[-1])).to_batches()
+        if held and sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from made(table, _begins(table))
 
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("v", T.DoubleType())])
-    return dealt.groupBy("image_id", "cy", "cx").applyInArrow(run, schema)
+    key = ("image_id", "cy", "cx")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def _begins(table: pa.Table) -> np.ndarray:
+    """Where each chunk begins, in rows sorted by chunk."""
+    if not table.num_rows:
+        return np.zeros(0, np.int64)
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in ("image_id", "cy", "cx"):
+        codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _packs(groups: np.ndarray, high: np.ndarray, wide: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks that are laid side by side, each with its own halo, and where each begins. Those of a
+    pack are alike in height; windows along a pack are at most ``AT_ONCE`` values."""
+    kind = np.ceil(np.log2(high[groups].astype(float)))
+    for k in np.unique(kind):
+        alike = groups[kind == k]
+        full = wide[alike] + 2 * reach
+        most = max(1, AT_ONCE // max((2 * reach + 1) ** 2, int(high[alike].max()) + 2 * reach))
+        ends = np.cumsum(full)
+        number = (ends - full) // most
+        for pack in np.split(np.arange(len(alike)), np.flatnonzero(np.diff(number)) + 1):
+            yield alike[pack], (ends - full)[pack] - (ends - full)[pack[0]]
 
 
 def _sorted_windows(held: np.ndarray, reach: int, offsets: list[tuple[int, int]], of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

@@ -57,3 +57,18 @@ def test_nulls_and_empty_images(spark):
 def test_names_of_images_may_be_text(spark):
     rows = spark.createDataFrame([("a", 0, 0, 1.5), ("b", 200, 300, 2.5)], "image_id string, y int, x int, v double")
     assert {(r.image_id, r.y, r.x, r.v) for r in raster.median_blur(rows, 17).collect()} == {("a", 0, 0, 1.5), ("b", 200, 300, 2.5)}
+
+
+def test_small_pictures_share_a_call(spark):
+    """Filters run on many pictures at once; each sees its own pixels alone."""
+    pixels = spark.createDataFrame([(i, y, x, (i * 7 + y * 3 + x * 5) % 11) for i in range(300) for y in range(1 + i % 4) for x in range(1 + i % 3)], PIXEL)
+    held = {(r.image_id, r.y, r.x): r.v for r in pixels.collect()}
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(seen):
+        calls.add(1)
+        return halo._sorted_windows(seen, 1, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], halo._median_of_sorted)
+
+    got = {(r.image_id, r.y, r.x): r.v for r in halo.filtered(pixels, 1, counted).collect()}
+    assert got == {k: np.median(near(held, k, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])) for k in held}
+    assert calls.value < 60
