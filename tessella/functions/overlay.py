@@ -75,6 +75,15 @@ def _buffer(distance: float):
     return run
 
 
+@F.arrow_udf(T.DoubleType())
+def _parts_area(parts: pa.Array) -> pa.Array:
+    flat, counts = P.lists(parts)
+    o = P.outlines(flat.field("ring"), flat.field("holes"))
+    size = np.abs(P.outline_areas(o)) * np.where(np.arange(len(o.owner)) < len(flat), 1.0, -1.0)
+    part = np.bincount(o.owner, size, len(flat))
+    return pa.array(np.bincount(np.repeat(np.arange(len(counts)), counts), part, len(counts)), pa.float64(), mask=parts.is_null().to_numpy(zero_copy_only=False))
+
+
 def rings_meet(ring_a: Column, holes_a: Column, ring_b: Column, holes_b: Column) -> Column:
     """Whether two shapes have a point in common, borders included. Rings that aren't closed are
     lines, or points."""
@@ -111,8 +120,8 @@ def outline_area(ring: Column, holes: Column) -> Column:
 
 
 def parts_area(parts: Column) -> Column:
-    """Area of parts, holes taken out."""
-    return F.aggregate(parts, F.lit(0.0), lambda n, p: n + outline_area(p["ring"], p["holes"]))
+    """Area of parts, holes taken out; in Arrow, so that parts just made there don't come back."""
+    return _parts_area(parts)
 
 
 def with_bounds(df: DataFrame) -> DataFrame:

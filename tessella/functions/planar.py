@@ -78,7 +78,7 @@ class Edges:
         return Edges(*(np.concatenate([getattr(e, c) for e in many]) for c in ("ax", "ay", "bx", "by", "row")))
 
 
-def _lists(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def lists(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Values of all lists and how many each has; a null list has none."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
@@ -87,11 +87,11 @@ def _lists(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def outlines(ring: pa.Array, holes: pa.Array | None = None) -> Outlines:
     """Outlines of Arrow columns of rings, and of lists of rings."""
-    points, sizes = _lists(ring)
+    points, sizes = lists(ring)
     xs, ys, all_sizes, owners = [points], [points], [sizes], [np.arange(len(sizes))]
     if holes is not None:
-        rings, counts = _lists(holes)
-        inner, inner_sizes = _lists(rings)
+        rings, counts = lists(holes)
+        inner, inner_sizes = lists(rings)
         xs.append(inner)
         ys.append(inner)
         all_sizes.append(inner_sizes)
@@ -101,6 +101,18 @@ def outlines(ring: pa.Array, holes: pa.Array | None = None) -> Outlines:
     return Outlines(number(xs, "x"), number(ys, "y"), ends, np.concatenate(owners), len(sizes))
 
 
+def outline_areas(o: Outlines) -> np.ndarray:
+    """Signed area of each ring, as the sum over its points."""
+    if not len(o.x):
+        return np.zeros(len(o.owner))
+    first = np.repeat(o.ends[:-1], o.sizes)
+    px, py = o.x - o.x[first], o.y - o.y[first]
+    inside = np.append(px[:-1] * py[1:] - px[1:] * py[:-1], 0.0)
+    last = o.ends[1:][o.sizes > 0] - 1
+    inside[last] = 0.0
+    return np.bincount(np.repeat(np.arange(len(o.owner)), o.sizes), inside, len(o.owner)) / 2
+
+
 def boxed(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> Outlines:
     """Boxes as outlines."""
     x, y = np.stack([x0, x1, x1, x0, x0], axis=1).ravel(), np.stack([y0, y0, y1, y1, y0], axis=1).ravel()
@@ -353,57 +365,95 @@ def _chained(source: np.ndarray, target: np.ndarray, x: np.ndarray, y: np.ndarra
     first = np.searchsorted(source, target)
     ways = np.searchsorted(source, target, "right") - first
     follow = first.copy()
-    for k in np.flatnonzero(ways > 1).tolist():
-        u, v = source[k], target[k]
-        out = np.arange(first[k], first[k] + ways[k])
-        dx, dy = x[v] - x[u], y[v] - y[u]
-        ex, ey = x[target[out]] - x[v], y[target[out]] - y[v]
-        follow[k] = out[np.arctan2(dx * ey - dy * ex, dx * ex + dy * ey).argmax()]
-    # Corners: sides that lead straight on are joined.
-    seen = np.zeros(len(source), bool)
-    xs, ys, sizes, rows = [], [], [], []
+    parting = np.flatnonzero(ways > 1)
+    if len(parting):
+        k = np.repeat(parting, ways[parting])
+        begins = np.cumsum(ways[parting]) - ways[parting]
+        out = np.arange(len(k)) - np.repeat(begins, ways[parting]) + first[k]
+        u, v, w = source[k], target[k], target[out]
+        dx, dy, ex, ey = x[v] - x[u], y[v] - y[u], x[w] - x[v], y[w] - y[v]
+        angle = np.arctan2(dx * ey - dy * ex, dx * ex + dy * ey)
+        best = np.lexsort([out, -angle, k])[begins]
+        follow[parting] = out[best]
+    seen = bytearray(len(source))
+    walk, sizes = [], []
     following = follow.tolist()
     for start in range(len(source)):
         if seen[start]:
             continue
-        ring, k = [], start
+        k, before = start, len(walk)
         while not seen[k]:
-            seen[k] = True
-            ring.append(k)
+            seen[k] = 1
+            walk.append(k)
             k = following[k]
-        nodes = source[ring]
-        px, py = _corners(x[nodes], y[nodes], close)
-        if len(px) >= 3:
-            begin = np.lexsort([py, px])[0]
-            xs.append(np.roll(px, -begin))
-            ys.append(np.roll(py, -begin))
-            sizes.append(len(px))
-            rows.append(row[nodes[0]])
-    if not sizes:
-        return Rings(np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64))
-    return Rings(np.concatenate(xs), np.concatenate(ys), np.concatenate([[0], np.cumsum(sizes)]), np.array(rows))
-
-
-def _corners(x: np.ndarray, y: np.ndarray, close: float) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a ring at which it turns."""
-    while len(x) >= 3:
-        around = lambda v: (np.concatenate([v[-1:], v[:-1]]), np.concatenate([v[1:], v[:1]]))
-        (px, qx), (py, qy) = around(x), around(y)
-        # The point's distance from the line through its neighbours.
-        off = np.abs((x - px) * (qy - y) - (y - py) * (qx - x)) / np.maximum(np.hypot(qx - px, qy - py), close)
-        bend = off > 2 * close
-        if bend.all():
+        sizes.append(len(walk) - before)
+    nodes = source[np.array(walk, np.int64)]
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return _begun(_corners(Rings(x[nodes], y[nodes], ends, row[nodes[ends[:-1]]]), close))
+
+
+def _taken(r: Rings, point: np.ndarray, ring: np.ndarray) -> Rings:
+    """Some points of some rings, in their order."""
+    of_ring = np.repeat(np.arange(len(r.row)), np.diff(r.ends))
+    point = point & ring[of_ring]
+    sizes = np.bincount(of_ring[point], minlength=len(r.row))[ring]
+    return Rings(r.x[point], r.y[point], np.concatenate([[0], np.cumsum(sizes)]), r.row[ring])
+
+
+def _rolled(r: Rings, first: np.ndarray) -> Rings:
+    """Rings that begin at the points ``first``."""
+    number, starts = np.diff(r.ends), r.ends[:-1]
+    since = np.arange(len(r.x)) - np.repeat(starts, number)
+    at = np.repeat(starts, number) + (since + np.repeat(first - starts, number)) % np.repeat(number, number)
+    return Rings(r.x[at], r.y[at], r.ends, r.row)
+
+
+def _begun(r: Rings) -> Rings:
+    """Rings that begin at their lowest ``x``, then ``y``."""
+    of_ring = np.repeat(np.arange(len(r.row)), np.diff(r.ends))
+    return _rolled(r, np.lexsort([r.y, r.x, of_ring])[r.ends[:-1]]) if len(r.row) else r
+
+
+def _off(r: Rings, close: float) -> np.ndarray:
+    """Each point's distance from the line through its neighbours, positive where the ring turns left."""
+    number, starts = np.diff(r.ends), r.ends[:-1]
+    at = np.arange(len(r.x))
+    base, count = np.repeat(starts, number), np.repeat(number, number)
+    before, after = base + (at - base - 1) % count, base + (at - base + 1) % count
+    px, py, qx, qy = r.x[before], r.y[before], r.x[after], r.y[after]
+    return ((r.x - px) * (qy - r.y) - (r.y - py) * (qx - r.x)) / np.maximum(np.hypot(qx - px, qy - py), close)
+
+
+def _corners(r: Rings, close: float) -> Rings:
+    """Rings of the points at which they turn; those of fewer than three go."""
+    done: list[Rings] = []
+    while len(r.row):
+        number = np.diff(r.ends)
+        if (number < 3).any():
+            r = _taken(r, np.ones(len(r.x), bool), number >= 3)
+            continue
+        bend = np.abs(_off(r, close)) > 2 * close
+        whole = np.logical_and.reduceat(bend, r.ends[:-1])
+        done.append(_taken(r, np.ones(len(r.x), bool), whole))
+        of_ring = np.repeat(~whole, number)
+        r, bend = _taken(r, np.ones(len(r.x), bool), ~whole), bend[of_ring]
+        if not len(r.row):
             break
         # Of a stretch of straight points every second goes at a time, so never two neighbours.
-        at = np.arange(len(x))
-        first = int(bend.argmax())
-        x, y, bend = (np.concatenate([v[first:], v[:first]]) for v in (x, y, bend))
-        since = at - np.maximum.accumulate(np.where(bend, at, 0))
-        stay = bend | (since % 2 == 0)
-        if stay.all():  # nothing bends
-            stay[-1] = False
-        x, y = x[stay], y[stay]
-    return x, y
+        number, starts, at = np.diff(r.ends), r.ends[:-1], np.arange(len(r.x))
+        first = np.minimum.reduceat(np.where(bend, at, len(at)), starts)
+        first = np.where(first < len(at), first, starts)
+        turned = Rings(bend.astype(float), r.y, r.ends, r.row)
+        r, bend = _rolled(r, first), _rolled(turned, first).x > 0
+        since = at - np.maximum.accumulate(np.where(bend, at, np.repeat(starts, number)))
+        r = _taken(r, bend | (since % 2 == 0), np.ones(len(r.row), bool))
+    return joined(*done) if done else Rings(np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+
+def joined(*many: Rings) -> Rings:
+    """All rings of several."""
+    sizes = np.concatenate([np.diff(r.ends) for r in many])
+    return Rings(*(np.concatenate([getattr(r, c) for r in many]) for c in ("x", "y")), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate([r.row for r in many]))
 
 
 def ring_areas(r: Rings) -> np.ndarray:
@@ -427,6 +477,8 @@ def parts_of(r: Rings, rows: int) -> pa.Array:
     inner = np.flatnonzero(size < 0)
     corner = lambda k: (r.x[r.ends[k]], r.y[r.ends[k]])
     outer = outer[np.lexsort([r.y[r.ends[outer]], r.x[r.ends[outer]], r.row[outer]])]
+    if not len(inner):
+        return _parts_array(r, outer, np.zeros(len(outer), np.int64), inner, rows)
     of_row: dict[int, list[int]] = {}
     for k in outer.tolist():
         of_row.setdefault(int(r.row[k]), []).append(k)
@@ -438,26 +490,31 @@ def parts_of(r: Rings, rows: int) -> pa.Array:
             candidates = [k for k in candidates if size[k] > -size[h] and _in_ring(r, k, px, py)] or candidates
         if candidates:
             held.setdefault(min(candidates, key=lambda k: size[k]), []).append(h)
-    rings, hole_counts = [], []
-    hole_rings = []
+    hole_counts, hole_rings = [], []
     for k in outer.tolist():
-        rings.append(k)
         holes = held.get(k, [])
         hole_rings += holes
         hole_counts.append(len(holes))
-    ring_column = _ring_array(r, rings)
+    return _parts_array(r, outer, np.array(hole_counts, np.int64), np.array(hole_rings, np.int64), rows)
+
+
+def _parts_array(r: Rings, outer: np.ndarray, hole_counts: np.ndarray, hole_rings: np.ndarray, rows: int) -> pa.Array:
+    ring_column = _ring_array(r, outer)
     holes_column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hole_counts)]), pa.int32()), _ring_array(r, hole_rings))
     parts = pa.StructArray.from_arrays([ring_column, holes_column], fields=list(PART))
     counts = np.bincount(r.row[outer], minlength=rows) if len(outer) else np.zeros(rows, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), parts)
 
 
-def _ring_array(r: Rings, which: list[int]) -> pa.Array:
+def _ring_array(r: Rings, which: np.ndarray) -> pa.Array:
     """Closed rings, the first point repeated."""
-    at = [np.append(np.arange(r.ends[k], r.ends[k + 1]), r.ends[k]) for k in which]
-    flat = np.concatenate(at) if at else np.zeros(0, np.int64)
+    first = r.ends[which]
+    size = r.ends[which + 1] - first + 1
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    since = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    flat = np.repeat(first, size) + since % np.repeat(size - 1, size)
     points = pa.StructArray.from_arrays([pa.array(r.x[flat] + 0.0), pa.array(r.y[flat] + 0.0)], fields=list(POINT))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int32)), points)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), points)
 
 
 def _just_inside(r: Rings, k: int) -> tuple[float, float]:
@@ -552,12 +609,64 @@ def widened(e: Edges, distance: float, after: np.ndarray) -> tuple[Edges, np.nda
 
 def simple(o: Outlines) -> Rings:
     """Borders of what the outer rings wind around, without what their holes wind around."""
+    plain, o = _convex(o)
+    if not o.closed.any():
+        return plain
     closed = o.closed
     _, first = np.unique(o.owner[closed], return_index=True)
     hole = np.ones(int(closed.sum()), np.int64)
     hole[first] = 0
     s = slabs(oriented(o)[0], np.repeat(hole, o.sizes[closed] - 1), o.rows)
-    return outlined(s, NONZERO(s.winds[0]) & ~NONZERO(s.winds[1]))
+    return joined(plain, outlined(s, NONZERO(s.winds[0]) & ~NONZERO(s.winds[1])))
+
+
+def _left_only(r: Rings, close: float) -> np.ndarray:
+    """Rings that turn left at every point, by more than places that are one, and wind once."""
+    number, starts = np.diff(r.ends), r.ends[:-1]
+    e, after = rings_as_edges(r)
+    dx, dy = e.bx - e.ax, e.by - e.ay
+    turned = np.arctan2(dx * dy[after] - dy * dx[after], dx * dx[after] + dy * dy[after])
+    bends = (_off(r, close) > 4 * close) & (np.hypot(dx, dy) > 4 * close)
+    return np.logical_and.reduceat(bends, starts) & (np.abs(np.add.reduceat(turned, starts) - 2 * np.pi) < 1e-6) & (number >= 3)
+
+
+def _convex(o: Outlines) -> tuple[Rings, Outlines]:
+    """Rings of rows that have but one, a convex one, which is its own border; and the other rows."""
+    one = o.closed & (np.bincount(o.owner, minlength=o.rows) == 1)[o.owner]
+    if not one.any():
+        return Rings(np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64)), o
+    close = CLOSE * max(1.0, float(np.abs(o.x).max()), float(np.abs(o.y).max()))
+    size = np.where(one, o.sizes - 1, 0)
+    ends = np.concatenate([[0], np.cumsum(size[one])])
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], size[one]) + np.repeat(o.ends[:-1][one], size[one])
+    r = Rings(o.x[at], o.y[at], ends, o.owner[one])
+    back = np.repeat(ring_areas(r) < 0, size[one])
+    mirror = np.repeat(ends[:-1] + ends[1:] - 1, size[one]) - np.arange(ends[-1])
+    turn = np.where(back, mirror, np.arange(ends[-1]))
+    r = Rings(r.x[turn], r.y[turn], ends, r.row)
+    convex = _left_only(r, close)
+    rest = np.ones(len(o.owner), bool)
+    rest[np.flatnonzero(one)[convex]] = False
+    keep = np.repeat(rest, o.sizes)
+    others = Outlines(o.x[keep], o.y[keep], np.concatenate([[0], np.cumsum(o.sizes[rest])]), o.owner[rest], o.rows)
+    return _begun(_taken(r, np.ones(len(r.x), bool), convex)), others
+
+
+def _rounded(r: Rings, distance: float) -> Rings:
+    """Convex rings widened: an arc around each corner, from one side's direction to the next's."""
+    e, after = rings_as_edges(r)
+    at = np.arange(len(r.x))
+    before = np.empty(len(at), np.int64)
+    before[after] = at
+    way = np.arctan2(-(e.bx - e.ax), e.by - e.ay)  # of the normal on the right
+    dx, dy = e.bx - e.ax, e.by - e.ay
+    turned = np.arctan2(dx[before] * dy - dy[before] * dx, dx[before] * dx + dy[before] * dy)
+    steps = np.maximum(1, np.floor(turned / (np.pi / 2 / QUARTER) + 0.5).astype(np.int64))
+    k = np.repeat(at, steps + 1)
+    i = np.arange(len(k)) - np.repeat(np.cumsum(steps + 1) - steps - 1, steps + 1)
+    angle = way[before][k] + turned[k] * i / steps[k]
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(steps + 1, r.ends[:-1]))])
+    return _begun(Rings(r.x[k] + distance * np.cos(angle), r.y[k] + distance * np.sin(angle), ends, r.row))
 
 
 def buffered(r: Rings, distance: float, rows: int) -> Rings:
@@ -568,6 +677,19 @@ def buffered(r: Rings, distance: float, rows: int) -> Rings:
     """
     if not distance or not len(r.row):
         return r
+    if distance > 0:
+        close = CLOSE * max(1.0, float(np.abs(r.x).max()), float(np.abs(r.y).max()))
+        alone = (np.bincount(r.row, minlength=rows) == 1)[r.row] & _left_only(r, close)
+        if alone.any() and distance > 1e3 * close:
+            points = np.ones(len(r.x), bool)
+            return joined(_corners(_rounded(_taken(r, points, alone), distance), close), buffered_any(_taken(r, points, ~alone), distance, rows))
+    return buffered_any(r, distance, rows)
+
+
+def buffered_any(r: Rings, distance: float, rows: int) -> Rings:
+    """:func:`buffered`, by pieces that are united."""
+    if not len(r.row):
+        return r
     e, after = rings_as_edges(r)
     pieces, piece = widened(e, distance, after)
     many = np.bincount(e.row, minlength=rows) > FEW_EDGES

@@ -279,3 +279,33 @@ def test_corners_are_the_nearest_half_pixels(spark):
     """Crossings are right up to double precision, so a coordinate may lie just below its place."""
     row = spark.createDataFrame([([(7.499999999999999, 3.0), (1024.0000000000001, -2.5000000000000004), (1.0, -7.999999999999999)],)], "ring array<struct<x: double, y: double>>")
     assert row.select(queries_shapes._corners(F.col("ring")).alias("t")).first().t == "15,6 2048,-5 2,-16"
+
+
+def test_convex_rings_need_no_slabs(monkeypatch):
+    """Convex polygons are their own borders, and widened corner by corner, as pieces united would be."""
+    import pyarrow as pa
+
+    from tessella.functions import planar as P
+
+    square, diamond = [(0, 0), (40, 0), (40, 40), (0, 40)], [(20, 0), (0, 20), (20, 40), (40, 20)]
+    rings = [[{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]] for r in (square, diamond, [(0, 0), (30, 0), (0, 30)])]
+    o = P.outlines(pa.array(rings, P.RING))
+    pieces = P.parts_of(P.buffered_any(P.simple(o), 7.0, 3), 3).to_pylist()
+    monkeypatch.setattr(P, "slabs", None)
+    wide = P.parts_of(P.buffered(P.simple(o), 7.0, 3), 3).to_pylist()
+    assert [[len(p["ring"]) for p in row] for row in wide] == [[len(p["ring"]) for p in row] for row in pieces] == [[69], [69], [68]]
+    for a, b in zip(wide, pieces):
+        for p, q in zip(a[0]["ring"], b[0]["ring"]):
+            assert abs(p["x"] - q["x"]) < 1e-9 and abs(p["y"] - q["y"]) < 1e-9
+
+
+def test_rings_that_turn_twice_or_have_a_dent_go_the_long_way():
+    import pyarrow as pa
+
+    from tessella.functions import planar as P
+
+    twice = [(0, 0), (9, 0), (9, 9), (0, 9), (-1, -1), (10, -1), (10, 10), (-1, 10)]
+    dent = [(0, 0), (8, 0), (4, 3), (8, 8), (0, 8)]
+    rings = [[{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]] for r in (twice, dent)]
+    plain, rest = P._convex(P.outlines(pa.array(rings, P.RING)))
+    assert not len(plain.row) and rest.rows == 2 and list(rest.owner) == [0, 1]
