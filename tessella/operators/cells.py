@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.boxes import area, box, iou
 from tessella.functions.overlay import buffered, outline_area, overlap_areas, repaired, with_bounds
-from tessella.plans.components import map_components, slide_components
+from tessella.plans.components import by_size, map_components, roots, slide_components
 from tessella.plans.session import cut, written
 from tessella.plans.spatial_join import has_rings, outline, spatial_join
 
@@ -243,22 +243,65 @@ def match_instances(gt: DataFrame, pred: DataFrame, cell: int = 64, iou_threshol
     id`` and a box, and may have a ``ring`` and ``holes``; ids count within their slide."""
     rows = spatial_join(gt.select("slide_id", "id", *_shape(gt)), pred.select("slide_id", "id", *_shape(pred)), cell)
     pairs = cut(rows.select("slide_id", F.col("id").alias("gt_id"), F.col("r_id").alias("pred_id"), _overlap(rows).alias("iou")).where("iou > 0"))
-    # Even numbers are truths, odd ones predictions.
-    edges = pairs.select("slide_id", (2 * F.col("gt_id")).alias("src"), (2 * F.col("pred_id") + 1).alias("dst"))
-    parts = slide_components(edges, "src", "dst", "vertex").where("vertex % 2 = 0").select("slide_id", F.expr("vertex div 2").alias("gt_id"), "component")
+    small, large = by_size(pairs, ("slide_id",))
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        best = []
-        for (slide, _), one in part.groupby(["slide_id", "component"], sort=False):
-            links = list(zip(one.gt_id, one.pred_id, one.iou))
-            gains = {(a, b): g for a, b, g in links}
-            best += [(slide, a, b, gains[a, b]) for a, b in (_assignment(links) if len(links) > 1 else [links[0][:2]])]
-        return pd.DataFrame(best, columns=["slide_id", "gt_id", "pred_id", "iou"])
-
-    matched = map_components(pairs.join(parts, ["slide_id", "gt_id"]), match, "slide_id long, gt_id long, pred_id long, iou double")
+        return part.iloc[_matched(part.slide_id.to_numpy(), part.gt_id.to_numpy(), part.pred_id.to_numpy(), part.iou.to_numpy())][["slide_id", "gt_id", "pred_id", "iou"]]
+
+    schema = "slide_id long, gt_id long, pred_id long, iou double"
+    matched = map_components(small, match, schema, ("slide_id",))
+    if large is not None:
+        # Even numbers are truths, odd ones predictions.
+        edges = large.select("slide_id", (2 * F.col("gt_id")).alias("src"), (2 * F.col("pred_id") + 1).alias("dst"))
+        parts = slide_components(edges, "src", "dst", "vertex").where("vertex % 2 = 0").select("slide_id", F.expr("vertex div 2").alias("gt_id"), "component")
+        matched = matched.unionByName(map_components(large.join(parts, ["slide_id", "gt_id"]), match, schema))
     return matched.where(F.col("iou") >= iou_threshold)
 
 
+def _matched(slide: np.ndarray, gt: np.ndarray, pred: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """Which pairs are in the matching of greatest total gain, of whole components.
+
+    A pair that gains more than the next best pairs of its two ends together is in every best
+    matching, for it could replace those; it is taken, with its ends, and others may then do so
+    too. What is left is assigned component by component.
+    """
+    number = lambda ids: pd.MultiIndex.from_arrays([slide, ids]).factorize()[0]
+    a, b = number(gt), number(pred)
+    left, taken = np.arange(len(a)), []
+    while len(left):
+        p, q, gain = a[left], b[left], iou[left]
+        sure = gain > _next_best(p, gain) + _next_best(q, gain)
+        if not sure.any():
+            break
+        taken.append(left[sure])
+        gone_a, gone_b = np.zeros(a.max() + 1, bool), np.zeros(b.max() + 1, bool)
+        gone_a[p[sure]] = gone_b[q[sure]] = True
+        left = left[~gone_a[p] & ~gone_b[q]]
+    if len(left):
+        p, q = np.unique(a[left], return_inverse=True)[1], np.unique(b[left], return_inverse=True)[1] + len(left)
+        component = roots(2 * len(left), p, q)[p]
+        order = np.lexsort([pred[left], gt[left], component])  # so that ties don't hang on the order of rows
+        for rows in np.split(left[order], np.flatnonzero(np.diff(component[order])) + 1):
+            at = {(x, y): k for k, x, y in zip(rows.tolist(), a[rows].tolist(), b[rows].tolist())}
+            best = _assignment([(x, y, float(iou[k])) for (x, y), k in at.items()])
+            taken.append(np.array([at[x, y] for x, y in best], np.int64))
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+def _next_best(end: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """For each pair the greatest gain of another pair at the same end, 0 if there is none."""
+    order = np.lexsort([-gain, end])
+    first = np.ones(len(order), bool)
+    first[1:] = np.diff(end[order]) != 0
+    best = np.flatnonzero(first)
+    sizes = np.diff(np.append(best, len(order)))
+    top = np.repeat(gain[order][best], sizes)
+    second = np.repeat(np.where(sizes > 1, gain[order][np.minimum(best + 1, len(order) - 1)], 0.0), sizes)
+    out = np.empty(len(order))
+    out[order] = np.where(first, second, top)
+    return out
+
+
 def instance_stats(gt: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
     """``slide_id, tp, fp, fn, tn, iou_sum`` by slide."""
     count = lambda df, name: df.groupBy("slide_id").agg(F.count("*").alias(name))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +82,18 @@ def mask_polygons(mask: DataFrame, by: tuple[str, ...] = (), least_area: float =
 
     def rings_of(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for key, one in part.groupby(list(keys), sort=False):
-            rings = trace(zip(one.ax, one.ay, one.bx, one.by_))
+        new = np.ones(len(part), bool)
+        new[1:] = np.logical_or.reduce([np.diff(pd.factorize(part[k], use_na_sentinel=False)[0]) != 0 for k in keys])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(part)).tolist()
+        sides = list(zip(*(part[c].to_list() for c in ("ax", "ay", "bx", "by_"))))
+        for key, at, to in zip(zip(*(part[k].iloc[starts].to_list() for k in keys)), starts.tolist(), ends):
+            rings = trace(sides[at:to])
             points = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
-            inner = [(r, -signed_area(r)) for r in rings if signed_area(r) < 0]
-            kept = [(r, a) for r, a in inner if holes and a >= least_hole]
-            outer = max(rings, key=signed_area)
-            out.append((*key, points(outer), [points(r) for r, _ in kept], float(signed_area(outer) - sum(a for _, a in kept))))
+            sized = [(r, signed_area(r)) for r in rings]
+            kept = [(r, -a) for r, a in sized if a < 0 and holes and -a >= least_hole]
+            outer, size = max(sized, key=lambda s: s[1])
+            out.append((*key, points(outer), [points(r) for r, _ in kept], float(size - sum(a for _, a in kept))))
         return pd.DataFrame(out, columns=[*keys, "ring", "holes", "area"])
 
     types = dict(borders.dtypes)

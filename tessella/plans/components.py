@@ -1,15 +1,21 @@
-"""Connected components of an edge list by label hooking and pointer jumping."""
+"""Connected components of an edge list: of small groups in one call each, of large ones by label
+hooking and pointer jumping."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.plans.session import cut
 
+#: Edges of a slide up to which one call labels it.
+WHOLE = 1_000_000
+_INTEGERS = {"bigint", "int", "smallint", "tinyint"}
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Labels every vertex of ``edges`` with the smallest vertex that it can reach.
@@ -43,13 +49,85 @@ def slide_components(edges: DataFrame, src: str, dst: str, id_col: str, within:
     """``within``, ``id_col`` and ``component`` of every vertex of edges within slides.
 
     Ids count within their slide; ``component`` is the smallest id of the vertex's component.
+    Slides of at most ``WHOLE`` edges are labelled in one call, many to a task; larger ones by
+    :func:`connected_components`, whose rounds shuffle edges but hold none together.
     """
+    types = dict(edges.dtypes)
+    if not {types[src], types[dst]} <= _INTEGERS:
+        return _by_rounds(edges, src, dst, id_col, within)
+    pairs = cut(edges.select(*within, F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null"))
+    small, large = by_size(pairs, within)
+    names = [f"k{i}" for i in range(len(within))]
+
+    def labels(rows: pd.DataFrame) -> pd.DataFrame:
+        group, ids, root = local_components(rows[names], rows.a.to_numpy(np.int64), rows.b.to_numpy(np.int64))
+        out = rows[names].iloc[group].reset_index(drop=True)
+        out["id"], out["component"] = ids, root
+        return out
+
+    kinds = ", ".join(f"{n} {types[c]}" for n, c in zip(names, within))
+    found = map_components(small.select(*[F.col(c).alias(n) for n, c in zip(names, within)], "a", "b"), labels, f"{kinds}, id long, component long", tuple(names))
+    near = found.select(*[F.col(n).alias(c) for n, c in zip(names, within)], F.col("id").alias(id_col), "component")
+    return near if large is None else near.unionByName(_by_rounds(large, "a", "b", id_col, within))
+
+
+def _by_rounds(edges: DataFrame, src: str, dst: str, id_col: str, within: tuple[str, ...]) -> DataFrame:
     node = lambda c: F.struct(*within, F.col(c).alias("id"))
     parts = connected_components(edges.select(node(src).alias("src"), node(dst).alias("dst")))
     place = [F.col(f"vertex.{c}").alias(c) for c in within]
     return parts.select(*place, F.col("vertex.id").alias(id_col), F.col("component.id").alias("component"))
 
 
+def by_size(rows: DataFrame, within: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most ``WHOLE`` rows, which a task may hold, and those of larger groups,
+    if there are any. ``rows`` are read three times at most, so they should be cut."""
+    many = rows.groupBy(*within).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).select(*within)
+    if many.isEmpty():
+        return rows, None
+    many = cut(many)
+    alike = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in within]
+    part = lambda how: rows.alias("l").join(many.alias("m"), alike, how)
+    return part("left_anti"), part("left_semi")
+
+
+def local_components(groups: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of edges in memory, within groups, of which the rows lie together: for every vertex
+    a row of its group, its id, and the smallest id that it reaches."""
+    new = np.ones(len(groups), bool)
+    if len(groups):
+        same = np.ones(len(groups) - 1, bool)
+        for c in groups.columns:
+            codes = pd.factorize(groups[c], use_na_sentinel=False)[0]
+            same &= codes[1:] == codes[:-1]
+        new[1:] = ~same
+    group = np.cumsum(new) - 1
+    both, ids = np.concatenate([group, group]), np.concatenate([a, b])
+    order = np.lexsort([ids, both])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(both[order]) != 0) | (np.diff(ids[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    own, own_group = ids[order][fresh], both[order][fresh]
+    root = roots(len(own), number[: len(a)], number[len(a) :])
+    return np.flatnonzero(new)[own_group], own, own[root]
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` vertices the lowest one that it reaches along edges from ``a`` to ``b``."""
+    root = np.arange(n)
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(root, b, a)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
 def map_components(rows: DataFrame, of_many: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: tuple[str, ...] = ("slide_id", "component")) -> DataFrame:
     """Applies a function to frames that hold many whole components at once.
 

@@ -161,3 +161,26 @@ def test_store_of_cells_tiles_and_vectors(spark):
     store.put("m_grid", tiles.where("tile_id < 2").selectExpr("slide_id", "tile_id", "array(1D) as vec", "x0"))
     joined = store.tile_features("m", "grid")
     assert joined.count() == 4 and sorted(joined.columns) == sorted([*tiles.columns, "vec"])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sure_pairs_leave_the_best_total(seed, monkeypatch):
+    """Pairs that gain more than the next best of both ends are taken; the total is that of a full assignment."""
+    from tessella.operators import cells
+
+    rng = np.random.default_rng(seed)
+    n = 60
+    gt, pred = rng.integers(0, 25, n), rng.integers(0, 25, n)
+    _, once = np.unique(gt * 100 + pred, return_index=True)
+    gt, pred = gt[once], pred[once]
+    slide, gain = gt % 2, rng.random(len(gt)) ** 3
+    keep = slide == pred % 2
+    slide, gt, pred, gain = slide[keep], gt[keep], pred[keep], gain[keep]
+    links = list(zip(gt.tolist(), pred.tolist(), gain.tolist()))
+    value = {(a, b): g for a, b, g in links}
+    best = sum(value[p] for p in cells._assignment(links))
+    assigned, real = [], cells._assignment
+    monkeypatch.setattr(cells, "_assignment", lambda rows: assigned.append(len(rows)) or real(rows))
+    at = cells._matched(slide, gt, pred, gain)
+    assert len(set(gt[at])) == len(set(pred[at])) == len(at) and abs(gain[at].sum() - best) < 1e-9
+    assert sum(assigned) < len(links)

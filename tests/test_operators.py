@@ -356,3 +356,31 @@ def test_association_errors(spark):
     df = spark.createDataFrame([(1, 0, 1.0)], "tile_id long, dim long, v double")
     with pytest.raises(ValueError):
         omics.association(df, df.select("tile_id", F.lit(1.0).alias("score")), "other")
+
+
+def test_components_of_small_and_large_groups_are_the_same(spark, monkeypatch):
+    """Groups up to WHOLE edges are labelled in one call without rounds, larger ones by rounds."""
+    import random
+
+    from tessella.plans import components
+
+    rng = random.Random(5)
+    rows = [(s, rng.randrange(40), rng.randrange(40)) for s in range(12) for _ in range(3 * s + 1)] + [(3, None, 4), (3, 5, None)]
+    edges = spark.createDataFrame(rows, "slide_id long, a long, b long")
+    got = {}
+    for whole in (1_000_000, 15, 0):
+        monkeypatch.setattr(components, "WHOLE", whole)
+        with monkeypatch.context() as m:
+            if whole == 1_000_000:
+                m.setattr(components, "connected_components", None)
+            got[whole] = sorted(components.slide_components(edges, "a", "b", "id").collect())
+    assert got[1_000_000] == got[15] == got[0]
+    reach = {}
+    for s, a, b in rows:
+        if a is not None and b is not None:
+            one, other = reach.setdefault((s, a), {a}), reach.setdefault((s, b), {b})
+            one |= other
+            for v in one:
+                reach[s, v] = one
+    assert [(r[0], r[1], r[2]) for r in got[0]] == sorted((s, v, min(c)) for (s, v), c in reach.items())
+    assert components.slide_components(edges.limit(0), "a", "b", "id").count() == 0
