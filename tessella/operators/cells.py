@@ -17,6 +17,8 @@ from tessella.plans.spatial_join import has_rings, outline, spatial_join
 
 BOX = ("x0", "y0", "x1", "y1")
 EPS = 1e-8
+#: Boxes of which the bands are in one task.
+BOXES = 100_000
 
 
 def _shape(df: DataFrame) -> list[str]:
@@ -321,8 +323,10 @@ def semantic_stats(gt: DataFrame, pred: DataFrame, strip: int = 64) -> DataFrame
     part = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / strip), F.floor((F.col(hi) - 1) / strip)))
     cells = rows.withColumn("gy", part("y0", "y1")).withColumn("gx", part("x0", "x1"))
     held = lambda c, g: F.least(F.greatest(F.col(c), F.col(g) * strip), (F.col(g) + 1) * strip).alias(c)
-    pieces = cells.select("slide_id", "gx", "gy", "kind", held("x0", "gx"), held("x1", "gx"), held("y0", "gy"), held("y1", "gy")).distinct()
     square = ["slide_id", "gx", "gy"]
+    # Bands are many times the pieces, so squares are dealt out once, by a count of boxes.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BOXES))
+    pieces = cells.select("slide_id", "gx", "gy", "kind", held("x0", "gx"), held("x1", "gx"), held("y0", "gy"), held("y1", "gy")).repartition(tasks, *square).distinct()
     ys = pieces.groupBy(*square).agg(F.array_sort(F.array_union(F.collect_set("y0"), F.collect_set("y1"))).alias("ys"))
     bands = ys.select(*square, F.explode(F.transform(F.slice("ys", F.lit(1), F.size("ys") - 1), lambda y, i: F.struct(y.alias("lo"), F.get("ys", i + 1).alias("hi")))).alias("b")).select(*square, "b.lo", "b.hi")
     inside = pieces.join(bands, square).where("lo >= y0 and hi <= y1").select(*square, "kind", "lo", "hi", "x0", "x1")

@@ -184,3 +184,14 @@ def test_sure_pairs_leave_the_best_total(seed, monkeypatch):
     at = cells._matched(slide, gt, pred, gain)
     assert len(set(gt[at])) == len(set(pred[at])) == len(at) and abs(gain[at].sum() - best) < 1e-9
     assert sum(assigned) < len(links)
+
+
+def test_semantic_stats_grow_tasks_with_boxes(spark, monkeypatch):
+    """A task holds the bands of so many boxes, whatever the number of shuffle partitions."""
+    rows = spark.createDataFrame([(i % 3, i * 7, i * 5, i * 7 + 30, i * 5 + 40) for i in range(40)], "slide_id long, x0 long, y0 long, x1 long, y1 long")
+    moved = rows.selectExpr("slide_id", "x0 + 3 as x0", "y0", "x1 + 3 as x1", "y1")
+    before = sorted(cells.semantic_stats(rows, moved).collect())
+    monkeypatch.setattr(cells, "BOXES", 2, raising=False)
+    after = cells.semantic_stats(rows, moved)
+    assert "gy#" in (plan := after._jdf.queryExecution().executedPlan().toString()) and ", 40), REPARTITION_BY_NUM" in plan
+    assert sorted(after.collect()) == before
