@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.components import map_components
 from tessella.plans.session import cut
 
 
@@ -29,8 +32,8 @@ def signature_scores(scaled: DataFrame, ranked: DataFrame, n_features: int, key:
     return scaled.join(F.broadcast(chosen.select("dim", "t")), "dim").groupBy(key).agg(F.sum(F.col("v") * F.col("t")).alias("score"))
 
 
-#: Ranges that the values of a group are dealt into to be ranked, and ranks in a block of pairs.
-RANGES, BLOCK = 64, 8192
+#: Ranges that the values of a group are dealt into, to be ranked or compared.
+RANGES = 64
 
 
 def _average_ranks(df: DataFrame, by: list[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
@@ -53,36 +56,98 @@ def _average_ranks(df: DataFrame, by: list[str], value: str, name: str, ranges:
     return df.join(ranks, [*by, value])
 
 
+def _higher_before(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """How many rows before it, in its group, have a higher rank; a group's rows lie together.
+
+    Ranks agree down to some bit, where the higher has a one. So bit by bit, rows that agree above
+    lie together in their order, and each with a zero counts the ones before.
+    """
+    n = len(group)
+    found, at = np.zeros(n, np.int64), np.arange(n)
+    if not n:
+        return found
+    new = np.append(True, group[1:] != group[:-1])
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for bit in reversed(range(int(rank.max()).bit_length())):
+        one = (rank[at] >> bit) & 1
+        upto = np.concatenate([[0], np.cumsum(one)])
+        size = np.bincount(start, minlength=n)[start]
+        before = upto[:-1] - upto[start]
+        zeros = size - (upto[start + size] - upto[start])
+        found[at] += np.where(one == 1, 0, before)
+        to = start + np.where(one == 1, zeros + before, np.arange(n) - start - before)
+        moved, begins = np.empty_like(at), np.empty_like(start)
+        moved[to], begins[to] = at, start + one * zeros
+        at, start = moved, begins
+    return found
+
+
+def _codes(values: pd.Series) -> np.ndarray:
+    """Places among the distinct values, in order; NaN is the greatest."""
+    return np.unique(values.to_numpy(), return_inverse=True)[1]
+
+
+def _alike_before(*columns: np.ndarray) -> np.ndarray:
+    """How many rows before each are equal to it, in rows sorted by the columns."""
+    n = np.arange(len(columns[0]))
+    fresh = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))[: len(n)]
+    return n - np.maximum.accumulate(np.where(fresh, n, 0))
+
+
 def _kendall(rows: DataFrame) -> DataFrame:
     """``dim, r``: tau-b of ``v`` and ``score`` in each dimension, in n log n.
 
-    Two samples disagree if the one of the lower ``v`` has the higher ``score``. The bits of their
-    scores' ranks agree down to some bit, where the higher rank has a one: so for each bit, among
-    samples that agree above it, each with a zero counts the ones of lower ``v``. These are counted
-    by rank of ``v`` first, then in blocks of ranks, with what stands in the blocks before.
+    Two samples disagree if the one of the lower ``v`` has the higher ``score``. Both columns are
+    dealt into blocks: even ones between quantiles of a sketch, and odd ones that hold a quantile
+    itself, however often it comes. Pairs within a block of ``v`` are counted there, further ones
+    within a block of ``score`` there, and all others from the sizes of the blocks' meetings. So
+    rows are shuffled twice, and a call holds about one in ``RANGES`` of a dimension's rows.
     """
-    ranked = _average_ranks(cut(_average_ranks(rows, ["dim"], "v", "rv")), ["dim"], "score", "rs")
-    twice = lambda c: (2 * F.col(c)).cast("long").alias(c)
-    pairs = cut(ranked.select("dim", twice("rv"), twice("rs")).groupBy("dim", "rv", "rs").agg(F.count("*").alias("n")))
-    most = pairs.agg(F.max("rs")).first()[0] or 0
-    bits = F.explode(F.array(*[F.lit(b) for b in range(max(1, most.bit_length()))])).alias("bit")
-    held = pairs.select("dim", "rv", "rs", "n", bits).select("dim", "bit", F.expr("shiftright(rs, bit + 1)").alias("above"), "rv", F.expr("shiftright(rs, bit) & 1").alias("one"), "n")
-    group = ["dim", "bit", "above"]
-    counts = held.groupBy(*group, "rv").agg(F.sum(F.col("n") * F.col("one")).alias("ones"), F.sum(F.col("n") * (1 - F.col("one"))).alias("zeros"))
-    counts = cut(counts.withColumn("block", F.expr(f"rv div {BLOCK}")))
-    earlier = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.groupBy(*group, "block").agg(F.sum("ones").alias("ones")).select(*group, "block", F.coalesce(F.sum("ones").over(earlier), F.lit(0)).alias("before"))
-    lower = Window.partitionBy(*group, "block").orderBy("rv").rowsBetween(Window.unboundedPreceding, -1)
-    crossed = counts.withColumn("lower", F.coalesce(F.sum("ones").over(lower), F.lit(0))).join(blocks, [*group, "block"])
-    against = crossed.groupBy("dim").agg(F.sum(F.col("zeros") * (F.col("lower") + F.col("before"))).alias("against"))
-
-    def ties(*of: str) -> DataFrame:
-        each = pairs.groupBy("dim", *of).agg(F.sum("n").alias("t"))
-        return each.groupBy("dim").agg(F.sum(F.expr("t * (t - 1) div 2")).alias("_".join(of) or "all"))
-
-    told = against
-    for of in ((), ("rv",), ("rs",), ("rv", "rs")):
-        told = told.join(ties(*of), "dim")
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    borders = rows.groupBy("dim").agg(*[F.percentile_approx(c, shares, 20 * RANGES).alias(f"_{c}") for c in ("v", "score")])
+    block = lambda c: (2 * F.size(F.filter(f"_{c}", lambda b: b < F.col(c))) + F.array_contains(f"_{c}", F.col(c)).cast("int"))
+    dealt = cut(rows.join(F.broadcast(borders), "dim").select("dim", "v", "score", block("v").alias("a"), block("score").alias("b")))
+    dim = dict(rows.dtypes)["dim"]
+
+    def sorted_by(part: pd.DataFrame, by: str, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        own, place = part["dim"].to_numpy(), part[by].to_numpy()
+        group = np.cumsum(np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1]))) - 1
+        order = np.lexsort([high, low, group])
+        return order, group[order], low[order], high[order]
+
+    def within_v(part: pd.DataFrame) -> pd.DataFrame:
+        order, group, v, score = sorted_by(part, "a", _codes(part["v"]), _codes(part["score"]))
+        counts = {"n": 1, "against": _higher_before(group, score), "rv": _alike_before(group, v), "rv_rs": _alike_before(group, v, score)}
+        return part[["dim", "a", "b"]].iloc[order].assign(**counts).groupby(["dim", "a", "b"], as_index=False, sort=False).sum()
+
+    def within_score(part: pd.DataFrame) -> pd.DataFrame:
+        codes = _codes(part["score"])
+        order, group, a, score = sorted_by(part, "b", part["a"].to_numpy(np.int64), codes)
+        ties = np.lexsort([score, group])
+        rs = np.empty(len(ties), np.int64)
+        rs[ties] = _alike_before(group[ties], score[ties])
+        # Rows of equal ``v`` that lie in an even block were counted there.
+        counts = {"against": _higher_before(group, score), "rs": rs, "rv_rs": np.where(a % 2 == 1, _alike_before(group, a, score), 0)}
+        return part[["dim"]].iloc[order].assign(**counts).groupby("dim", as_index=False, sort=False).sum()
+
+    def between(part: pd.DataFrame) -> pd.DataFrame:
+        a, b, n = (part[c].to_numpy(np.int64) for c in ("a", "b", "n"))
+        size = np.zeros((2 * RANGES, 2 * RANGES), np.int64)
+        size[a, b] = n
+        higher = size[:, ::-1].cumsum(1)[:, ::-1] - size
+        lower = higher.cumsum(0) - higher
+        pairs = lambda k: int((k * (k - 1) // 2).sum())
+        odd = slice(1, None, 2)
+        told = {"all": pairs(size.sum(keepdims=True)), "against": int((size * lower).sum()), "rv": pairs(size[odd].sum(1)), "rs": pairs(size[:, odd].sum(0)), "rv_rs": pairs(size[odd, odd])}
+        return pd.DataFrame({"dim": part["dim"].iloc[:1], **told})
+
+    near = cut(map_components(dealt.where("a % 2 = 0"), within_v, f"dim {dim}, a int, b int, n long, against long, rv long, rv_rs long", ("dim", "a")))
+    further = map_components(dealt.where("b % 2 = 0").select("dim", "a", "b", "score"), within_score, f"dim {dim}, against long, rs long, rv_rs long", ("dim", "b"))
+    same = dealt.where("a % 2 = 1").groupBy("dim", "a", "b").agg(F.count("*").alias("n"))
+    sizes = near.select("dim", "a", "b", "n").unionByName(same).groupBy("dim", "a", "b").agg(F.sum("n").alias("n"))
+    others = sizes.groupBy("dim").applyInPandas(between, f"dim {dim}, all long, against long, rv long, rs long, rv_rs long")
+    parts = others.unionByName(near.drop("a", "b", "n"), allowMissingColumns=True).unionByName(further, allowMissingColumns=True)
+    told = parts.groupBy("dim").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", "against", "rv", "rs", "rv_rs")])
     agree = F.col("all") - F.col("rv") - F.col("rs") + F.col("rv_rs") - F.col("against")
     root = F.sqrt((F.col("all") - F.col("rv")).cast("double")) * F.sqrt((F.col("all") - F.col("rs")).cast("double"))
     return told.select("dim", ((agree - F.col("against")) / F.nullif(root, F.lit(0.0))).alias("r"))

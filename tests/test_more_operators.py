@@ -1,10 +1,13 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.__main__ import main
 from tessella.functions.rings import clip, clipped, clipped_area, hull, hull_area
-from tessella.operators import masks, shapes
+from tessella.operators import masks, omics, shapes
 from tessella.settings import Settings
 from tessella.sources.store import SlideStore, cohort, feature_key, pyramid
 from tessella.streaming.arrivals import running_means, stream_features, write_means
@@ -129,3 +132,27 @@ def test_many_clips_at_once_equal_single_ones(spark):
     got = {r.k: r.c for r in df.select("k", clipped_area("ring", "x0", "y0", "x1", "y1").alias("c")).collect()}
     cut = [clip(np.array(r, float), *b) if r else [] for r, b in zip(rings, boxes)]
     assert [got[k] for k in range(10)] == pytest.approx([area(p) if len(p) > 2 else 0 for p in cut])
+
+
+def test_kendall_of_ties_writes_no_row_for_each_bit(spark):
+    """Equals a count of all pairs, with values that most rows share; what is kept beside the rows is a few times their size."""
+    import pathlib
+
+    rng = random.Random(5)
+    score = [rng.choice([0.5, rng.random(), round(rng.random(), 2)]) for _ in range(1500)]
+    columns = {"few": [rng.randrange(3) for _ in score], "mostly none": [s * rng.random() if rng.random() < 0.3 else 0.0 for s in score], "own": [rng.gauss(s, 1) for s in score], "flat": [1.0 for _ in score]}
+    genes = [(i, d, float(v)) for d, vs in columns.items() for i, v in enumerate(vs)] + [(0, "own", None), (1, "flat", float("nan"))]
+    genes = spark.createDataFrame(genes, "tile_id long, dim string, v double")
+    scores = spark.createDataFrame(list(enumerate(score)), "tile_id long, score double")
+    at = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = size()
+    got = {r["dim"]: r.r for r in omics.association(genes, scores, "kendall").collect()}
+    assert size() - before < 100 * 4 * len(score)
+    columns["flat"].append(math.inf)
+    score.append(score[1])
+    sign = lambda d: (d > 0) - (d < 0)
+    for d, v in columns.items():
+        pairs = [(sign(v[i] - v[j]), sign(score[i] - score[j])) for i in range(len(v)) for j in range(i)]
+        root = math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
+        assert got[d] == pytest.approx(sum(x * y for x, y in pairs) / root), d
