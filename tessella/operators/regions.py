@@ -6,7 +6,7 @@ valid rings, and one row for each part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +57,46 @@ def _starts(batch: pa.Table, keys: list[str]) -> np.ndarray:
     return np.array([i for i in range(len(columns)) if i == 0 or columns[i] != columns[i - 1]], np.int64)
 
 
+def _many_groups(rows: DataFrame, keys: list[str], of: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Applies a function to tables that hold many whole groups of equal ``keys``, and where each
+    begins. A group is in one task.
+
+    Groups are dealt into the session's number of partitions, which stay apart: rows are few for
+    the work that they make, so their bytes don't tell how many tasks are worth while.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(k)[batch.num_rows - 1] for k in keys]
+            same_as_held = held and all(held[-1].column(k)[held[-1].num_rows - 1] == v for k, v in zip(keys, last))
+            held.append(batch)
+            if same_as_held and all(batch.column(k)[0] == v for k, v in zip(keys, last)):
+                continue  # one group goes on
+            table = pa.Table.from_batches(held)
+            starts = _starts(table, keys)
+            if len(starts) > 1:
+                yield of(table.slice(0, int(starts[-1])), starts[:-1])
+                held = table.slice(int(starts[-1])).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield of(table, _starts(table, keys))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def united(rows: DataFrame, keys: tuple[str, ...], grow: float = 0.0, shrink: float = 0.0) -> DataFrame:
     """``keys, parts``: the union of the polygons of each group, which may be widened by ``grow``
     before and narrowed by ``shrink`` afterwards.
 
     Many groups share a call; a group is in one task, and holds its edges there.
     """
-    ship_package(rows.sparkSession)
-    bounded_batches(rows.sparkSession)
     keys_list = list(keys)
 
     def merged(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -76,28 +108,9 @@ def united(rows: DataFrame, keys: tuple[str, ...], grow: float = 0.0, shrink: fl
         first = table.select(keys_list).take(pa.array(starts))
         return pa.RecordBatch.from_pydict({k: first.column(k).combine_chunks() for k in keys_list} | {"parts": parts})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = [batch.column(k)[batch.num_rows - 1] for k in keys_list]
-            same_as_held = held and all(held[-1].column(k)[held[-1].num_rows - 1] == v for k, v in zip(keys_list, last))
-            held.append(batch)
-            if same_as_held and all(batch.column(k)[0] == v for k, v in zip(keys_list, last)):
-                continue  # one group goes on
-            table = pa.Table.from_batches(held)
-            starts = _starts(table, keys_list)
-            if len(starts) > 1:
-                yield merged(table.slice(0, int(starts[-1])), starts[:-1])
-                held = table.slice(int(starts[-1])).to_batches()
-        if held:
-            table = pa.Table.from_batches(held)
-            yield merged(table, _starts(table, keys_list))
-
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys_list) + f", parts {PARTS.simpleString()}"
-    return rows.select(*keys_list, "ring", "holes").repartition(*keys_list).sortWithinPartitions(*keys_list).mapInArrow(run, schema)
+    return _many_groups(rows.select(*keys_list, "ring", "holes"), keys_list, merged, schema)
 
 
 def merge_connected(polygons: DataFrame, id_col: str = "cell_id", prob_col: str | None = None, buffer_px: float = 0.0, cell: int = 64) -> DataFrame:
@@ -150,23 +163,25 @@ def polygon_stats(gt: DataFrame, pred: DataFrame, strip: int = 512) -> DataFrame
     """
     kind = lambda df, k: with_outline(df).select("slide_id", "x0", "y0", "x1", "y1", "ring", "holes", F.lit(k).alias("kind"))
     cells = on_grid(kind(gt, 0).unionByName(kind(pred, 1)), strip)
-    square = ring_of((F.col("gx") * strip, F.col("gy") * strip, (F.col("gx") + 1) * strip, (F.col("gy") + 1) * strip))
-    pieces = cells.select("slide_id", "gx", "gy", "kind", F.explode(overlay("intersection", F.col("ring"), F.col("holes"), square, no_holes())).alias("p"))
-    pieces = pieces.select("slide_id", "gx", "gy", "kind", "p.ring", "p.holes")
     keys = ["slide_id", "gx", "gy"]
 
-    def covered(table: pa.Table) -> pa.Table:
+    def covered(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        square = np.searchsorted(starts, np.arange(table.num_rows), "right") - 1
         ring, holes = (table.column(c).combine_chunks() for c in ("ring", "holes"))
-        o = P.outlines(ring, holes)
-        e, _ = P.oriented(o)
+        left, top = (table.column(c).to_numpy() * float(strip) for c in ("gx", "gy"))
+        whole, frame = (P.oriented(o)[0] for o in (P.outlines(ring, holes), P.boxed(left, top, left + strip, top + strip)))
+        cut = P.slabs(P.Edges.of(whole, frame), np.repeat([0, 1], [len(whole), len(frame)]), table.num_rows)
+        e, _ = P.rings_as_edges(P.outlined(cut, P.NONZERO(cut.winds[0]) & P.NONZERO(cut.winds[1])))
         group = table.column("kind").to_numpy()[e.row]
-        e.row = np.zeros(len(e), np.int64)
-        s = P.slabs(e, group, 1)
+        e.row = square[e.row]
+        s = P.slabs(e, group, len(starts))
         t, p = P.POSITIVE(s.winds[0]), P.POSITIVE(s.winds[1])
-        areas = {c: pa.array(P.areas(s, k, 1)) for c, k in (("tp", t & p), ("fp", p & ~t), ("fn", t & ~p))}
-        return pa.table({"slide_id": table.column("slide_id").slice(0, 1)} | areas)
+        areas = {c: pa.array(P.areas(s, k, len(starts))) for c, k in (("tp", t & p), ("fp", p & ~t), ("fn", t & ~p))}
+        some = pa.array(np.bincount(e.row, minlength=len(starts)) > 0)  # borders alone hold nothing
+        return pa.RecordBatch.from_pydict({"slide_id": table.column("slide_id").combine_chunks().take(pa.array(starts))} | areas).filter(some)
 
-    each = pieces.groupBy(*keys).applyInArrow(covered, "slide_id long, tp double, fp double, fn double")
+    slide = dict(cells.dtypes)["slide_id"]
+    each = _many_groups(cells.select(*keys, "kind", "ring", "holes"), keys, covered, f"slide_id {slide}, tp double, fp double, fn double")
     return each.groupBy("slide_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("tn", F.lit(0.0))
 
 

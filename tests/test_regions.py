@@ -229,6 +229,21 @@ def test_areas_by_squares(spark):
     assert got == {0: (450.0, 55 * 55 + 400 - 100 - 450, 350.0), 1: (0.0, 0.0, 12.0)}
 
 
+def test_areas_of_many_squares_share_calls(spark):
+    """Squares of slides, with a polygon's border alone in some, and a slide without an area; no call for each square."""
+    rng = random.Random(4)
+    rows = [(s, i, "a", 0.5, square(x, y, x + 16 * rng.randrange(1, 3), y + rng.randrange(5, 30)), []) for s in range(3) for i in range(8) for x, y in [(16 * rng.randrange(4), rng.randrange(64))]]
+    gt, pred = frame(spark, [*rows, (9, 0, "a", 0.5, [(3, 3), (5, 5), (3, 3)], [])]), frame(spark, rows[::2])
+    stats = regions.polygon_stats(gt, pred, 16)
+    assert "FlatMapGroups" not in stats._jdf.queryExecution().toString()
+    whole = lambda of, s: {(x, y) for r in of if r[0] == s for x in range(r[4][0][0], r[4][2][0]) for y in range(r[4][0][1], r[4][2][1])}
+    expected = {}
+    for s in range(3):
+        a, b = whole(rows, s), whole(rows[::2], s)
+        expected[s] = (len(a & b), len(b - a), len(a - b))
+    assert {r.slide_id: tuple(round(v, 6) for v in (r.tp, r.fp, r.fn)) for r in stats.collect()} == expected
+
+
 def test_drawing_equals_points_in_rings(spark):
     rng = random.Random(2)
 
