@@ -1,11 +1,16 @@
-"""Communities of a neighbour graph by modularity, in rounds of joins."""
+"""Communities of a neighbour graph by modularity: of small slides in one call each, of large ones
+in rounds of joins."""
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.components import slide_components
+from tessella.plans.components import INTEGERS, by_size, map_components, roots, slide_components
 from tessella.plans.session import written
 
 #: A gain below this is none, so that rounding doesn't move anything.
@@ -71,6 +76,56 @@ def _moved(matrix: DataFrame, resolution: float, seed: int) -> DataFrame:
     return labels
 
 
+def _near_by(u: np.ndarray, v: np.ndarray, a: np.ndarray, n: int, resolution: float, rng: np.random.Generator) -> np.ndarray:
+    """A community of each of ``n`` vertices of a symmetric matrix, after moves of one at a time."""
+    order = np.argsort(u, kind="stable")
+    degree = np.bincount(u, a, n)
+    whole = degree.sum()
+    ends, to, weight = np.searchsorted(u[order], np.arange(n + 1)).tolist(), v[order].tolist(), a[order].tolist()
+    k, total, label = degree.tolist(), degree.tolist(), list(range(n))
+    turns, waiting = deque(rng.permutation(n).tolist()), [True] * n
+    while turns:
+        i = turns.popleft()
+        waiting[i] = False
+        own, near = label[i], {label[i]: 0.0}
+        for e in range(ends[i], ends[i + 1]):
+            if to[e] != i:
+                near[label[to[e]]] = near.get(label[to[e]], 0.0) + weight[e]
+        gain = lambda c: near[c] - resolution * k[i] * (total[c] - (k[i] if c == own else 0.0)) / whole
+        best = max(near, key=lambda c: (round(gain(c), 9), -c))
+        if best == own or gain(best) <= gain(own) + LEAST_GAIN:
+            continue
+        total[own] -= k[i]
+        total[best] += k[i]
+        label[i] = best
+        for e in range(ends[i], ends[i + 1]):
+            j = to[e]
+            if label[j] != best and not waiting[j]:
+                waiting[j] = True
+                turns.append(j)
+    return np.array(label, np.int64)
+
+
+def _of_one(u: np.ndarray, v: np.ndarray, a: np.ndarray, resolution: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of a symmetric matrix and the smallest of each one's community."""
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    found, n, rng = np.arange(len(ids)), len(ids), np.random.default_rng(seed)
+    while True:
+        label = _near_by(u, v, a, n, resolution, rng)
+        inside = label[u] == label[v]
+        # Parts that don't hang together are communities of their own.
+        merged, part = np.unique(roots(n, u[inside], v[inside]), return_inverse=True)
+        if len(merged) == n:
+            break
+        found, n = part[found], len(merged)
+        pair, of = np.unique(part[u] * n + part[v], return_inverse=True)
+        u, v, a = pair // n, pair % n, np.bincount(of, a, len(pair))
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, found, ids)
+    return ids, least[found]
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 7) -> DataFrame:
     """``slide_id, id, community`` of the ends of edges ``slide_id, src, dst, w``.
 
@@ -85,7 +140,27 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 7) -> Dat
     """
     one_way = edges.where("src is not null and dst is not null and w > 0").select("slide_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.col("w").cast("double").alias("a"))
     both = one_way.unionByName(one_way.select("slide_id", F.col("v").alias("u"), F.col("u").alias("v"), "a"))
+    types = dict(both.dtypes)
     matrix = written(both.groupBy("slide_id", "u", "v").agg(F.sum("a").alias("a")))
+    if not {types["u"], types["v"]} <= INTEGERS:
+        return _by_rounds(matrix, resolution, seed)
+    small, large = by_size(matrix, ("slide_id",))
+
+    def of_slides(rows: pd.DataFrame) -> pd.DataFrame:
+        starts = np.flatnonzero(np.append(True, rows["slide_id"].to_numpy()[1:] != rows["slide_id"].to_numpy()[:-1]))
+        out = []
+        for at, end in zip(starts, [*starts[1:], len(rows)]):
+            own = rows.iloc[at:end]
+            ids, community = _of_one(own["u"].to_numpy(np.int64), own["v"].to_numpy(np.int64), own["a"].to_numpy(), resolution, seed)
+            out.append(pd.DataFrame({"slide_id": own["slide_id"].iloc[0], "id": ids, "community": community}))
+        return pd.concat(out)
+
+    near = map_components(small.where("slide_id is not null"), of_slides, f"slide_id {types['slide_id']}, id {types['u']}, community {types['u']}", ("slide_id",))
+    return near if large is None else near.unionByName(_by_rounds(large, resolution, seed))
+
+
+def _by_rounds(matrix: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """Communities of large slides, in rounds of joins."""
     found = written(matrix.select("slide_id", F.col("u").alias("id"), F.col("u").alias("c")).distinct())
     while True:
         labels = _moved(matrix, resolution, seed)

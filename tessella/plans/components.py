@@ -14,7 +14,7 @@ from tessella.plans.session import cut
 
 #: Edges of a slide up to which one call labels it.
 WHOLE = 1_000_000
-_INTEGERS = {"bigint", "int", "smallint", "tinyint"}
+INTEGERS = {"bigint", "int", "smallint", "tinyint"}
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -53,7 +53,7 @@ def slide_components(edges: DataFrame, src: str, dst: str, id_col: str, within:
     :func:`connected_components`, whose rounds shuffle edges but hold none together.
     """
     types = dict(edges.dtypes)
-    if not {types[src], types[dst]} <= _INTEGERS:
+    if not {types[src], types[dst]} <= INTEGERS:
         return _by_rounds(edges, src, dst, id_col, within)
     pairs = cut(edges.select(*within, F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null"))
     small, large = by_size(pairs, within)

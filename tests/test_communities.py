@@ -65,3 +65,19 @@ def test_planted_communities_of_two_slides(spark):
 
 def test_no_edges(spark):
     assert communities.communities(spark.createDataFrame([], EDGE)).count() == 0
+
+
+def test_small_slides_take_one_call_and_large_ones_rounds(spark, monkeypatch):
+    """Both ways find the same cliques; small slides make no rounds, so their number doesn't tell how many jobs there are."""
+    ring = [(s, g * 5 + u, g * 5 + v, 1.0) for s in range(2) for g in range(6) for u, v in itertools.combinations(range(5), 2)]
+    ring += [(s, g * 5, (g * 5 + 9) % 30, 1.0) for s in range(2) for g in range(6)] + [(1, 7, 7, 2.0), (None, 1, 2, 1.0)]
+    edges = spark.createDataFrame(ring, EDGE)
+    rounds = []
+    moved = communities._moved
+    monkeypatch.setattr(communities, "_moved", lambda *a: rounds.append(1) or moved(*a))
+    expected = sorted((s, v, v // 5 * 5) for s in range(2) for v in range(30))
+    assert sorted(tuple(r) for r in communities.communities(edges).collect()) == expected
+    assert not rounds
+    monkeypatch.setattr("tessella.plans.components.WHOLE", 132)
+    assert sorted(tuple(r) for r in communities.communities(edges).collect()) == expected
+    assert rounds
