@@ -156,3 +156,31 @@ def test_kendall_of_ties_writes_no_row_for_each_bit(spark):
         pairs = [(sign(v[i] - v[j]), sign(score[i] - score[j])) for i in range(len(v)) for j in range(i)]
         root = math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
         assert got[d] == pytest.approx(sum(x * y for x, y in pairs) / root), d
+
+
+def test_softmax_of_several_blocks_shuffles_no_score(spark, monkeypatch):
+    """Equals numpy, also for a tile that comes twice and scores far apart; pairs are made last."""
+    from tessella.operators import similarity
+
+    rng = np.random.default_rng(2)
+    a, t = rng.normal(size=(5, 3)), rng.normal(size=(7, 3)) * 400
+    rows = [(0, i, a[i].tolist()) for i in (0, 1, 2, 3, 3)] + [(1, 0, a[4].tolist())]
+    features = spark.createDataFrame(rows, "slide_id long, tile_id long, vec array<double>")
+    texts = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(t)], "text_id long, vec array<double>")
+    monkeypatch.setattr(similarity, "TEXTS_AT_ONCE", 2)
+    out = similarity.text_image_similarity(features, texts, normalize=False, softmax=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    s = a @ t.T
+    share = np.exp(s - s.max(1)[:, None])
+    share /= share.sum(1)[:, None]
+    expected = [(0, i, j, share[i, j] / (2 if i == 3 else 1)) for i in (0, 1, 2, 3, 3) for j in range(7)] + [(1, 0, j, share[4, j]) for j in range(7)]
+    got = sorted(out.collect())
+    assert [tuple(r)[:3] for r in got] == [e[:3] for e in sorted(expected)]
+    assert np.allclose([r.score for r in got], [e[3] for e in sorted(expected)])
+
+
+def test_medians_are_taken_once_for_tissues(spark):
+    px = spark.createDataFrame([(1, y, x, 200 if 1 < y < 6 and 1 < x < 7 else 10) for y in range(9) for x in range(9)], "image_id long, y long, x long, v long")
+    found = masks.find_tissues(px, scale=2)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert [(r.tissue_id, r.area) for r in found.collect()] == [(0, 64)]
