@@ -161,7 +161,8 @@ def semantic_polygons(probability: DataFrame, names: dict[int, str], threshold:
     named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("class_id").cast("int")), F.col("class_id").cast("string"))
     at_level_0 = found.join(mean, [*by, "component"]).select(F.col("image_id").alias("slide_id"), named.alias("class"), "prob", larger(F.col("ring")).alias("ring"), F.transform("holes", larger).alias("holes"))
     done = regions.dissolve_polygons(at_level_0, ("slide_id", "class"), max(1.0, buffer_px * scale), "prob").drop("region")
-    return done if tissues is None else spatial_join(done, tissues, 1024, how="left_semi", exact=True)
+    # The join reads its left side twice; unions aren't made twice for that.
+    return done if tissues is None else spatial_join(written(done), tissues, 1024, how="left_semi", exact=True)
 
 
 class ProbabilityRunner(Runner):

@@ -97,15 +97,22 @@ def tile_images(chunks: DataFrame, tiles: DataFrame, out: int, level: int = 0, s
     leave the image there is 0. ``transform`` changes the whole list of values.
     """
     met = _met(tiles.select("slide_id", "tile_id", F.col("x0").alias("x"), F.col("y0").alias("y"), "x0", "y0", "x1", "y1"), chunks, level, size)
-    source = lambda i, lo, hi: F.col(lo) + F.expr(f"cast(({i} * 2 + 1) * ({hi} - {lo}) as bigint) div {2 * out}")
-    steps = F.explode(F.sequence(F.lit(0), F.lit(out - 1)))
-    rows = met.withColumn("i", steps).withColumn("sy", source("i", "by0", "by1")).where("sy >= y0 and sy < y0 + h")
-    rows = rows.withColumn("j", steps).withColumn("sx", source("j", "bx0", "bx1")).where("sx >= x0 and sx < x0 + w")
-    value = F.get("values", ((F.col("sy") - F.col("y0")) * F.col("w") + F.col("sx") - F.col("x0")).cast("int"))
-    place = (F.col("i") * out + F.col("j")).alias("at")
-    held = rows.select("slide_id", "tile_id", F.struct(place, value.cast("double").alias("v")).alias("p")).groupBy("slide_id", "tile_id").agg(F.map_from_entries(F.collect_list("p")).alias("p"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(out * out - 1)), lambda k: F.coalesce(F.try_element_at("p", k), F.lit(0.0)))
-    pictures = held.select("slide_id", "tile_id", (transform(vec) if transform else vec).alias("vec"))
+    whole = lambda a, b: F.call_function("div", a, F.lit(b))
+    source = lambda lo, hi: F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda i: F.col(lo) + whole((i * 2 + 1) * (F.col(hi) - F.col(lo)), 2 * out))
+    held = lambda c, lo, n: (c >= F.col(lo)) & (c < F.col(lo) + F.col(n))
+    rows = met.withColumns({"sy": source("by0", "by1"), "sx": source("bx0", "bx1")})
+    rows = rows.where(F.exists("sy", lambda y: held(y, "y0", "h")) & F.exists("sx", lambda x: held(x, "x0", "w")))
+
+    def value(k: Column) -> Column:
+        y, x = F.get("sy", whole(k, out).cast("int")), F.get("sx", k % out)
+        return F.when(held(y, "y0", "h") & held(x, "x0", "w"), F.get("values", ((y - F.col("y0")) * F.col("w") + x - F.col("x0")).cast("int")).cast("double"))
+
+    # A chunk's part of a picture has nulls elsewhere; a picture is the first value of its parts.
+    part = F.transform(F.sequence(F.lit(0), F.lit(out * out - 1)), value).alias("part")
+    parts = rows.select("slide_id", "tile_id", part).groupBy("slide_id", "tile_id").agg(F.collect_list("part").alias("parts"))
+    one = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.get("parts", F.lit(0)), lambda p, q: F.zip_with(p, q, lambda a, b: F.coalesce(a, b)))
+    vec = F.transform(one, lambda v: F.coalesce(v, F.lit(0.0)))
+    pictures = parts.select("slide_id", "tile_id", (transform(vec) if transform else vec).alias("vec"))
     places = tiles.select("slide_id", "tile_id", F.col("x0").alias("x"), F.col("y0").alias("y"))
     return places.join(pictures, ["slide_id", "tile_id"]).select("slide_id", "tile_id", "x", "y", "vec")
 

@@ -218,6 +218,15 @@ def test_semantic_polygons_of_probabilities(spark):
     assert segmentation.semantic_polygons(df.limit(0), {}).count() == 0
 
 
+def test_unions_are_made_once_for_the_tissues(spark):
+    """The join with tissues reads its left side twice; it finds the unions made."""
+    df = spark.createDataFrame([(0, y, x, 1, 0.9) for y in range(4) for x in range(5)], "slide_id long, y long, x long, c long, p double")
+    tissue = spark.createDataFrame([(0, 1, 0, 0, 90, 60)], BOX.format("tissue_id"))
+    kept = segmentation.semantic_polygons(df, {1: "one"}, tissues=tissue)
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    assert [(r["class"], round(r.area, 2)) for r in kept.collect()] == [("one", 20.0)]
+
+
 def test_probabilities_are_averaged_over_tiles(spark):
     images, edge = pictures(spark, [(0, 0, np.full((4, 4), 2.0)), (2, 0, np.full((4, 4), 6.0))], 4)
     runner = segmentation.ProbabilityRunner(lambda b: np.stack([b / 10, 1 - b / 10], axis=1), edge, {0: "a"}, "constant")
